@@ -1,19 +1,25 @@
 """The queries of this subpackage, one for each operator."""
 
-from swatchline.llm import impact_topk, lattice, license_scan, line_dedup, ngram_join
+from swatchline.llm import bpe, impact_topk, language, lattice, license_scan, line_dedup, ngram_join, packing, quality, secret_scan
 
 
 def queries() -> dict:
     return {
+        "op1_quality": quality.op1_quality,
         "op2_license_scan": license_scan.op2_license_scan,
         "op3_line_dedup": line_dedup.op3_line_dedup,
         "op4_lattice_near_dedup": lattice.op4_lattice_near_dedup,
+        "op5_packing": packing.op5_packing,
+        "op6_bpe": bpe.op6_bpe,
         "op7_ngram_join": ngram_join.op7_ngram_join,
         "op8_impact_topk": impact_topk.op8_impact_topk,
+        "op9_secret_scan": secret_scan.op9_secret_scan,
+        "op10_language_id": language.op10_language_id,
     }
 
 
 def oracle_sql() -> dict[str, str]:
+    """The others can't be expressed in SQL; tests hold them against brute force, a round trip or held-out rows."""
     return {
         "op2_license_scan": license_scan.ORACLE_SQL,
         "op3_line_dedup": line_dedup.ORACLE_SQL,
