@@ -42,7 +42,7 @@ def selected(lines: DataFrame, include: str | None = None, exclude: list[str] |
 
 def read_tree(spark: SparkSession, paths: list[str], include: str | None = None, exclude: list[str] | str | None = None) -> DataFrame:
     """Every line of the files below the paths that are selected. A missing path raises, as Spark's reader does."""
-    texts = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(paths)
+    texts = spark.read.option("recursiveFileLookup", True).text(paths, wholetext=True)
     files = texts.select(F.regexp_replace(F.col("_metadata.file_path"), "^file:(//)?", "").alias("file"), "value")
     lines = selected(files, include, exclude).select("file", F.posexplode(F.split("value", "\n")).alias("line", "text"))
     return lines.select("file", (F.col("line") + 1).alias("line"), F.regexp_replace("text", r"\s+$", "").alias("text"))
