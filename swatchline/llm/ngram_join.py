@@ -9,7 +9,8 @@ Two documents link when 100 * |A & B| >= 75 * |A | B| for their sets A and B of
 3. In each group, members link to their predecessor by size and to the group's first, where the filters allow and
    verification confirms. Components of these links label the classes. A group of near copies thus costs work in
    proportion to its members.
-4. Groups with several labels then pair their members with different labels, and every such pair that the filters
+4. In groups that still have several labels, members also try the one of them with the most links so far.
+5. Groups with several labels then pair their members with different labels, and every such pair that the filters
    leave is verified, once. A pair with one label can't change a component. So no link between components is lost.
 
 Length filter: 4 * n_small >= 3 * n_large. Positional filter: a shingle shared at positions i and j bounds the
@@ -78,7 +79,7 @@ def _prefixes(k: int, sketch):
                 value, weight = value[order], weight[order]
                 ends = np.cumsum(n)
                 length = n - (3 * n + 3) // 4 + 1
-                rows = [(ids[a + d], int(n[d]), int(packed[d]) if parts[d].max() < 256 else None, value[(e := ends[d]) - n[d] : e - n[d] + length[d]].view(np.int64), int(np.searchsorted(weight[e - n[d] : e - n[d] + length[d]], HOT))) for d in np.flatnonzero(n)]
+                rows = [(ids[a + d], int(n[d]), str(packed[d]) if parts[d].max() < 256 else None, value[(e := ends[d]) - n[d] : e - n[d] + length[d]].view(np.int64), int(np.searchsorted(weight[e - n[d] : e - n[d] + length[d]], HOT))) for d in np.flatnonzero(n)]
                 yield pd.DataFrame(rows, columns=["id", "n", "parts", "tokens", "hot_from"])
 
     return run
@@ -116,7 +117,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
 
 
 def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5) -> DataFrame:
-    """doc_id, n_shingles, component_id and n_links_checked-free membership of every row of docs.
+    """doc_id, n_shingles, component_id of every row of docs.
 
     Null or blank texts have no shingles and link with nothing. A row with a null id gets a null component. Rows
     with one id count as one document that links if any of its texts does. Other columns are not read.
@@ -124,8 +125,8 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    out = cut(docs.mapInPandas(_summaries(k), "id long, n long, k1 long, k2 long, chunk int, counts binary"))
-    rows = out.where("chunk < 0").select("id", "n", "k1", "k2")
+    out = cut(docs.withColumn("id", F.col("id").cast("string")).mapInPandas(_summaries(k), "id string, n long, k1 long, k2 long, chunk int, counts binary"))
+    rows = out.where("chunk < 0").select(F.col("id").cast("long").alias("id"), "n", "k1", "k2")
     chunks = out.where("chunk >= 0").select("chunk", "counts").groupBy("chunk").applyInPandas(_add_chunks, "chunk int, counts binary")
     counts = np.zeros(SLOTS, np.uint32)
     for c, x in chunks.collect():  # SLOTS counters, whatever the input
@@ -134,8 +135,8 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     classes = rows.where("n > 0 and id is not null").groupBy("n", "k1", "k2").agg(F.min("id").alias("rep"))
     reps = classes.select(F.col("rep").alias("id")).distinct()
     texts = docs.join(reps, "id")
-    spread = texts.mapInPandas(_prefixes(k, sketch), "id long, n long, parts long, tokens array<long>, hot_from int")
-    prefix = spread.select("id", "n", "parts", "hot_from", F.posexplode("tokens").alias("i", "token"))
+    spread = texts.mapInPandas(_prefixes(k, sketch), "id long, n long, parts string, tokens array<long>, hot_from int")
+    prefix = spread.select("id", "n", F.col("parts").cast("long").alias("parts"), "hot_from", F.posexplode("tokens").alias("i", "token"))
     prefix = prefix.select("token", "id", F.shiftleft(F.col("n"), 32).bitwiseOR(F.col("i").cast("long")).alias("pos"), "parts", (F.col("i") >= F.col("hot_from")).alias("hot"))
     members = cut(_grouped(prefix))
 
@@ -144,28 +145,51 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     lead = members.where(first).select(F.col("id").alias("p"), F.col("pos").alias("pp"), F.col("parts").alias("ps"), F.col("lead_id").alias("q"), F.col("lead_pos").alias("qp"), F.col("lead_parts").alias("qs"))
     tried = near.unionByName(lead).where((F.col("p") != F.col("q")) & _passes(F.col("pp"), F.col("qp"), F.col("ps"), F.col("qs")))
     tried = cut(tried.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct())
-    labels = cut(components(_verified(tried, docs.join(reps, "id"), k).select(F.col("a").alias("src"), F.col("b").alias("dst"))))
-
-    labelled = members.select("token", "id", "pos", "parts").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
-    labelled = cut(labelled)
+    links = cut(_verified(tried, docs.join(reps, "id"), k))
+    labels = cut(components(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))))
+
+    # where a group has several labels, its members try the one of them with the most links
+    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
+    ranked = _labelled(members, labels).join(degree, "id", "left")
+    hub = ranked.groupBy("token").agg(F.max_by(F.struct("id", "pos", "parts", "label"), F.struct(F.coalesce("links", F.lit(0)), "id")).alias("hub"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token", "hub")
+    pairs = ranked.join(hub, "token").where(F.col("label") != F.col("hub.label")).where(_passes(F.col("pos"), F.col("hub.pos"), F.col("parts"), F.col("hub.parts")))
+    pairs = cut(pairs.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
+    tried = tried.unionByName(pairs)
+    labels = _merged(labels, _verified(pairs, docs.join(reps, "id"), k))
+
+    # the rest: all pairs of different labels
+    labelled = cut(_labelled(members, labels))
     most = labelled.groupBy("token", "label").agg(F.count("*").alias("c")).groupBy("token").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("c")).where("c > 1").drop("c")
     mixed = labelled.join(most, "token")
     other = mixed.where("label <> main").select("token", F.col("id").alias("p"), F.col("pos").alias("pp"), F.col("parts").alias("ps"), F.col("label").alias("pl"))
     rest = mixed.select("token", F.col("id").alias("q"), F.col("pos").alias("qp"), F.col("parts").alias("qs"), F.col("label").alias("ql"), "main")
     pairs = other.join(rest, "token").where("pl <> ql and (ql = main or p < q)").where(_passes(F.col("pp"), F.col("qp"), F.col("ps"), F.col("qs")))
     pairs = pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    links = cut(_verified(pairs, docs.join(reps, "id"), k))
-    renamed = links
-    for end in ("a", "b"):
-        renamed = renamed.join(labels.select(F.col("node").alias(end), F.col("component").alias(f"{end}_c")), end, "left").withColumn(end, F.coalesce(f"{end}_c", end)).drop(f"{end}_c")
-    joined = components(renamed.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    final = labels.select("node", F.col("component").alias("first")).unionByName(links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti").select("node", F.col("node").alias("first")))
-    final = final.join(joined.select(F.col("node").alias("first"), F.col("component").alias("last")), "first", "left").select("node", F.coalesce("last", "first").alias("component"))
+    final = _merged(labels, _verified(pairs, docs.join(reps, "id"), k))
     # rows with one id may be in several classes
     known = rows.join(classes, ["n", "k1", "k2"], "left").join(final.withColumnRenamed("node", "rep"), "rep", "left")
     return known.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id")).alias("component_id"))
 
 
+def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members with the component so far of each, itself where it has no links."""
+    named = members.select("token", "id", "pos", "parts").join(labels.withColumnRenamed("node", "id"), "id", "left")
+    return named.withColumn("label", F.coalesce("component", "id")).drop("component")
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) by the components so far and further links between them."""
+    links = cut(links)
+    ends = links
+    for end in ("a", "b"):
+        ends = ends.join(labels.select(F.col("node").alias(end), F.col("component").alias(f"{end}_c")), end, "left").withColumn(end, F.coalesce(f"{end}_c", end)).drop(f"{end}_c")
+    joined = components(ends.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    new = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti")
+    both = labels.unionByName(new.select("node", F.col("node").alias("component")))
+    last = joined.select(F.col("node").alias("component"), F.col("component").alias("last"))
+    return cut(both.join(last, "component", "left").select("node", F.coalesce("last", "component").alias("component")))
+
+
 def _grouped(prefix: DataFrame) -> DataFrame:
     """Members of groups of two and more: each with its predecessor (lag_) and, if another, the group's first (lead_).
 
