@@ -17,7 +17,7 @@ from swatchline.llm.common import cut, table
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject; it's fitted on the labelled documents among docs."""
     model = quality.fit(docs, quality.training_labels(table(spark, sf_dir, "labels")))
-    rows = quality.with_statistics(docs.withColumn("_t", F.col("text")), "_t", docs.columns)
+    rows = quality.with_statistics(docs)
     return rows.where(quality.compiled(*model) >= 0.5).select(*docs.columns)
 
 

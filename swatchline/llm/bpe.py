@@ -145,10 +145,9 @@ def bpe_round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
     with open(ranks_path, "rb") as f:
         data = f.read()
     name = hashlib.sha256(data).hexdigest()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
-    out = rows.mapInPandas(_encode(spark.sparkContext.broadcast(data), name, pattern), f"id {kind}, n_tokens long, ids binary, decoded binary")
-    return out.withColumnRenamed("id", "doc_id")
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
+    out = rows.mapInPandas(_encode(spark.sparkContext.broadcast(data), name, pattern), "id string, n_tokens long, ids binary, decoded binary")
+    return out.select(F.col("id").cast("long").alias("doc_id"), "n_tokens", "ids", "decoded")
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

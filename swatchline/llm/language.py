@@ -25,7 +25,7 @@ def ngram_buckets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(text number, bucket) of every n-gram of the lower-cased texts; none spans two texts."""
     lower = [t.lower() for t in texts]
     codes = np.frombuffer("".join(lower).encode("utf-32-le", "surrogatepass"), np.uint32)
-    lengths = np.array([len(t) for t in lower])
+    lengths = np.array([len(t) for t in lower], np.int64)
     number = np.repeat(np.arange(len(texts), dtype=np.int32), lengths)
     numbers, buckets = [], []
     for n in ORDERS:
@@ -118,8 +118,8 @@ def predict(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "tex
     their ids.
     """
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(_score(docs.sparkSession.sparkContext.broadcast(model)), "doc_id long, lang_pred string, score double")
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
+    return rows.mapInPandas(_score(docs.sparkSession.sparkContext.broadcast(model)), "doc_id string, lang_pred string, score double").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def held_out(doc_id: str):

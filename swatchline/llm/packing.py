@@ -177,9 +177,9 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     small_batches(spark)
     with open(tokenizer_path, "rb") as f:
         data = f.read()
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    kind = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return rows.mapInPandas(_pack(spark.sparkContext.broadcast(data), hashlib.sha256(data).hexdigest(), capacity, count), kind)
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
+    kind = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+    return rows.mapInPandas(_pack(spark.sparkContext.broadcast(data), hashlib.sha256(data).hexdigest(), capacity, count), kind).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

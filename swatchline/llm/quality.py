@@ -46,17 +46,18 @@ def statistics(text: str | None) -> list[float]:
     return [float(np.log1p(len(raw))), float(lengths.sum() / n), len(count) / n, top / n, *share.tolist(), n / len(lines), len(set(lines)) / len(lines), float((lengths <= 2).sum() / n), float((lengths >= 16).sum() / n), sum(c for w, c in count.items() if w.isupper()) / n, marked / n]
 
 
-def _with_statistics(batches):
-    for pdf in batches:
-        stats = pd.DataFrame([statistics(t) for t in pdf["_text"]], columns=STATISTICS)
-        yield pd.concat([pdf.drop(columns="_text").reset_index(drop=True), stats], axis=1)
+def _statistics_udf():
+    @F.pandas_udf(", ".join(f"{s} double" for s in STATISTICS))
+    def udf(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([statistics(t) for t in texts], columns=STATISTICS)
 
+    return udf.asNondeterministic()  # so that it runs once a row, wherever its fields are used
 
-def with_statistics(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
+
+def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs and a struct `_stats` of the statistics of a text."""
     small_batches(docs.sparkSession)
-    rows = docs.select(*keep, F.col(text_col).alias("_text"))
-    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.mapInPandas(_with_statistics, f"{kinds}, " + ", ".join(f"{s} double" for s in STATISTICS))
+    return docs.withColumn("_stats", _statistics_udf()(F.col(text_col)))
 
 
 Rule = tuple[tuple[int, bool, float], ...]  # (statistic, whether above, threshold), all of which hold
@@ -130,12 +131,12 @@ def fit_rules(x: np.ndarray, y: np.ndarray) -> tuple[float, list[tuple[Rule, flo
 
 
 def compiled(intercept: float, rules: list[tuple[Rule, float]]) -> Column:
-    """The ensemble's probability as a column of STATISTICS."""
+    """The ensemble's probability as a column of the fields of `_stats`."""
     total = F.lit(intercept)
     for rule, weight in rules:
         holds = F.lit(True)
         for c, above, threshold in rule:
-            s = F.col(STATISTICS[c])
+            s = F.col(f"_stats.{STATISTICS[c]}")
             holds = holds & (s > threshold if above else s <= threshold)
         total = total + F.when(holds, weight).otherwise(0.0)
     return 1 / (1 + F.exp(-total))
@@ -146,13 +147,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_doc")).agg((F.avg(F.col(label_col).cast("double")) >= 0.5).cast("int").alias("_y"))
     known = known.orderBy(F.xxhash64("_doc"), "_doc").limit(FIT_ROWS)
     rows = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_t")).join(F.broadcast(known), "_doc")  # at most FIT_ROWS pairs
-    got = with_statistics(rows, "_t", ["_doc", "_y"]).orderBy("_doc").limit(2 * FIT_ROWS).toPandas()
+    got = with_statistics(rows, "_t").select("_doc", "_y", "_stats.*").orderBy("_doc", *STATISTICS).limit(2 * FIT_ROWS).toPandas()
     return fit_rules(got[STATISTICS].to_numpy(float), got["_y"].to_numpy(float))
 
 
 def score(docs: DataFrame, model: tuple[float, list], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score (0 to 1, that the label is 1) and predicted of every row; empty and null texts are scored alike."""
-    rows = with_statistics(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_t")), "_t", ["doc_id"])
+    rows = with_statistics(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_t")), "_t")
     return rows.select("doc_id", compiled(*model).alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 

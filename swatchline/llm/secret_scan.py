@@ -173,35 +173,33 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Rows stay apart whatever their ids. spans has kind:start:end, joined by commas; empty if nothing is found.
     """
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(_scan, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
+    return rows.mapInPandas(_scan, "doc_id string, n_assign long, n_access long, n_hex long, base_sha256 string, spans string").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-def _redact(mark: str):
-    def run(batches):
-        scanner = Scanner()
-        for pdf in batches:
-            texts = []
-            for text in pdf["text"]:
-                if text:
-                    merged: list[list[int]] = []
-                    for _, a, b in scanner.spans(text):
-                        if merged and a <= merged[-1][1]:
-                            merged[-1][1] = max(merged[-1][1], b)
-                        else:
-                            merged.append([a, b])
-                    for a, b in reversed(merged):
-                        text = text[:a] + mark + text[b:]
-                texts.append(text)
-            yield pdf.assign(text=texts)
-
-    return run
-
-
-def redact_secrets(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """docs with each run of overlapping secret spans of `text` replaced by mark; other columns stay."""
+def redacted(text: str, spans: list[tuple[str, int, int]], mark: str) -> str:
+    """The text with each run of overlapping or touching spans replaced by mark."""
+    merged: list[list[int]] = []
+    for _, a, b in sorted(spans, key=lambda s: s[1:]):
+        if merged and a <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], b)
+        else:
+            merged.append([a, b])
+    for a, b in reversed(merged):
+        text = text[:a] + mark + text[b:]
+    return text
+
+
+def redact_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
+    """docs with the secrets of the text column replaced by mark; null texts and other columns stay as they are."""
     small_batches(docs.sparkSession)
-    return docs.mapInPandas(_redact(mark), docs.schema)
+
+    @F.pandas_udf("string")
+    def udf(texts: pd.Series) -> pd.Series:
+        scanner = Scanner()
+        return pd.Series([redacted(t, scanner.spans(t), mark) if t else t for t in texts], dtype=object)
+
+    return docs.withColumn(text_col, udf.asNondeterministic()(F.col(text_col)))
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
