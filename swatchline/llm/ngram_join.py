@@ -12,10 +12,12 @@ Two documents link when 100 * |A & B| >= 75 * |A | B| for their sets A and B of
 4. In groups that still have several labels, members also try the one of them with the most links so far.
 5. Groups with several labels then pair their members with different labels, and every such pair that the filters
    leave is verified, once. A pair with one label can't change a component. So no link between components is lost.
+   Here the suffix filter goes deeper: PARITIES parts, of which the parity of the size is kept.
 
 Length filter: 4 * n_small >= 3 * n_large. Positional filter: a shingle shared at positions i and j bounds the
 overlap by min(i, j) + 1 + min(n_a - i, n_b - j) - 1. Suffix filter: the sets are divided at fixed values into
 eight parts, and the difference of the parts' sizes bounds the Hamming distance (sets with a part over 255 pass).
+The number of parts whose sizes differ in parity bounds it too: each such part holds a shingle of one set alone.
 """
 
 from __future__ import annotations
@@ -33,6 +35,7 @@ from swatchline.llm.shingles import blocks, mix, shingle_sets
 SLOTS, CHUNK = 1 << 20, 1 << 12
 #: A counter of at least so many may stand for a hot shingle; its group is gathered after map-side aggregation.
 HOT = 20_000
+PARITIES = 512
 
 
 def _summaries(k: int):
@@ -97,6 +100,20 @@ def _set_rows(k: int):
     return run
 
 
+def _parity_rows(k: int):
+    def run(batches):
+        for pdf in batches:
+            ids, texts = pdf["id"].to_numpy(), pdf["text"].tolist()
+            for a, b in blocks(texts):
+                number, value = shingle_sets(texts[a:b], k)
+                part = (value & np.uint64(PARITIES - 1)).astype(np.int64)
+                odd = np.bincount(number * PARITIES + part, minlength=PARITIES * (b - a)).reshape(b - a, PARITIES) & 1
+                words = np.packbits(odd.astype(np.uint8), axis=1).view(np.int64)
+                yield pd.DataFrame({"id": ids[a:b], "odd": list(words)})
+
+    return run
+
+
 def _passes(pos_a, pos_b, parts_a, parts_b):
     """The three filters; pos holds n in its upper and the position in its lower 32 bits."""
     na, nb, i, j = F.shiftright(pos_a, 32), F.shiftright(pos_b, 32), pos_a.bitwiseAND(0xFFFFFFFF), pos_b.bitwiseAND(0xFFFFFFFF)
@@ -106,6 +123,11 @@ def _passes(pos_a, pos_b, parts_a, parts_b):
     return (4 * F.least(na, nb) >= 3 * F.greatest(na, nb)) & (7 * bound >= 3 * (na + nb)) & F.coalesce(7 * (na + nb - apart) >= 6 * (na + nb), F.lit(True))
 
 
+def _passes_parities(n_a, n_b, odd_a, odd_b):
+    apart = sum((F.bit_count(F.get(odd_a, F.lit(x)).bitwiseXOR(F.get(odd_b, F.lit(x)))) for x in range(PARITIES // 64)), F.lit(0))
+    return 7 * (n_a + n_b - apart) >= 6 * (n_a + n_b)
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """The pairs (a, b) that link. Only documents in pairs are read into sets."""
     pairs = cut(pairs)
@@ -160,10 +182,13 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # the rest: all pairs of different labels
     labelled = cut(_labelled(members, labels))
     most = labelled.groupBy("token", "label").agg(F.count("*").alias("c")).groupBy("token").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("c")).where("c > 1").drop("c")
-    mixed = labelled.join(most, "token")
-    other = mixed.where("label <> main").select("token", F.col("id").alias("p"), F.col("pos").alias("pp"), F.col("parts").alias("ps"), F.col("label").alias("pl"))
-    rest = mixed.select("token", F.col("id").alias("q"), F.col("pos").alias("qp"), F.col("parts").alias("qs"), F.col("label").alias("ql"), "main")
+    mixed = cut(labelled.join(most, "token"))
+    parities = docs.join(mixed.select("id").distinct(), "id").mapInPandas(_parity_rows(k), "id long, odd array<long>").distinct()
+    mixed = cut(mixed.join(parities, "id"))
+    other = mixed.where("label <> main").select("token", F.col("id").alias("p"), F.col("pos").alias("pp"), F.col("parts").alias("ps"), F.col("odd").alias("po"), F.col("label").alias("pl"))
+    rest = mixed.select("token", F.col("id").alias("q"), F.col("pos").alias("qp"), F.col("parts").alias("qs"), F.col("odd").alias("qo"), F.col("label").alias("ql"), "main")
     pairs = other.join(rest, "token").where("pl <> ql and (ql = main or p < q)").where(_passes(F.col("pp"), F.col("qp"), F.col("ps"), F.col("qs")))
+    pairs = pairs.where(_passes_parities(F.shiftright("pp", 32), F.shiftright("qp", 32), F.col("po"), F.col("qo")))
     pairs = pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     final = _merged(labels, _verified(pairs, docs.join(reps, "id"), k))
     # rows with one id may be in several classes
