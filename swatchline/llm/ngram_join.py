@@ -131,7 +131,7 @@ def _passes_parities(n_a, n_b, odd_a, odd_b):
 def _verified(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """The pairs (a, b) that link. Only documents in pairs are read into sets."""
     pairs = cut(pairs)
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    ids = cut(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
     sets = cut(docs.join(ids, "id").mapInPandas(_set_rows(k), "id long, shingles array<long>"))
     left = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
     both = left.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
@@ -155,9 +155,10 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         counts[c * CHUNK : (c + 1) * CHUNK] = np.frombuffer(zlib.decompress(x), np.uint32)
     sketch = spark.sparkContext.broadcast(counts.tobytes())
     classes = rows.where("n > 0 and id is not null").groupBy("n", "k1", "k2").agg(F.min("id").alias("rep"))
-    reps = classes.select(F.col("rep").alias("id")).distinct()
+    # ids are written before they meet texts: then their size is known, and few of them don't make all texts move
+    reps = cut(classes.select(F.col("rep").alias("id")).distinct())
     texts = docs.join(reps, "id")
-    spread = texts.mapInPandas(_prefixes(k, sketch), "id long, n long, parts string, tokens array<long>, hot_from int")
+    spread = cut(texts.mapInPandas(_prefixes(k, sketch), "id long, n long, parts string, tokens array<long>, hot_from int"))
     prefix = spread.select("id", "n", F.col("parts").cast("long").alias("parts"), "hot_from", F.posexplode("tokens").alias("i", "token"))
     prefix = prefix.select("token", "id", F.shiftleft(F.col("n"), 32).bitwiseOR(F.col("i").cast("long")).alias("pos"), "parts", (F.col("i") >= F.col("hot_from")).alias("hot"))
     members = cut(_grouped(prefix))
@@ -167,7 +168,7 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     lead = members.where(first).select(F.col("id").alias("p"), F.col("pos").alias("pp"), F.col("parts").alias("ps"), F.col("lead_id").alias("q"), F.col("lead_pos").alias("qp"), F.col("lead_parts").alias("qs"))
     tried = near.unionByName(lead).where((F.col("p") != F.col("q")) & _passes(F.col("pp"), F.col("qp"), F.col("ps"), F.col("qs")))
     tried = cut(tried.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct())
-    links = cut(_verified(tried, docs.join(reps, "id"), k))
+    links = cut(_verified(tried, docs, k))
     labels = cut(components(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))))
 
     # where a group has several labels, its members try the one of them with the most links
@@ -177,20 +178,20 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     pairs = ranked.join(hub, "token").where(F.col("label") != F.col("hub.label")).where(_passes(F.col("pos"), F.col("hub.pos"), F.col("parts"), F.col("hub.parts")))
     pairs = cut(pairs.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
     tried = tried.unionByName(pairs)
-    labels = _merged(labels, _verified(pairs, docs.join(reps, "id"), k))
+    labels = _merged(labels, _verified(pairs, docs, k))
 
     # the rest: all pairs of different labels
     labelled = cut(_labelled(members, labels))
     most = labelled.groupBy("token", "label").agg(F.count("*").alias("c")).groupBy("token").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("c")).where("c > 1").drop("c")
     mixed = cut(labelled.join(most, "token"))
-    parities = docs.join(mixed.select("id").distinct(), "id").mapInPandas(_parity_rows(k), "id long, odd array<long>").distinct()
-    mixed = cut(mixed.join(parities, "id"))
+    parities = docs.join(cut(mixed.select("id").distinct()), "id").mapInPandas(_parity_rows(k), "id long, odd array<long>").distinct()
+    mixed = mixed.join(cut(parities), "id")
     other = mixed.where("label <> main").select("token", F.col("id").alias("p"), F.col("pos").alias("pp"), F.col("parts").alias("ps"), F.col("odd").alias("po"), F.col("label").alias("pl"))
     rest = mixed.select("token", F.col("id").alias("q"), F.col("pos").alias("qp"), F.col("parts").alias("qs"), F.col("odd").alias("qo"), F.col("label").alias("ql"), "main")
     pairs = other.join(rest, "token").where("pl <> ql and (ql = main or p < q)").where(_passes(F.col("pp"), F.col("qp"), F.col("ps"), F.col("qs")))
     pairs = pairs.where(_passes_parities(F.shiftright("pp", 32), F.shiftright("qp", 32), F.col("po"), F.col("qo")))
     pairs = pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    final = _merged(labels, _verified(pairs, docs.join(reps, "id"), k))
+    final = _merged(labels, _verified(pairs, docs, k))
     # rows with one id may be in several classes
     known = rows.join(classes, ["n", "k1", "k2"], "left").join(final.withColumnRenamed("node", "rep"), "rep", "left")
     return known.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id")).alias("component_id"))
