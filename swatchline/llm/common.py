@@ -22,11 +22,34 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: With this, Spark removes a query's shuffle files when the query ends.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Writes a frame to the shared folder and reads it back: later steps don't depend on its executors."""
-    path = f"{shared_dir(df.sparkSession)}/swatchline-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Writes a frame to the shared folder and reads it back: later steps don't depend on its executors.
+
+    Its shuffle files go when it is written, since nothing reads them any more.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/swatchline-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEAN_UP)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes the files of frames that cut() returned, once what was made of them is itself written."""
+    for df in frames:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/swatchline-" in folder:
+                path = jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(conf).delete(path, True)
 
 
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
@@ -50,7 +73,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        last, e = e, cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        discard(last)
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before or not now[0]:
             break

@@ -6,10 +6,9 @@ Two documents link when 100 * |A & B| >= 75 * |A | B| for their sets A and B of
    in a sketch of SLOTS counters (4 MB, whatever the input). Equal sets form a class; its smallest id stands for it.
 2. Shingles are ordered rarest first by their counter. Linked sets share a shingle of their prefixes, the first
    n - ceil(0.75 n) + 1. Prefix shingles are grouped by value; those that one class alone has are dropped.
-3. In each group, members link to their predecessor by size and to the group's first, where the filters allow and
-   verification confirms. Components of these links label the classes. A group of near copies thus costs work in
-   proportion to its members.
-4. In groups that still have several labels, members also try the one of them with the most links so far.
+3. In each group, members link to the group's first, where the filters allow and verification confirms. Components of
+   these links label the classes. A group of near copies thus costs work in proportion to its members.
+4. Members that still have other labels try their predecessor by size, and the one of their group with the most links.
 5. Groups with several labels then pair their members with different labels, and every such pair that the filters
    leave is verified, once. A pair with one label can't change a component. So no link between components is lost.
    Here the suffix filter goes deeper: PARITIES parts, of which the parity of the size is kept.
@@ -29,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from swatchline.llm.common import components, cut, small_batches, table
+from swatchline.llm.common import components, cut, discard, small_batches, table
 from swatchline.llm.shingles import blocks, mix, shingle_sets
 
 SLOTS, CHUNK = 1 << 20, 1 << 12
@@ -129,13 +128,14 @@ def _passes_parities(n_a, n_b, odd_a, odd_b):
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """The pairs (a, b) that link. Only documents in pairs are read into sets."""
-    pairs = cut(pairs)
+    """The pairs (a, b) that link, of a written frame of pairs. Only documents in pairs are read into sets."""
     ids = cut(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
     sets = cut(docs.join(ids, "id").mapInPandas(_set_rows(k), "id long, shingles array<long>"))
     left = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
     both = left.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-    return both.where(7 * F.size(F.array_intersect("x", "y")) >= 3 * (F.size("x") + F.size("y"))).select("a", "b").distinct()
+    out = cut(both.where(7 * F.size(F.array_intersect("x", "y")) >= 3 * (F.size("x") + F.size("y"))).select("a", "b").distinct())
+    discard(ids, sets)
+    return out
 
 
 def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5) -> DataFrame:
@@ -163,27 +163,33 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     prefix = prefix.select("token", "id", F.shiftleft(F.col("n"), 32).bitwiseOR(F.col("i").cast("long")).alias("pos"), "parts", (F.col("i") >= F.col("hot_from")).alias("hot"))
     members = cut(_grouped(prefix))
 
-    first = F.col("lead_id").isNotNull()
-    near = members.where("lag_id is not null").select(F.col("id").alias("p"), F.col("pos").alias("pp"), F.col("parts").alias("ps"), F.col("lag_id").alias("q"), F.col("lag_pos").alias("qp"), F.col("lag_parts").alias("qs"))
-    lead = members.where(first).select(F.col("id").alias("p"), F.col("pos").alias("pp"), F.col("parts").alias("ps"), F.col("lead_id").alias("q"), F.col("lead_pos").alias("qp"), F.col("lead_parts").alias("qs"))
-    tried = near.unionByName(lead).where((F.col("p") != F.col("q")) & _passes(F.col("pp"), F.col("qp"), F.col("ps"), F.col("qs")))
-    tried = cut(tried.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct())
-    links = cut(_verified(tried, docs, k))
+    discard(spread)
+
+    chosen = lambda c: F.when(F.col("lead_id").isNotNull(), F.col(f"lead_{c}")).otherwise(F.col(f"lag_{c}"))
+    tried = cut(_pairs(members, chosen))
+    links = _verified(tried, docs, k)
     labels = cut(components(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))))
+    apart = _pairs(members, lambda c: F.col(f"lag_{c}"))
+    for end in ("a", "b"):
+        apart = apart.join(labels.select(F.col("node").alias(end), F.col("component").alias(f"{end}_c")), end, "left").withColumn(f"{end}_c", F.coalesce(f"{end}_c", end))
+    apart = apart.where("a_c <> b_c").select("a", "b")
 
     # where a group has several labels, its members try the one of them with the most links
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
     ranked = _labelled(members, labels).join(degree, "id", "left")
     hub = ranked.groupBy("token").agg(F.max_by(F.struct("id", "pos", "parts", "label"), F.struct(F.coalesce("links", F.lit(0)), "id")).alias("hub"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token", "hub")
     pairs = ranked.join(hub, "token").where(F.col("label") != F.col("hub.label")).where(_passes(F.col("pos"), F.col("hub.pos"), F.col("parts"), F.col("hub.parts")))
-    pairs = cut(pairs.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
+    pairs = pairs.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).unionByName(apart).distinct()
+    pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"))
     tried = tried.unionByName(pairs)
     labels = _merged(labels, _verified(pairs, docs, k))
 
     # the rest: all pairs of different labels
     labelled = cut(_labelled(members, labels))
+    discard(members)
     most = labelled.groupBy("token", "label").agg(F.count("*").alias("c")).groupBy("token").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("c")).where("c > 1").drop("c")
     mixed = cut(labelled.join(most, "token"))
+    discard(labelled)
     parities = docs.join(cut(mixed.select("id").distinct()), "id").mapInPandas(_parity_rows(k), "id long, odd array<long>").distinct()
     mixed = mixed.join(cut(parities), "id")
     other = mixed.where("label <> main").select("token", F.col("id").alias("p"), F.col("pos").alias("pp"), F.col("parts").alias("ps"), F.col("odd").alias("po"), F.col("label").alias("pl"))
@@ -191,12 +197,20 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     pairs = other.join(rest, "token").where("pl <> ql and (ql = main or p < q)").where(_passes(F.col("pp"), F.col("qp"), F.col("ps"), F.col("qs")))
     pairs = pairs.where(_passes_parities(F.shiftright("pp", 32), F.shiftright("qp", 32), F.col("po"), F.col("qo")))
     pairs = pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    pairs = cut(pairs)
+    discard(mixed)
     final = _merged(labels, _verified(pairs, docs, k))
     # rows with one id may be in several classes
     known = rows.join(classes, ["n", "k1", "k2"], "left").join(final.withColumnRenamed("node", "rep"), "rep", "left")
     return known.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id")).alias("component_id"))
 
 
+def _pairs(members: DataFrame, other) -> DataFrame:
+    """Pairs (a, b), a < b, of a member and the other whose columns other() names, where the filters allow."""
+    ok = (F.col("id") != other("id")) & _passes(F.col("pos"), other("pos"), F.col("parts"), other("parts"))
+    return members.where(ok).select(F.least("id", other("id")).alias("a"), F.greatest("id", other("id")).alias("b")).distinct()
+
+
 def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Members with the component so far of each, itself where it has no links."""
     named = members.select("token", "id", "pos", "parts").join(labels.withColumnRenamed("node", "id"), "id", "left")
@@ -205,7 +219,6 @@ def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     """(node, component) by the components so far and further links between them."""
-    links = cut(links)
     ends = links
     for end in ("a", "b"):
         ends = ends.join(labels.select(F.col("node").alias(end), F.col("component").alias(f"{end}_c")), end, "left").withColumn(end, F.coalesce(f"{end}_c", end)).drop(f"{end}_c")
