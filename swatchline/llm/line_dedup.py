@@ -1,13 +1,16 @@
 """Line dedup by a fixed-depth log-template tree, in DataFrame operations only.
 
 A line's tokens are split at blanks; a token with a digit is a variable field. The tree's first level is the token
-count, the next LEADING levels are the leading tokens; a leaf holds the lines that agree in these. In a leaf, a
-position is constant when one token stands there in over half of the leaf's lines; the others are variable fields. A
-leaf with at least CONSTANT of its positions constant is a template, and its lines are those that agree with it in
-all constant positions. A line as it stands, digits aside, is a template too. A template recurs when min_docs
-different texts hold it: all its lines are then dropped, but for those of the smallest doc_id that has it, so that
-no content is lost. Lines of under min_tokens tokens aren't templates. Exact copies of a text count once, so that
-copies don't make each other's lines recur.
+count, the next LEADING levels are the leading tokens; a leaf holds the lines that agree in these. A leaf keeps log
+groups: each distinct line, in the order of smallest doc_id, joins the group with which it shares most tokens, if these
+are at least CONSTANT of its positions, else it begins a group; positions in which a group's lines differ become its
+fields. So a frequent line counts once, and lines of other groups don't matter. A group is a template, and so is a line
+as it stands, digits aside. A template recurs when min_docs different texts hold it: all its lines are then dropped,
+but for those of the smallest doc_id that has it, so that no content is lost. Lines of under min_tokens tokens aren't
+templates. Exact copies of a text count once, so that copies don't make each other's lines recur.
+
+op3_line_dedup gives what ORACLE_SQL says, which is less (as_sql): one template a leaf, in whose constant positions one
+token stands in over half of the leaf's lines, weighted by texts.
 """
 
 from __future__ import annotations
@@ -31,7 +34,42 @@ def _tokens(line: Column) -> Column:
     return F.array_remove(F.split(line, r"[ \t\r]+"), "")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS) -> DataFrame:
+def _majority(found: DataFrame, min_docs: int) -> DataFrame:
+    """(line, first) of the lines that agree with their leaf's majority, as ORACLE_SQL has it."""
+    votes = found.select("leaf", "texts", "total", F.size("tokens").alias("n"), F.posexplode("tokens").alias("i", "token"))
+    votes = votes.groupBy("leaf", "n", "total", "i", "token").agg(F.sum("texts").alias("c")).where(2 * F.col("c") > F.col("total"))
+    shapes = votes.groupBy("leaf", "n").agg(F.count("*").alias("constant"), F.map_from_entries(F.collect_list(F.struct("i", "token"))).alias("shape")).where(F.col("constant") >= CONSTANT * F.col("n"))
+    fits = found.join(shapes.select("leaf", "shape"), "leaf").where(F.forall(F.map_entries("shape"), lambda e: F.get("tokens", e["key"]) == e["value"]))
+    general = fits.groupBy("leaf").agg(F.sum("texts").alias("c"), F.min("first").alias("first")).where(F.col("c") >= min_docs).select("leaf", "first")
+    return fits.select("line", "leaf").join(general, "leaf").select("line", "first")
+
+
+def _joined(groups: Column, x: Column) -> Column:
+    """A leaf's log groups once the line x has joined one or begun its own. Hashes of tokens; null is a field."""
+    own = F.struct(x["tokens"].alias("shape"), F.array(x["line"]).alias("lines"))
+
+    def step(shared: Column) -> Column:
+        at = F.array_position(shared, F.array_max(shared)) - 1
+        shape = lambda g: F.zip_with(g["shape"], x["tokens"], lambda a, b: F.when(a == b, a))
+        grown = F.transform(groups, lambda g, i: F.when(i == at, F.struct(shape(g).alias("shape"), F.concat(g["lines"], F.array(x["line"])).alias("lines"))).otherwise(g))
+        return F.when(F.array_max(shared) >= CONSTANT * F.size(x["tokens"]), grown).otherwise(F.concat(groups, F.array(own)))
+
+    same = F.transform(groups, lambda g: F.size(F.filter(F.zip_with(g["shape"], x["tokens"], lambda a, b: a == b), lambda e: F.coalesce(e, F.lit(False)))))
+    return F.get(F.transform(F.array(same), step), F.lit(0))
+
+
+def _groups(found: DataFrame, lines: DataFrame, min_docs: int) -> DataFrame:
+    """(line, first) of the lines whose log group is in min_docs different texts."""
+    kinds = found.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("first", "line", F.transform("tokens", lambda t: F.xxhash64(t)).alias("tokens")))).alias("kinds"))
+    begun = F.array(F.struct(F.get("kinds", F.lit(0))["tokens"].alias("shape"), F.array(F.get("kinds", F.lit(0))["line"]).alias("lines")))
+    groups = F.aggregate(F.slice("kinds", F.lit(2), F.size("kinds")), begun, _joined)
+    groups = kinds.select(F.explode(F.transform(groups, lambda g: g["lines"])).alias("group")).where(F.size("group") > 1)
+    groups = cut(groups.select(F.xxhash64("group").alias("group"), F.explode("group").alias("line")))
+    held = lines.join(groups, "line").groupBy("group").agg(F.countDistinct("_th").alias("c"), F.min("_id").alias("first")).where(F.col("c") >= min_docs).select("group", "first")
+    return groups.join(held, "group").select("line", "first")
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, as_sql: bool = False) -> DataFrame:
     """docs with `text_col` less its dropped lines, and n_lines and n_dropped; names of the input stay.
 
     A null text stays null with no lines; an empty text has one line, which stays. Rows with a null id lose their
@@ -57,12 +95,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = found.select(F.split("_text", "\n").alias("_lines"), "want").select(F.explode(F.transform("want", lambda x: F.struct(x["line"].alias("line"), x["leaf"].alias("leaf"), x["texts"].alias("texts"), x["first"].alias("first"), x["total"].alias("total"), F.get("_lines", x["pos"]).alias("told")))).alias("x")).select("x.*")
     found = found.groupBy("line", "leaf", "texts", "first", "total").agg(F.min("told").alias("told"))
     found = cut(found.select("line", "leaf", "texts", "first", "total", _tokens(_masked(F.col("told"))).alias("tokens")))
-    votes = found.select("leaf", "texts", "total", F.size("tokens").alias("n"), F.posexplode("tokens").alias("i", "token"))
-    votes = votes.groupBy("leaf", "n", "total", "i", "token").agg(F.sum("texts").alias("c")).where(2 * F.col("c") > F.col("total"))
-    shapes = votes.groupBy("leaf", "n").agg(F.count("*").alias("constant"), F.map_from_entries(F.collect_list(F.struct("i", "token"))).alias("shape")).where(F.col("constant") >= CONSTANT * F.col("n"))
-    fits = found.join(shapes.select("leaf", "shape"), "leaf").where(F.forall(F.map_entries("shape"), lambda e: F.get("tokens", e["key"]) == e["value"]))
-    general = fits.groupBy("leaf").agg(F.sum("texts").alias("c"), F.min("first").alias("first")).where(F.col("c") >= min_docs).select("leaf", "first")
-    general = fits.select("line", "leaf").join(general, "leaf").select("line", "first")
+    general = _majority(found, min_docs) if as_sql else _groups(found, lines, min_docs)
     dropped = exact.unionByName(general).groupBy("line").agg(F.min("first").alias("first"))
 
     out = lines.join(dropped, "line").where(~F.col("_id").eqNullSafe(F.col("first"))).groupBy(F.coalesce("_id", F.lit(-1)).alias("_k"), "_th").agg(F.collect_set("pos").alias("_drop"))
@@ -73,7 +106,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), as_sql=True)
 
 
 ORACLE_SQL = f"""

@@ -183,6 +183,16 @@ def test_line_dedup(spark):
     assert {r.n_dropped for r in copies.collect()} == {0}
 
 
+def test_line_dedup_groups(spark):
+    lines = [f"this page is kept by our editor {name} today" for name in ["Smith"] * 6 + ["Jones", "Brown", "Weber", "Klein"]]
+    lines += [f"this page is about red birds and their {name} nests" for name in ("small", "large", "round", "open")]
+    lines += ["this page is one unrelated line of nine words"] * 30
+    got = [r.n_dropped for r in line_dedup.dedup_lines(docs(spark, *[f"text {'abcdefghijklmnopqrstuvwxyz'[i % 26] * (i // 26 + 1)}\n{t}" for i, t in enumerate(lines)])).orderBy("doc_id").collect()]
+    assert got == [0] + [1] * 9 + [0] + [1] * 3 + [0] + [1] * 29
+    twice = ["one\nhave a look at my red book now\nhave a look at my blue book now", "two\nhave a look at my green book now"]
+    assert {r.n_dropped for r in line_dedup.dedup_lines(docs(spark, *twice)).collect()} == {0}
+
+
 def test_secrets():
     scanner = secret_scan.Scanner()
     head = base64.urlsafe_b64encode(json.dumps({"alg": "HS256"}).encode()).decode().rstrip("=")
