@@ -6,11 +6,12 @@ groups: each distinct line, in the order of smallest doc_id, joins the group wit
 are at least CONSTANT of its positions, else it begins a group; positions in which a group's lines differ become its
 fields. So a frequent line counts once, and lines of other groups don't matter. A group is a template, and so is a line
 as it stands, digits aside. A template recurs when min_docs different texts hold it: all its lines are then dropped,
-but for those of the smallest doc_id that has it, so that no content is lost. Lines of under min_tokens tokens aren't
-templates. Exact copies of a text count once, so that copies don't make each other's lines recur.
+but for those of the smallest doc_id that has it, so that no content is lost. Lines of under min_tokens
+tokens are templates only as they stand, with their digits, since a number alone isn't a variable of anything; blank
+lines stay. Exact copies of a text count once, so that copies don't make each other's lines recur.
 
 op3_line_dedup gives what ORACLE_SQL says, which is less (as_sql): one template a leaf, in whose constant positions one
-token stands in over half of the leaf's lines, weighted by texts.
+token stands in over half of the leaf's lines, weighted by texts; and no lines of under MIN_TOKENS tokens.
 """
 
 from __future__ import annotations
@@ -77,9 +78,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     keyed = docs.withColumn("_id", F.col(id_col).cast("long")).withColumn("_text", F.col(text_col).cast("string")).withColumn("_th", F.xxhash64("_text"))
     line = F.transform(F.split(_masked(F.col("_text")), "\n"), _tokens)
-    lines = keyed.select("_id", "_th", F.posexplode(line).alias("pos", "tokens")).where(F.size("tokens") >= min_tokens)
+    if not as_sql:
+        line = F.zip_with(line, F.split("_text", "\n"), lambda t, told: F.when((F.size(t) < min_tokens) & F.array_contains(t, FIELD), _tokens(told)).otherwise(t))
+    lines = keyed.select("_id", "_th", F.posexplode(line).alias("pos", "tokens")).where(F.size("tokens") >= (min_tokens if as_sql else 1))
     leaf = F.xxhash64(F.size("tokens"), F.slice("tokens", 1, LEADING))
-    lines = cut(lines.select("_id", "_th", "pos", F.xxhash64("tokens").alias("line"), leaf.alias("leaf")))
+    lines = cut(lines.select("_id", "_th", "pos", F.xxhash64("tokens").alias("line"), F.when(F.size("tokens") >= min_tokens, leaf).alias("leaf")))
 
     place = F.struct("_id", "_th", "pos")
     by_text = lines.groupBy("line", "leaf", "_th").agg(F.min("_id").alias("_id"), F.min(place).alias("place"))

@@ -193,6 +193,13 @@ def test_line_dedup_groups(spark):
     assert {r.n_dropped for r in line_dedup.dedup_lines(docs(spark, *twice)).collect()} == {0}
 
 
+def test_line_dedup_short_lines(spark):
+    passage = "这一段文字出现在许多文件里面而且没有空格"
+    texts = [f"text {c}\nAll rights  reserved.\n\n{passage}\npage {i}\n{i}\n7" for i, c in enumerate("abc")]
+    got = [r.text for r in line_dedup.dedup_lines(docs(spark, *texts)).orderBy("doc_id").collect()]
+    assert got == [texts[0], "text b\n\npage 1\n1", "text c\n\npage 2\n2"]
+
+
 def test_secrets():
     scanner = secret_scan.Scanner()
     head = base64.urlsafe_b64encode(json.dumps({"alg": "HS256"}).encode()).decode().rstrip("=")
