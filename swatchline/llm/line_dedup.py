@@ -8,10 +8,11 @@ fields. So a frequent line counts once, and lines of other groups don't matter.
 as it stands, digits aside. A template recurs when min_docs different texts hold it: all its lines are then dropped,
 but for those of the smallest doc_id that has it, so that no content is lost. Lines of under min_tokens
 tokens are templates only as they stand, with their digits, since a number alone isn't a variable of anything; blank
-lines stay. Exact copies of a text count once, so that copies don't make each other's lines recur.
+lines stay. A line that is too long to recur by chance (min_tokens tokens, or LONG characters where there are fewer)
+recurs with its digits when only min_copies different texts hold it. Exact copies of a text count once, so that copies don't make each other's lines recur.
 
 op3_line_dedup gives what ORACLE_SQL says, which is less (as_sql): one template a leaf, in whose constant positions one
-token stands in over half of the leaf's lines, weighted by texts; and no lines of under MIN_TOKENS tokens.
+token stands in over half of the leaf's lines, weighted by texts; and no lines of under MIN_TOKENS tokens or in under MIN_DOCS texts.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from swatchline.llm.common import cut, table
 
 LEADING, CONSTANT = 3, 0.7
 MIN_TOKENS, MIN_DOCS = 4, 3
+LONG, MIN_COPIES = 20, 2
 FIELD = "<*>"
 
 
@@ -70,24 +72,28 @@ def _groups(found: DataFrame, lines: DataFrame, min_docs: int) -> DataFrame:
     return groups.join(held, "group").select("line", "first")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, as_sql: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, min_copies: int = MIN_COPIES, as_sql: bool = False) -> DataFrame:
     """docs with `text_col` less its dropped lines, and n_lines and n_dropped; names of the input stay.
 
     A null text stays null with no lines; an empty text has one line, which stays. Rows with a null id lose their
     recurring lines like others, and keep one only if no row with an id has it. Rows of one id and text are alike.
     """
     keyed = docs.withColumn("_id", F.col(id_col).cast("long")).withColumn("_text", F.col(text_col).cast("string")).withColumn("_th", F.xxhash64("_text"))
-    line = F.transform(F.split(_masked(F.col("_text")), "\n"), _tokens)
+    told = F.lit(None).cast("array<string>")  # tokens with their digits, of templates with fields
+    line = F.transform(F.split(_masked(F.col("_text")), "\n"), lambda x: F.struct(_tokens(x).alias("tokens"), told.alias("told")))
     if not as_sql:
-        line = F.zip_with(line, F.split("_text", "\n"), lambda t, told: F.when((F.size(t) < min_tokens) & F.array_contains(t, FIELD), _tokens(told)).otherwise(t))
-    lines = keyed.select("_id", "_th", F.posexplode(line).alias("pos", "tokens")).where(F.size("tokens") >= (min_tokens if as_sql else 1))
-    leaf = F.xxhash64(F.size("tokens"), F.slice("tokens", 1, LEADING))
-    lines = cut(lines.select("_id", "_th", "pos", F.xxhash64("tokens").alias("line"), F.when(F.size("tokens") >= min_tokens, leaf).alias("leaf")))
+        short = lambda x: F.size(x["tokens"]) < min_tokens
+        with_digits = lambda x, own: F.struct(F.when(short(x), own).otherwise(x["tokens"]).alias("tokens"), F.when(~short(x), own).alias("told"))
+        line = F.zip_with(line, F.split("_text", "\n"), lambda x, own: F.when(F.array_contains(x["tokens"], FIELD), with_digits(x, _tokens(own))).otherwise(x))
+    lines = keyed.select("_id", "_th", F.posexplode(line).alias("pos", "_x")).select("_id", "_th", "pos", "_x.*").where(F.size("tokens") >= (min_tokens if as_sql else 1))
+    leaf = F.when(F.size("tokens") >= min_tokens, F.xxhash64(F.size("tokens"), F.slice("tokens", 1, LEADING)))
+    long = F.lit(False) if as_sql else F.col("told").isNull() & ((F.size("tokens") >= min_tokens) | (F.length(F.array_join("tokens", "")) >= LONG))
+    lines = cut(lines.select("_id", "_th", "pos", F.xxhash64("tokens").alias("line"), leaf.alias("leaf"), long.alias("long"), F.when(F.col("told").isNotNull(), F.xxhash64("told")).alias("told")))
 
     place = F.struct("_id", "_th", "pos")
-    by_text = lines.groupBy("line", "leaf", "_th").agg(F.min("_id").alias("_id"), F.min(place).alias("place"))
-    kinds = cut(by_text.groupBy("line", "leaf").agg(F.count("*").alias("texts"), F.min("_id").alias("first"), F.min("place").alias("place")))
-    exact = kinds.where(F.col("texts") >= min_docs).select("line", "first")
+    by_text = lines.groupBy("line", "leaf", "long", "_th").agg(F.min("_id").alias("_id"), F.min(place).alias("place"))
+    kinds = cut(by_text.groupBy("line", "leaf", "long").agg(F.count("*").alias("texts"), F.min("_id").alias("first"), F.min("place").alias("place")))
+    exact = kinds.where(F.col("texts") >= F.when(F.col("long"), F.least(F.lit(min_copies), F.lit(min_docs))).otherwise(min_docs)).select("line", "first")
 
     # leaves with several kinds of line: their tokens are read again, one line of each kind
     wide = kinds.groupBy("leaf").agg(F.sum("texts").alias("total"), F.count("*").alias("n")).where((F.col("n") > 1) & (F.col("total") >= min_docs)).select("leaf", "total")
@@ -101,7 +107,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     general = _majority(found, min_docs) if as_sql else _groups(found, lines, min_docs)
     dropped = exact.unionByName(general).groupBy("line").agg(F.min("first").alias("first"))
 
-    out = lines.join(dropped, "line").where(~F.col("_id").eqNullSafe(F.col("first"))).groupBy(F.coalesce("_id", F.lit(-1)).alias("_k"), "_th").agg(F.collect_set("pos").alias("_drop"))
+    out = lines.join(dropped, "line").select("_id", "_th", "pos", "first")
+    if not as_sql:
+        told = lines.where(F.col("told").isNotNull()).select("_id", "_th", "pos", "told")
+        copies = told.groupBy("told").agg(F.countDistinct("_th").alias("c"), F.min("_id").alias("first")).where(F.col("c") >= min_copies).select("told", "first")
+        out = out.unionByName(told.join(copies, "told").select("_id", "_th", "pos", "first"))
+    out = out.where(~F.col("_id").eqNullSafe(F.col("first"))).groupBy(F.coalesce("_id", F.lit(-1)).alias("_k"), "_th").agg(F.collect_set("pos").alias("_drop"))
     kept = keyed.withColumn("_k", F.coalesce("_id", F.lit(-1))).join(out, ["_k", "_th"], "left").withColumn("_lines", F.split("_text", "\n"))
     text = F.when(F.col("_drop").isNull(), F.col("_text")).otherwise(F.array_join(F.filter("_lines", lambda x, i: ~F.array_contains("_drop", i)), "\n"))
     names = [F.col(c) if c != text_col else text.alias(text_col) for c in docs.columns if c not in ("n_lines", "n_dropped")]

@@ -200,6 +200,13 @@ def test_line_dedup_short_lines(spark):
     assert got == [texts[0], "text b\n\npage 1\n1", "text c\n\npage 2\n2"]
 
 
+def test_line_dedup_two_texts(spark):
+    passage = "这一段文字出现在两个文件里面而且没有空格也很长"
+    texts = [f"first {c}\na passage of 12 words\nrow {i} of 8\n1 {i} 3 4\nbeside this one\n{passage}\na passage of words" for i, c in enumerate("ab", 5)]
+    got = [r.text for r in line_dedup.dedup_lines(docs(spark, *texts)).orderBy("doc_id").collect()]
+    assert got == [texts[0], "first b\nrow 6 of 8\n1 6 3 4\nbeside this one"]
+
+
 def test_secrets():
     scanner = secret_scan.Scanner()
     head = base64.urlsafe_b64encode(json.dumps({"alg": "HS256"}).encode()).decode().rstrip("=")
