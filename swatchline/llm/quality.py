@@ -143,11 +143,14 @@ def compiled(intercept: float, rules: list[tuple[Rule, float]]) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> tuple[float, list[tuple[Rule, float]]]:
-    """Rules from at most FIT_ROWS labelled rows. Null labels teach nothing; of several the mean counts."""
+    """Rules from at most FIT_ROWS labelled rows. Null labels teach nothing; of several the mean counts.
+
+    Of rows that share an id one counts, that with the least statistics, so that copies of one don't crowd out others.
+    """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_doc")).agg((F.avg(F.col(label_col).cast("double")) >= 0.5).cast("int").alias("_y"))
     known = known.orderBy(F.xxhash64("_doc"), "_doc").limit(FIT_ROWS)
-    rows = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_t")).join(F.broadcast(known), "_doc")  # at most FIT_ROWS pairs
-    got = with_statistics(rows, "_t").select("_doc", "_y", "_stats.*").orderBy("_doc", *STATISTICS).limit(2 * FIT_ROWS).toPandas()
+    rows = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_t")).join(F.broadcast(known), "_doc")
+    got = with_statistics(rows, "_t").groupBy("_doc").agg(F.first("_y").alias("_y"), F.min("_stats").alias("_stats")).select("_doc", "_y", "_stats.*").orderBy("_doc").toPandas()  # at most FIT_ROWS rows
     return fit_rules(got[STATISTICS].to_numpy(float), got["_y"].to_numpy(float))
 
 

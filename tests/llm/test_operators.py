@@ -232,6 +232,16 @@ def test_learned(spark):
     assert language.predict(docs(spark, "12 34", None), lang).select("lang_pred").distinct().collect()[0][0] == "und"
 
 
+def test_fit_takes_every_labelled_id(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "FIT_ROWS", 8)
+    monkeypatch.setattr(quality, "fit_rules", lambda x, y: seen.append((x.shape[0], y.tolist())) or (0.0, []))
+    rows = docs(spark, *["word " * (i + 2) for i in range(8)])
+    rows = rows.unionByName(rows.where("doc_id = 0").withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(40)))).drop("n"))
+    quality.fit(rows, spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id long, quality int"))
+    assert seen == [(8, [0.0, 1.0] * 4)]
+
+
 def test_pipeline(spark):
     rows = corpus_pipeline.table(spark, D, "documents")
     for name, stage in corpus_pipeline.STAGES[:-1]:
