@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,9 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a local one only where that is unset (tests)."""
+    """The folder that the cluster names in spark.checkpoint.dir. Only local mode, as in tests, gets one of its own."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='swatchline-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -24,21 +27,25 @@ def shared_dir(spark: SparkSession) -> str:
 
 #: With this, Spark removes a query's shuffle files when the query ends.
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, batch: int | None = None) -> DataFrame:
     """Writes a frame to the shared folder and reads it back: later steps don't depend on its executors.
 
-    Its shuffle files go when it is written, since nothing reads them any more.
+    Its shuffle files go when it is written, since nothing reads them any more. batch: rows of an Arrow batch in it.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/swatchline-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEAN_UP)
+    before = {k: spark.conf.get(k) for k in (CLEAN_UP, BATCH)}
     spark.conf.set(CLEAN_UP, "true")
+    if batch:
+        spark.conf.set(BATCH, str(batch))
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(CLEAN_UP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -53,8 +60,12 @@ def discard(*frames: DataFrame) -> None:
 
 
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Arrow batches of whole documents stay small, whatever the number of rows of a partition."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Arrow batches of whole documents stay small, whatever the number of rows of a partition.
+
+    A smaller setting of the session stays; it is never raised.
+    """
+    if not 0 < int(spark.conf.get(BATCH)) <= rows:
+        spark.conf.set(BATCH, str(rows))
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -1,22 +1,27 @@
 """N-gram Jaccard join: rare-first prefix filtering with length, positional and suffix filters.
 
-Two documents link when 100 * |A & B| >= 75 * |A | B| for their sets A and B of distinct word shingles.
-
-1. One pass over the texts gives each document its set's size and 128-bit digest, and a count of all shingles
-   in a sketch of SLOTS counters (4 MB, whatever the input). Equal sets form a class; its smallest id stands for it.
-2. Shingles are ordered rarest first by their counter. Linked sets share a shingle of their prefixes, the first
-   n - ceil(0.75 n) + 1. Prefix shingles are grouped by value; those that one class alone has are dropped.
-3. In each group, members link to the group's first, where the filters allow and verification confirms. Components of
-   these links label the classes. A group of near copies thus costs work in proportion to its members.
-4. Members that still have other labels try their predecessor by size, and the one of their group with the most links.
-5. Groups with several labels then pair their members with different labels, and every such pair that the filters
-   leave is verified, once. A pair with one label can't change a component. So no link between components is lost.
-   Here the suffix filter goes deeper: PARITIES parts, of which the parity of the size is kept.
+Two documents link when 100 * |A & B| >= 75 * |A | B| for their sets A and B of distinct word shingles. The result is
+the components of the links. Links within a component are not listed or counted: a group of m near copies has up to
+m * m / 2 of them, and the work here stays in proportion to m but for the comparison of signatures in step 5.
+
+1. A pass over the texts gives each its set's size, a 128-bit digest and a signature, and counts all shingles in a
+   sketch. The sketch has a counter for each SLOT_LOAD shingles, as the bytes of the text foretell their number, and
+   MOST_SLOTS (64 MB) at most. Equal sets form a class; its smallest id stands for it.
+2. Shingles are ordered rarest first by their counters, the same order for all sets. Linked sets share a shingle of
+   their prefixes, the first n - ceil(0.75 n) + 1. A second pass deals out the prefixes by shingle; shingles that one
+   class alone has go. A task tells a set once, so copies don't make a shingle's group large.
+3. In each group the member that has the fewest rarer shingles is the head: the one that its near copies changed least
+   from. Each member tries the head that most of its groups have, and verified pairs give components.
+4. Verification moves texts: a head's, and those of the members that try it, meet in one place, and every text is made
+   a set once. Heads with many members are split, and the head's text goes to every part.
+5. Groups that still hold several components compare the signatures of the members outside of their head's
+   component with those of all members, in numpy, by blocks of members. Each such member first tries the nearest
+   other; then all pairs of different components that the filters leave are verified. A pair within one component can't
+   change it, so no link between components is lost.
 
 Length filter: 4 * n_small >= 3 * n_large. Positional filter: a shingle shared at positions i and j bounds the
-overlap by min(i, j) + 1 + min(n_a - i, n_b - j) - 1. Suffix filter: the sets are divided at fixed values into
-eight parts, and the difference of the parts' sizes bounds the Hamming distance (sets with a part over 255 pass).
-The number of parts whose sizes differ in parity bounds it too: each such part holds a shingle of one set alone.
+overlap by min(i, j) + min(n_a - i, n_b - j). Suffix filter: sets are divided at fixed values into PARITIES parts;
+each part whose sizes differ in parity holds a shingle of one set alone, which bounds the distance of the whole sets.
 """
 
 from __future__ import annotations
@@ -31,114 +36,217 @@ from pyspark.sql import functions as F
 from swatchline.llm.common import components, cut, discard, small_batches, table
 from swatchline.llm.shingles import blocks, mix, shingle_sets
 
-SLOTS, CHUNK = 1 << 20, 1 << 12
-#: A counter of at least so many may stand for a hot shingle; its group is gathered after map-side aggregation.
+SLOT_LOAD, LEAST_SLOTS, MOST_SLOTS, CHUNK = 16, 1 << 16, 1 << 24, 1 << 12
+#: A counter of at least so many may stand for a hot shingle; its group is formed by aggregates that combine first.
 HOT = 20_000
 PARITIES = 512
+#: Members of a group that are compared in one place, and members that meet one copy of their head's text.
+BLOCK, STAR = 2048, 2000
+#: Digests that a task remembers in order to tell a set once.
+REMEMBERED = 200_000
 
 
-def _summaries(k: int):
+def _slot(value: np.ndarray, slots: int) -> np.ndarray:
+    return (value >> np.uint64(65 - slots.bit_length())).astype(np.int64)
+
+
+def _digests(value: np.ndarray, n: np.ndarray, seed: int) -> np.ndarray:
+    """A digest of each of the sets whose sizes are n and whose elements follow each other in value."""
+    total = np.concatenate(([np.uint64(0)], np.cumsum(mix(value, seed), dtype=np.uint64)))
+    ends = np.cumsum(n)
+    return (total[ends] - total[ends - n]).view(np.int64)
+
+
+def _summaries(k: int, slots: int):
     def run(batches):
-        counts = np.zeros(SLOTS, np.uint32)
+        counts = np.zeros(slots, np.uint32)
         for pdf in batches:
             ids, texts = pdf["id"].to_numpy(), pdf["text"].tolist()
             for a, b in blocks(texts):
                 number, value = shingle_sets(texts[a:b], k)
-                counts += np.bincount((value >> np.uint64(44)).astype(np.int64), minlength=SLOTS).astype(np.uint32)
+                seen, times = np.unique(_slot(value, slots), return_counts=True)
+                counts[seen] += times.astype(np.uint32)
                 n = np.bincount(number, minlength=b - a)
-                sums = []
-                for seed in (3, 4):
-                    total = np.concatenate(([np.uint64(0)], np.cumsum(mix(value, seed), dtype=np.uint64)))
-                    ends = np.cumsum(n)
-                    sums.append((total[ends] - total[ends - n]).view(np.int64))
-                yield pd.DataFrame({"id": ids[a:b], "n": n, "k1": sums[0], "k2": sums[1], "chunk": -1, "counts": None})
-        parts = [(c, counts[c * CHUNK : (c + 1) * CHUNK]) for c in range(SLOTS // CHUNK)]
+                part = number * PARITIES + (value & np.uint64(PARITIES - 1)).astype(np.int64)
+                odd = np.bincount(part, minlength=PARITIES * (b - a)).reshape(b - a, PARITIES) & 1
+                words = np.packbits(odd.astype(np.uint8), axis=1).view(np.int64)
+                yield pd.DataFrame({"id": ids[a:b], "n": n, "k1": _digests(value, n, 3), "k2": _digests(value, n, 4), "odd": list(words), "chunk": -1, "counts": None})
+        parts = [(c, counts[c * CHUNK : (c + 1) * CHUNK]) for c in range(slots // CHUNK)]
         parts = [(c, zlib.compress(x.tobytes(), 1)) for c, x in parts if x.any()]
-        yield pd.DataFrame({"id": None, "n": 0, "k1": 0, "k2": 0, "chunk": [c for c, _ in parts], "counts": [x for _, x in parts]})
+        yield pd.DataFrame({"id": None, "n": 0, "k1": 0, "k2": 0, "odd": None, "chunk": [c for c, _ in parts], "counts": [x for _, x in parts]})
 
     return run
 
 
-def _add_chunks(key, pdf: pd.DataFrame) -> pd.DataFrame:
-    total = np.zeros(CHUNK, np.uint64)
-    for x in pdf["counts"]:
-        total += np.frombuffer(zlib.decompress(x), np.uint32)
-    return pd.DataFrame({"chunk": [key[0]], "counts": [zlib.compress(np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes(), 1)]})
+def _add_chunks(batches):
+    """Sums of the chunks that a task gets; it holds its share of the sketch, however many rows add to it."""
+    total: dict[int, np.ndarray] = {}
+    for pdf in batches:
+        for c, x in zip(pdf["chunk"].tolist(), pdf["counts"], strict=True):
+            total[c] = total.get(c, 0) + np.frombuffer(zlib.decompress(x), np.uint32).astype(np.uint64)
+    yield pd.DataFrame([(c, zlib.compress(np.minimum(x, 2**32 - 1).astype(np.uint32).tobytes(), 1)) for c, x in total.items()], columns=["chunk", "counts"])
 
 
-def _prefixes(k: int, sketch):
+def _prefixes(k: int, slots: int, sketch, hot: int):
     def run(batches):
         count = np.frombuffer(sketch.value, np.uint32)
+        told: set[tuple[int, int]] = set()
         for pdf in batches:
-            ids, texts = pdf["id"].to_numpy(), pdf["text"].tolist()
+            texts = pdf["text"].tolist()
             for a, b in blocks(texts):
                 number, value = shingle_sets(texts[a:b], k)
-                weight = count[(value >> np.uint64(44)).astype(np.int64)]
                 n = np.bincount(number, minlength=b - a)
-                parts = np.bincount(number * 8 + (value & np.uint64(7)).astype(np.int64), minlength=8 * (b - a)).reshape(-1, 8)
-                packed = (np.minimum(parts, 255).astype(np.uint64) << np.arange(0, 64, 8, dtype=np.uint64)).sum(axis=1, dtype=np.uint64).view(np.int64)
+                digest = _digests(value, n, 3)
+                new = np.zeros(b - a, bool)
+                for d, key in enumerate(zip(n.tolist(), digest.tolist(), strict=True)):
+                    if key not in told:
+                        if len(told) >= REMEMBERED:
+                            told.clear()
+                        told.add(key)
+                        new[d] = True
+                weight = count[_slot(value, slots)]
                 order = np.lexsort((value, weight, number))
-                value, weight = value[order], weight[order]
-                ends = np.cumsum(n)
-                length = n - (3 * n + 3) // 4 + 1
-                rows = [(ids[a + d], int(n[d]), str(packed[d]) if parts[d].max() < 256 else None, value[(e := ends[d]) - n[d] : e - n[d] + length[d]].view(np.int64), int(np.searchsorted(weight[e - n[d] : e - n[d] + length[d]], HOT))) for d in np.flatnonzero(n)]
-                yield pd.DataFrame(rows, columns=["id", "n", "parts", "tokens", "hot_from"])
+                place = np.arange(len(value)) - np.repeat(np.cumsum(n) - n, n)
+                keep = (place < (n - (3 * n + 3) // 4 + 1)[number]) & new[number]
+                order, doc = order[keep], number[keep]
+                yield pd.DataFrame({"token": value[order].view(np.int64), "n": n[doc], "k1": digest[doc], "i": place[keep], "hot": weight[order] >= hot})
 
     return run
 
 
-def _set_rows(k: int):
+def _verify(k: int):
+    """Links (id, head) among rows (head, part, id, text) that come by head and part, the head's own text first."""
+
     def run(batches):
+        now, heads = None, []
         for pdf in batches:
-            ids, texts = pdf["id"].to_numpy(), pdf["text"].tolist()
+            texts, out = pdf["text"].tolist(), []
+            keys, ids = list(zip(pdf["head"].tolist(), pdf["part"].tolist(), strict=True)), pdf["id"].tolist()
             for a, b in blocks(texts):
                 number, value = shingle_sets(texts[a:b], k)
-                ends = np.cumsum(np.bincount(number, minlength=b - a))
-                yield pd.DataFrame({"id": ids[a:b], "shingles": [x.view(np.int64) for x in np.split(value, ends[:-1])]})
+                sets = np.split(value, np.cumsum(np.bincount(number, minlength=b - a))[:-1])
+                for at, mine in enumerate(sets, a):
+                    if keys[at] != now:
+                        now, heads = keys[at], []
+                    if ids[at] == now[0]:
+                        heads.append(mine)
+                        continue
+                    for own in heads:
+                        place = np.searchsorted(own, mine)
+                        both = int((own[np.minimum(place, len(own) - 1)] == mine).sum()) if len(own) else 0
+                        if 7 * both >= 3 * (len(own) + len(mine)) > 0:
+                            out.append((ids[at], now[0]))
+                            break
+            yield pd.DataFrame(out, columns=["id", "head"], dtype="int64")
 
     return run
 
 
-def _parity_rows(k: int):
+def _verified(pairs: DataFrame, docs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """Those of a written frame of distinct pairs (id, head) of classes that link; texts has each class's document."""
+    parts = pairs.groupBy("head").agg(F.ceil(F.count("*") / STAR).cast("int").alias("parts"))
+    want = pairs.join(parts, "head").select("id", "head", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
+    want = want.unionByName(parts.select(F.col("head").alias("id"), "head", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")))
+    # written before they meet texts: then Spark knows their size, and few of them don't make all texts move
+    want = cut(want.join(texts, "id"))
+    rows = docs.join(want, "doc").repartition("head", "part").sortWithinPartitions("head", "part", F.col("id") != F.col("head"))
+    links = cut(rows.select("head", "part", "id", "text").mapInPandas(_verify(k), "id long, head long").distinct())
+    discard(pairs, want)
+    return links
+
+
+def _near(n_a, n_b, i, j):
+    """The length and the positional filter; the overlap o is enough when 7 o >= 3 (n_a + n_b)."""
+    return (4 * F.least(n_a, n_b) >= 3 * F.greatest(n_a, n_b)) & (7 * (F.least(i, j) + F.least(n_a - i, n_b - j)) >= 3 * (n_a + n_b))
+
+
+def _apart(a, b):
+    return sum((F.bit_count(F.get(a, F.lit(x)).bitwiseXOR(F.get(b, F.lit(x)))) for x in range(PARITIES // 64)), F.lit(0))
+
+
+def _compare(nearest: bool):
+    """Pairs (id, head) of different labels that the filters leave, in groups of rows that come by token and block.
+
+    Rows with out stand for members outside of the main label, which meet all rows without it. nearest: only the
+    closest partner of each, by the share of parts that differ.
+    """
+    names = ["token", "block", "id", "n", "i", "label", "out"]
+
+    def pairs(cols, odd):
+        key = cols["token"] * 31 + cols["block"]
+        starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        run = np.cumsum(np.concatenate(([True], key[1:] != key[:-1]))) - 1
+        base = np.bincount(run[~cols["out"]], minlength=len(starts))  # rows without out come first in a run
+        left = np.flatnonzero(cols["out"])
+        many = base[run[left]]
+        ends = np.cumsum(many)
+        at = 0
+        while at < len(left):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 1_000_000, "right")))
+            m = many[at:to]
+            a = np.repeat(left[at:to], m)
+            b = np.arange(len(a)) - np.repeat(np.cumsum(m) - m, m) + np.repeat(starts[run[left[at:to]]], m)
+            at = to
+            n_a, n_b, i, j = cols["n"][a], cols["n"][b], cols["i"][a], cols["i"][b]
+            ok = (cols["label"][a] != cols["label"][b]) & (4 * np.minimum(n_a, n_b) >= 3 * np.maximum(n_a, n_b))
+            ok &= 7 * (np.minimum(i, j) + np.minimum(n_a - i, n_b - j)) >= 3 * (n_a + n_b)
+            a, b, both = a[ok], b[ok], (n_a + n_b)[ok]
+            apart = np.bitwise_count(odd[a] ^ odd[b]).sum(axis=1, dtype=np.int64)
+            ok = 7 * apart <= both
+            a, b, share = a[ok], b[ok], apart[ok] / both[ok]
+            if nearest and len(a):
+                order = np.lexsort((cols["id"][b], share, a))
+                first = np.concatenate(([True], a[order][1:] != a[order][:-1]))
+                a, b, share = a[order][first], b[order][first], share[order][first]
+            yield pd.DataFrame({"id": cols["id"][a], "head": cols["id"][b], "share": share})
+
     def run(batches):
+        held, size = [], 0
         for pdf in batches:
-            ids, texts = pdf["id"].to_numpy(), pdf["text"].tolist()
-            for a, b in blocks(texts):
-                number, value = shingle_sets(texts[a:b], k)
-                part = (value & np.uint64(PARITIES - 1)).astype(np.int64)
-                odd = np.bincount(number * PARITIES + part, minlength=PARITIES * (b - a)).reshape(b - a, PARITIES) & 1
-                words = np.packbits(odd.astype(np.uint8), axis=1).view(np.int64)
-                yield pd.DataFrame({"id": ids[a:b], "odd": list(words)})
+            held.append(pdf)
+            size += len(pdf)
+            if size < 20_000:
+                continue
+            rows = pd.concat(held, ignore_index=True)
+            last = (rows["token"].to_numpy() != rows["token"].iloc[-1]) | (rows["block"].to_numpy() != rows["block"].iloc[-1])
+            end = int(np.flatnonzero(last)[-1]) + 1 if last.any() else 0
+            if end:
+                yield from _told(rows.iloc[:end])
+            held, size = [rows.iloc[end:]], len(rows) - end
+        if size:
+            yield from _told(pd.concat(held, ignore_index=True))
+
+    def _told(rows):
+        yield from pairs({c: rows[c].to_numpy() for c in names}, np.stack(rows["odd"].to_numpy()).view(np.uint64))
 
     return run
 
 
-def _passes(pos_a, pos_b, parts_a, parts_b):
-    """The three filters; pos holds n in its upper and the position in its lower 32 bits."""
-    na, nb, i, j = F.shiftright(pos_a, 32), F.shiftright(pos_b, 32), pos_a.bitwiseAND(0xFFFFFFFF), pos_b.bitwiseAND(0xFFFFFFFF)
-    # the overlap o is enough when 100 o >= 75 (na + nb - o), that is 7 o >= 3 (na + nb)
-    bound = F.least(i, j) + F.least(na - i, nb - j)
-    apart = sum((F.abs(F.shiftrightunsigned(parts_a, 8 * x).bitwiseAND(255) - F.shiftrightunsigned(parts_b, 8 * x).bitwiseAND(255)) for x in range(8)), F.lit(0))
-    return (4 * F.least(na, nb) >= 3 * F.greatest(na, nb)) & (7 * bound >= 3 * (na + nb)) & F.coalesce(7 * (na + nb - apart) >= 6 * (na + nb), F.lit(True))
-
-
-def _passes_parities(n_a, n_b, odd_a, odd_b):
-    apart = sum((F.bit_count(F.get(odd_a, F.lit(x)).bitwiseXOR(F.get(odd_b, F.lit(x)))) for x in range(PARITIES // 64)), F.lit(0))
-    return 7 * (n_a + n_b - apart) >= 6 * (n_a + n_b)
+def _labelled(ids: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, n, odd, label): the label is the component by the links so far, or the id itself."""
+    labels = components(links.select(F.col("id").alias("src"), F.col("head").alias("dst")))
+    return cut(ids.join(labels.withColumnRenamed("node", "id"), "id", "left").select("id", "n", "odd", F.coalesce("component", "id").alias("label")))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """The pairs (a, b) that link, of a written frame of pairs. Only documents in pairs are read into sets."""
-    ids = cut(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
-    sets = cut(docs.join(ids, "id").mapInPandas(_set_rows(k), "id long, shingles array<long>"))
-    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
-    both = left.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-    out = cut(both.where(7 * F.size(F.array_intersect("x", "y")) >= 3 * (F.size("x") + F.size("y"))).select("a", "b").distinct())
-    discard(ids, sets)
-    return out
+def _rest(members: DataFrame, state: DataFrame, nearest: bool) -> DataFrame:
+    """Distinct pairs (id, head) of different labels that share a group and pass the filters."""
+    named = members.join(state.select("id", "label"), "id")
+    groups = named.groupBy("token").agg(F.min_by("label", F.struct("i", "id")).alias("main"), F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("c"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("who"))
+    # of groups with the same members one is enough: any shared shingle may bound their overlap
+    groups = groups.where("low <> high").groupBy("c", "who").agg(F.min_by(F.struct("token", "main", "c"), "token").alias("g")).select("g.*")
+    rows = cut(members.join(groups, "token").join(state.select("id", "odd", "label"), "id").select("token", "id", "n", "i", "label", "odd", (F.col("label") != F.col("main")).alias("out"), F.ceil(F.col("c") / BLOCK).cast("int").alias("s")))
+    one = rows.select("token", F.pmod(F.xxhash64("id"), F.col("s")).cast("int").alias("block"), "id", "n", "i", "label", "odd", F.lit(False).alias("out"))
+    other = rows.where("out").select("token", F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("block"), "id", "n", "i", "label", "odd", "out")
+    cells = one.unionByName(other).repartition("token", "block").sortWithinPartitions("token", "block", "out")
+    found = cells.mapInPandas(_compare(nearest), "id long, head long, share double")
+    if nearest:
+        found = found.groupBy("id").agg(F.min_by("head", F.struct("share", "head")).alias("head"))
+    pairs = cut(found.select("id", "head").distinct(), batch=10_000)
+    discard(rows)
+    return pairs
 
 
-def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5) -> DataFrame:
+def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, hot: int = HOT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs.
 
     Null or blank texts have no shingles and link with nothing. A row with a null id gets a null component. Rows
@@ -146,104 +254,61 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    out = cut(docs.withColumn("id", F.col("id").cast("string")).mapInPandas(_summaries(k), "id string, n long, k1 long, k2 long, chunk int, counts binary"))
-    rows = out.where("chunk < 0").select(F.col("id").cast("long").alias("id"), "n", "k1", "k2")
-    chunks = out.where("chunk >= 0").select("chunk", "counts").groupBy("chunk").applyInPandas(_add_chunks, "chunk int, counts binary")
-    counts = np.zeros(SLOTS, np.uint32)
-    for c, x in chunks.collect():  # SLOTS counters, whatever the input
+    docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    slots = min(MOST_SLOTS, max(LEAST_SLOTS, 1 << (size // 6 // SLOT_LOAD).bit_length()))
+    out = cut(docs.select(F.col("doc").cast("string").alias("id"), "text").mapInPandas(_summaries(k, slots), "id string, n long, k1 long, k2 long, odd array<long>, chunk int, counts binary"))
+    rows = out.where("chunk < 0").select(F.col("id").cast("long").alias("doc"), "n", "k1", "k2", "odd")
+    chunks = out.where("chunk >= 0").select("chunk", "counts").repartition("chunk").mapInPandas(_add_chunks, "chunk int, counts binary")
+    counts = np.zeros(slots, np.uint32)
+    for c, x in chunks.toLocalIterator():  # MOST_SLOTS counters at most
         counts[c * CHUNK : (c + 1) * CHUNK] = np.frombuffer(zlib.decompress(x), np.uint32)
     sketch = spark.sparkContext.broadcast(counts.tobytes())
-    classes = rows.where("n > 0 and id is not null").groupBy("n", "k1", "k2").agg(F.min("id").alias("rep"))
-    # ids are written before they meet texts: then their size is known, and few of them don't make all texts move
-    reps = cut(classes.select(F.col("rep").alias("id")).distinct())
-    texts = docs.join(reps, "id")
-    spread = cut(texts.mapInPandas(_prefixes(k, sketch), "id long, n long, parts string, tokens array<long>, hot_from int"))
-    prefix = spread.select("id", "n", F.col("parts").cast("long").alias("parts"), "hot_from", F.posexplode("tokens").alias("i", "token"))
-    prefix = prefix.select("token", "id", F.shiftleft(F.col("n"), 32).bitwiseOR(F.col("i").cast("long")).alias("pos"), "parts", (F.col("i") >= F.col("hot_from")).alias("hot"))
-    members = cut(_grouped(prefix))
-
-    discard(spread)
-
-    chosen = lambda c: F.when(F.col("lead_id").isNotNull(), F.col(f"lead_{c}")).otherwise(F.col(f"lag_{c}"))
-    tried = cut(_pairs(members, chosen))
-    links = _verified(tried, docs, k)
-    labels = cut(components(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))))
-    apart = _pairs(members, lambda c: F.col(f"lag_{c}"))
-    for end in ("a", "b"):
-        apart = apart.join(labels.select(F.col("node").alias(end), F.col("component").alias(f"{end}_c")), end, "left").withColumn(f"{end}_c", F.coalesce(f"{end}_c", end))
-    apart = apart.where("a_c <> b_c").select("a", "b")
-
-    # where a group has several labels, its members try the one of them with the most links
-    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
-    ranked = _labelled(members, labels).join(degree, "id", "left")
-    hub = ranked.groupBy("token").agg(F.max_by(F.struct("id", "pos", "parts", "label"), F.struct(F.coalesce("links", F.lit(0)), "id")).alias("hub"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token", "hub")
-    pairs = ranked.join(hub, "token").where(F.col("label") != F.col("hub.label")).where(_passes(F.col("pos"), F.col("hub.pos"), F.col("parts"), F.col("hub.parts")))
-    pairs = pairs.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).unionByName(apart).distinct()
-    pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"))
-    tried = tried.unionByName(pairs)
-    labels = _merged(labels, _verified(pairs, docs, k))
-
-    # the rest: all pairs of different labels
-    labelled = cut(_labelled(members, labels))
+    filled = rows.where("n > 0 and doc is not null")
+    classes = filled.groupBy("n", "k1", "k2").agg(F.min("doc").alias("doc"), F.any_value("odd").alias("odd"))
+    classes = cut(classes.withColumn("id", F.monotonically_increasing_id()))
+    texts = classes.select("id", "doc")
+
+    known = docs.where("doc is not null").select("text").mapInPandas(_prefixes(k, slots, sketch, hot), "token long, n long, k1 long, i int, hot boolean")
+    members = cut(_grouped(known).join(classes.select("n", "k1", "id"), ["n", "k1"]).select("token", "id", "n", "i"), batch=10_000)
+    state = classes.select("id", "n", "odd")
+
+    heads = members.groupBy("token").agg(F.min(F.struct("i", "id", "n")).alias("h"))
+    pairs = members.join(heads, "token").where((F.col("id") != F.col("h.id")) & _near(F.col("n"), F.col("h.n"), F.col("i"), F.col("h.i")))
+    pairs = pairs.groupBy("id", F.col("h.id").alias("head")).agg(F.count("*").alias("votes")).groupBy("id").agg(F.max_by("head", F.struct("votes", -F.col("head"))).alias("head"))
+    for end in ("id", "head"):
+        pairs = pairs.join(state.select(F.col("id").alias(end), F.col("n").alias(f"{end}_n"), F.col("odd").alias(f"{end}_odd")), end)
+    pairs = pairs.where(7 * _apart(F.col("id_odd"), F.col("head_odd")) <= F.col("id_n") + F.col("head_n")).select("id", "head")
+    links = _verified(cut(pairs), docs, texts, k)
+
+    # rows of one id with different texts tie their classes together
+    again = filled.groupBy("doc").agg(F.count("*").alias("c")).where("c > 1").select("doc")
+    tied = filled.join(again, "doc").join(classes.select("n", "k1", "k2", "id"), ["n", "k1", "k2"]).select("doc", "id").distinct()
+    tied = tied.join(tied.groupBy("doc").agg(F.min("id").alias("head")), "doc").where("id <> head").select("id", "head")
+    links = cut(links.unionByName(tied))
+    for nearest in (True, False):
+        now = _labelled(state, links)
+        links = links.unionByName(_verified(_rest(members, now, nearest), docs, texts, k))
+        discard(now)
     discard(members)
-    most = labelled.groupBy("token", "label").agg(F.count("*").alias("c")).groupBy("token").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("c")).where("c > 1").drop("c")
-    mixed = cut(labelled.join(most, "token"))
-    discard(labelled)
-    parities = docs.join(cut(mixed.select("id").distinct()), "id").mapInPandas(_parity_rows(k), "id long, odd array<long>").distinct()
-    mixed = mixed.join(cut(parities), "id")
-    other = mixed.where("label <> main").select("token", F.col("id").alias("p"), F.col("pos").alias("pp"), F.col("parts").alias("ps"), F.col("odd").alias("po"), F.col("label").alias("pl"))
-    rest = mixed.select("token", F.col("id").alias("q"), F.col("pos").alias("qp"), F.col("parts").alias("qs"), F.col("odd").alias("qo"), F.col("label").alias("ql"), "main")
-    pairs = other.join(rest, "token").where("pl <> ql and (ql = main or p < q)").where(_passes(F.col("pp"), F.col("qp"), F.col("ps"), F.col("qs")))
-    pairs = pairs.where(_passes_parities(F.shiftright("pp", 32), F.shiftright("qp", 32), F.col("po"), F.col("qo")))
-    pairs = pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    pairs = cut(pairs)
-    discard(mixed)
-    final = _merged(labels, _verified(pairs, docs, k))
-    # rows with one id may be in several classes
-    known = rows.join(classes, ["n", "k1", "k2"], "left").join(final.withColumnRenamed("node", "rep"), "rep", "left")
-    return known.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id")).alias("component_id"))
-
-
-def _pairs(members: DataFrame, other) -> DataFrame:
-    """Pairs (a, b), a < b, of a member and the other whose columns other() names, where the filters allow."""
-    ok = (F.col("id") != other("id")) & _passes(F.col("pos"), other("pos"), F.col("parts"), other("parts"))
-    return members.where(ok).select(F.least("id", other("id")).alias("a"), F.greatest("id", other("id")).alias("b")).distinct()
-
-
-def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members with the component so far of each, itself where it has no links."""
-    named = members.select("token", "id", "pos", "parts").join(labels.withColumnRenamed("node", "id"), "id", "left")
-    return named.withColumn("label", F.coalesce("component", "id")).drop("component")
-
-
-def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, component) by the components so far and further links between them."""
-    ends = links
-    for end in ("a", "b"):
-        ends = ends.join(labels.select(F.col("node").alias(end), F.col("component").alias(f"{end}_c")), end, "left").withColumn(end, F.coalesce(f"{end}_c", end)).drop(f"{end}_c")
-    joined = components(ends.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    new = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti")
-    both = labels.unionByName(new.select("node", F.col("node").alias("component")))
-    last = joined.select(F.col("node").alias("component"), F.col("component").alias("last"))
-    return cut(both.join(last, "component", "left").select("node", F.coalesce("last", "component").alias("component")))
+    labels = _labelled(state, links).join(texts, "id").select("id", "doc", "label")
+    labels = labels.join(labels.groupBy("label").agg(F.min("doc").alias("component")), "label").select("id", "component")
+    found = rows.join(classes.select("n", "k1", "k2", "id"), ["n", "k1", "k2"], "left").join(labels, "id", "left")
+    return found.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("doc").isNotNull(), F.coalesce("component", "doc")).alias("component_id"))
 
 
 def _grouped(prefix: DataFrame) -> DataFrame:
-    """Members of groups of two and more: each with its predecessor (lag_) and, if another, the group's first (lead_).
+    """(token, n, k1, i) of the shingles that at least two classes have in their prefixes, one row for each class.
 
-    A shingle below HOT has fewer than HOT members, and one window suffices; the rest take their first by an
-    aggregate that combines before the shuffle, and a join that AQE can split.
+    A shingle below HOT has fewer than HOT members, and one window suffices; the rest combine before they move.
     """
-    by = Window.partitionBy("token").orderBy("pos", "id")
-    me = F.struct("id", "pos", "parts")
-    cold = prefix.where("not hot").select("token", "id", "pos", "parts", F.lag(me).over(by).alias("lag"), F.lead("id").over(by).alias("next"), F.first(me).over(by).alias("first")).where("lag is not null or next is not null")
-    hot = prefix.where("hot")
-    head = hot.groupBy("token").agg(F.min(F.struct("pos", "id", "parts")).alias("h"), F.count("*").alias("c")).where("c > 1")
-    hot = hot.join(head, "token").select("token", "id", "pos", "parts", F.lit(None).cast("struct<id:bigint,pos:bigint,parts:bigint>").alias("lag"), F.lit(None).cast("long").alias("next"), F.struct("h.id", "h.pos", "h.parts").alias("first"))
-    both = cold.unionByName(hot)
-    new = (F.col("first.id") != F.col("id")) & ~F.col("first.id").eqNullSafe(F.col("lag.id"))
-    return both.select("token", "id", "pos", "parts", *(F.col(f"lag.{c}").alias(f"lag_{c}") for c in ("id", "pos", "parts")), *(F.when(new, F.col(f"first.{c}")).alias(f"lead_{c}") for c in ("id", "pos", "parts")))
+    by, me = Window.partitionBy("token").orderBy("n", "k1"), F.struct("n", "k1")
+    cold = prefix.where("not hot").select("token", "n", "k1", "i", me.alias("me"), F.lag(me).over(by).alias("lag"), F.lead(me).over(by).alias("lead"), F.first(me).over(by).alias("first"))
+    # a group's first class shows by its last row, the others by their first
+    cold = cold.where("(lag is not null and lag <> me) or (first = me and lead is not null and lead <> me)").select("token", "n", "k1", "i")
+    hot = prefix.where("hot").groupBy("token", "n", "k1").agg(F.min("i").alias("i"))
+    several = hot.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
+    return cold.unionByName(hot.join(several, "token", "left_semi").select("token", "n", "k1", "i"))
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
