@@ -7,32 +7,43 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from swatchline.llm.common import cut, small_batches, table
+from swatchline.llm.common import cut, discard, small_batches, table
 
-#: Rows of an index block, queries of a query block, and impact levels of a dimension's postings.
-ROWS, QUERIES, LEVELS = 8192, 512, 8
+#: Rows of an index block, vectors of a row that moves, and impact levels of a dimension's postings.
+ROWS, PIECE, LEVELS = 8192, 128, 8
+#: Shares of the postings after which a search tries its proof.
+CHECKS = (0.25, 0.5, 0.7, 0.8, 0.86, 0.9, 0.94, 0.97)
 
 
-def _packed(limit: int):
-    """Blocks of up to limit vectors of one length: their ids and values, row by row."""
+def _packed(per_block: int):
+    """Pieces of up to PIECE vectors of one length, ids and values row by row; per_block pieces have one block's name."""
 
     def run(batches):
-        held: dict[int, list] = {}
+        from pyspark import TaskContext
 
-        def block(dim):
+        held: dict[int, list] = {}
+        blocks: dict[int, tuple[int, int]] = {}
+        name = TaskContext.get().partitionId() << 33
+
+        def piece(dim):
+            nonlocal name
+            block, filled = blocks.get(dim, (0, per_block))
+            if filled == per_block:
+                block, filled, name = name, 0, name + 1
+            blocks[dim] = (block, filled + 1)
             ids, values = zip(*held.pop(dim), strict=True)
-            return {"dim": dim, "ids": np.array(ids, np.int64).tobytes(), "v": np.stack(values).astype(np.int64).tobytes()}
+            return {"dim": dim, "block": block, "ids": np.array(ids, np.int64).tobytes(), "v": np.stack(values).astype(np.int64).tobytes()}
 
         for pdf in batches:
             out = []
             for i, x in zip(pdf["id"], pdf["v"], strict=True):
                 held.setdefault(len(x), []).append((i, x))
-                if len(held[len(x)]) == limit:
-                    out.append(block(len(x)))
+                if len(held[len(x)]) == PIECE:
+                    out.append(piece(len(x)))
             if out:
                 yield pd.DataFrame(out)
         if held:
-            yield pd.DataFrame([block(d) for d in list(held)])
+            yield pd.DataFrame([piece(d) for d in list(held)])
 
     return run
 
@@ -42,67 +53,76 @@ class ImpactIndex:
 
     def __init__(self, ids: np.ndarray, v: np.ndarray):
         self.ids, self.v, (self.n, self.dim) = ids, v, v.shape
-        self.order = np.argsort(-v, axis=0, kind="stable").T
+        self.order = np.argsort(-v, axis=0, kind="stable").T.copy()
         self.sorted = np.take_along_axis(v.T, self.order, axis=1)
         high, low = self.sorted[:, :1], self.sorted[:, -1:]
         level = ((high - self.sorted) * LEVELS) // np.maximum(high - low + 1, 1)
-        #: place of the first posting of each level, and the end
-        self.cuts = np.stack([(level < x).sum(axis=1) for x in range(LEVELS + 1)], axis=1)
+        cuts = np.stack([(level < x).sum(axis=1) for x in range(LEVELS + 1)], axis=1)
+        filled = cuts[:, :-1] < cuts[:, 1:]
+        self.d = np.nonzero(filled)[0]
+        self.a, self.b = cuts[:, :-1][filled], cuts[:, 1:][filled]
+        self.most, self.least = self.sorted[self.d, self.a], self.sorted[self.d, self.b - 1]
 
     def top(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Up to k best rows other than the query's own: ids and scores, best first, ties to the smaller id.
 
         Impacts are contributions above the dimension's least, so they are never negative. A row's score lies
-        between what it has gathered and that plus the sum of the largest impacts yet unread. Reading stops when
-        the rows that can still enter the top are few; they are scored again from their whole vectors.
+        between what it has gathered and that plus the sum of the dimensions' largest impacts yet unread. The floor
+        is the k-th best whole score among the rows that lead. Reading stops when the rows that can still reach the
+        floor are fewer than their share of the postings yet unread; they are scored again from their whole vectors.
         """
         w = query.astype(np.int64)
-        least = np.minimum(w * self.sorted[:, 0], w * self.sorted[:, -1])
-        segments = []
-        for d in np.flatnonzero(w):
-            cuts = self.cuts[d]
-            for s in range(LEVELS):
-                if (a := cuts[s]) < (b := cuts[s + 1]):
-                    segments.append((max(w[d] * self.sorted[d, a], w[d] * self.sorted[d, b - 1]) - least[d], d, a, b))
-        segments.sort(key=lambda s: -s[0])
-        bound = np.zeros(self.dim, np.int64)
-        waiting = [[] for _ in range(self.dim)]
-        for impact, d, *_ in reversed(segments):
-            waiting[d].append(impact)
-        for d in range(self.dim):
-            bound[d] = waiting[d][-1] if waiting[d] else 0
-        got = np.zeros(self.n, np.int64)
-        mine = self.ids == own
-        members = np.flatnonzero(~mine)
-        enough = min(len(members), max(4 * k, 64))
-        for at, (_, d, a, b) in enumerate(segments):
-            got[self.order[d, a:b]] += w[d] * self.sorted[d, a:b] - least[d]
-            waiting[d].pop()
-            bound[d] = waiting[d][-1] if waiting[d] else 0
-            if at % 32 == 31 and len(members) > k:
-                now = got[members]
-                floor = np.partition(now, len(now) - k)[len(now) - k]
-                if ((now + bound.sum()) >= floor).sum() <= enough:
-                    break
-        if len(members) > k:
+        low = np.minimum(w * self.sorted[:, 0], w * self.sorted[:, -1])
+        use = np.flatnonzero(w[self.d])
+        d = self.d[use]
+        impact = np.maximum(w[d] * self.most[use], w[d] * self.least[use]) - low[d]
+        by = np.argsort(-impact, kind="stable")
+        use, d, impact = use[by], d[by], impact[by]
+        a, b = self.a[use], self.b[use]
+        read = np.cumsum(b - a)
+        members = np.flatnonzero(self.ids != own)
+        stops = np.searchsorted(read, np.multiply(CHECKS, read[-1] if len(read) else 0)) + 1 if len(members) > k else ()
+        got, at, base = np.zeros(self.n, np.int64), 0, low.sum()
+        segments = list(zip(d.tolist(), a.tolist(), b.tolist(), w[d].tolist(), low[d].tolist(), strict=True))
+        for stop in stops:
+            for i, x, y, weight, least in segments[at:stop]:
+                got[self.order[i, x:y]] += weight * self.sorted[i, x:y] - least
+            at = max(at, min(stop, len(segments)))
+            first = np.unique(d[at:], return_index=True)[1]
+            bound = base + impact[at:][first].sum()
             now = got[members]
-            floor = np.partition(now, len(now) - k)[len(now) - k]
-            members = members[now + bound.sum() >= floor]
+            lead = members[np.argpartition(now, -min(len(now), 4 * k))[-4 * k :]]
+            floor = np.sort(self.v[lead] @ w)[-k]
+            possible = members[now + bound >= floor]
+            if len(possible) <= len(members) * (1 - read[at - 1] / read[-1] if at else 1) or at == len(segments):
+                members = possible
+                break
         scores = self.v[members] @ w
         best = np.lexsort((self.ids[members], -scores))[:k]
         return self.ids[members][best], scores[best]
 
 
 def _search(k: int):
+    """Rows come by block, its pieces first and then the pieces of queries that meet it; an index is built once."""
+
     def run(batches):
+        now, pieces, index = None, [], None
         for pdf in batches:
+            found = [pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")]
             for r in pdf.itertuples(index=False):
-                index = ImpactIndex(np.frombuffer(r.ids, np.int64), np.frombuffer(r.v, np.int64).reshape(-1, r.dim))
-                found = []
-                for q, w in zip(np.frombuffer(r.q_ids, np.int64), np.frombuffer(r.q_v, np.int64).reshape(-1, r.dim), strict=True):
+                if r.block != now:
+                    now, pieces, index = r.block, [], None
+                part = np.frombuffer(r.ids, np.int64), np.frombuffer(r.v, np.int64).reshape(-1, r.dim)
+                if not r.asks:
+                    pieces.append(part)
+                    continue
+                if index is None:
+                    index = ImpactIndex(*(np.concatenate(x) for x in zip(*pieces, strict=True)))
+                    pieces = []
+                for q, w in zip(*part, strict=True):
                     ids, scores = index.top(w, q, k)
                     found.append(pd.DataFrame({"query_id": q, "vec_id": ids, "score": scores}))
-                yield pd.concat(found, ignore_index=True)
+            yield pd.concat(found, ignore_index=True)
 
     return run
 
@@ -111,25 +131,22 @@ def top_k(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
     """query_id, rank, vec_id, score: for each row whose id is divisible by `every` the k best other rows.
 
     Components become floor(scale * x); the score is their integer inner product (64-bit), ties go to the smaller
-    id. Vectors that are null or hold null or non-finite components, rows with a null id, and vectors of another
-    length than the query's take no part; an empty vector scores 0. Rows of one id are candidates each, but never of
-    a query of that id; repeated query rows count once. Rows are packed into index blocks and queries into query
-    blocks; each index block meets each query block, and the k best of each are merged by query.
+    id. Vectors that are null, empty or hold null or non-finite components, rows with a null id, and vectors of
+    another length than the query's take no part. Rows of one id are candidates each, but never of a query of that
+    id; repeated query rows count once. Rows are packed into index blocks that stay where they are dealt; the queries,
+    one row in `every`, go to each block in small pieces, and the k best of each block are merged by query.
     """
-    spark = df.sparkSession
-    small_batches(spark, 4096)
+    small_batches(df.sparkSession)
     x = F.col("x")
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("x")).where(F.col("id").isNotNull() & x.isNotNull() & (F.size(x) > 0) & ~F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))))
     rows = rows.select("id", F.transform("x", lambda v: F.floor(v * scale).cast("long")).alias("v"))
-    kind = "dim int, ids binary, v binary"
-    queries = rows.where(F.pmod("id", F.lit(every)) == 0).groupBy("id").agg(F.max("v").alias("v")).mapInPandas(_packed(QUERIES), kind)
-    queries = cut(queries).select(F.col("dim"), F.col("ids").alias("q_ids"), F.col("v").alias("q_v"), F.xxhash64("dim", "ids").alias("qb"))
-    names = queries.groupBy("dim").agg(F.collect_list("qb").alias("qbs"))  # 8 bytes for each QUERIES queries
-    index = rows.mapInPandas(_packed(ROWS), kind)
-    meet = index.join(names, "dim").select("dim", "ids", "v", F.explode("qbs").alias("qb"))
-    small_batches(spark, 4)
-    found = cut(meet.join(queries.drop("dim"), "qb").select("dim", "ids", "v", "q_ids", "q_v").mapInPandas(_search(k), "query_id long, vec_id long, score long"))
-    small_batches(spark, 4096)
+    kind = "dim int, block long, ids binary, v binary"
+    index = cut(rows.mapInPandas(_packed(ROWS // PIECE), kind))
+    queries = cut(rows.where(F.pmod("id", F.lit(every)) == 0).groupBy("id").agg(F.max("v").alias("v")).mapInPandas(_packed(1), kind))
+    asked = queries.drop("block").join(index.select("dim", "block").distinct(), "dim").select("dim", "block", "ids", "v", F.lit(True).alias("asks"))
+    meet = index.withColumn("asks", F.lit(False)).unionByName(asked).repartition("block").sortWithinPartitions("block", "asks")
+    found = cut(meet.mapInPandas(_search(k), "query_id long, vec_id long, score long"))
+    discard(index, queries)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
