@@ -1,20 +1,21 @@
 """License scans by diagonal voting, in DataFrame operations only.
 
-Rolling word 3-gram hashes of a document are joined to the 3-grams of templates. Each hit votes for its diagonal,
-the place in the document less the place in the template. Diagonals of one template that differ by SHIFT at most are
-merged, since inserted or missing words move a match to a neighbouring diagonal, and a merged span is reported when
-its votes cover enough of the template. A base phrase needs every vote on one diagonal: its words then stand there
-consecutively. Hits are joined by hash and by their words, so equal hashes alone don't count.
+The rolling word 3-gram hashes of all documents are joined to the places of the templates' 3-grams. Each hit votes for
+its diagonal, the place in the document less the place in the template. Inserted or missing words move a match to a
+neighbouring diagonal, so from each diagonal on those up to DRIFT further are merged into a span, which thus is at most
+DRIFT words longer than its template. A span is verified by the template's words that its hits cover, each counted once
+however often it is voted for, and reported if these are at least COVER of the template. A base phrase needs all of its
+words on one diagonal: they then stand there consecutively.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from swatchline.llm.common import table
 
-GRAM, SHIFT, COVER = 3, 3, 0.6
+GRAM, DRIFT, COVER = 3, 4, 0.75
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: The phrases that count as base hits, and their labels.
@@ -52,46 +53,52 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(lower, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), "")
 
 
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of every row.
+def license_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """row, doc_id, n_words, and template, label, base, start, end, score of each verified span.
 
-    Null and empty texts have no words and no labels; rows are kept apart even if their ids repeat or are null.
-    score is the largest covered share of a template among the reported spans, else 0. Other columns aren't read.
+    A row of docs without a span gives one row with nulls in their place; row tells rows apart even if their ids
+    repeat or are null. start and end count the document's words from 0, end exclusive, by the template's whole
+    length. Null and empty texts have no words. Other columns aren't read.
     """
     spark = docs.sparkSession
-    grams = [(i, label, base, len(w) - GRAM + 1, p, " ".join(w[p : p + GRAM])) for i, label, base, w in templates() for p in range(len(w) - GRAM + 1)]
-    known = spark.createDataFrame(grams, "template int, label string, base boolean, grams int, place int, gram string")
-    known = known.withColumn("hash", F.xxhash64(F.split("gram", " ")))
-    hashes = [r.hash for r in known.select("hash").distinct().collect()]
+    grams = [(i, label, base, len(w), p, w[p : p + GRAM]) for i, label, base, w in templates() for p in range(len(w) - GRAM + 1)]
+    known = spark.createDataFrame(grams, "template int, label string, base boolean, length int, place int, gram array<string>")
+    known = known.withColumn("hash", F.xxhash64(*(F.get("gram", F.lit(j)) for j in range(GRAM)))).drop("gram")
 
     rows = docs.select(F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("w")).withColumn("row", F.monotonically_increasing_id())
     starts = F.when(F.size("w") >= GRAM, F.sequence(F.lit(0), F.size("w") - GRAM)).otherwise(F.array().cast("array<int>"))
-    window = lambda i: F.array(*(F.get("w", i + j) for j in range(GRAM)))
-    hits = F.transform(F.filter(starts, lambda i: F.xxhash64(window(i)).isin(hashes)), lambda i: F.struct(i.alias("at"), F.xxhash64(window(i)).alias("hash"), F.concat_ws(" ", window(i)).alias("gram")))
-    rows = rows.select("row", "doc_id", F.size("w").cast("long").alias("n_words"), F.explode_outer(hits).alias("hit")).select("row", "doc_id", "n_words", "hit.*")
+    hashes = F.transform(starts, lambda i: F.struct(i.alias("at"), F.xxhash64(*(F.get("w", i + j) for j in range(GRAM))).alias("hash")))
+    whole = F.struct(F.lit(-1).alias("at"), F.lit(None).cast("long").alias("hash"))  # stands for the row itself
+    rows = rows.select("row", "doc_id", F.size("w").cast("long").alias("n_words"), F.inline(F.array_append(hashes, whole)))
     # the templates are constants of this module: a few hundred rows
-    voted = rows.join(F.broadcast(known), ["hash", "gram"], "left")
-    diagonals = voted.groupBy("row", "template", (F.col("at") - F.col("place")).alias("diagonal")).agg(
-        *(F.first(c).alias(c) for c in ("doc_id", "n_words", "label", "base", "grams")), F.count("template").alias("votes")
-    )
-    by = "PARTITION BY row, template ORDER BY diagonal"
-    spans = diagonals.withColumn("step", F.expr(f"CASE WHEN base THEN 1 WHEN diagonal - lag(diagonal) OVER ({by}) <= {SHIFT} THEN 0 ELSE 1 END"))
-    spans = spans.withColumn("span", F.expr(f"sum(step) OVER ({by})"))
-    spans = spans.groupBy("row", "template", "span").agg(
-        *(F.first(c).alias(c) for c in ("doc_id", "n_words", "label", "base", "grams")), F.sum("votes").alias("votes"), F.min("diagonal").cast("long").alias("diagonal")
-    )
-    spans = spans.withColumn("cover", F.when(F.col("template").isNotNull(), F.least(F.lit(1.0), F.col("votes") / F.col("grams"))))
-    spans = spans.withColumn("hit", F.col("cover") >= F.when(F.col("base"), 1.0).otherwise(COVER)).withColumn("base_hit", F.col("base") & F.col("hit"))
-    joined = lambda c: F.array_join(F.array_sort(F.collect_set(F.when(F.col(c), F.col("label")))), ",")
-    return spans.groupBy("row").agg(
+    voted = rows.join(F.broadcast(known), "hash", "left").where("template is not null or at < 0")
+    facts = ("doc_id", "n_words", "label", "base", "length")
+    diagonals = voted.groupBy("row", "template", (F.col("at") - F.col("place")).alias("diagonal")).agg(*(F.first(c).alias(c) for c in facts), F.collect_set("place").alias("places"))
+    near = Window.partitionBy("row", "template").orderBy("diagonal").rangeBetween(0, DRIFT)
+    spans = diagonals.withColumn("near", F.when(F.col("base"), F.array("places")).otherwise(F.collect_list("places").over(near)))
+    covered = F.array_distinct(F.flatten(F.transform(F.flatten("near"), lambda p: F.sequence(p, p + GRAM - 1))))
+    spans = spans.withColumn("score", F.size(covered) / F.col("length"))
+    hit = F.col("score") >= F.when(F.col("base"), 1.0).otherwise(COVER)
+    spans = spans.where(F.col("template").isNull() | hit)
+    return spans.select("row", "doc_id", "n_words", "template", "label", "base", F.col("diagonal").cast("long").alias("start"), (F.col("diagonal") + F.col("length")).cast("long").alias("end"), F.when(F.col("template").isNotNull(), F.col("score")).alias("score"))
+
+
+def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of every row, from license_spans.
+
+    Null and empty texts have no words and no labels. score is the largest covered share of a template among the
+    reported spans, else 0.
+    """
+    joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
+    return license_spans(docs, id_col, text_col).groupBy("row").agg(
         F.first("doc_id").alias("doc_id"),
         F.first("n_words").alias("n_words"),
-        F.count_if("base_hit").alias("n_base"),
-        F.min(F.when(F.col("base_hit"), F.col("diagonal"))).alias("first_word"),
-        F.max(F.when(F.col("base_hit"), F.col("diagonal"))).alias("last_word"),
-        joined("base_hit").alias("base_labels"),
-        joined("hit").alias("labels"),
-        F.coalesce(F.max(F.when(F.col("hit"), F.col("cover"))), F.lit(0.0)).alias("score"),
+        F.count_if("base").alias("n_base"),
+        F.min(F.when(F.col("base"), F.col("start"))).alias("first_word"),
+        F.max(F.when(F.col("base"), F.col("start"))).alias("last_word"),
+        joined(F.when(F.col("base"), F.col("label"))).alias("base_labels"),
+        joined(F.col("label")).alias("labels"),
+        F.coalesce(F.max("score"), F.lit(0.0)).alias("score"),
     ).drop("row")
 
 
@@ -100,21 +107,20 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
+    """Runs of GRAM and more equal words of document and template, without hashes or 3-grams."""
     rows = ", ".join(f"({i}, '{label}', {base}, '{' '.join(w)}')" for i, label, base, w in templates())
     return f"""
-WITH t0 AS (SELECT * FROM (VALUES {rows}) v(template, label, base, words)),
-t AS (SELECT template, label, base, w, len(w) - {GRAM - 1} grams, unnest(range(len(w) - {GRAM - 1})) place FROM (SELECT *, string_split(words, ' ') w FROM t0)),
-k AS (SELECT template, label, base, grams, place, w[place + 1] a, w[place + 2] b, w[place + 3] c FROM t),
-d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') w FROM documents),
-g AS (SELECT rid, unnest(range(greatest(0, len(w) - {GRAM - 1}))) AS spot, w FROM d),
-h AS (SELECT rid, spot, w[spot + 1] a, w[spot + 2] b, w[spot + 3] c FROM g),
-v AS (SELECT rid, template, any_value(label) label, any_value(base) base, any_value(grams) grams, spot - place diagonal, count(*) votes FROM h JOIN k USING (a, b, c) GROUP BY rid, template, spot - place),
-m AS (SELECT *, CASE WHEN base THEN 1 WHEN diagonal - lag(diagonal) OVER (PARTITION BY rid, template ORDER BY diagonal) <= {SHIFT} THEN 0 ELSE 1 END step FROM v),
-n AS (SELECT *, sum(step) OVER (PARTITION BY rid, template ORDER BY diagonal) span FROM m),
-s AS (SELECT rid, template, span, any_value(label) label, any_value(base) base, least(1.0, sum(votes) / any_value(grams)) cover, min(diagonal) diagonal FROM n GROUP BY rid, template, span),
-o AS (SELECT rid, count(*) FILTER (base AND cover >= 1) n_base, min(diagonal) FILTER (base AND cover >= 1) first_word, max(diagonal) FILTER (base AND cover >= 1) last_word,
- string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base AND cover >= 1) base_labels, string_agg(DISTINCT label, ',' ORDER BY label) labels, max(cover) score
- FROM s WHERE cover >= CASE WHEN base THEN 1 ELSE {COVER} END GROUP BY rid)
+WITH t0 AS (SELECT *, string_split(words, ' ') w FROM (VALUES {rows}) v(template, label, base, words)),
+t AS (SELECT template, unnest(w) word, unnest(range(len(w))) place FROM t0),
+d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w FROM documents),
+g AS (SELECT rid, unnest(w) word, unnest(range(len(w))) AS spot FROM d),
+e AS (SELECT rid, template, spot - place diagonal, place, place - row_number() OVER (PARTITION BY rid, template, spot - place ORDER BY place) run FROM g JOIN t USING (word)),
+m AS (SELECT * FROM e QUALIFY count(*) OVER (PARTITION BY rid, template, diagonal, run) >= {GRAM}),
+c AS (SELECT a.rid, a.template, a.diagonal, count(DISTINCT m.place) covered FROM (SELECT DISTINCT rid, template, diagonal FROM m) a JOIN t0 USING (template)
+ JOIN m ON m.rid = a.rid AND m.template = a.template AND m.diagonal BETWEEN a.diagonal AND a.diagonal + CASE WHEN t0.base THEN 0 ELSE {DRIFT} END GROUP BY ALL),
+s AS (SELECT rid, label, base, diagonal, covered / len(w) score FROM c JOIN t0 USING (template) WHERE covered >= len(w) * CASE WHEN base THEN 1 ELSE {COVER} END),
+o AS (SELECT rid, count(*) FILTER (base) n_base, min(diagonal) FILTER (base) first_word, max(diagonal) FILTER (base) last_word,
+ string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) base_labels, string_agg(DISTINCT label, ',' ORDER BY label) labels, max(score) score FROM s GROUP BY rid)
 SELECT d.doc_id, len(d.w)::BIGINT n_words, coalesce(n_base, 0)::BIGINT n_base, first_word::BIGINT first_word, last_word::BIGINT last_word, coalesce(base_labels, '') base_labels, coalesce(labels, '') labels, coalesce(score, 0)::DOUBLE score
 FROM d LEFT JOIN o USING (rid)
 """
