@@ -1,15 +1,19 @@
 """Secret scans: patterns find candidates, and structure confirms them.
 
-Base kinds are patterns alone. The method decodes base64, base64url and hex candidates and reports those that parse:
-a signed token whose header is a JSON object with an algorithm, ASN.1 DER whose nested lengths fit exactly (as in PKCS
-keys and certificates), SSH keys made of length-prefixed strings that fit exactly, and PEM blocks that hold either.
+Base kinds are patterns alone. The method decodes every run of base64, base64url and hex characters that could hold a
+key, at each of its alignments and also where the run goes on over line ends (real ones, or written as \\n), and reports
+what parses at any place in it: DER private keys (PKCS 1 and 8, plain and encrypted, SEC 1, DSA, PKCS 12), whose nested
+lengths fit exactly, and OpenSSH private keys, whose length-prefixed strings do. PEM blocks of private keys are reported
+if their body parses so, or is encrypted as its header lines say. Signed tokens are reported if their header is a JSON
+object with an algorithm. Public keys, certificates and signatures parse too but are no secrets, and aren't reported.
 """
 
 from __future__ import annotations
 
 import base64
-import binascii
+import bisect
 import hashlib
+import itertools
 import json
 import re
 
@@ -25,97 +29,139 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 
-KINDS = ["assign", "access", "hex", "pem", "ssh_key", "signed_token", "der_base64", "der_hex"]
+KINDS = ["assign", "access", "hex", "pem", "private_key", "ssh_key", "signed_token"]
 BASE_KINDS = KINDS[:3]
+#: Characters of base64 that the smallest private key needs at least, and of a run that may be part of it.
+SMALLEST, RUN = 54, 20
+SSH_MAGIC = b"openssh-key-v1\0"
+#: Prefixes of the object identifiers of password-based encryption (PKCS 5 and 12) and of PKCS 7.
+ENCRYPTIONS, CONTENTS = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01")), bytes.fromhex("2a864886f70d0107")
 
 
-def der_fits(data: bytes, depth: int = 0) -> bool:
-    """Whether data is a run of DER values whose nested lengths fit; at the top one SEQUENCE of some size."""
-    at, n = 0, len(data)
-    if not n or depth > 32:
-        return False
-    while at < n:
-        if at + 2 > n:
-            return False
-        tag, length = data[at], data[at + 1]
-        at += 2
-        if tag & 0x1F == 0x1F or tag == 0:
-            return False
-        if length & 0x80:
-            size = length & 0x7F
-            if not 1 <= size <= 4 or at + size > n or data[at] == 0:
-                return False
-            length = int.from_bytes(data[at : at + size], "big")
-            at += size
-            if length < 0x80:
-                return False
-        if at + length > n or (depth == 0 and (tag != 0x30 or at + length != n or length < 16)):
-            return False
-        if tag & 0x20 and length and not der_fits(data[at : at + length], depth + 1):
-            return False
-        if tag == 0x02 and not length:
+def der_value(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
+    """(tag, start, stop) of the DER value at a place, by its shortest length form; None if none fits before end."""
+    if at + 2 > end:
+        return None
+    tag, length = data[at], data[at + 1]
+    at += 2
+    if tag & 0x1F == 0x1F or tag == 0:
+        return None
+    if length & 0x80:
+        size = length & 0x7F
+        if not 1 <= size <= 4 or at + size > end or data[at] == 0:
+            return None
+        length = int.from_bytes(data[at : at + size], "big")
+        at += size
+        if length < 0x80:
+            return None
+    return (tag, at, at + length) if at + length <= end else None
+
+
+def der_values(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | None:
+    """The values that fill data from at to end exactly; None if they don't."""
+    out = []
+    while at < end:
+        if (value := der_value(data, at, end)) is None:
+            return None
+        out.append(value)
+        at = value[2]
+    return out
+
+
+def der_fits(data: bytes, at: int, end: int) -> bool:
+    """Whether data from at to end is values whose nested lengths fit, to any depth."""
+    todo = [(at, end)]
+    while todo:
+        if (found := der_values(data, *todo.pop())) is None:
             return False
-        at += length
+        todo += [(a, b) for tag, a, b in found if tag & 0x20]
     return True
 
 
-def _strings(data: bytes) -> list[bytes] | None:
-    """Length-prefixed strings that fill data exactly."""
-    out, at = [], 0
-    while at < len(data):
+def private_key_end(data: bytes, at: int = 0) -> int | None:
+    """Where the DER private key that begins at a place ends; None if none does."""
+    top = der_value(data, at, len(data))
+    if top is None or top[0] != 0x30 or not (parts := der_values(data, top[1], top[2])):
+        return None
+    tags = [t for t, _, _ in parts]
+    value = [data[a:b] for _, a, b in parts]
+    inner = lambda i: der_values(data, *parts[i][1:]) or [(0, 0, 0)]
+    named = lambda i, names: inner(i)[0][0] == 0x06 and data[inner(i)[0][1] : inner(i)[0][2]].startswith(names)
+    numbers = set(tags) == {0x02}
+    found = (
+        (tags[:3] == [0x02, 0x30, 0x04] and value[0] in (b"\0", b"\1") and inner(1)[0][0] == 0x06)  # PKCS 8
+        or (numbers and len(tags) >= 9 and value[0] in (b"\0", b"\1"))  # PKCS 1
+        or (numbers and len(tags) == 6 and value[0] == b"\0")  # DSA
+        or (tags[:2] == [0x02, 0x04] and value[0] == b"\1" and 16 <= len(value[1]) <= 80)  # SEC 1
+        or (tags == [0x30, 0x04] and named(0, ENCRYPTIONS) and len(value[1]) % 8 == 0 < len(value[1]))  # encrypted PKCS 8
+        or (tags[:2] == [0x02, 0x30] and value[0] == b"\3" and named(1, CONTENTS))  # PKCS 12
+    )
+    return top[2] if found and all(value[i] for i, t in enumerate(tags) if t == 0x02) and der_fits(data, top[1], top[2]) else None
+
+
+def ssh_key_end(data: bytes, at: int = 0) -> int | None:
+    """Where the OpenSSH private key that begins at a place ends: three strings, a count, as many public keys, and one string."""
+    if not data.startswith(SSH_MAGIC, at):
+        return None
+    at += len(SSH_MAGIC)
+    left, keys = 3, None
+    while left:
         if at + 4 > len(data):
             return None
         n = int.from_bytes(data[at : at + 4], "big")
-        at += 4
-        if at + n > len(data):
+        at += 4 + n
+        left -= 1
+        if at > len(data):
             return None
-        out.append(data[at : at + n])
-        at += n
-    return out
+        if not left and keys is None:
+            keys = int.from_bytes(data[at : at + 4], "big") if at + 4 <= len(data) else 0
+            if not keys:
+                return None
+            at, left = at + 4, keys + 1
+    return at
 
 
-def ssh_fits(data: bytes) -> bool:
-    """An SSH public key blob, or the body of an OpenSSH private key."""
-    magic = b"openssh-key-v1\0"
-    if data.startswith(magic):
-        head = data[len(magic) :]
-        at = 0
-        for _ in range(3):
-            if at + 4 > len(head):
-                return False
-            at += 4 + int.from_bytes(head[at : at + 4], "big")
-        return at + 4 <= len(head) and 1 <= int.from_bytes(head[at : at + 4], "big") <= 16 and _strings(head[at + 4 :]) is not None
-    found = _strings(data)
-    return found is not None and len(found) >= 2 and re.fullmatch(rb"(ssh|ecdsa|sk-ssh|sk-ecdsa)-[a-z0-9@.-]+", found[0]) is not None
-
+def _base64(text: str) -> bytes:
+    """The whole bytes that base64 or base64url characters give, without padding."""
+    whole = len(text) * 3 // 4
+    return base64.b64decode(text.replace("-", "+").replace("_", "/") + "A" * (-len(text) % 4))[:whole]
 
-def _decoded(text: str, url: bool = False) -> bytes | None:
-    text = text.rstrip("=")
-    if len(text) % 4 == 1:
-        return None
-    try:
-        return base64.b64decode(text + "=" * (-len(text) % 4), b"-_" if url else None, validate=True)
-    except (ValueError, binascii.Error):
-        return None
 
+def header_fits(text: str, at: int = 0) -> bool:
+    """Whether the text from a place on is a JSON object with an algorithm, as a signed token's header is.
 
-def header_fits(part: str) -> bool:
-    data = _decoded(part, url=True)
-    try:
-        head = json.loads(data) if data else None
-    except (ValueError, RecursionError):
-        return False
-    return isinstance(head, dict) and isinstance(head.get("alg"), str)
+    The first characters are tried by themselves, so that what is wrong there isn't told from the whole text.
+    """
+    for end in (at + 4096, len(text)):
+        part = text[at:end]
+        try:
+            head, stop = json.JSONDecoder().raw_decode(part)
+        except RecursionError:
+            return False
+        except json.JSONDecodeError as e:
+            if end >= len(text) or e.pos < len(part) - 1 and not e.msg.startswith("Unterminated"):
+                return False
+            continue
+        return isinstance(head, dict) and isinstance(head.get("alg"), str) and re.compile(r"\s*").match(text, at + stop).end() == len(text)
+    return False
 
 
 class Scanner:
     def __init__(self):
         self.assign = re.compile(ASSIGN, re.IGNORECASE | re.ASCII)
         self.access, self.hex = re.compile(ACCESS), re.compile(r"[0-9a-f]{%d,}" % LEAST["hex"])
-        self.pem = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
-        self.token = re.compile(r"\b(eyJ[A-Za-z0-9_-]+)\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-        self.run = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}")
-        self.hex_run = re.compile(r"(?<![0-9A-Fa-f])(?:30[0-9A-Fa-f]{46,})(?![0-9A-Fa-f])")
+        self.marks = re.compile(r"-----(BEGIN|END) ((?:[A-Z0-9]+ )*PRIVATE KEY)-----")
+        self.escaped = re.compile(r"\\r\\n|\\[nr]")
+        self.body = re.compile(r"[A-Za-z0-9+/\s]*={0,2}\s*")
+        self.token = re.compile(r"[A-Za-z0-9_-]{14,}\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+        self.opening = re.compile(r"(?=e[w-z0-9_-]|[ICD])")  # how a brace, or a blank before it, begins in base64
+        self.brace = re.compile(r'[ \t\r\n]{0,8}\{(?=\s*"[^"\\]*"\s*:)')
+        self.run = re.compile(r"[A-Za-z0-9+/_-]{%d,}" % RUN)
+        self.more = re.compile(r"[ \t]*\r?\n[ \t]*([A-Za-z0-9+/_-]+)")
+        self.padding = re.compile(r"={0,2}")
+        self.hex_run = re.compile(r"[0-9A-Fa-f]{%d,}" % (SMALLEST * 3 // 2))
+        # a sequence of some length, in which a small number or a named sequence comes first
+        self.key = re.compile(rb"(?=\x30(?:[\x20-\x7f]|\x81[\x80-\xff]|\x82[\x01-\xff][\x00-\xff]|\x83[\x01-\xff][\x00-\xff]{2}|\x84[\x01-\xff][\x00-\xff]{3})(?:\x02\x01[\x00\x01\x03]|\x30[\x00-\xff]{1,5}\x06)|openssh-key-v1\x00)", re.DOTALL)
 
     def base(self, text: str) -> list[tuple[str, int, int]]:
         out = [("assign", *m.span()) for m in self.assign.finditer(text) if m.end(2) - m.start(2) >= LEAST["assign"]]
@@ -124,28 +170,83 @@ class Scanner:
         # the runs of 24 and more are just the long ones among all maximal runs
         return out + [("hex", *m.span()) for m in self.hex.finditer(text)]
 
-    def structural(self, text: str) -> list[tuple[str, int, int]]:
+    def keys(self, data: bytes, step: int) -> list[tuple[str, int, int]]:
+        """(kind, start, end) of the private keys in data that begin at multiples of step; none within another."""
+        out, last = [], 0
+        for m in self.key.finditer(data):
+            at = m.start()
+            if at >= last and at % step == 0:
+                ssh = data[at] != 0x30
+                if (end := ssh_key_end(data, at) if ssh else private_key_end(data, at)) is not None:
+                    out.append(("ssh_key" if ssh else "private_key", at, end))
+                    last = end
+        return out
+
+    def pems(self, text: str, plain: str) -> list[tuple[str, int, int]]:
+        out, opened = [], None
+        for m in self.marks.finditer(plain):
+            if m[1] == "BEGIN":
+                opened = m
+            elif opened and opened[2] == m[2]:
+                lines = plain[opened.end() : m.start()].strip().splitlines()
+                heads = [x for x in lines if ":" in x]
+                body = "\n".join(x for x in lines if ":" not in x)
+                data = _base64("".join(body.split()).rstrip("=")) if self.body.fullmatch(body) else b""
+                locked = any("ENCRYPTED" in x for x in heads) and any(x.strip().startswith("DEK-Info:") for x in heads) and len(data) % 8 == 0
+                if data and (locked or private_key_end(data) == len(data) or ssh_key_end(data) == len(data)):
+                    out.append(("pem", opened.start(), m.end()))
+                opened = None
+        return out
+
+    def tokens(self, text: str) -> list[tuple[str, int, int]]:
+        """The header may begin anywhere in its run: what stands before the key in the same characters isn't part of it."""
         out = []
-        if "-----BEGIN " in text:
-            for m in self.pem.finditer(text):
-                data = _decoded("".join(m[2].split()))
-                if data and (der_fits(data) or ssh_fits(data)):
-                    out.append(("pem", *m.span()))
-        if "eyJ" in text:
-            out += [("signed_token", *m.span()) for m in self.token.finditer(text) if header_fits(m[1])]
-        for m in self.run.finditer(text):
-            run = m[0]
-            if run[0] == "M" or run.startswith(("AAAA", "b3Bl")):  # how 30 8x, a length and "ope" begin in base64
-                data = _decoded(run)
-                if data and der_fits(data):
-                    out.append(("der_base64", *m.span()))
-                elif data and ssh_fits(data):
-                    out.append(("ssh_key", *m.span()))
-        for m in self.hex_run.finditer(text):
-            if (m.end() - m.start()) % 2 == 0 and der_fits(bytes.fromhex(m[0])):
-                out.append(("der_hex", *m.span()))
+        for m in self.token.finditer(text):
+            head = m[0].split(".", 1)[0]
+            decoded = [_base64(head[k:]).decode("latin-1") for k in range(4)]
+            for at in (x.start() for x in self.opening.finditer(head)):
+                brace = self.brace.match(decoded[at % 4], at // 4 * 3)
+                if brace and (len(head) - at) % 4 != 1 and header_fits(decoded[at % 4], brace.end() - 1):
+                    out.append(("signed_token", m.start() + at, m.end()))
+                    break
         return out
 
+    def runs(self, plain: str):
+        """(characters, their places) of runs, joined over line ends."""
+        at = 0
+        while m := self.run.search(plain, at):
+            parts, at = [m.span()], m.end()
+            while more := self.more.match(plain, at):
+                parts.append(more.span(1))
+                at = more.end()
+            if sum(b - a for a, b in parts) >= SMALLEST:
+                yield "".join(plain[a:b] for a, b in parts), parts
+
+    def structural(self, text: str) -> list[tuple[str, int, int]]:
+        plain = self.escaped.sub(lambda m: " " * (len(m[0]) - 1) + "\n", text) if "\\" in text else text
+        out = self.pems(text, plain) if "-----BEGIN " in text else []
+        if "." in text:
+            out += self.tokens(text)
+        found = set()
+        for chars, parts in self.runs(plain):
+            ends = list(itertools.accumulate(b - a for a, b in parts))
+
+            def place(i):
+                part = bisect.bisect_right(ends, i)
+                return parts[part][0] + i - (ends[part - 1] if part else 0)
+
+            for k in range(4):
+                data = _base64(chars[k:])
+                for kind, a, b in self.keys(data, 3):
+                    end = place(k + -(-b * 4 // 3) - 1) + 1
+                    found.add((kind, place(k + a // 3 * 4), self.padding.match(plain, end).end()))
+        for m in self.hex_run.finditer(text):
+            for k in range(2):
+                half = m[0][k : k + (len(m[0]) - k) // 2 * 2]
+                found |= {(kind, m.start() + k + 2 * a, m.start() + k + 2 * b) for kind, a, b in self.keys(bytes.fromhex(half), 1)}
+        blocks = [(a, b) for kind, a, b in out if kind == "pem"]
+        return out + [x for x in found if not any(a <= x[1] and x[2] <= b for a, b in blocks)]
+
     def spans(self, text: str) -> list[tuple[str, int, int]]:
         """(kind, start, end) in code points, by start, then kind as listed."""
         return sorted(self.base(text) + self.structural(text), key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
