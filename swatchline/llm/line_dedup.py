@@ -1,18 +1,18 @@
 """Line dedup by a fixed-depth log-template tree, in DataFrame operations only.
 
 A line's tokens are split at blanks; a token with a digit is a variable field. The tree's first level is the token
-count, the next LEADING levels are the leading tokens; a leaf holds the lines that agree in these. A leaf keeps log
-groups: each distinct line, in the order of smallest doc_id, joins the group with which it shares most tokens, if these
-are at least CONSTANT of its positions, else it begins a group; positions in which a group's lines differ become its
-fields. So a frequent line counts once, and lines of other groups don't matter. A group is a template, and so is a line
-as it stands, digits aside. A template recurs when min_docs different texts hold it: all its lines are then dropped,
-but for those of the smallest doc_id that has it, so that no content is lost. Lines of under min_tokens
-tokens are templates only as they stand, with their digits, since a number alone isn't a variable of anything; blank
-lines stay. A line that is too long to recur by chance (min_tokens tokens, or LONG characters where there are fewer)
-recurs with its digits when only min_copies different texts hold it. Exact copies of a text count once, so that copies don't make each other's lines recur.
-
-op3_line_dedup gives what ORACLE_SQL says, which is less (as_sql): one template a leaf, in whose constant positions one
-token stands in over half of the leaf's lines, weighted by texts; and no lines of under MIN_TOKENS tokens or in under MIN_DOCS texts.
+count, the next LEADING levels are the leading tokens; a leaf holds the distinct lines that agree in these, each of
+them once however many texts hold it. In a leaf a token's support at a position is the number of lines that have it
+there. A line's group support is the greatest number that CONSTANT of its positions reach, and must be VARIANTS at least;
+positions with less than half of it are further variable fields. So lines of one make find the same template whatever
+else their leaf holds: unrelated lines neither share their tokens nor outvote them. No leaf is gathered in one place.
+
+A template recurs when min_docs different texts hold it, and so does a line as it stands, digits aside: all its lines are
+dropped then, but for those of the smallest id that has it, so that no content is lost. Lines of under MIN_TOKENS tokens
+are templates only as they stand, with their digits, since a number alone isn't a variable of anything; blank lines stay.
+A line that is too long to recur by chance (MIN_TOKENS tokens, or LONG characters where there are fewer) recurs, with its
+digits, when only min_copies different texts hold it. Exact copies of a text count once, so that copies don't make each
+other's lines recur. ORACLE_SQL says the same.
 """
 
 from __future__ import annotations
@@ -20,9 +20,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swatchline.llm.common import cut, table
+from swatchline.llm.common import cut, discard, table
 
-LEADING, CONSTANT = 3, 0.7
+LEADING, CONSTANT, VARIANTS = 3, 0.7, 3
 MIN_TOKENS, MIN_DOCS = 4, 3
 LONG, MIN_COPIES = 20, 2
 FIELD = "<*>"
@@ -37,107 +37,101 @@ def _tokens(line: Column) -> Column:
     return F.array_remove(F.split(line, r"[ \t\r]+"), "")
 
 
-def _majority(found: DataFrame, min_docs: int) -> DataFrame:
-    """(line, first) of the lines that agree with their leaf's majority, as ORACLE_SQL has it."""
-    votes = found.select("leaf", "texts", "total", F.size("tokens").alias("n"), F.posexplode("tokens").alias("i", "token"))
-    votes = votes.groupBy("leaf", "n", "total", "i", "token").agg(F.sum("texts").alias("c")).where(2 * F.col("c") > F.col("total"))
-    shapes = votes.groupBy("leaf", "n").agg(F.count("*").alias("constant"), F.map_from_entries(F.collect_list(F.struct("i", "token"))).alias("shape")).where(F.col("constant") >= CONSTANT * F.col("n"))
-    fits = found.join(shapes.select("leaf", "shape"), "leaf").where(F.forall(F.map_entries("shape"), lambda e: F.get("tokens", e["key"]) == e["value"]))
-    general = fits.groupBy("leaf").agg(F.sum("texts").alias("c"), F.min("first").alias("first")).where(F.col("c") >= min_docs).select("leaf", "first")
-    return fits.select("line", "leaf").join(general, "leaf").select("line", "first")
+def _lines(keyed: DataFrame) -> DataFrame:
+    """One row for each line with tokens: id, th, pos, and hashes of its tokens (line), leaf and digits (told)."""
+    told = F.lit(None).cast("array<string>")  # tokens with their digits, of lines with fields
+    masked = F.transform(F.split(_masked(F.col("text")), "\n"), lambda x: F.struct(_tokens(x).alias("tokens"), told.alias("told")))
+    short = lambda x: F.size(x["tokens"]) < MIN_TOKENS
+    with_digits = lambda x, own: F.struct(F.when(short(x), own).otherwise(x["tokens"]).alias("tokens"), F.when(~short(x), own).alias("told"))
+    line = F.zip_with(masked, F.split("text", "\n"), lambda x, own: F.when(F.array_contains(x["tokens"], FIELD), with_digits(x, _tokens(own))).otherwise(x))
+    rows = keyed.select("id", "th", F.posexplode(line).alias("pos", "x")).select("id", "th", "pos", "x.*").where(F.size("tokens") > 0)
+    leaf = F.when(F.size("tokens") >= MIN_TOKENS, F.xxhash64(F.size("tokens"), F.slice("tokens", 1, LEADING)))
+    long = F.col("told").isNull() & ((F.size("tokens") >= MIN_TOKENS) | (F.length(F.array_join("tokens", "")) >= LONG))
+    return rows.select("id", "th", "pos", F.xxhash64("tokens").alias("line"), leaf.alias("leaf"), long.alias("long"), F.when(F.col("told").isNotNull(), F.xxhash64("told")).alias("told"))
 
 
-def _joined(groups: Column, x: Column) -> Column:
-    """A leaf's log groups once the line x has joined one or begun its own. Hashes of tokens; null is a field."""
-    own = F.struct(x["tokens"].alias("shape"), F.array(x["line"]).alias("lines"))
+def _tokens_of(kinds: DataFrame, keyed: DataFrame) -> DataFrame:
+    """(line, leaf, tokens) of the kinds of line that share their leaf with enough others, tokens as hashes.
 
-    def step(shared: Column) -> Column:
-        at = F.array_position(shared, F.array_max(shared)) - 1
-        shape = lambda g: F.zip_with(g["shape"], x["tokens"], lambda a, b: F.when(a == b, a))
-        grown = F.transform(groups, lambda g, i: F.when(i == at, F.struct(shape(g).alias("shape"), F.concat(g["lines"], F.array(x["line"])).alias("lines"))).otherwise(g))
-        return F.when(F.array_max(shared) >= CONSTANT * F.size(x["tokens"]), grown).otherwise(F.concat(groups, F.array(own)))
-
-    same = F.transform(groups, lambda g: F.size(F.filter(F.zip_with(g["shape"], x["tokens"], lambda a, b: a == b), lambda e: F.coalesce(e, F.lit(False)))))
-    return F.get(F.transform(F.array(same), step), F.lit(0))
-
-
-def _groups(found: DataFrame, lines: DataFrame, min_docs: int) -> DataFrame:
-    """(line, first) of the lines whose log group is in min_docs different texts."""
-    kinds = found.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("first", "line", F.transform("tokens", lambda t: F.xxhash64(t)).alias("tokens")))).alias("kinds"))
-    begun = F.array(F.struct(F.get("kinds", F.lit(0))["tokens"].alias("shape"), F.array(F.get("kinds", F.lit(0))["line"]).alias("lines")))
-    groups = F.aggregate(F.slice("kinds", F.lit(2), F.size("kinds")), begun, _joined)
-    groups = kinds.select(F.explode(F.transform(groups, lambda g: g["lines"])).alias("group")).where(F.size("group") > 1)
-    groups = cut(groups.select(F.xxhash64("group").alias("group"), F.explode("group").alias("line")))
-    held = lines.join(groups, "line").groupBy("group").agg(F.countDistinct("_th").alias("c"), F.min("_id").alias("first")).where(F.col("c") >= min_docs).select("group", "first")
-    return groups.join(held, "group").select("line", "first")
-
-
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, min_tokens: int = MIN_TOKENS, min_copies: int = MIN_COPIES, as_sql: bool = False) -> DataFrame:
-    """docs with `text_col` less its dropped lines, and n_lines and n_dropped; names of the input stay.
-
-    A null text stays null with no lines; an empty text has one line, which stays. Rows with a null id lose their
-    recurring lines like others, and keep one only if no row with an id has it. Rows of one id and text are alike.
+    Their tokens are read again, from one text for each kind.
     """
-    keyed = docs.withColumn("_id", F.col(id_col).cast("long")).withColumn("_text", F.col(text_col).cast("string")).withColumn("_th", F.xxhash64("_text"))
-    told = F.lit(None).cast("array<string>")  # tokens with their digits, of templates with fields
-    line = F.transform(F.split(_masked(F.col("_text")), "\n"), lambda x: F.struct(_tokens(x).alias("tokens"), told.alias("told")))
-    if not as_sql:
-        short = lambda x: F.size(x["tokens"]) < min_tokens
-        with_digits = lambda x, own: F.struct(F.when(short(x), own).otherwise(x["tokens"]).alias("tokens"), F.when(~short(x), own).alias("told"))
-        line = F.zip_with(line, F.split("_text", "\n"), lambda x, own: F.when(F.array_contains(x["tokens"], FIELD), with_digits(x, _tokens(own))).otherwise(x))
-    lines = keyed.select("_id", "_th", F.posexplode(line).alias("pos", "_x")).select("_id", "_th", "pos", "_x.*").where(F.size("tokens") >= (min_tokens if as_sql else 1))
-    leaf = F.when(F.size("tokens") >= min_tokens, F.xxhash64(F.size("tokens"), F.slice("tokens", 1, LEADING)))
-    long = F.lit(False) if as_sql else F.col("told").isNull() & ((F.size("tokens") >= min_tokens) | (F.length(F.array_join("tokens", "")) >= LONG))
-    lines = cut(lines.select("_id", "_th", "pos", F.xxhash64("tokens").alias("line"), leaf.alias("leaf"), long.alias("long"), F.when(F.col("told").isNotNull(), F.xxhash64("told")).alias("told")))
-
-    place = F.struct("_id", "_th", "pos")
-    by_text = lines.groupBy("line", "leaf", "long", "_th").agg(F.min("_id").alias("_id"), F.min(place).alias("place"))
-    kinds = cut(by_text.groupBy("line", "leaf", "long").agg(F.count("*").alias("texts"), F.min("_id").alias("first"), F.min("place").alias("place")))
+    wide = kinds.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= VARIANTS).select("leaf")
+    told = kinds.join(wide, "leaf").select("line", "leaf", "place.*")
+    wanted = told.groupBy(F.coalesce("id", F.lit(0)).alias("k"), F.col("id").isNull().alias("none"), "th").agg(F.collect_list(F.struct("pos", "line", "leaf")).alias("want"))
+    texts = keyed.select(F.coalesce("id", F.lit(0)).alias("k"), F.col("id").isNull().alias("none"), "th", "text")
+    found = wanted.join(texts, ["k", "none", "th"]).select(F.split("text", "\n").alias("lines"), "want")
+    found = found.select(F.explode(F.transform("want", lambda x: F.struct(x["line"].alias("line"), x["leaf"].alias("leaf"), F.get("lines", x["pos"]).alias("told")))).alias("x")).select("x.*")
+    found = found.groupBy("line", "leaf").agg(F.min("told").alias("told"))
+    return found.select("line", "leaf", F.transform(_tokens(_masked(F.col("told"))), lambda t: F.xxhash64(t)).alias("tokens"))
+
+
+def _templates(found: DataFrame) -> DataFrame:
+    """(line, template) of the lines that have fields besides those with digits, and enough support."""
+    each = found.select("line", "leaf", F.posexplode("tokens").alias("i", "token"))
+    support = each.groupBy("leaf", "i", "token").agg(F.count("*").alias("c"))
+    whole = each.join(support, ["leaf", "i", "token"]).groupBy("line", "leaf").agg(F.sort_array(F.collect_list(F.struct("i", "token", "c"))).alias("x"))
+    reach = F.ceil(F.lit(CONSTANT) * F.size("x")).cast("int")
+    whole = whole.withColumn("group", F.get(F.sort_array(F.col("x.c"), asc=False), reach - 1)).where(F.col("group") >= VARIANTS)
+    field = lambda e: 2 * e["c"] < F.col("group")
+    return whole.where(F.exists("x", field)).select("line", F.xxhash64("leaf", F.transform("x", lambda e: F.when(field(e), 0).otherwise(e["token"]))).alias("template"))
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, min_copies: int = MIN_COPIES) -> DataFrame:
+    """docs with `text_col` less its dropped lines, and n_lines and n_dropped, which replace columns of these names.
+
+    Other columns stay, whatever their names. A null text stays null with no lines; an empty text has one line, which
+    stays. Rows with a null id lose their recurring lines like others, and keep one only if no row with an id has it.
+    Rows of one id and text are alike.
+    """
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in (text_col, "n_lines", "n_dropped")]
+    keyed = docs.select(F.struct(*others).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
+    lines = cut(_lines(keyed))
+
+    place = F.struct("id", "th", "pos")
+    by_text = lines.groupBy("line", "leaf", "long", "th").agg(F.min("id").alias("id"), F.min(place).alias("place"))
+    kinds = cut(by_text.groupBy("line", "leaf", "long").agg(F.count("*").alias("texts"), F.min("id").alias("first"), F.min("place").alias("place")))
     exact = kinds.where(F.col("texts") >= F.when(F.col("long"), F.least(F.lit(min_copies), F.lit(min_docs))).otherwise(min_docs)).select("line", "first")
 
-    # leaves with several kinds of line: their tokens are read again, one line of each kind
-    wide = kinds.groupBy("leaf").agg(F.sum("texts").alias("total"), F.count("*").alias("n")).where((F.col("n") > 1) & (F.col("total") >= min_docs)).select("leaf", "total")
-    told = kinds.join(wide, "leaf").select("line", "leaf", "texts", "first", "total", "place.*")
-    wanted = told.groupBy("_id", "_th").agg(F.collect_list(F.struct("pos", "line", "leaf", "texts", "first", "total")).alias("want"))
-    texts = keyed.select(F.coalesce("_id", F.lit(-1)).alias("_k"), "_th", "_text")
-    found = wanted.withColumn("_k", F.coalesce("_id", F.lit(-1))).drop("_id").join(texts, ["_k", "_th"])
-    found = found.select(F.split("_text", "\n").alias("_lines"), "want").select(F.explode(F.transform("want", lambda x: F.struct(x["line"].alias("line"), x["leaf"].alias("leaf"), x["texts"].alias("texts"), x["first"].alias("first"), x["total"].alias("total"), F.get("_lines", x["pos"]).alias("told")))).alias("x")).select("x.*")
-    found = found.groupBy("line", "leaf", "texts", "first", "total").agg(F.min("told").alias("told"))
-    found = cut(found.select("line", "leaf", "texts", "first", "total", _tokens(_masked(F.col("told"))).alias("tokens")))
-    general = _majority(found, min_docs) if as_sql else _groups(found, lines, min_docs)
-    dropped = exact.unionByName(general).groupBy("line").agg(F.min("first").alias("first"))
-
-    out = lines.join(dropped, "line").select("_id", "_th", "pos", "first")
-    if not as_sql:
-        told = lines.where(F.col("told").isNotNull()).select("_id", "_th", "pos", "told")
-        copies = told.groupBy("told").agg(F.countDistinct("_th").alias("c"), F.min("_id").alias("first")).where(F.col("c") >= min_copies).select("told", "first")
-        out = out.unionByName(told.join(copies, "told").select("_id", "_th", "pos", "first"))
-    out = out.where(~F.col("_id").eqNullSafe(F.col("first"))).groupBy(F.coalesce("_id", F.lit(-1)).alias("_k"), "_th").agg(F.collect_set("pos").alias("_drop"))
-    kept = keyed.withColumn("_k", F.coalesce("_id", F.lit(-1))).join(out, ["_k", "_th"], "left").withColumn("_lines", F.split("_text", "\n"))
-    text = F.when(F.col("_drop").isNull(), F.col("_text")).otherwise(F.array_join(F.filter("_lines", lambda x, i: ~F.array_contains("_drop", i)), "\n"))
-    names = [F.col(c) if c != text_col else text.alias(text_col) for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    return kept.select(*names, F.coalesce(F.size("_lines"), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_dropped"))
+    found = cut(_tokens_of(kinds, keyed))
+    groups = cut(_templates(found))
+    discard(found)
+    held = lines.join(groups, "line").groupBy("template").agg(F.countDistinct("th").alias("c"), F.min("id").alias("first")).where(F.col("c") >= min_docs).select("template", "first")
+    dropped = exact.unionByName(groups.join(held, "template").select("line", "first")).groupBy("line").agg(F.min("first").alias("first"))
+    out = lines.join(dropped, "line").select("id", "th", "pos", "first")
+    told = lines.where(F.col("told").isNotNull()).select("id", "th", "pos", "told")
+    copies = told.groupBy("told").agg(F.countDistinct("th").alias("c"), F.min("id").alias("first")).where(F.col("c") >= min_copies).select("told", "first")
+    out = out.unionByName(told.join(copies, "told").select("id", "th", "pos", "first")).where(~F.col("id").eqNullSafe(F.col("first")))
+
+    key = lambda: (F.coalesce("id", F.lit(0)).alias("k"), F.col("id").isNull().alias("none"), "th")
+    out = cut(out.groupBy(*key()).agg(F.collect_set("pos").alias("gone")))
+    rows = keyed.select("row", "text", *key()).join(out, ["k", "none", "th"], "left")
+    text = F.split("text", "\n")
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(text) - 1), "gone"), lambda i: F.get(text, i))
+    names = [F.col(f"row.`{c}`").alias(c) if c != text_col else F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    return rows.select(*names, F.coalesce(F.size(text), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), as_sql=True)
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 ORACLE_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, text FROM documents),
 s AS (SELECT rid, doc_id, text, string_split(text, chr(10)) ls FROM d),
 l AS (SELECT rid, doc_id, text, unnest(ls) line, unnest(range(len(ls))) pos FROM s),
-k AS (SELECT rid, doc_id, text, pos, list_transform(list_filter(string_split_regex(line, '[ \\t\\r]+'), lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '{FIELD}' ELSE x END) w FROM l),
-m AS (SELECT *, [len(w)::VARCHAR] || w[1:{LEADING}] leaf FROM k WHERE len(w) >= {MIN_TOKENS}),
-c AS (SELECT w, leaf, count(DISTINCT text) texts, min(doc_id) AS first FROM m GROUP BY w, leaf),
-f AS (SELECT leaf, sum(texts) total FROM c GROUP BY leaf HAVING count(*) > 1 AND sum(texts) >= {MIN_DOCS}),
-v AS (SELECT leaf, i, token, sum(texts) n, any_value(len(w)) len FROM (SELECT leaf, texts, w, unnest(w) token, unnest(range(len(w))) i FROM c JOIN f USING (leaf)) GROUP BY leaf, i, token),
-x AS (SELECT v.* FROM v JOIN f USING (leaf) WHERE 2 * n > total),
-p AS (SELECT leaf, count(*) k FROM x GROUP BY leaf HAVING count(*) >= {CONSTANT} * any_value(len)),
-a AS (SELECT c.w, c.leaf, c.texts, c.first FROM c JOIN p USING (leaf) WHERE (SELECT count(*) FROM x WHERE x.leaf = c.leaf AND c.w[x.i + 1] = x.token) = p.k),
-g AS (SELECT leaf, min(first) AS first FROM a GROUP BY leaf HAVING sum(texts) >= {MIN_DOCS}),
-t AS (SELECT w, min(first) AS first FROM (SELECT w, first FROM c WHERE texts >= {MIN_DOCS} UNION ALL SELECT a.w, g.first FROM a JOIN g USING (leaf)) GROUP BY w),
-r AS (SELECT k.rid, k.pos FROM m k JOIN t USING (w) WHERE k.doc_id IS DISTINCT FROM t.first),
+k AS (SELECT rid, doc_id, text, pos, list_filter(string_split_regex(line, '[ \\t\\r]+'), lambda x: x <> '') w FROM l),
+m0 AS (SELECT *, list_transform(w, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '{FIELD}' ELSE x END) x FROM k WHERE len(w) > 0),
+m AS (SELECT rid, doc_id, text, pos, w AS told, CASE WHEN len(w) < {MIN_TOKENS} THEN w ELSE x END w, len(w) >= {MIN_TOKENS} AND list_contains(x, '{FIELD}') fields, len(w) n FROM m0),
+c AS (SELECT w, any_value(n) n, count(DISTINCT text) texts, min(doc_id) AS first, bool_or(NOT fields AND (n >= {MIN_TOKENS} OR length(array_to_string(w, '')) >= {LONG})) long FROM m GROUP BY w),
+f AS (SELECT w, n, [n::VARCHAR] || w[1:{LEADING}] leaf FROM c WHERE n >= {MIN_TOKENS}),
+v AS (SELECT w, n, leaf, unnest(w) token, unnest(range(n)) i FROM f),
+u AS (SELECT *, count(*) OVER (PARTITION BY leaf, i, token) support FROM v),
+p AS (SELECT w, leaf, list(support ORDER BY support DESC)[ceil({CONSTANT}::DOUBLE * any_value(n))::BIGINT] needed FROM u GROUP BY w, leaf),
+q AS (SELECT u.w, u.leaf, list(CASE WHEN 2 * support < needed THEN NULL ELSE token END ORDER BY i) shape FROM u JOIN p USING (w, leaf) WHERE needed >= {VARIANTS} GROUP BY u.w, u.leaf HAVING bool_or(2 * support < needed)),
+g AS (SELECT leaf, shape, min(doc_id) AS first FROM m JOIN q USING (w) GROUP BY leaf, shape HAVING count(DISTINCT text) >= {MIN_DOCS}),
+t AS (SELECT w, min(first) AS first FROM (SELECT w, first FROM c WHERE texts >= CASE WHEN long THEN {MIN_COPIES} ELSE {MIN_DOCS} END UNION ALL SELECT q.w, g.first FROM q JOIN g ON q.leaf = g.leaf AND q.shape = g.shape) GROUP BY w),
+y AS (SELECT told, min(doc_id) AS first FROM m WHERE fields GROUP BY told HAVING count(DISTINCT text) >= {MIN_COPIES}),
+r AS (SELECT rid, pos FROM m JOIN t USING (w) WHERE m.doc_id IS DISTINCT FROM t.first UNION SELECT rid, pos FROM m JOIN y USING (told) WHERE fields AND m.doc_id IS DISTINCT FROM y.first),
 o AS (SELECT l.rid, count(*) n_lines, count(r.rid) n_dropped, string_agg(CASE WHEN r.rid IS NULL THEN l.line END, chr(10) ORDER BY l.pos) kept FROM l LEFT JOIN r USING (rid, pos) GROUP BY l.rid)
 SELECT d.doc_id, CASE WHEN n_dropped > 0 THEN coalesce(kept, '') ELSE d.text END text, coalesce(n_lines, 0)::BIGINT n_lines, coalesce(n_dropped, 0)::BIGINT n_dropped FROM d LEFT JOIN o USING (rid)
 """
