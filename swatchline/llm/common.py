@@ -30,6 +30,10 @@ CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
+#: A join's large side is filtered by a Bloom filter of the other side's keys, also where it is under 10 GB.
+BLOOM = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
+
+
 def cut(df: DataFrame, batch: int | None = None) -> DataFrame:
     """Writes a frame to the shared folder and reads it back: later steps don't depend on its executors.
 
@@ -37,10 +41,10 @@ def cut(df: DataFrame, batch: int | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/swatchline-{uuid.uuid4().hex}"
-    before = {k: spark.conf.get(k) for k in (CLEAN_UP, BATCH)}
-    spark.conf.set(CLEAN_UP, "true")
-    if batch:
-        spark.conf.set(BATCH, str(batch))
+    own = {CLEAN_UP: "true", BLOOM: "1MB"} | ({BATCH: str(batch)} if batch else {})
+    before = {k: spark.conf.get(k) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:

@@ -37,8 +37,8 @@ from swatchline.llm.common import components, cut, discard, small_batches, table
 from swatchline.llm.shingles import blocks, mix, shingle_sets
 
 SLOT_LOAD, LEAST_SLOTS, MOST_SLOTS, CHUNK = 16, 1 << 16, 1 << 24, 1 << 12
-#: A counter of at least so many may stand for a hot shingle; its group is formed by aggregates that combine first.
-HOT = 20_000
+#: A counter of at least so many, and of HOT_LOAD times the mean, may stand for a hot shingle; its group is split.
+HOT, HOT_LOAD, SALTS = 20_000, 8, 64
 PARITIES = 512
 #: Members of a group that are compared in one place, and members that meet one copy of their head's text.
 BLOCK, STAR = 2048, 2000
@@ -149,7 +149,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, texts: DataFrame, k: int) -> Da
     want = want.unionByName(parts.select(F.col("head").alias("id"), "head", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")))
     # written before they meet texts: then Spark knows their size, and few of them don't make all texts move
     want = cut(want.join(texts, "id"))
-    rows = docs.join(want, "doc").repartition("head", "part").sortWithinPartitions("head", "part", F.col("id") != F.col("head"))
+    # the comparison, always true, tells Spark that it pays to filter all texts by the keys of these few
+    rows = docs.join(want.where("part >= 0"), "doc").repartition("head", "part").sortWithinPartitions("head", "part", F.col("id") != F.col("head"))
     links = cut(rows.select("head", "part", "id", "text").mapInPandas(_verify(k), "id long, head long").distinct())
     discard(pairs, want)
     return links
@@ -269,7 +270,7 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     classes = cut(classes.withColumn("id", F.monotonically_increasing_id()))
     texts = classes.select("id", "doc")
 
-    known = docs.where("doc is not null").select("text").mapInPandas(_prefixes(k, slots, sketch, hot), "token long, n long, k1 long, i int, hot boolean")
+    known = docs.where("doc is not null").select("text").mapInPandas(_prefixes(k, slots, sketch, max(hot, HOT_LOAD * int(counts.mean()))), "token long, n long, k1 long, i int, hot boolean")
     members = cut(_grouped(known).join(classes.select("n", "k1", "id"), ["n", "k1"]).select("token", "id", "n", "i"), batch=10_000)
     state = classes.select("id", "n", "odd")
 
@@ -300,15 +301,13 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def _grouped(prefix: DataFrame) -> DataFrame:
     """(token, n, k1, i) of the shingles that at least two classes have in their prefixes, one row for each class.
 
-    A shingle below HOT has fewer than HOT members, and one window suffices; the rest combine before they move.
+    Rows of a hot shingle are dealt out by class too; they all stay, since another part may hold a second class.
     """
-    by, me = Window.partitionBy("token").orderBy("n", "k1"), F.struct("n", "k1")
-    cold = prefix.where("not hot").select("token", "n", "k1", "i", me.alias("me"), F.lag(me).over(by).alias("lag"), F.lead(me).over(by).alias("lead"), F.first(me).over(by).alias("first"))
+    by, me = Window.partitionBy("token", "salt").orderBy("n", "k1"), F.struct("n", "k1")
+    rows = prefix.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("k1"), F.lit(SALTS)).cast("int")).otherwise(-1))
+    rows = rows.select("token", "n", "k1", "i", "hot", me.alias("me"), F.lag(me).over(by).alias("lag"), F.lead(me).over(by).alias("lead"), F.first(me).over(by).alias("first"))
     # a group's first class shows by its last row, the others by their first
-    cold = cold.where("(lag is not null and lag <> me) or (first = me and lead is not null and lead <> me)").select("token", "n", "k1", "i")
-    hot = prefix.where("hot").groupBy("token", "n", "k1").agg(F.min("i").alias("i"))
-    several = hot.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
-    return cold.unionByName(hot.join(several, "token", "left_semi").select("token", "n", "k1", "i"))
+    return rows.where("(lag is not null and lag <> me) or (first = me and (hot and lag is null or not hot and lead is not null and lead <> me))").select("token", "n", "k1", "i")
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
