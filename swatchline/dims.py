@@ -83,6 +83,9 @@ PROPERTY_CATEGORIES = {
 CATEGORY_NAMES = {"background": "bg|background", "text": "text|font|foreground", "border": "border|outline|ring|divide", "shadow": "shadow", "fill": "fill|stroke"}
 EXCLUDED = r"(^|/)(node_modules|\.git|dist|build|coverage|\.next)/|\.min\.(js|css)$|\.map$|(^|/)(package-lock\.json|yarn\.lock|pnpm-lock\.yaml|bun\.lockb)$"
 
+# White space as the trimmed and split strings know it
+SPACE = r"[\t\n\x0B\f\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
+TRIM = f"^{SPACE}+|{SPACE}+$"
 # Patterns of literals
 COLOR = "(?i)" + "|".join([r"#(?:[0-9a-fA-F]{3,4}){1,2}\b", r"\brgba?\([^)]+\)", r"\bhsla?\([^)]+\)", *(rf"\b{f}\([^)]+\)" for f in FUNCTIONS), r"\bcolor\(\s*(?:" + "|".join(COLOR_SPACES) + r")\b[^)]*\)"])
 NAMED_CSS = "(?:" + "|".join(CSS_PROPERTIES) + r")\s*:\s*(?:[a-zA-Z]+)"

@@ -29,7 +29,7 @@ def _number(c: Column) -> Column:
 
 
 def normal(value: Column) -> Column:
-    return F.lower(F.trim(value))
+    return F.lower(F.regexp_replace(value, dims.TRIM, ""))
 
 
 def color_type(value: Column) -> Column:

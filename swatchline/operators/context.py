@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from swatchline import dims
+from swatchline.operators.extract import trimmed
 
 
 def _any(column: Column, patterns: list[str]) -> Column:
@@ -52,7 +53,7 @@ def file_info(lines: DataFrame) -> DataFrame:
 
 def context(text: Column, value: Column) -> Column:
     """The first rule that holds; the columns of file_info must be at hand."""
-    t = F.trim(text)
+    t = trimmed(text)
     c = F.coalesce
     no = F.lit(False)
     canvas, builder, usage, style, definition, mapping = (c(F.col(x), no) for x in ("is_canvas", "is_builder", "has_usage", "is_style", "is_definition", "is_mapping"))
@@ -67,7 +68,7 @@ def context(text: Column, value: Column) -> Column:
         .when(t.rlike(dims.KEY_CSS) & F.element_at(F.split(t, ":"), -1).rlike(dims.KEY_SUFFIX), "mapping")
         .when(t.rlike(dims.KEY_HEX) | t.rlike(dims.KEY_STRING), "mapping")
         .when(t.rlike(dims.BRIDGE) | t.rlike(dims.FALLBACK), "canvas")
-        .when(_any(value, dims.EFFECTS), "effect")
+        .when(_any(F.lower(value), dims.EFFECTS), "effect")
         .when(value.rlike(dims.EFFECT_HEX) & t.rlike(dims.EFFECT_LINE), "effect")
         .otherwise("actionable")
     )

@@ -12,11 +12,16 @@ from swatchline import dims
 
 def matches(lines: DataFrame, pattern: str, name: str = "value") -> DataFrame:
     """One row per match: the columns of lines, `name`, and col (1-based, in bytes)."""
-    found = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
-    rows = lines.where(F.col("text").rlike(pattern)).withColumn("_found", found).withColumn("_pieces", F.split("text", pattern))
-    rows = rows.select("*", F.posexplode("_found").alias("_i", name))
-    before = F.octet_length(F.array_join(F.slice("_pieces", 1, F.col("_i") + 1), "")) + F.octet_length(F.array_join(F.slice("_found", 1, F.col("_i")), ""))
-    return rows.withColumn("col", (before + 1).cast("int")).drop("_found", "_pieces", "_i")
+    found, pieces = F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), F.split("text", pattern)
+    # a match starts behind the pieces up to it and the matches before it; their lengths are added, not their strings
+    steps = F.zip_with(found, F.slice(pieces, 1, F.size(found)), lambda m, p: F.struct(m.alias("m"), F.octet_length(m).alias("own"), F.octet_length(p).alias("gap")))
+    ends = lambda all_, i: F.aggregate(F.slice(all_, 1, i), F.lit(1), lambda at, x: at + x["own"] + x["gap"])
+    hits = F.transform(F.array(steps), lambda all_: F.transform(all_, lambda x, i: F.struct(x["m"].alias(name), (ends(all_, i) + x["gap"]).cast("int").alias("col"))))
+    return lines.where(F.col("text").rlike(pattern)).select("*", F.inline(F.get(hits, F.lit(0))))
+
+
+def trimmed(text: Column) -> Column:
+    return F.regexp_replace(text, dims.TRIM, "")
 
 
 def color_literals(lines: DataFrame) -> DataFrame:
@@ -49,18 +54,18 @@ def tailwind_classes(lines: DataFrame) -> DataFrame:
 def class_attributes(lines: DataFrame) -> DataFrame:
     """Class attributes' values, trimmed; blank ones and comment lines are left out."""
     rows = reduce(DataFrame.unionAll, (matches(lines.where(~F.col("text").rlike(dims.COMMENT_LINE_JSX)), p, "match") for p in dims.CLASS_ATTRIBUTES))
-    return rows.withColumn("classes", F.trim(F.regexp_extract("match", dims.CLASS_VALUE, 1))).where("classes <> ''").drop("match")
+    return rows.withColumn("classes", trimmed(F.regexp_extract("match", dims.CLASS_VALUE, 1))).where("classes <> ''").drop("match")
 
 
 def class_functions(lines: DataFrame) -> DataFrame:
     """Class-like quoted arguments of class functions; the two patterns overlap, and both count."""
     rows = reduce(DataFrame.unionAll, (matches(lines.where(~F.col("text").rlike(dims.COMMENT_LINE_JSX)), p, "match") for p in dims.CLASS_FUNCTIONS))
-    rows = rows.withColumn("classes", F.explode(F.regexp_extract_all("match", F.lit(dims.CLASS_ARGUMENT), F.lit(1)))).withColumn("classes", F.trim("classes"))
+    rows = rows.withColumn("classes", F.explode(F.regexp_extract_all("match", F.lit(dims.CLASS_ARGUMENT), F.lit(1)))).withColumn("classes", trimmed(F.col("classes")))
     return rows.where("NOT contains(classes, '${') AND (contains(classes, '-') OR contains(classes, ' '))").drop("match")
 
 
 def class_tokens(classes: Column) -> Column:
-    return F.array_remove(F.split(classes, r"\s+"), "")
+    return F.array_remove(F.split(classes, f"{dims.SPACE}+"), "")
 
 
 def css_property(text: Column) -> Column:
@@ -69,12 +74,14 @@ def css_property(text: Column) -> Column:
     return F.coalesce(first(dims.CSS_PROPERTY), first(dims.JS_PROPERTY))
 
 
-def entry_files(lines: DataFrame) -> DataFrame:
-    return lines.where(F.regexp_extract("file", r"([^/]*)$", 1).isin(dims.TW_ENTRY_FILES))
+def entry_files(lines: DataFrame, roots: list[str]) -> DataFrame:
+    """Lines of the style sheets that may hold a theme: those of fixed names directly in a root, or a root that is one."""
+    named = [f"{r.rstrip('/')}/{n}" if r.rstrip("/") not in ("", ".") else n for r in roots for n in dims.TW_ENTRY_FILES]
+    return lines.where(F.col("file").isin(named + [r for r in roots if r.lower().endswith(".css")]))
 
 
-def theme_variables(lines: DataFrame) -> DataFrame:
+def theme_variables(lines: DataFrame, roots: list[str]) -> DataFrame:
     """Distinct variables of @theme blocks in entry files: file, name. A block may span lines; entry files are small."""
-    content = entry_files(lines).groupBy("file").agg(F.array_sort(F.collect_list(F.struct("line", "text"))).alias("all")).select("file", F.array_join(F.transform("all", lambda x: x["text"]), "\n").alias("content"))
+    content = entry_files(lines, roots).groupBy("file").agg(F.array_sort(F.collect_list(F.struct("line", "text"))).alias("all")).select("file", F.array_join(F.transform("all", lambda x: x["text"]), "\n").alias("content"))
     rows = content.select("file", F.explode(F.regexp_extract_all("content", F.lit(dims.THEME_BLOCK), F.lit(1))).alias("block")).select("file", F.explode(F.split("block", "\n")).alias("text"))
     return rows.select("file", F.regexp_extract("text", dims.THEME_VAR, 1).alias("name")).where("name <> ''").distinct()

@@ -89,9 +89,9 @@ def queries() -> dict:
         "class_functions": lambda s, d: extract.class_functions(_lines(s, d)).drop("text"),
         "pages_class_attributes": _flat_pages,
         "css_property": lambda s, d: _lines(s, d).select("file", "line", extract.css_property(F.col("text")).alias("prop")),
-        "theme_vars": lambda s, d: extract.theme_variables(_lines(s, d)),
-        "utility_count": lambda s, d: extract.entry_files(_lines(s, d)).groupBy("file").agg(F.sum(F.regexp_count("text", F.lit(dims.UTILITY))).cast("long").alias("utilities")),
-        "tailwind_version": lambda s, d: commands.tailwind_v4(_lines(s, d)),
+        "theme_vars": lambda s, d: extract.theme_variables(_lines(s, d), oracle.ROOTS),
+        "utility_count": lambda s, d: extract.entry_files(_lines(s, d), oracle.ROOTS).groupBy("file").agg(F.sum(F.regexp_count("text", F.lit(dims.UTILITY))).cast("long").alias("utilities")),
+        "tailwind_version": lambda s, d: commands.tailwind_v4(_lines(s, d), oracle.ROOTS),
         "color_type": lambda s, d: _typed(_values(s, d)),
         "parse_hex": lambda s, d: _rgb(_parsed(s, d).where("value like '#%'")),
         "parse_rgb": lambda s, d: _rgb(_parsed(s, d).where("lower(value) like 'rgb%'")),
@@ -134,6 +134,11 @@ def queries() -> dict:
         "class_freq": lambda s, d: commands.class_frequency(_lists(s, d)),
         "class_pairs": lambda s, d: commands.class_pairs(_lists(s, d)),
         "subset_relations": lambda s, d: commands.subset_relations(_lists(s, d)),
+        "patterns_locations": lambda s, d: commands.pattern_locations(_lists(s, d)),
+        "colors_json": lambda s, d: report.colors_document(commands.colors(_lines(s, d))),
+        "compare_json": lambda s, d: report.compare_document(_compare(s, d), _palette(s, d), 10),
+        "tailwind_json": lambda s, d: report.tailwind_document(commands.tailwind(_lines(s, d), _palette(s, d)), commands.tailwind_v4(_lines(s, d), oracle.ROOTS)),
+        "patterns_json": lambda s, d: report.patterns_document(_lists(s, d)),
         "patterns_summary": lambda s, d: report.patterns_summary(commands.patterns(_lists(s, d))),
     }
     return q

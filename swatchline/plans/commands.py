@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import warnings
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,7 +47,7 @@ def colors(lines: DataFrame, named: bool = True) -> DataFrame:
 
 def compare(lines: DataFrame, palette: DataFrame, threshold: float = 10) -> DataFrame:
     """Colour literals with their palette entry by meaning, status and suggestions."""
-    rows = _plain_hits(lines).withColumn("prop", extract.css_property(F.col("text"))).withColumn("rgb", color.parse_color(F.col("value")))
+    rows = _first_of_place(_plain_hits(lines).withColumn("_rank", F.lit(0)), "_rank").drop("_rank").withColumn("prop", extract.css_property(F.col("text"))).withColumn("rgb", color.parse_color(F.col("value")))
     rows = rows.withColumn("lab", color.to_lab(F.col("rgb"))).withColumn("cat", match.category(F.col("prop"))).withColumn("hex", color.to_hex(F.col("rgb")))
     rows = match.nearest_semantic(rows, palette).withColumn("status", match.status(option_number(threshold, 10)))
     rows = context.with_context(rows, lines).withColumn("actionable", F.col("context") == "actionable")
@@ -63,6 +66,40 @@ def baseline(rows: DataFrame) -> DataFrame:
     return rows.select("file", "line", "col", "value", "hex", "status", "context")
 
 
+def save_baseline(rows: DataFrame, path: str) -> None:
+    """Writes the baseline as JSON lines below a path that Spark can write; an earlier one there is replaced."""
+    baseline(rows).write.mode("overwrite").json(path)
+
+
+def since_baseline(rows: DataFrame, path: str) -> DataFrame:
+    """Rows that a saved baseline lacks. Where there is none, or not all of it can be parsed: a warning, and all rows."""
+    fields = "file string, line int, col int, value string, hex string, status string, context string, _bad string"
+    try:
+        old = rows.sparkSession.read.schema(fields).option("columnNameOfCorruptRecord", "_bad").json(path)
+    except AnalysisException:
+        warnings.warn(f"no baseline at {path}: all rows are new", stacklevel=2)
+        return rows
+    if old.where("_bad is not null or file is null").head(1):
+        warnings.warn(f"the baseline at {path} can't be parsed: all rows count as new", stacklevel=2)
+        return rows
+    return diff(rows, old)
+
+
+def fixed_files(lines: DataFrame, rows: DataFrame) -> DataFrame:
+    """Every changed file as a whole: file, content, n_fixed. Lines are joined within a file, in order."""
+    changed = fixed_lines(lines, rows).select("file", "line", F.col("text").alias("new"), "n_fixed")
+    touched = lines.join(changed.select("file").distinct(), "file", "left_semi").join(changed, ["file", "line"], "left")
+    whole = touched.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("line", F.coalesce("new", "text").alias("text")))).alias("all"), F.sum("n_fixed").alias("n_fixed"))
+    return whole.select("file", F.array_join(F.col("all.text"), "\n").alias("content"), "n_fixed")
+
+
+def write_fixed(lines: DataFrame, rows: DataFrame, folder: str) -> int:
+    """Writes the changed files below a new folder, each as text in a folder file=<its escaped name>; the count of fixes."""
+    files = fixed_files(lines, rows)
+    files.select("file", F.col("content").alias("value")).write.partitionBy("file").text(folder)
+    return files.agg(F.coalesce(F.sum("n_fixed"), F.lit(0))).first()[0]
+
+
 def fixed_lines(lines: DataFrame, rows: DataFrame) -> DataFrame:
     """Changed lines: file, line, text, n_fixed. Exact, actionable rows are replaced from the right.
 
@@ -90,14 +127,14 @@ def tailwind(lines: DataFrame, palette: DataFrame | None = None, threshold: floa
     exact = F.concat(F.lit("Use var("), "near_name", F.lit(") or a Tailwind theme color instead of "), "arbitrary")
     close = F.concat(F.lit("Close to "), "near_name", F.lit(" ("), "near_hex", F.lit(", dE="), shown, F.lit(")"))
     rows = rows.withColumn("suggestion", F.when(F.col("arbitrary_status") == "exact", exact).when(F.col("arbitrary_status") == "close", close))
-    return rows.select("file", "line", "col", "value", "prefix", "color", "shade", "opacity", "arbitrary", "near_name", "near_hex", "near_distance", "arbitrary_status", "suggestion")
+    return rows.select("file", "line", "col", "value", "prefix", "color", "shade", "opacity", "arbitrary", extract.trimmed(F.col("text")).alias("context"), "near_name", "near_hex", "near_distance", "arbitrary_status", "suggestion")
 
 
-def tailwind_v4(lines: DataFrame) -> DataFrame:
+def tailwind_v4(lines: DataFrame, roots: list[str]) -> DataFrame:
     """One row: version, theme_vars, utilities, files with a theme."""
-    entry = extract.entry_files(lines)
+    entry = extract.entry_files(lines, roots)
     counts = entry.agg(F.coalesce(F.bool_or(F.col("text").rlike(dims.THEME_OPEN)), F.lit(False)).alias("v4"), F.coalesce(F.sum(F.regexp_count("text", F.lit(dims.UTILITY))), F.lit(0)).cast("long").alias("utilities"))
-    names = extract.theme_variables(lines).agg(F.count("*").alias("theme_vars"))
+    names = extract.theme_variables(lines, roots).agg(F.count("*").alias("theme_vars"))
     files = entry.where(F.col("text").rlike(dims.THEME_OPEN)).agg(F.array_join(F.array_sort(F.collect_set("file")), ",").alias("files"))
     return counts.join(names).join(files).select(F.when(F.col("v4"), 4).otherwise(3).alias("version"), "theme_vars", "utilities", "files")
 
@@ -116,23 +153,35 @@ def patterns(lists: DataFrame, min_count: int = 2) -> DataFrame:
     return all_patterns(lists).where(F.col("n") >= min_count).withColumn("impact", F.col("n") * F.col("class_count"))
 
 
+def pattern_locations(lists: DataFrame, min_count: int = 2) -> DataFrame:
+    """Every place of the patterns that are reported: pattern, file, line, col, original, context, source."""
+    rows = lists.withColumn("pattern", F.array_join(F.array_sort("tokens"), " "))
+    found = rows.join(patterns(lists, min_count).select("pattern"), "pattern")
+    return found.select("pattern", "file", "line", "col", F.col("classes").alias("original"), extract.trimmed(F.col("text")).alias("context"), "source")
+
+
 def class_frequency(lists: DataFrame) -> DataFrame:
     return lists.select(F.explode("tokens").alias("class")).groupBy("class").agg(F.count("*").alias("n"))
 
 
 def class_pairs(lists: DataFrame, min_count: int = 2, top: int = 20) -> DataFrame:
     """The pairs of classes that stand together most; ties by name. The report holds the first `top`."""
-    frequent = class_frequency(lists).where(F.col("n") >= min_count).select("class")
-    rows = all_patterns(lists).select("pattern", "n", F.posexplode(F.split("pattern", " ")).alias("i", "class")).join(frequent, "class")
-    other = rows.select("pattern", F.col("i").alias("j"), F.col("class").alias("other"))
-    pairs = rows.join(other, "pattern").where("i < j").groupBy(F.concat_ws(" ", "class", "other").alias("pair")).agg(F.sum("n").alias("n"))
-    return pairs.where(F.col("n") >= 2 * min_count).orderBy(F.desc("n"), "pair").limit(top)
+    # formed within a pattern; frequent pairs are few, and those of a class that is not frequent by itself go
+    own = F.split("pattern", " ")
+    pairs = F.flatten(F.transform(F.array(own), lambda c: F.flatten(F.transform(c, lambda x, i: F.transform(F.slice(c, i + 2, F.size(c)), lambda y: F.concat_ws(" ", x, y))))))
+    pairs = all_patterns(lists).select("n", F.explode(pairs).alias("pair")).groupBy("pair").agg(F.sum("n").alias("n"))
+    frequent, pairs = class_frequency(lists).where(F.col("n") >= min_count).select("class"), pairs.where(F.col("n") >= 2 * min_count)
+    for i in (0, 1):
+        pairs = pairs.join(frequent, F.split("pair", " ")[i] == F.col("class"), "left_semi")
+    return pairs.orderBy(F.desc("n"), "pair").limit(top)
 
 
 def subset_relations(lists: DataFrame, min_count: int = 2, top: int = 10) -> DataFrame:
-    """Patterns whose set of classes is a proper subset of another's; joined on one class of the smaller set."""
+    """Patterns whose set of classes is a proper subset of another's; joined on the rarest class of the smaller set."""
     rows = patterns(lists, min_count).withColumn("classes", F.array_distinct(F.split("pattern", " ")))
-    small = rows.select(F.col("pattern").alias("subset"), F.col("impact").alias("i"), F.col("n").alias("subset_count"), F.col("classes").alias("a"), F.col("classes")[0].alias("class"))
+    each = rows.select("pattern", F.explode("classes").alias("class"))
+    rare = each.join(each.groupBy("class").agg(F.count("*").alias("c")), "class").groupBy("pattern").agg(F.min_by("class", F.struct("c", "class")).alias("class"))
+    small = rows.join(rare, "pattern").select(F.col("pattern").alias("subset"), F.col("impact").alias("i"), F.col("n").alias("subset_count"), F.col("classes").alias("a"), "class")
     large = rows.select(F.col("pattern").alias("superset"), F.col("impact").alias("j"), F.col("n").alias("superset_count"), F.col("classes").alias("b"), F.explode("classes").alias("class"))
     found = small.join(large, "class").where("size(a) < size(b) and size(array_except(a, b)) = 0")
     found = found.orderBy(F.desc("i"), "subset", F.desc("j"), "superset").limit(top)

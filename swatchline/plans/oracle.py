@@ -5,6 +5,8 @@ from __future__ import annotations
 from swatchline import dims
 from swatchline.sources.lines import FILES, TEMPLATES
 
+#: Folders of the projected tree that are searched for a theme, each as a path of its own.
+ROOTS = [f"src/app{u}" for u in range(6, 100, 10)]
 #: Properties that scalar queries are tried with.
 PROPERTIES = ["background-color", "color", "border-color", "box-shadow", "outline", "fill", "width"]
 
@@ -29,6 +31,10 @@ def _first(column: str, pattern: str, group: int = 1) -> str:
     return f"nullif(regexp_extract({column}, {_q(pattern)}, {group}), '')"
 
 
+def _trim(x: str) -> str:
+    return f"regexp_replace({x}, {_q(dims.TRIM)}, '', 'g')"
+
+
 def _hits(source: str, pattern: str, name: str = "value") -> str:
     """Matches of a pattern in the lines of a source, with byte columns."""
     return (
@@ -57,7 +63,7 @@ def _parsed(name: str, source: str, value: str = "value") -> list[str]:
     rgb = lambda i: f"CASE WHEN v LIKE 'rgb%' THEN floor({_component(dims.RGB_MODERN, dims.RGB_LEGACY, i)} * CASE WHEN {_has('v', dims.RGB_PERCENT)} THEN 2.55::DOUBLE ELSE 1 END + 0.5) END"
     hsl = lambda i, d: f"CASE WHEN v LIKE 'hsl%' THEN {_component(dims.HSL_MODERN, dims.HSL_LEGACY, i)} / {d} END"
     return [
-        f"{name}_1 AS (SELECT s.*, lower(trim(s.{value})) v, nc.hex nh FROM {source} s LEFT JOIN named nc ON nc.name = lower(trim(s.{value})))",
+        f"{name}_1 AS (SELECT s.*, lower({_trim(f"s.{value}")}) v, nc.hex nh FROM {source} s LEFT JOIN named nc ON nc.name = lower({_trim(f"s.{value}")}))",
         f"{name}_2 AS (SELECT *, replace(coalesce(nh, CASE WHEN v LIKE '#%' THEN v END), '#', '') h0, {', '.join(f'{rgb(i)} c{i}' for i in (1, 2, 3))}, {hsl(1, 360)} h, {hsl(2, 100)} s, {hsl(3, 100)} x FROM {name}_1)",
         f"{name}_3 AS (SELECT *, CASE WHEN length(h0) IN (3, 4) THEN h0[1] || h0[1] || h0[2] || h0[2] || h0[3] || h0[3] ELSE h0 END hd, CASE WHEN x < 0.5 THEN x * (1 + s) ELSE x + s - x * s END qq FROM {name}_2)",
         f"{name}_4 AS (SELECT *, 2 * x - qq pp FROM {name}_3)",
@@ -120,19 +126,19 @@ def _with_alpha(source: str) -> str:
 
 
 def _type(value: str) -> str:
-    v = f"lower(trim({value}))"
+    v = f"lower({_trim(value)})"
     tests = [("#", "hex"), *((n, n) for n in ("rgba", "rgb", "hsla", "hsl", *dims.FUNCTIONS)), ("color(", "color()")]
     return "CASE " + " ".join(f"WHEN starts_with({v}, {_q(p)}) THEN {_q(n)}" for p, n in tests) + f" WHEN {v} IN (SELECT name FROM named) THEN 'named' ELSE 'unknown' END"
 
 
 def _context(value: str) -> str:
-    t, has = "trim(text)", lambda p: _has("trim(text)", p)
+    t, has = _trim("text"), lambda p: _has(_trim("text"), p)
     return (
         f"CASE WHEN {has(dims.DEFINES)} THEN 'css-definition' WHEN is_canvas OR (has_usage AND NOT is_style) THEN 'canvas' WHEN is_builder THEN 'theme-definition' "
         f"WHEN is_definition THEN CASE WHEN contains({t}, 'var(--') THEN 'actionable' ELSE 'theme-definition' END WHEN is_mapping THEN 'mapping' "
         f"WHEN {has(dims.META_VALUE)} AND {has(dims.META_TAG)} THEN 'meta' WHEN {has(dims.TEMPLATE_OPEN)} AND {has(dims.TEMPLATE_VALUE)} THEN 'generated' "
         f"WHEN {has(dims.KEY_CSS)} AND {_has(f'string_split({t}, {_q(chr(58))})[-1]', dims.KEY_SUFFIX)} THEN 'mapping' WHEN {has(dims.KEY_HEX)} OR {has(dims.KEY_STRING)} THEN 'mapping' "
-        f"WHEN {has(dims.BRIDGE)} OR {has(dims.FALLBACK)} THEN 'canvas' WHEN {_any(value, dims.EFFECTS)} THEN 'effect' WHEN {_has(value, dims.EFFECT_HEX)} AND {has(dims.EFFECT_LINE)} THEN 'effect' ELSE 'actionable' END"
+        f"WHEN {has(dims.BRIDGE)} OR {has(dims.FALLBACK)} THEN 'canvas' WHEN {_any(f'lower({value})', dims.EFFECTS)} THEN 'effect' WHEN {_has(value, dims.EFFECT_HEX)} AND {has(dims.EFFECT_LINE)} THEN 'effect' ELSE 'actionable' END"
     )
 
 
@@ -154,7 +160,7 @@ def _ctes() -> dict[str, str]:
     part = lambda pattern, i: _first("value", pattern, i)
     arb, std, spec = (_has("value", x) for x in (dims.TW_ARBITRARY, dims.TW_STANDARD, dims.TW_SPECIAL))
     spec = f"({spec} AND regexp_extract(value, {_q(dims.TW_SPECIAL)}, 2) IN ({', '.join(_q(x) for x in dims.TW_SPECIALS)}))"
-    entry = f"regexp_extract(file, '([^/]*)$', 1) IN ({', '.join(_q(x) for x in dims.TW_ENTRY_FILES)})"
+    entry = f"file IN ({', '.join(_q(f'{r}/{n}') for r in ROOTS for n in dims.TW_ENTRY_FILES)})"
     plain = f"NOT {_has('text', dims.COMMENT_LINE)} AND NOT in_block AND NOT contains(value, '${{') AND type <> 'unknown'"
     out: list[str] = [
         f"src AS (SELECT file, row_number() OVER (PARTITION BY file ORDER BY event_id)::INTEGER line, text FROM (SELECT event_id, replace({_list(FILES)}[user_id % {len(FILES)} + 1], '{{u}}', user_id::VARCHAR) file, {text} text FROM events))",
@@ -179,7 +185,8 @@ def _ctes() -> dict[str, str]:
         "co1 AS (SELECT * FROM co0 QUALIFY row_number() OVER (PARTITION BY file, line, col ORDER BY rk, value) = 1)",
         *_parsed("co2", "co1"),
         f"colors AS (SELECT file, line, col, value, type, hex, text, context, CASE context {' '.join(f'WHEN {_q(a)} THEN {_q(b)}' for a, b in dims.CONTEXT_LABELS.items())} END AS label, context = 'actionable' AS actionable FROM (SELECT c.*, {_context('match')} context FROM co2 c JOIN info USING (file)))",
-        *_parsed("cm0", "ph"),
+        "ph1 AS (SELECT * FROM ph QUALIFY row_number() OVER (PARTITION BY file, line, col ORDER BY value) = 1)",
+        *_parsed("cm0", "ph1"),
         f"cm1 AS (SELECT *, {_category('prop')} cat FROM (SELECT *, coalesce({_first('text', dims.CSS_PROPERTY)}, {_first('text', dims.JS_PROPERTY)}) prop FROM ({_with_alpha('cm0')})))",
         f"cm2 AS ({_fold('cm1', 'll, la, lb, cat', True)})",
         f"cm3 AS (SELECT c.*, CASE WHEN near_distance = 0 THEN 'exact' WHEN near_distance <= 10 THEN 'close' ELSE 'unmatched' END status, {_context('value')} context FROM cm2 c JOIN info USING (file))",
@@ -189,15 +196,15 @@ def _ctes() -> dict[str, str]:
         f"tw AS (SELECT file, line, col, value, text, CASE WHEN {arb} THEN {part(dims.TW_ARBITRARY, 1)} WHEN {std} THEN {part(dims.TW_STANDARD, 1)} ELSE {part(dims.TW_SPECIAL, 1)} END prefix, "
         f"CASE WHEN {arb} THEN NULL WHEN {std} THEN {part(dims.TW_STANDARD, 2)} ELSE {part(dims.TW_SPECIAL, 2)} END color, CASE WHEN NOT {arb} AND {std} THEN {part(dims.TW_STANDARD, 3)} END shade, "
         f"CASE WHEN {arb} THEN NULL WHEN {std} THEN {part(dims.TW_STANDARD, 4)} ELSE {part(dims.TW_SPECIAL, 3)} END opacity, CASE WHEN {arb} THEN {part(dims.TW_ARBITRARY, 2)} END arbitrary FROM ({_hits('src', dims.TAILWIND)}) WHERE {arb} OR {std} OR {spec})",
-        f"tw0 AS (SELECT DISTINCT * EXCLUDE (text), arbitrary AS av FROM tw WHERE NOT {_has('text', dims.COMMENT_LINE)})",
+        f"tw0 AS (SELECT DISTINCT * EXCLUDE (text), {_trim('text')} AS context, arbitrary AS av FROM tw WHERE NOT {_has('text', dims.COMMENT_LINE)})",
         *_parsed("tw1", "tw0", "av"),
         f"tw2 AS ({_fold('tw1', 'll, la, lb', False)})",
-        "twa AS (SELECT file, line, col, value, prefix, color, shade, opacity, arbitrary, near_name, near_hex, near_distance, CASE WHEN near_distance = 0 THEN 'exact' WHEN near_distance <= 10 THEN 'close' END arbitrary_status FROM tw2)",
+        "twa AS (SELECT file, line, col, value, prefix, color, shade, opacity, arbitrary, context, near_name, near_hex, near_distance, CASE WHEN near_distance = 0 THEN 'exact' WHEN near_distance <= 10 THEN 'close' END arbitrary_status FROM tw2)",
         "tailwind AS (SELECT *, CASE arbitrary_status WHEN 'exact' THEN 'Use var(' || near_name || ') or a Tailwind theme color instead of ' || arbitrary WHEN 'close' THEN 'Close to ' || near_name || ' (' || near_hex || ', dE=' || regexp_replace(near_distance::VARCHAR, '\\.0$', '') || ')' END suggestion FROM twa)",
-        "cls AS (SELECT file, line, text, col, trim(regexp_extract(match, " + _q(dims.CLASS_VALUE) + ", 1)) classes FROM (" + " UNION ALL ".join(f"SELECT * FROM ({_hits('src', x, 'match')})" for x in dims.CLASS_ATTRIBUTES) + f") WHERE NOT {_has('text', dims.COMMENT_LINE_JSX)} AND trim(regexp_extract(match, {_q(dims.CLASS_VALUE)}, 1)) <> '')",
-        f"cf0 AS (SELECT file, line, text, col, trim(unnest(regexp_extract_all(match, {_q(dims.CLASS_ARGUMENT)}, 1))) classes FROM (" + " UNION ALL ".join(f"SELECT * FROM ({_hits('src', x, 'match')})" for x in dims.CLASS_FUNCTIONS) + f") WHERE NOT {_has('text', dims.COMMENT_LINE_JSX)})",
+        "cls AS (SELECT file, line, text, col, " + _trim(f"regexp_extract(match, {_q(dims.CLASS_VALUE)}, 1)") + " classes, 'className' AS source FROM (" + " UNION ALL ".join(f"SELECT * FROM ({_hits('src', x, 'match')})" for x in dims.CLASS_ATTRIBUTES) + f") WHERE NOT {_has('text', dims.COMMENT_LINE_JSX)} AND {_trim(f"regexp_extract(match, {_q(dims.CLASS_VALUE)}, 1)")} <> '')",
+        f"cf0 AS (SELECT file, line, text, col, {_trim('x')} classes, 'cn/clsx' AS source FROM (SELECT *, unnest(regexp_extract_all(match, {_q(dims.CLASS_ARGUMENT)}, 1)) x FROM (" + " UNION ALL ".join(f"SELECT * FROM ({_hits('src', x, 'match')})" for x in dims.CLASS_FUNCTIONS) + f") WHERE NOT {_has('text', dims.COMMENT_LINE_JSX)}))",
         "cfn AS (SELECT * FROM cf0 WHERE NOT contains(classes, '${') AND (contains(classes, '-') OR contains(classes, ' ')))",
-        "lists AS (SELECT *, list_filter(string_split_regex(classes, '\\s+'), lambda x: x <> '') tokens FROM (SELECT file, line, col, classes FROM cls UNION ALL SELECT file, line, col, classes FROM cfn) WHERE len(list_filter(string_split_regex(classes, '\\s+'), lambda x: x <> '')) >= 2)",
+        f"lists AS (SELECT * FROM (SELECT *, list_filter(string_split_regex(classes, {_q(dims.SPACE + '+')}), lambda x: x <> '') tokens FROM (SELECT file, line, col, text, classes, source FROM cls UNION ALL SELECT file, line, col, text, classes, source FROM cfn)) WHERE len(tokens) >= 2)",
         "apat AS (SELECT array_to_string(list_sort(tokens), ' ') pattern, count(*) n, any_value(len(tokens))::INTEGER class_count FROM lists GROUP BY 1)",
         "pats AS (SELECT *, n * class_count impact FROM apat WHERE n >= 2)",
         "cfreq AS (SELECT unnest(tokens) AS class, count(*) n FROM lists GROUP BY 1)",
@@ -283,6 +290,38 @@ def oracle_sql() -> dict[str, str]:
         "subset_relations": "SELECT a.pattern subset, b.pattern superset, a.n subset_count, b.n superset_count, array_to_string(list_sort(a.c), ' ') shared, array_to_string(list_sort(list_filter(b.c, lambda x: NOT list_contains(a.c, x))), ' ') extra FROM (SELECT *, list_distinct(string_split(pattern, ' ')) c FROM pats) a JOIN (SELECT *, list_distinct(string_split(pattern, ' ')) c FROM pats) b ON len(a.c) < len(b.c) AND list_has_all(b.c, a.c) ORDER BY a.impact DESC, a.pattern, b.impact DESC, b.pattern LIMIT 10",
         "patterns_summary": "SELECT count(*) patterns, coalesce(sum(n), 0)::BIGINT locations FROM pats",
     }
+    pack = lambda *cols: "to_json({" + ", ".join(f"'{n}': {c}" for n, c in cols) + "})"
+    rows = lambda section, names, by, source: f"SELECT {_q(section)} AS section, {by} AS part, {pack(*((n, n) for n in names))}::VARCHAR AS value FROM {source}"
+    tally = lambda section, key, source, other="unknown": f"SELECT {_q(section)} AS section, coalesce(nullif({key}, ''), '{other}') AS part, count(*)::VARCHAR AS value FROM {source} GROUP BY 2"
+    head = lambda source, *cols: f"SELECT 'summary' AS section, NULL AS part, {pack(*cols)}::VARCHAR AS value FROM {source}"
+    hit = ["file", "line", "col", "value", "type", "hex", "text", "context", "label", "actionable"]
+    kind = [x for x in hit if x != "label"] + ["prop", "status", "near_name", "near_hex", "near_distance", "suggestion", "name_suggestion"]
+    tail = ["file", "line", "col", "value", "prefix", "color", "shade", "opacity", "arbitrary", "context", "near_name", "near_hex", "near_distance", "arbitrary_status", "suggestion"]
+    status = lambda s, more="": f"count(*) FILTER (status = '{s}'{more})"
+    three = ("exact", "close", "unmatched")
+    sql["patterns_locations"] = "SELECT pattern, file, line, col, classes AS original, " + _trim("text") + " AS context, source FROM (SELECT *, array_to_string(list_sort(tokens), ' ') pattern FROM lists) JOIN pats USING (pattern)"
+    sql["colors_json"] = " UNION ALL ".join([
+        head("colors", ("command", "'colors'"), ("totalColors", "count(*)"), ("actionable", "count(*) FILTER (actionable)"), ("skipped", "count(*) FILTER (NOT actionable)"), ("totalFiles", "count(DISTINCT file)")),
+        tally("byType", "type", "colors"), tally("skippedByContext", "context", "colors WHERE NOT actionable"),
+        rows("actionable", hit, "file", "colors WHERE actionable"), rows("skipped", hit, "file", "colors WHERE NOT actionable"),
+    ])
+    sql["compare_json"] = " UNION ALL ".join([
+        head("cmp", ("command", "'compare'"), ("threshold", "10.0::DOUBLE"), ("total", "count(*)"), ("actionable", "count(*) FILTER (actionable)"), ("skipped", "count(*) FILTER (NOT actionable)"),
+             ("byStatus", "{" + ", ".join(f"'{x}': {status(x)}" for x in three) + "}"), ("actionableByStatus", "{" + ", ".join(f"'{x}': " + status(x, " AND actionable") for x in three) + "}")),
+        rows("palette", ["name", "hex"], "name", "pal"), tally("skippedByContext", "context", "cmp WHERE NOT actionable"),
+        rows("actionable", kind, "status", "cmp WHERE actionable"), rows("skipped", kind, "context", "cmp WHERE NOT actionable"),
+    ])
+    sql["tailwind_json"] = " UNION ALL ".join([
+        head("tailwind", ("command", "'tailwind'"), ("tailwindVersion", f"(SELECT CASE WHEN bool_or({_has('text', dims.THEME_OPEN)}) THEN 4 ELSE 3 END FROM entry)"), ("totalClasses", "count(*)"), ("totalFiles", "count(DISTINCT file)"), ("arbitraryValues", "count(arbitrary)"), ("arbitraryWithThemeMatch", "count(arbitrary_status)")),
+        tally("byPrefix", "prefix", "tailwind"), tally("byColor", "color", "tailwind", "arbitrary"), rows("results", tail, "file", "tailwind"),
+    ])
+    sql["patterns_json"] = " UNION ALL ".join([
+        head("pats", ("command", "'patterns'"), ("totalPatterns", "count(*)"), ("minCount", "2"), ("minClasses", "2"), ("totalLocations", "coalesce(sum(n), 0)::BIGINT"), ("subsetRelations", f"(SELECT count(*) FROM ({sql['subset_relations']}))")),
+        "SELECT 'patterns' AS section, pattern AS part, " + pack(("normalized", "pattern"), ("classCount", "class_count"), ("occurrences", "n"), ("impactScore", "impact")) + "::VARCHAR AS value FROM pats",
+        rows("locations", ["pattern", "file", "line", "col", "original", "context", "source"], "pattern", f"({sql['patterns_locations']})"),
+        rows("subsetRelations", ["subset", "superset", "subset_count", "superset_count", "shared", "extra"], "subset", f"({sql['subset_relations']})"),
+        rows("frequentSubsets", ["pair", "n"], "pair", f"({sql['class_pairs']})"),
+    ])
     page = "cls AS" + ctes["cls"].split("cls AS", 1)[1].replace("FROM src)", "FROM pg)")
     sql = {n: "WITH " + ", ".join(ctes.values()) + " " + x for n, x in sql.items()}
     sql["pages_class_attributes"] = "WITH pg AS (SELECT file, line::INTEGER line, text FROM (SELECT 'page' || page_id AS file, unnest(range(1, len(string_split(html, chr(10))) + 1)) line, unnest(string_split(html, chr(10))) AS text FROM pages)), " + page + " SELECT file, line, col, classes FROM cls"

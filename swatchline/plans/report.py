@@ -1,17 +1,33 @@
-"""Summaries and reports of the plans; only counts and a few examples reach the driver."""
+"""Summaries, documents and text reports of the plans; only counts and a few examples reach the driver.
+
+A document is a table (section, part, value): a summary, counts, and the rows of the report in their sections, each value
+as JSON. So a document of any size is written in parallel, and read back by its sections.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from swatchline.plans import commands
+
 #: Schemas as printed for users, by command.
 SCHEMAS = {
     "colors": "file string, line int, col int, value string, type string, hex string?, text string, context string, label string, actionable boolean",
-    "tailwind": "file string, line int, col int, value string, prefix string, color string?, shade string?, opacity string?, arbitrary string?, near_name string?, near_hex string?, near_distance double?, arbitrary_status string?, suggestion string?",
+    "tailwind": "file string, line int, col int, value string, prefix string, color string?, shade string?, opacity string?, arbitrary string?, context string, near_name string?, near_hex string?, near_distance double?, arbitrary_status string?, suggestion string?",
     "compare": "file string, line int, col int, value string, type string, hex string?, text string, context string, actionable boolean, prop string?, status string, near_name string?, near_hex string?, near_distance double?, suggestion string?, name_suggestion string?",
     "patterns": "pattern string, n long, class_count int, impact long",
 }
+STATUSES = ("exact", "close", "unmatched")
+#: Columns by which each report is ordered, ascending; patterns by falling impact.
+ORDER = {"colors": ("file", "line", "col"), "tailwind": ("file", "line", "col"), "compare": ("file", "line", "col")}
+
+
+def ordered(command: str, rows: DataFrame) -> DataFrame:
+    """Rows in the order in which a report tells them; ties by what is left."""
+    return rows.orderBy(F.desc("impact"), "pattern") if command == "patterns" else rows.orderBy(*ORDER[command], "value")
 
 
 def counts(rows: DataFrame, key: str, fallback: str = "unknown") -> DataFrame:
@@ -25,7 +41,7 @@ def colors_summary(rows: DataFrame) -> DataFrame:
 
 def compare_summary(rows: DataFrame) -> DataFrame:
     n = lambda s: F.count_if(F.col("actionable") & (F.col("status") == s)).alias(s)
-    return rows.agg(F.count("*").alias("total"), n("exact"), n("close"), n("unmatched"), F.count_if(~F.col("actionable")).alias("skipped"), F.count_distinct("file").alias("files"))
+    return rows.agg(F.count("*").alias("total"), *map(n, STATUSES), F.count_if(~F.col("actionable")).alias("skipped"), F.count_distinct("file").alias("files"))
 
 
 def tailwind_summary(rows: DataFrame) -> DataFrame:
@@ -44,17 +60,74 @@ def examples(rows: DataFrame, key: str = "context", most: int = 3) -> DataFrame:
 
 
 def by_file(rows: DataFrame) -> DataFrame:
+    """One row per file with its hits in order."""
     return rows.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("line", "col", "value"))).alias("hits"))
 
 
+def _json(*columns: Column | str) -> Column:
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+
+
 def as_json(rows: DataFrame) -> DataFrame:
-    return rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
+    return rows.select(_json("*").alias("value"))
+
+
+def _part(section: str, part: Column, value: Column, rows: DataFrame) -> DataFrame:
+    return rows.select(F.lit(section).alias("section"), part.cast("string").alias("part"), value.cast("string").alias("value"))
+
+
+def _summary(rows: DataFrame, command: str, *columns: Column) -> DataFrame:
+    return _part("summary", F.lit(None), _json(F.lit(command).alias("command"), *columns), rows)
+
+
+def _tally(section: str, rows: DataFrame, key: str, fallback: str = "unknown") -> DataFrame:
+    return _part(section, F.col("key"), F.col("n"), counts(rows, key, fallback))
+
+
+def _rows(section: str, part: str, rows: DataFrame, *columns: Column | str) -> DataFrame:
+    return _part(section, F.col(part), _json(*(columns or ["*"])), rows)
+
+
+def _document(*parts: DataFrame) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
+def colors_document(rows: DataFrame) -> DataFrame:
+    facts = rows.agg(F.count("*").alias("totalColors"), F.count_if("actionable").alias("actionable"), F.count_if(~F.col("actionable")).alias("skipped"), F.count_distinct("file").alias("totalFiles"))
+    yes, no = rows.where("actionable"), rows.where("not actionable")
+    return _document(_summary(facts, "colors", F.col("*")), _tally("byType", rows, "type"), _tally("skippedByContext", no, "context"), _rows("actionable", "file", yes), _rows("skipped", "file", no))
+
+
+def compare_document(rows: DataFrame, palette: DataFrame, threshold: float) -> DataFrame:
+    n = lambda which: F.struct(*(F.count_if((F.col("status") == s) & which).alias(s) for s in STATUSES))
+    yes, no = rows.where("actionable"), rows.where("not actionable")
+    facts = rows.agg(F.lit(float(threshold)).alias("threshold"), F.count("*").alias("total"), F.count_if("actionable").alias("actionable"), F.count_if(~F.col("actionable")).alias("skipped"), n(F.lit(True)).alias("byStatus"), n(F.col("actionable")).alias("actionableByStatus"))
+    return _document(_summary(facts, "compare", F.col("*")), _rows("palette", "name", palette, "name", "hex"), _tally("skippedByContext", no, "context"), _rows("actionable", "status", yes), _rows("skipped", "context", no))
+
+
+def tailwind_document(rows: DataFrame, v4: DataFrame) -> DataFrame:
+    """v4: the row of commands.tailwind_v4, whose version the summary names."""
+    facts = rows.agg(F.count("*").alias("totalClasses"), F.count_distinct("file").alias("totalFiles"), F.count("arbitrary").alias("arbitraryValues"), F.count("arbitrary_status").alias("arbitraryWithThemeMatch"))
+    facts = v4.select(F.col("version").alias("tailwindVersion")).join(facts)  # one row and one row
+    return _document(_summary(facts, "tailwind", F.col("*")), _tally("byPrefix", rows, "prefix"), _tally("byColor", rows, "color", "arbitrary"), _rows("results", "file", rows))
+
+
+def patterns_document(lists: DataFrame, min_count: int = 2, min_classes: int = 2) -> DataFrame:
+    found, subsets = commands.patterns(lists, min_count), commands.subset_relations(lists, min_count)
+    facts = found.agg(F.count("*").alias("totalPatterns"), F.lit(min_count).alias("minCount"), F.lit(min_classes).alias("minClasses"), F.coalesce(F.sum("n"), F.lit(0)).alias("totalLocations"))
+    facts = facts.join(subsets.agg(F.count("*").alias("subsetRelations")))  # one row and one row
+    told = [F.col("pattern").alias("normalized"), F.col("class_count").alias("classCount"), F.col("n").alias("occurrences"), F.col("impact").alias("impactScore")]
+    return _document(
+        _summary(facts, "patterns", F.col("*")), _rows("patterns", "pattern", found, *told), _rows("locations", "pattern", commands.pattern_locations(lists, min_count)),
+        _rows("subsetRelations", "subset", subsets), _rows("frequentSubsets", "pair", commands.class_pairs(lists, min_count)),
+    )
 
 
-def text_report(title: str, summary: DataFrame, *tables: DataFrame) -> str:
-    """A short report for people: the summary's figures, then tables of counts."""
+def text_report(title: str, summary: DataFrame, *tables: DataFrame, most: int = 1000) -> str:
+    """A short report for people: the summary's figures, then tables of at most `most` rows, and whether there are more."""
     out = [title, "=" * len(title)]
     out += [f"{k}: {v}" for k, v in summary.first().asDict().items()]
     for t in tables:
-        out += ["", " | ".join(t.columns), *(" | ".join(map(str, r)) for r in t.limit(1000).collect())]
+        rows = t.limit(most + 1).collect()
+        out += ["", " | ".join(t.columns), *(" | ".join(map(str, r)) for r in rows[:most]), *([f"... and more than these {most}"] if len(rows) > most else [])]
     return "\n".join(out)

@@ -60,6 +60,7 @@ TEMPLATES = [
     "<div className=\"bg-red-500 text-white p-2\">", "<div class='bg-red-500 text-white p-2'>", "<p className=\"border-gray-200/50 p-2 text-white\">", "cn(\"flex items-center gap-2\", x)", "clsx('p-2 text-white', y && 'm-1 text-black')",
     "<i className=\"bg-[#{P}] text-[14px] BG-RED-500 BG-BLACK\">", "<b class=\"ring-[#{N}] from-[#{H}] bg-[]\">", "@theme {", "  --color-brand: #{P};", "}",
     "@utility tab-x { a: b }", "import * as t from 'three';", "const t = createTheme({});", "  color: #{P}; background: #{N}; border: #{H}", "  ${a} #{H}",
+    "\t--color-y: #{H};", "  box-shadow: 0 0 2px RGBA(0, 0, 0, 0.1);", "<hr className=\"\t\"><hr class='\tp-4 m-4\t'>",
 ]
 FILES = ["src/components/C{u}.tsx", "src/styles/s{u}.css", "src/theme/t{u}.ts", "src/u{u}/ColorMapper.tsx", "public/p{u}.html", "node_modules/x{u}/index.js", "src/app{u}/globals.css", "src/pages/g{u}.tsx", "docs/d{u}.md", "src/plain/f{u}.jsx"]
 

@@ -19,7 +19,7 @@ class Options:
     named: bool = True
     min_count: int = 2
     min_classes: int = 2
-    tailwind_version: str = "auto"
+    tailwind_version: str | int = "auto"
     format: str = "text"
 
 
@@ -38,9 +38,23 @@ def load(start: str, names: list[str] = NAMES) -> dict:
 
 
 def merge(explicit: Options, config: dict) -> Options:
-    """Values that differ from their defaults are explicit and win; excludes of both are joined."""
+    """The configuration's values where the explicit ones are at their defaults; its Tailwind version wins always.
+
+    Excludes of the configuration count only if none is explicit. `json: true` sets the format, `format` does not.
+    Empty and zero values of the configuration set nothing, but for a threshold of 0.
+    """
     plain = Options()
-    given = {f.name: config[k] for f in fields(Options) for k in (f.name, f.name.split("_")[0] + "".join(x.title() for x in f.name.split("_")[1:])) if k in config}
-    taken = {k: v for k, v in given.items() if k != "exclude" and getattr(explicit, k) == getattr(plain, k)}
-    more = given.get("exclude") or []
-    return replace(explicit, **taken, exclude=[*explicit.exclude, *([more] if isinstance(more, str) else more)])
+    more = config.get("exclude") or []
+    given = {
+        "exclude": [more] if isinstance(more, str) else list(more),
+        "include": config.get("include"),
+        "vars": config.get("vars"),
+        "threshold": config.get("threshold"),
+        "named": False if config.get("named") is False else None,
+        "min_count": config.get("minCount"),
+        "min_classes": config.get("minClasses"),
+        "format": "json" if config.get("json") is True else None,
+    }
+    unset = (None, []) + ("",)
+    taken = {k: v for k, v in given.items() if v not in unset and (v or k in ("threshold", "named")) and getattr(explicit, k) == getattr(plain, k)}
+    return replace(explicit, **taken, **({"tailwind_version": config["tailwindVersion"]} if config.get("tailwindVersion") else {}))

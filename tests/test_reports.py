@@ -129,3 +129,125 @@ def test_tree_and_options(spark, tmp_path):
     merged = options.merge(options.Options(min_count=3), options.load(str(tmp_path / "node_modules")))
     assert (merged.threshold, merged.exclude, merged.min_count) == (5, ["x"], 3)
     assert commands.option_number("0", 10) == 10
+
+
+PALETTE = [
+    ("--color-primary", "#667eea"), ("--color-secondary", "#764ba2"), ("--color-danger", "#ff0000"), ("--color-white", "#ffffff"), ("--color-dark", "#1a1a2e"),
+    ("--color-gray-200", "#e5e7eb"), ("--color-blue-100", "#dbeafe"), ("--color-blue-800", "#1e40af"), ("--color-text", "#333333"),
+]
+
+
+def test_compare_rows_pinned(spark):
+    src = lines(
+        spark, "x = { color: '#ff0000' }", "x = { boxShadow: '0 1px rgba(0, 0, 0, 0.1)' }", "x = { backgroundColor: '#dbeafe' }", "grad(#667eea, #764ba2)", "    color: hsl(220, 90%, 56%)",
+        "x = { background: '#1a1a2e' }", "    color: rgb(200, 200, 210)", "    background: oklch(0.5 0.2 240)", "  style={{ color: 'coral' }}", "x = { boxShadow: '0 1px RGBA(0, 0, 0, 0.1)' }",
+    )
+    rows = commands.compare(src, pal(spark, *PALETTE)).orderBy("line", "col").collect()
+    assert [(r.line, r.value, r.type, r.hex, r.context, r.status, r.near_name, r.near_distance, r.suggestion, r.name_suggestion) for r in rows] == [
+        (1, "#ff0000", "hex", "#ff0000", "actionable", "exact", "--color-danger", 0.0, "var(--color-danger)", None),
+        (2, "rgba(0, 0, 0, 0.1)", "rgba", "#000000", "effect", "unmatched", "--color-dark", 17.94, None, None),
+        (3, "#dbeafe", "hex", "#dbeafe", "actionable", "exact", "--color-blue-100", 0.0, "var(--color-blue-100)", None),
+        (4, "#667eea", "hex", "#667eea", "actionable", "exact", "--color-primary", 0.0, "var(--color-primary)", None),
+        (4, "#764ba2", "hex", "#764ba2", "actionable", "exact", "--color-secondary", 0.0, "var(--color-secondary)", None),
+        (5, "hsl(220, 90%, 56%)", "hsl", "#2a6df4", "actionable", "unmatched", "--color-primary", 18.1, None, "--text-blue-500"),
+        (6, "#1a1a2e", "hex", "#1a1a2e", "actionable", "exact", "--color-dark", 0.0, "var(--color-dark)", None),
+        (7, "rgb(200, 200, 210)", "rgb", "#c8c8d2", "actionable", "unmatched", "--color-gray-200", 11.23, None, "--text-gray-light"),
+        (8, "oklch(0.5 0.2 240)", "oklch", None, "actionable", "unmatched", None, None, None, "--color-custom"),
+        (10, "RGBA(0, 0, 0, 0.1)", "rgba", "#000000", "effect", "unmatched", "--color-dark", 17.94, None, None),
+    ]
+
+
+@pytest.mark.parametrize(
+    ("file", "text", "value", "want"),
+    [
+        ("a.css", "\t--color-x: #fff;", "#fff", "css-definition"), ("src/theme/x.ts", "a: '#fff'", "#fff", "theme-definition"), ("src/theme/x.ts", "a: var(--b, #fff)", "#fff", "actionable"),
+        ("ColorMapper.tsx", "a '#fff'", "#fff", "mapping"), ("a.html", '<meta name="theme-color" content="#fff">', "#fff", "meta"), ("a.ts", "`<b>${x} #fff</b>`", "#fff", "generated"),
+        ("a.ts", "x || '#fff'", "#fff", "canvas"), ("a.css", "box-shadow: 0 0 #000", "#000", "effect"), ("a.css", "color: #000", "#000", "actionable"), ("a.css", "x RGB(0 0 0 / 10%)", "RGB(0 0 0 / 10%)", "effect"),
+        ("a.css", "x rgb(0, 0, 0)", "rgb(0, 0, 0)", "actionable"),
+    ],
+)
+def test_contexts(spark, file, text, value, want):
+    got = {r.value: r.context for r in commands.compare(lines(spark, text, file=file), pal(spark, ("--a", "#123456"))).collect()}
+    assert got == {value: want}
+
+
+def test_places_count_once(spark):
+    twice = lines(spark, "color: #fff").unionAll(lines(spark, "color: #fff"))
+    assert commands.compare(twice, pal(spark, ("--a", "#fff"))).count() == commands.colors(twice).count() == 1
+
+
+def test_white_space_is_trimmed(spark):
+    lists = commands.class_lists(lines(spark, '<a className="\t">', "<a class=' p-2 m-1\t'>")).collect()
+    assert [(r.classes, r.tokens) for r in lists] == [("p-2 m-1", ["p-2", "m-1"])]
+
+
+def test_theme_only_in_roots(spark):
+    rows = lines(spark, "@theme {", "  --color-a: #fff;", "}", file="src/deep/globals.css")
+    assert commands.tailwind_v4(rows, ["src"]).first()[:2] == (3, 0)
+    assert commands.tailwind_v4(rows, ["src/deep/"]).first()[:2] == (4, 1)
+    assert commands.tailwind_v4(rows, ["src/deep/globals.css"]).first()[:2] == (4, 1)
+
+
+@pytest.mark.parametrize(
+    ("given", "config", "want"),
+    [
+        ({"format": "json", "threshold": 5, "exclude": ["a"]}, {"format": "text", "threshold": 10, "exclude": ["b"]}, {"format": "json", "threshold": 5, "exclude": ["a"]}),
+        ({}, {"exclude": ["a"], "include": "*.tsx", "vars": "t.css"}, {"exclude": ["a"], "include": "*.tsx", "vars": "t.css"}),
+        ({}, {}, {"format": "text", "threshold": 10}),
+        ({}, {"json": True}, {"format": "json"}),
+        ({"format": "json"}, {"json": True}, {"format": "json"}),
+        ({}, {"format": "json"}, {"format": "text"}),
+        ({}, {"named": False}, {"named": False}),
+        ({}, {"threshold": 5}, {"threshold": 5}),
+        ({}, {"minCount": 3, "minClasses": 4}, {"min_count": 3, "min_classes": 4}),
+        ({"tailwind_version": 3}, {"tailwindVersion": 4}, {"tailwind_version": 4}),
+        ({}, {"exclude": "a"}, {"exclude": ["a"]}),
+    ],
+)
+def test_option_merge(given, config, want):
+    merged = options.merge(options.Options(**given), config)
+    assert {k: getattr(merged, k) for k in want} == want
+
+
+def test_locations_and_order(spark):
+    src = lines(spark, '  <p className="p-2 m-1">', "<b class='m-1 p-2'>", '<i className="a-1 b-2 c-3"><i className="a-1 b-2 c-3">')
+    lists = commands.class_lists(src)
+    got = commands.pattern_locations(lists).orderBy("line", "col").collect()
+    assert [(r.pattern, r.line, r.col, r.original, r.context, r.source) for r in got][:2] == [("m-1 p-2", 1, 6, "p-2 m-1", '<p className="p-2 m-1">', "className"), ("m-1 p-2", 2, 4, "m-1 p-2", "<b class='m-1 p-2'>", "className")]
+    assert [r.pattern for r in report.ordered("patterns", commands.patterns(lists)).collect()] == ["a-1 b-2 c-3", "m-1 p-2"]
+    parts = {(r.section, r.part): r.value for r in report.patterns_document(lists).collect()}
+    assert '"totalPatterns":2' in parts["summary", None] and '"impactScore":6' in parts["patterns", "a-1 b-2 c-3"]
+
+
+def test_class_pairs_need_frequent_classes(spark):
+    lists = commands.class_lists(lines(spark, '<p className="a a a b">', '<p className="a a a b">'))
+    assert commands.class_pairs(lists, 3).where("pair = 'a b'").count() == 0
+    assert commands.class_pairs(lists, 2).where("pair = 'a b'").first().n == 6
+
+
+def test_baseline_and_fixed_files(spark, tmp_path):
+    src = lines(spark, "color: #ff0000;", "b", "fill: #00ff00")
+    rows = commands.compare(src, pal(spark, ("--r", "#ff0000")))
+    commands.save_baseline(rows.where("line = 1"), str(tmp_path / "base"))
+    assert [r.line for r in commands.since_baseline(rows, str(tmp_path / "base")).collect()] == [3]
+    (tmp_path / "bad.json").write_text("{not json")
+    for bad in ("bad.json", "none"):
+        with pytest.warns(UserWarning):
+            assert commands.since_baseline(rows, str(tmp_path / bad)).count() == 2
+    assert commands.write_fixed(src, rows, str(tmp_path / "fixed")) == 1
+    assert commands.fixed_files(src, rows).first().content == "color: var(--r);\nb\nfill: #00ff00"
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from swatchline import cli
+
+    (tmp_path / "a.css").write_text("a {\n  color: #ff0000;\n  fill: rgb(1, 2, 3);\n}\n")
+    (tmp_path / "v.css").write_text(":root { --r: #ff0000; }")
+    cli.main(["compare", str(tmp_path / "a.css"), "--vars", str(tmp_path / "v.css"), "--fix", str(tmp_path / "out"), "--baseline", str(tmp_path / "base")], spark)
+    assert "exact: 1" in (told := capsys.readouterr().out) and "1 replaced" in told
+    cli.main(["compare", str(tmp_path / "a.css"), "--vars", str(tmp_path / "v.css"), "--diff", str(tmp_path / "base"), "--json", "--out", str(tmp_path / "doc")], spark)
+    assert spark.read.json(str(tmp_path / "doc")).where("section = 'actionable'").count() == 0
+    cli.main(["patterns", str(tmp_path / "a.css")], spark)
+    assert "patterns: 0" in capsys.readouterr().out
+    cli.main(["colors", "--output-schema"], spark)
+    assert "actionable boolean" in capsys.readouterr().out
