@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from swatchline.llm.common import components, cut, discard, small_batches, table
 from swatchline.llm.shingles import blocks, mix, shingle_sets
 
-SLOT_LOAD, LEAST_SLOTS, MOST_SLOTS, CHUNK = 16, 1 << 16, 1 << 24, 1 << 12
+SLOT_LOAD, LEAST_SLOTS, MOST_SLOTS, CHUNK = 64, 1 << 16, 1 << 24, 1 << 12
 #: A counter of at least so many, and of HOT_LOAD times the mean, may stand for a hot shingle; its group is split.
 HOT, HOT_LOAD, SALTS = 20_000, 8, 64
 PARITIES = 512
