@@ -28,6 +28,8 @@ CAPACITY, WINDOWS, SLACK = 2048, 64, 0.004
 #: The last CRUMBED of a group's ids are cut to pieces of these lengths; small pieces even the windows out.
 CRUMBED, CRUMBS = 0.06, (128, 64, 32, 16, 8)
 END_ID = 1
+#: Fixed value: how the byte-level pre-tokenizer of such files divides a text.
+BYTE_LEVEL = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def karmarkar_karp(sizes: list[int], k: int) -> list[list[int]]:
@@ -80,7 +82,7 @@ def encoder(data: bytes):
     """Text to ids as the tokenizers library gives them for a byte-level BPE file, by the fastest library that can.
 
     The rank of a token is its id where each merge makes the next id; tiktoken then gives the same ids. Texts with
-    the name of a special token, and other kinds of file, go to the tokenizers library itself.
+    the name of a special token, and files with any other setting, go to the tokenizers library itself.
     """
     from tokenizers import Tokenizer
 
@@ -92,15 +94,16 @@ def encoder(data: bytes):
     merges = [m if isinstance(m, str) else " ".join(m) for m in model.get("merges", [])]
     vocab = model.get("vocab", {})
     ordered = [vocab.get(m.replace(" ", "")) for m in merges]
-    if model.get("type") != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or spec.get("normalizer") or None in ordered or any(b <= a for a, b in itertools.pairwise(ordered)) or (ordered and ordered[0] < 256):
+    other = [model.get("dropout"), model.get("unk_token"), model.get("continuing_subword_prefix"), model.get("end_of_word_suffix"), model.get("byte_fallback"), model.get("ignore_merges")]
+    other += [pre.get("add_prefix_space"), not pre.get("use_regex", True), spec.get("normalizer"), spec.get("truncation"), spec.get("padding")]
+    if model.get("type") != "BPE" or pre.get("type") != "ByteLevel" or any(other) or None in ordered or any(b <= a for a, b in itertools.pairwise(ordered)) or (ordered and ordered[0] < 256):
         return plain
     import tiktoken
-    from public_tokenizers import PATTERN
 
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in such files
     byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
     ranks = {bytes(byte_of[c] for c in t): i for t, i in vocab.items() if t not in special}
-    fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    fast = tiktoken.Encoding("own", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
 
     def encode(text: str) -> np.ndarray:
         if any(s in text for s in special):
