@@ -17,8 +17,10 @@ from swatchline.llm.common import small_batches, table
 from swatchline.llm.shingles import blocks
 
 BUCKETS, ORDERS, SMOOTH = 1 << 15, (2, 3), 0.5
-#: More languages than this would make the matrix large; the fit then fails rather than drops any.
-MOST_LANGUAGES = 2000
+#: More languages than this would make the matrix larger than 64 MB; the fit then fails rather than drops any.
+MOST_LANGUAGES = 512
+#: Places in which the counts of one language are summed before they meet.
+SPREAD = 64
 
 
 def ngram_buckets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -65,11 +67,15 @@ def _counts(batches):
     yield pd.DataFrame([(x, docs[x], zlib.compress(total[x].astype(np.int64).tobytes(), 1)) for x in total], columns=["lang", "n", "counts"])
 
 
-def _sum_counts(key, pdf: pd.DataFrame) -> pd.DataFrame:
-    total = np.zeros(BUCKETS, np.int64)
-    for x in pdf["counts"]:
-        total += np.frombuffer(zlib.decompress(x), np.int64)
-    return pd.DataFrame({"lang": [key[0]], "n": [int(pdf["n"].sum())], "counts": [zlib.compress(total.tobytes(), 1)]})
+def _sum_counts(batches):
+    """Sums of the languages that a task gets; it holds one array for each, however many rows add to it."""
+    total: dict[str, list] = {}
+    for pdf in batches:
+        for lang, n, x in zip(pdf["lang"], pdf["n"].tolist(), pdf["counts"], strict=True):
+            held = total.setdefault(lang, [0, np.zeros(BUCKETS, np.int64)])
+            held[0] += n
+            held[1] += np.frombuffer(zlib.decompress(x), np.int64)
+    yield pd.DataFrame([(x, n, zlib.compress(c.tobytes(), 1)) for x, (n, c) in total.items()], columns=["lang", "n", "counts"])
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -77,21 +83,24 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tupl
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
     parts = rows.mapInPandas(_counts, "lang string, n long, counts binary")
-    summed = parts.groupBy("lang").applyInPandas(_sum_counts, "lang string, n long, counts binary").limit(MOST_LANGUAGES + 1).collect()
+    kind = "lang string, n long, counts binary"
+    # a language's arrays are summed in SPREAD places first, so that no task gets those of all tasks
+    parts = parts.repartition("lang", F.pmod(F.xxhash64("counts"), F.lit(SPREAD))).mapInPandas(_sum_counts, kind)
+    summed = parts.repartition("lang").mapInPandas(_sum_counts, kind).limit(MOST_LANGUAGES + 1).collect()
     if len(summed) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     summed.sort(key=lambda r: r.lang)
     if not summed:
-        return [], np.zeros((0, BUCKETS)), np.zeros(0)
+        return [], np.zeros((0, BUCKETS), np.float32), np.zeros(0)
     counts = np.stack([np.frombuffer(zlib.decompress(r.counts), np.int64) for r in summed]) + SMOOTH
     priors = np.array([r.n for r in summed], float)
-    return [r.lang for r in summed], np.log(counts / counts.sum(axis=1, keepdims=True)), np.log(priors / priors.sum())
+    return [r.lang for r in summed], np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32), np.log(priors / priors.sum())
 
 
 def _score(model):
     def run(batches):
         langs, weights, priors = model.value
-        by_bucket = np.ascontiguousarray(weights.T.astype(np.float32))
+        by_bucket = np.ascontiguousarray(weights.T)
         for pdf in batches:
             ids, texts = pdf["id"].tolist(), pdf["text"].tolist()
             for a, b in blocks(texts, 1 << 19):
