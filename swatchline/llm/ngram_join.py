@@ -294,8 +294,8 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     discard(members)
     labels = _labelled(state, links).join(texts, "id").select("id", "doc", "label")
     labels = labels.join(labels.groupBy("label").agg(F.min("doc").alias("component")), "label").select("id", "component")
-    found = rows.join(classes.select("n", "k1", "k2", "id"), ["n", "k1", "k2"], "left").join(labels, "id", "left")
-    return found.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("doc").isNotNull(), F.coalesce("component", "doc")).alias("component_id"))
+    found = filled.join(classes.select("n", "k1", "k2", "id"), ["n", "k1", "k2"]).join(labels, "id").groupBy("doc").agg(F.min("component").alias("component"))
+    return rows.join(found, "doc", "left").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
 
 
 def _grouped(prefix: DataFrame) -> DataFrame:
@@ -317,9 +317,9 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL = """
 WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') w FROM documents),
 s AS (SELECT DISTINCT rid, x FROM (SELECT rid, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(len(w) - 4), lambda i: array_to_string(w[i + 1:i + 5], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) x FROM d)),
-n AS (SELECT rid, doc_id, count(*) c FROM s JOIN d USING (rid) WHERE doc_id IS NOT NULL GROUP BY rid, doc_id),
+n AS (SELECT rid, doc_id, count(*) c FROM s JOIN d USING (rid) GROUP BY rid, doc_id),
 p AS (SELECT a.rid a, b.rid b, count(*) o FROM s a JOIN s b ON a.x = b.x AND a.rid < b.rid GROUP BY a.rid, b.rid),
-l AS (SELECT na.doc_id u, nb.doc_id v FROM p JOIN n na ON na.rid = p.a JOIN n nb ON nb.rid = p.b WHERE 100 * o >= 75 * (na.c + nb.c - o)),
+l AS (SELECT na.doc_id u, nb.doc_id v FROM p JOIN n na ON na.rid = p.a JOIN n nb ON nb.rid = p.b WHERE na.doc_id IS NOT NULL AND nb.doc_id IS NOT NULL AND 100 * o >= 75 * (na.c + nb.c - o)),
 e AS (SELECT u, v FROM l UNION SELECT v, u FROM l),
 r AS (SELECT doc_id, doc_id root FROM d UNION SELECT e.v, r.root FROM r JOIN e ON e.u = r.doc_id WHERE e.v > r.root),
 m AS (SELECT doc_id, min(root) component_id FROM r GROUP BY doc_id)
