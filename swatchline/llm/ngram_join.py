@@ -287,12 +287,15 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     tied = filled.join(again, "doc").join(classes.select("n", "k1", "k2", "id"), ["n", "k1", "k2"]).select("doc", "id").distinct()
     tied = tied.join(tied.groupBy("doc").agg(F.min("id").alias("head")), "doc").where("id <> head").select("id", "head")
     links = cut(links.unionByName(tied))
+    now = _labelled(state, links)
     for nearest in (True, False):
-        now = _labelled(state, links)
-        links = links.unionByName(_verified(_rest(members, now, nearest), docs, texts, k))
-        discard(now)
+        more = _verified(_rest(members, now, nearest), docs, texts, k)
+        if more.head(1):
+            links = links.unionByName(more)
+            discard(now)
+            now = _labelled(state, links)
     discard(members)
-    labels = _labelled(state, links).join(texts, "id").select("id", "doc", "label")
+    labels = now.join(texts, "id").select("id", "doc", "label")
     labels = labels.join(labels.groupBy("label").agg(F.min("doc").alias("component")), "label").select("id", "component")
     found = filled.join(classes.select("n", "k1", "k2", "id"), ["n", "k1", "k2"]).join(labels, "id").groupBy("doc").agg(F.min("component").alias("component"))
     return rows.join(found, "doc", "left").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
