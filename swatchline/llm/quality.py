@@ -108,16 +108,20 @@ def fit_rules(x: np.ndarray, y: np.ndarray) -> tuple[float, list[tuple[Rule, flo
     rules: dict[Rule, None] = {}
     for _ in range(TREES):
         rows = rng.choice(len(y), min(len(y), 3000), replace=False)
-        columns = rng.choice(x.shape[1], (x.shape[1] + 1) // 2, replace=False)
-        rules |= dict.fromkeys(_paths(x, y, rows, columns, DEPTH))
+        some = rng.choice(x.shape[1], (x.shape[1] + 1) // 2, replace=False)
+        rules |= dict.fromkeys(_paths(x, y, rows, some, DEPTH))
     names = list(rules)
     if not names:
         return base, []
-    a = np.stack([_holds(r, x) for r in names], axis=1).astype(float)
-    seen, first = np.unique(a, axis=1, return_index=True)
-    a, names = a[:, np.sort(first)], [names[i] for i in np.sort(first)]
-    del seen
-    step = 4 * len(y) / (np.linalg.norm(a, 2) ** 2 + len(y))
+    columns: dict[bytes, tuple[Rule, np.ndarray]] = {}
+    for rule in names:  # of rules that hold for the same rows the first
+        holds = _holds(rule, x)
+        columns.setdefault(np.packbits(holds).tobytes(), (rule, holds))
+    names = [rule for rule, _ in columns.values()]
+    a = np.empty((len(y), len(names)))
+    for i, (_, holds) in enumerate(columns.values()):
+        a[:, i] = holds
+    step = 4 * len(y) / (np.linalg.eigvalsh(a.T @ a)[-1] + len(y))
     w, b, z, c, t = np.zeros(a.shape[1]), base, np.zeros(a.shape[1]), base, 1.0
     for _ in range(STEPS):
         p = 1 / (1 + np.exp(-np.clip(a @ z + c, -30, 30)))
