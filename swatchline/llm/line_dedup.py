@@ -17,6 +17,8 @@ other's lines recur. ORACLE_SQL says the same.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +39,11 @@ def _tokens(line: Column) -> Column:
     return F.array_remove(F.split(line, r"[ \t\r]+"), "")
 
 
+def _bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with the value computed once, however often then and functions within it refer to it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def _lines(keyed: DataFrame) -> DataFrame:
     """One row for each line with tokens: id, th, pos, and hashes of its tokens (line), leaf and digits (told)."""
     told = F.lit(None).cast("array<string>")  # tokens with their digits, of lines with fields
@@ -59,8 +66,9 @@ def _tokens_of(kinds: DataFrame, keyed: DataFrame) -> DataFrame:
     told = kinds.join(wide, "leaf").select("line", "leaf", "place.*")
     wanted = told.groupBy(F.coalesce("id", F.lit(0)).alias("k"), F.col("id").isNull().alias("none"), "th").agg(F.collect_list(F.struct("pos", "line", "leaf")).alias("want"))
     texts = keyed.select(F.coalesce("id", F.lit(0)).alias("k"), F.col("id").isNull().alias("none"), "th", "text")
-    found = wanted.join(texts, ["k", "none", "th"]).select(F.split("text", "\n").alias("lines"), "want")
-    found = found.select(F.explode(F.transform("want", lambda x: F.struct(x["line"].alias("line"), x["leaf"].alias("leaf"), F.get("lines", x["pos"]).alias("told")))).alias("x")).select("x.*")
+    found = wanted.join(texts, ["k", "none", "th"])
+    read = _bound(F.struct(F.split("text", "\n").alias("lines"), "want"), lambda b: F.transform(b["want"], lambda x: F.struct(x["line"].alias("line"), x["leaf"].alias("leaf"), F.get(b["lines"], x["pos"]).alias("told"))))
+    found = found.select(F.inline(read))
     found = found.groupBy("line", "leaf").agg(F.min("told").alias("told"))
     return found.select("line", "leaf", F.transform(_tokens(_masked(F.col("told"))), lambda t: F.xxhash64(t)).alias("tokens"))
 
@@ -71,9 +79,11 @@ def _templates(found: DataFrame) -> DataFrame:
     support = each.groupBy("leaf", "i", "token").agg(F.count("*").alias("c"))
     whole = each.join(support, ["leaf", "i", "token"]).groupBy("line", "leaf").agg(F.sort_array(F.collect_list(F.struct("i", "token", "c"))).alias("x"))
     reach = F.ceil(F.lit(CONSTANT) * F.size("x")).cast("int")
-    whole = whole.withColumn("group", F.get(F.sort_array(F.col("x.c"), asc=False), reach - 1)).where(F.col("group") >= VARIANTS)
-    field = lambda e: 2 * e["c"] < F.col("group")
-    return whole.where(F.exists("x", field)).select("line", F.xxhash64("leaf", F.transform("x", lambda e: F.when(field(e), 0).otherwise(e["token"]))).alias("template"))
+    group = F.get(F.sort_array(F.col("x.c"), asc=False), reach - 1)
+    field = lambda b, e: 2 * e["c"] < b["group"]
+    shape = lambda b: F.xxhash64("leaf", F.transform(b["x"], lambda e: F.when(field(b, e), 0).otherwise(e["token"])))
+    template = _bound(F.struct("x", group.alias("group")), lambda b: F.when((b["group"] >= VARIANTS) & F.exists(b["x"], lambda e: field(b, e)), shape(b)))
+    return whole.select("line", template.alias("template")).where("template is not null")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS, min_copies: int = MIN_COPIES) -> DataFrame:
@@ -106,7 +116,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out = cut(out.groupBy(*key()).agg(F.collect_set("pos").alias("gone")))
     rows = keyed.select("row", "text", *key()).join(out, ["k", "none", "th"], "left")
     text = F.split("text", "\n")
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(text) - 1), "gone"), lambda i: F.get(text, i))
+    kept = _bound(F.struct(text.alias("lines"), "gone"), lambda b: F.transform(F.array_except(F.sequence(F.lit(0), F.size(b["lines"]) - 1), b["gone"]), lambda i: F.get(b["lines"], i)))
     names = [F.col(f"row.`{c}`").alias(c) if c != text_col else F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped")]
     return rows.select(*names, F.coalesce(F.size(text), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"))
 

@@ -390,7 +390,7 @@ def test_line_dedup_columns_and_sizes(spark):
     got = {r.doc_id: r for r in line_dedup.dedup_lines(rows.withColumn("row", F.lit("r")).withColumn("th", F.lit("t"))).collect()}
     assert got[-1].text == f"a\n{line}" and got[None].text == "a" and got[3].text == "b"
     assert {(r._id, r._text, r.row, r.th, r.n_lines) for r in got.values()} == {("u", "v", "r", "t", 2)}
-    many = "\n".join(["x y z w"] + [f"{'ab'[i % 2]} {i} line" for i in range(60_000)])
+    many = "\n".join(["x y z w"] + [f"{'ab'[i % 2]} {i} long line" for i in range(60_000)])
     long = line_dedup.dedup_lines(docs(spark, many, many + "\nend", "x y z w")).orderBy("doc_id").collect()
     assert [r.n_dropped for r in long] == [0, 60_001, 1]
 
