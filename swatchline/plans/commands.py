@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import warnings
 
 from pyspark.errors import AnalysisException
@@ -14,11 +15,9 @@ from swatchline.operators import context, extract, match
 
 
 def option_number(x, default: float) -> float:
-    """A numeric option; what isn't a number, and 0, give the default."""
-    try:
-        return float(x) or default
-    except (TypeError, ValueError):
-        return default
+    """A numeric option: the number that its text begins with; what begins with none, and 0, give the default."""
+    found = re.match(r"\s*[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?", str(x))
+    return (float(found[0]) if found else 0.0) or default
 
 
 def _plain_hits(lines: DataFrame) -> DataFrame:

@@ -128,7 +128,7 @@ def test_tree_and_options(spark, tmp_path):
     (tmp_path / ".swatchlinerc").write_text('{"threshold": 5, "exclude": ["x"], "minCount": 4}')
     merged = options.merge(options.Options(min_count=3), options.load(str(tmp_path / "node_modules")))
     assert (merged.threshold, merged.exclude, merged.min_count) == (5, ["x"], 3)
-    assert commands.option_number("0", 10) == 10
+    assert [commands.option_number(x, 10) for x in ("0", "10px", "x", None, 5, ".5e1 ")] == [10, 10, 10, 10, 5, 5]
 
 
 PALETTE = [
@@ -251,3 +251,8 @@ def test_command_line(spark, tmp_path, capsys):
     assert "patterns: 0" in capsys.readouterr().out
     cli.main(["colors", "--output-schema"], spark)
     assert "actionable boolean" in capsys.readouterr().out
+
+
+def test_rows_by_file(spark):
+    rows = commands.colors(lines(spark, "color: #fff; fill: #000", "fill: #123456").unionAll(lines(spark, "color: #abc", file="b.css")))
+    assert [(r.file, [(h.line, h.value) for h in r.hits]) for r in report.by_file(rows).orderBy("file").collect()] == [("b.css", [(1, "#abc")]), ("src/a.tsx", [(1, "#fff"), (1, "#000"), (2, "#123456")])]
