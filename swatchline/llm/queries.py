@@ -1,6 +1,6 @@
 """The queries of this subpackage, one for each operator."""
 
-from swatchline.llm import bpe, impact_topk, language, lattice, license_scan, line_dedup, ngram_join, packing, quality, secret_scan
+from swatchline.llm import bpe, filter_audit, impact_topk, language, lattice, license_scan, line_dedup, ngram_join, packing, quality, secret_scan, token_align, token_counts
 
 
 def queries() -> dict:
@@ -15,6 +15,9 @@ def queries() -> dict:
         "op8_impact_topk": impact_topk.op8_impact_topk,
         "op9_secret_scan": secret_scan.op9_secret_scan,
         "op10_language_id": language.op10_language_id,
+        "op11_token_align": token_align.op11_token_align,
+        "op12_token_counts": token_counts.op12_token_counts,
+        "op13_filter_audit": filter_audit.op13_filter_audit,
     }
 
 
@@ -26,4 +29,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_lattice_near_dedup": lattice.ORACLE_SQL,
         "op7_ngram_join": ngram_join.ORACLE_SQL,
         "op8_impact_topk": impact_topk.ORACLE_SQL,
+        "op13_filter_audit": filter_audit.ORACLE_SQL,
     }
