@@ -9,7 +9,8 @@ Conditions A to D look at one text. E, being the same as the text of a smaller i
 2. Classes are split by the hashes of one block of the text after another, dropping those of one document each time.
    The blocks grow by GROWTH, so a text of n characters has log(n) of them; one pass over the texts hashes them all.
 3. The full texts of the survivors are compared, by grouping: each task first tells equal texts once, so that many copies
-   of one text don't meet in one place. Of equal texts the smallest id stays, and every other one fails E.
+   of one text don't meet in one place. Of equal texts the smallest id stays, and every other one fails E. Only texts move
+   whose hash is likely a survivor's.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ FILTERS = "ABCDE"
 BLOCK, GROWTH = 256, 8
 #: Blocks after these cover texts of 2^31 characters, more than a column's value can have.
 BLOCKS = 8
+#: Words of 64 bits by which texts are told that may have a copy (8 MB).
+MOST_WORDS = 1 << 20
 MIN_WORDS, MIN_DISTINCT, MOST_UPPER = 200, 50, 2  # words; distinct and upper-case shares in per cent
 
 
@@ -71,13 +74,30 @@ def duplicates(rows: DataFrame, texts: DataFrame) -> DataFrame:
             discard(before)
         if k and not left.where(F.get("blocks", F.lit(k)).isNotNull() if k < BLOCKS else F.lit(False)).head(1):
             break
-    survivors = left.select("id", "th", "class")
-    same = texts.join(survivors, ["id", "th"]).groupBy("class", "text").agg(F.min(F.struct("id", "th")).alias("first"))
-    found = cut(survivors.join(same.select("first.*"), ["id", "th"], "left_anti").select("id", "th"))
+    survivors = left.select("id", "th")
+    # equal texts are told once by each task, so their number doesn't count; a text that no other equals is its own first
+    same = _maybe(texts, survivors).groupBy("text").agg(F.min(F.struct("id", "th")).alias("first"))
+    found = cut(survivors.join(same.select("first.*"), ["id", "th"], "left_anti"))
     discard(left)
     return found
 
 
+def _maybe(texts: DataFrame, survivors: DataFrame) -> DataFrame:
+    """All texts whose hash is a survivor's, and a few others, told by one bit of their hashes; none moves for this.
+
+    The bits are one row of MOST_WORDS words at most. Where that is too few, more other texts stay.
+    """
+    spark = texts.sparkSession
+    hashes = survivors.select("th").distinct()
+    words = min(MOST_WORDS, 1 << max(10, (hashes.count() // 4).bit_length()))
+    word = lambda th: F.pmod(th, F.lit(words))
+    bit = lambda th: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(th, 32), F.lit(64)).cast("int"))
+    filled = hashes.groupBy(word(F.col("th")).alias("word")).agg(F.bit_or(bit(F.col("th"))).alias("bits"))
+    each = spark.range(words).join(filled, F.col("id") == F.col("word"), "left").select(F.struct("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")).alias("x"))
+    row = each.agg(F.array_sort(F.collect_list("x")).alias("all")).select(F.col("all.bits").alias("bits"))
+    return texts.where("id is not null").join(F.broadcast(row), F.get(F.col("bits"), word(F.col("th")).cast("int")).bitwiseAND(bit(F.col("th"))) != 0, "left_semi")
+
+
 def masks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "source") -> DataFrame:
     """id, part, mask of every row: the bits of the filters that it fails. A null part is the empty string."""
     text = F.coalesce(F.col(text_col), F.lit(""))
