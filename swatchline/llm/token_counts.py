@@ -3,17 +3,20 @@
 A tokenizer first divides a text into pre-tokens and then cuts each of them by itself, so a text's count is the sum over
 its pre-tokens of their own counts, times how often each stands there. No ids are made.
 
-1. Each task gives the distinct pre-tokens of its documents and in how many documents they stand; these are summed, and
-   every distinct pre-token of the corpus is cut once. The table of them is written.
-2. A second pass gives each document its pre-tokens' frequencies. Frequent pre-tokens are those that stand in at least
-   1 / FREQUENT of all (document, pre-token) pairs: there are at most FREQUENT of these, so their counts are broadcast and
-   joined in place. The others move, and are joined by pre-token; none of them is hot, being under that share.
+1. Each task gives the distinct pre-tokens of its documents and how often they stand in these; that is summed, and every
+   distinct pre-token of the corpus is cut once. The table of them is written.
+2. A second pass gives each document its pre-tokens' frequencies. Frequent pre-tokens are those that make up at least
+   1 / FREQUENT of all in the corpus: there are at most FREQUENT of these, so their counts are broadcast (64 MB at most)
+   and joined in place. The others move, and are joined by pre-token; none of them is hot, being under that share.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
+import re
+import unicodedata
 from collections import Counter
 
 import pandas as pd
@@ -25,11 +28,24 @@ from swatchline.llm.common import cut, small_batches, table
 from swatchline.llm.packing import BYTE_LEVEL
 
 #: Pre-tokens that may be broadcast, and bytes of one of them.
-FREQUENT, SHORT = 1 << 16, 64
-#: Distinct pre-tokens, and characters of them, that a task holds before it hands them on.
-HELD, HELD_CHARS = 200_000, 1 << 24
+FREQUENT, SHORT = 1 << 20, 64
+#: Distinct pre-tokens, and characters of texts, after which a task hands on what it has found.
+HELD, HELD_CHARS = 200_000, 1 << 25
 #: Characters whose classes don't depend on the version of Unicode that a library knows; other texts take a slower way.
-SETTLED = r"[\x00-\u052f\u2010-\u2027\u2030-\u205e\u20a0-\u20bf\u2190-\u21ff\u2500-\u27bf\u3001-\u303f\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3\U0001f300-\U0001f5ff]*"
+SETTLED = [
+    (0x0, 0x1B), (0x20, 0x52F), (0x2010, 0x2027), (0x2030, 0x205E), (0x20A0, 0x20BF), (0x2190, 0x21FF), (0x2500, 0x27BF), (0x3001, 0x303F), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3), (0x1F300, 0x1F5FF),
+]
+
+
+def settled_pattern() -> str:
+    """BYTE_LEVEL with its classes of settled characters written out, which is faster to search."""
+
+    def members(kind: str) -> str:
+        codes = [c for a, b in SETTLED for c in range(a, b + 1) if unicodedata.category(chr(c))[0] == kind]
+        runs = [list(g) for _, g in itertools.groupby(enumerate(codes), lambda x: x[1] - x[0])]
+        return "".join(f"\\U{g[0][1]:08x}-\\U{g[-1][1]:08x}" for g in runs)
+
+    return BYTE_LEVEL.replace(r"\s\p{L}\p{N}", rf"\s{members('L')}{members('N')}").replace(r"\p{L}", f"[{members('L')}]").replace(r"\p{N}", f"[{members('N')}]")
 
 
 class JsonPieces:
@@ -40,7 +56,6 @@ class JsonPieces:
     """
 
     def __init__(self, data: bytes):
-        import regex
         from tokenizers import Tokenizer
 
         self.own = Tokenizer.from_str(data.decode("utf-8"))
@@ -52,14 +67,14 @@ class JsonPieces:
         odd = any(t[k] for t in added for k in ("single_word", "lstrip", "rstrip")) or (spec.get("normalizer") and any(t["normalized"] for t in added))
         self.whole = bool(odd) or self.own.pre_tokenizer is None or bool(spec["model"].get("dropout"))
         names = sorted((t["content"] for t in added), key=len, reverse=True)
-        self.added = regex.compile("|".join(map(regex.escape, names))) if names else None
+        self.added = re.compile("|".join(map(re.escape, names))) if names else None
         self.plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer")
-        self.pattern, self.settled = regex.compile(BYTE_LEVEL), regex.compile(SETTLED)
+        self.pattern, self.unsettled = re.compile(settled_pattern()), re.compile("[^" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in SETTLED) + "]")
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in such files
         self.char_of = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in shown)}
 
     def _part(self, text: str) -> list[str]:
-        if self.plain and self.settled.fullmatch(text):
+        if self.plain and not self.unsettled.search(text):
             return self.pattern.findall(text)
         if self.own.normalizer is not None:
             text = self.own.normalizer.normalize_str(text)
@@ -96,8 +111,6 @@ class ModelPieces:
     BLANK = "▁"
 
     def __init__(self, data: bytes):
-        import re
-
         import sentencepiece
 
         self.own = sentencepiece.SentencePieceProcessor(model_proto=data)
@@ -125,24 +138,21 @@ def pieces_of(data: bytes, kind: str):
 
 
 def _distinct(make):
-    """(piece, docs): the distinct pieces of a task's documents, and how many of these have them."""
+    """(piece, times): the distinct pieces of a task's documents, and how often they stand in these."""
 
     def told(held):
-        return pd.DataFrame({"piece": pd.Series(list(held), dtype=object), "docs": list(held.values())})
+        return pd.DataFrame({"piece": pd.Series(list(held), dtype=object), "times": list(held.values())})
 
     def run(batches):
-        split, held, chars = make().split, {}, 0
+        split, held, chars = make().split, Counter(), 0
         for pdf in batches:
             for text in pdf["text"]:
-                for p in set(split(text or "")[1]):
-                    if p in held:
-                        held[p] += 1
-                    else:
-                        held[p] = 1
-                        chars += len(p)
+                if text:
+                    held.update(split(text)[1])
+                    chars += len(text)
                 if len(held) >= HELD or chars >= HELD_CHARS:
                     yield told(held)
-                    held, chars = {}, 0
+                    held, chars = Counter(), 0
         yield told(held)
 
     return run
@@ -161,20 +171,17 @@ def _sums(make, frequent):
     """A row for each document: what its frequent pieces sum up to, and the frequencies of the others."""
 
     def run(batches):
-        split, known = make().split, frequent.value
+        split = make().split
+        known = dict(zip(*frequent.value, strict=True))
         for pdf in batches:
             out = []
             for i, text in zip(pdf["id"], pdf["text"], strict=True):
                 total, pieces = split(text or "")
-                rest = []
-                for p, n in Counter(pieces).items():
-                    tokens = known.get(p)
-                    if tokens is None:
-                        rest.append({"piece": p, "n": n})
-                    else:
-                        total += n * tokens
-                out.append((i, len((text or "").encode("utf-8", "surrogatepass")), total, rest))
-            yield pd.DataFrame(out, columns=["id", "n_bytes", "known", "rest"])
+                times = Counter(pieces)
+                rest = [p for p in times if p not in known]
+                total += sum(known[p] * n for p, n in times.items() if p in known)
+                out.append((i, len((text or "").encode("utf-8", "surrogatepass")), total, rest, [times[p] for p in rest]))
+            yield pd.DataFrame(out, columns=["id", "n_bytes", "known", "piece", "n"])
 
     return run
 
@@ -197,18 +204,19 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
         return worker_memory(name, lambda: pieces_of(sent.value, kind))
 
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
-    distinct = rows.select("text").mapInPandas(_distinct(make), "piece string, docs long").groupBy("piece").agg(F.sum("docs").alias("docs"))
-    pieces = cut(distinct.mapInPandas(_cut_pieces(make), "piece string, docs long, tokens long"))
-    total = pieces.agg(F.sum("docs")).first()[0] or 0
-    often = (F.col("docs") * frequent >= total) & (F.octet_length("piece") <= SHORT)
-    head = {r.piece: r.tokens for r in pieces.where(often).select("piece", "tokens").toLocalIterator()}  # `frequent` rows at most
-
-    summed = rows.mapInPandas(_sums(make, spark.sparkContext.broadcast(head)), "id string, n_bytes long, known long, rest array<struct<piece: string, n: long>>")
+    distinct = rows.select("text").mapInPandas(_distinct(make), "piece string, times long").groupBy("piece").agg(F.sum("times").alias("times"))
+    pieces = cut(distinct.mapInPandas(_cut_pieces(make), "piece string, times long, tokens long"))
+    total = pieces.agg(F.sum("times")).first()[0] or 0
+    often = (F.col("times") * frequent >= total) & (F.octet_length("piece") <= SHORT)
+    head = pieces.where(often).select("piece", "tokens").toArrow()  # `frequent` rows at most
+    head = spark.sparkContext.broadcast((head["piece"].to_pylist(), head["tokens"].to_pylist()))
+
+    summed = rows.mapInPandas(_sums(make, head), "id string, n_bytes long, known long, piece array<string>, n array<long>")
     summed = cut(summed.withColumn("key", F.monotonically_increasing_id()))
-    rest = summed.select("key", F.inline("rest")).join(pieces.where(~often).select("piece", "tokens"), "piece")
+    rest = summed.select("key", F.inline(F.arrays_zip("piece", "n"))).join(pieces.where(~often).select("piece", "tokens"), "piece")
     rest = rest.groupBy("key").agg(F.sum(F.col("n") * F.col("tokens")).alias("more"))
     n = (F.col("known") + F.coalesce("more", F.lit(0))).cast("long")
-    return summed.drop("rest").join(rest, "key", "left").select(F.col("id").cast("long").alias("doc_id"), "n_bytes", n.alias("n_tokens"), (n > limit).alias("over_limit"))
+    return summed.drop("piece", "n").join(rest, "key", "left").select(F.col("id").cast("long").alias("doc_id"), "n_bytes", n.alias("n_tokens"), (n > limit).alias("over_limit"))
 
 
 def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
