@@ -8,16 +8,49 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from swatchline import dims
+from swatchline.functions.color import let
 
 
-def matches(lines: DataFrame, pattern: str, name: str = "value") -> DataFrame:
-    """One row per match: the columns of lines, `name`, and col (1-based, in bytes)."""
-    found, pieces = F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), F.split("text", pattern)
-    # a match starts behind the pieces up to it and the matches before it; their lengths are added, not their strings
-    steps = F.zip_with(found, F.slice(pieces, 1, F.size(found)), lambda m, p: F.struct(m.alias("m"), F.octet_length(m).alias("own"), F.octet_length(p).alias("gap")))
-    ends = lambda all_, i: F.aggregate(F.slice(all_, 1, i), F.lit(1), lambda at, x: at + x["own"] + x["gap"])
-    hits = F.transform(F.array(steps), lambda all_: F.transform(all_, lambda x, i: F.struct(x["m"].alias(name), (ends(all_, i) + x["gap"]).cast("int").alias("col"))))
-    return lines.where(F.col("text").rlike(pattern)).select("*", F.inline(F.get(hits, F.lit(0))))
+#: In a round of running sums an element gets so many sums added, less one; rounds that reach 2^32 elements.
+RADIX, ROUNDS = 40, 6
+
+
+def running(sizes: Column) -> Column:
+    """The sums of an array of numbers up to each of its elements, as an array.
+
+    Before round k an element holds the sum of RADIX^k elements, itself the last; it gets those of the RADIX - 1
+    stretches before it added. So n elements take log(n) rounds, and rounds that an array is too short for are left out.
+    """
+
+    def widened(step: int):
+        added = lambda x, i: lambda a, j: a + F.coalesce(F.get(x, i - j * step), F.lit(0))
+        earlier = F.array(*map(F.lit, range(1, RADIX)))
+        return lambda x: F.when(F.size(x) > step, F.transform(x, lambda v, i: F.aggregate(earlier, v, added(x, i)))).otherwise(x)
+
+    return reduce(lambda x, k: let(x, widened(RADIX**k)), range(ROUNDS), sizes)
+
+
+def found(pattern: str, name: str = "value", needs: tuple[str, ...] = ()) -> Column:
+    """The matches of a pattern in `text`, as an array of (name, col); null if there are none. col is 1-based, in bytes.
+
+    The work grows with a line's length, and but for a logarithm with its matches. Lines without a match are searched
+    once, others twice: for the matches, and for what stands between them. needs: strings of which every match holds one.
+    """
+
+    def hits(got: Column) -> Column:
+        pieces = F.slice(F.split("text", pattern), 1, F.size(got))
+        sizes = F.zip_with(got, pieces, lambda m, p: (F.octet_length(m) + F.octet_length(p)).cast("long"))
+        ends = F.when(F.size(got) > 1, running(sizes)).otherwise(sizes)  # nearly all lines have one match
+        return F.zip_with(got, ends, lambda m, end: F.struct(m.alias(name), (end - F.octet_length(m) + 1).cast("int").alias("col")))
+
+    got = let(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), lambda x: F.when(F.size(x) > 0, hits(x)))
+    return F.when(reduce(lambda a, b: a | b, (F.col("text").contains(x) for x in needs)), got) if needs else got
+
+
+def matches(lines: DataFrame, pattern: str, name: str = "value", needs: tuple[str, ...] = ()) -> DataFrame:
+    """One row per match: the columns of lines, `name`, and col."""
+    # the outer form, since Spark evaluates an inner one's array twice: to filter the lines, and to tell its elements
+    return lines.select("*", F.inline_outer(found(pattern, name, needs))).where(F.col("col").isNotNull())
 
 
 def trimmed(text: Column) -> Column:
@@ -25,13 +58,18 @@ def trimmed(text: Column) -> Column:
 
 
 def color_literals(lines: DataFrame) -> DataFrame:
-    return matches(lines, dims.COLOR)
+    return matches(lines, dims.COLOR, needs=dims.COLOR_MARKS)
+
+
+def named(match: Column) -> Column:
+    """The colour's name in a match of a property with one, in lower case; null if it's none."""
+    word = F.lower(F.regexp_extract(match, dims.NAMED_WORD, 1))
+    return let(word, lambda w: F.when(w.isin(list(dims.NAMED_COLORS)), w))
 
 
 def named_colors(lines: DataFrame, pattern: str) -> DataFrame:
     """Properties with a named colour: value is the word in lower case, match the whole match."""
-    word = F.lower(F.regexp_extract("match", dims.NAMED_WORD, 1))
-    return matches(lines, pattern, "match").withColumn("value", word).where(F.col("value").isin(list(dims.NAMED_COLORS)))
+    return matches(lines, pattern, "match", (":",)).withColumn("value", named(F.col("match"))).where(F.col("value").isNotNull())
 
 
 def tailwind_classes(lines: DataFrame) -> DataFrame:

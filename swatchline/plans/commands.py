@@ -20,13 +20,22 @@ def option_number(x, default: float) -> float:
     return (float(found[0]) if found else 0.0) or default
 
 
-def _plain_hits(lines: DataFrame) -> DataFrame:
-    """Colour literals outside comments and templates, typed."""
-    rows = extract.color_literals(context.block_comments(lines)).withColumn("type", color.color_type(F.col("value")))
-    return rows.where((F.col("type") != "unknown") & ~F.col("text").rlike(dims.COMMENT_LINE) & ~F.col("in_block") & ~F.col("value").contains("${")).drop("in_block")
+LITERALS = {"literal": (dims.COLOR, dims.COLOR_MARKS)}
+NAMED = {"css": (dims.NAMED_CSS, (":",)), "js": (dims.NAMED_JS, (":",))}
 
 
-def _first_of_place(rows: DataFrame, rank: str) -> DataFrame:
+def _hits(lines: DataFrame, patterns: dict) -> DataFrame:
+    """Colours outside comment lines, literals outside block comments and templates, typed, with the facts of their files."""
+    rows = context.scanned(lines, patterns).where(~F.col("text").rlike(dims.COMMENT_LINE))
+    literal = F.col("kind") == "literal"
+    rows = rows.withColumn("value", F.when(literal, F.col("match")).otherwise(extract.named(F.col("match")))).where(F.col("value").isNotNull())
+    rows = rows.withColumn("type", F.when(literal, color.color_type(F.col("value"))).otherwise("named"))
+    return rows.where(~literal | ((F.col("type") != "unknown") & ~F.col("in_block") & ~F.col("value").contains("${")))
+
+
+def _first_of_place(rows: DataFrame) -> DataFrame:
+    """Of several at one place a literal goes first, then a CSS property's, then a JS one's."""
+    rank = F.when(F.col("kind") == "literal", 0).when(F.col("kind") == "css", 1).otherwise(2)
     by = Window.partitionBy("file", "line", "col").orderBy(rank, "value")
     return rows.withColumn("_n", F.row_number().over(by)).where("_n = 1").drop("_n")
 
@@ -34,22 +43,18 @@ def _first_of_place(rows: DataFrame, rank: str) -> DataFrame:
 def colors(lines: DataFrame, named: bool = True) -> DataFrame:
     """file, line, col, value, type, hex, text, context, label, actionable of every colour literal."""
     typed = F.col("text").rlike(dims.TYPE_ANNOTATION) & ~F.col("text").rlike("['\"]")
-    rows = _plain_hits(lines).where(~typed).withColumn("match", F.col("value")).withColumn("_rank", F.lit(0))
-    if named:
-        for rank, pattern in ((1, dims.NAMED_CSS), (2, dims.NAMED_JS)):
-            more = extract.named_colors(lines, pattern).where(~F.col("text").rlike(dims.COMMENT_LINE))
-            rows = rows.unionByName(more.withColumn("type", F.lit("named")).withColumn("_rank", F.lit(rank)))
-    rows = _first_of_place(rows, "_rank").withColumn("hex", color.to_hex(color.parse_color(F.col("value"))))
-    rows = context.with_context(rows, lines, "match")
+    rows = _hits(lines, LITERALS | (NAMED if named else {})).where((F.col("kind") != "literal") | ~typed)
+    rows = _first_of_place(rows).withColumn("hex", color.to_hex(color.parse_color(F.col("value"))))
+    rows = rows.withColumn("context", context.context(F.col("text"), F.col("match")))
     return rows.select("file", "line", "col", "value", "type", "hex", "text", "context", context.context_label(F.col("context")).alias("label"), (F.col("context") == "actionable").alias("actionable"))
 
 
 def compare(lines: DataFrame, palette: DataFrame, threshold: float = 10) -> DataFrame:
     """Colour literals with their palette entry by meaning, status and suggestions."""
-    rows = _first_of_place(_plain_hits(lines).withColumn("_rank", F.lit(0)), "_rank").drop("_rank").withColumn("prop", extract.css_property(F.col("text"))).withColumn("rgb", color.parse_color(F.col("value")))
+    rows = _first_of_place(_hits(lines, LITERALS)).withColumn("prop", extract.css_property(F.col("text"))).withColumn("rgb", color.parse_color(F.col("value")))
     rows = rows.withColumn("lab", color.to_lab(F.col("rgb"))).withColumn("cat", match.category(F.col("prop"))).withColumn("hex", color.to_hex(F.col("rgb")))
     rows = match.nearest_semantic(rows, palette).withColumn("status", match.status(option_number(threshold, 10)))
-    rows = context.with_context(rows, lines).withColumn("actionable", F.col("context") == "actionable")
+    rows = rows.withColumn("context", context.context(F.col("text"), F.col("value"))).withColumn("actionable", F.col("context") == "actionable")
     rows = rows.withColumn("suggestion", F.when(F.col("actionable"), match.suggestion(color.alpha(F.col("value")))))
     rows = rows.withColumn("name_suggestion", F.when((F.col("status") == "unmatched") & F.col("actionable"), color.suggest_name(F.col("rgb"), F.col("lab"), F.col("prop"))))
     return rows.select("file", "line", "col", "value", "type", "hex", "text", "context", "actionable", "prop", "status", "near_name", "near_hex", "near_distance", "suggestion", "name_suggestion")
