@@ -88,7 +88,7 @@ SPACE = r"[\t\n\x0B\f\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\
 TRIM = f"^{SPACE}+|{SPACE}+$"
 # Patterns of literals
 COLOR = "(?i)" + "|".join([r"#(?:[0-9a-fA-F]{3,4}){1,2}\b", r"\brgba?\([^)]+\)", r"\bhsla?\([^)]+\)", *(rf"\b{f}\([^)]+\)" for f in FUNCTIONS), r"\bcolor\(\s*(?:" + "|".join(COLOR_SPACES) + r")\b[^)]*\)"])
-COLOR_MARKS = ("#", "(")  # one of them stands in every match
+COLOR_GATE, NAMED_CSS_GATE, NAMED_JS_GATE = r"[#(]", r":\s*[a-zA-Z]", r""":\s*['"][a-zA-Z]"""  # what a line with a match holds
 NAMED_CSS = "(?:" + "|".join(CSS_PROPERTIES) + r")\s*:\s*(?:[a-zA-Z]+)"
 NAMED_JS = "(?:" + "|".join(JS_PROPERTIES) + r""")\s*:\s*['"](?:[a-zA-Z]+)['"]"""
 NAMED_WORD = r""":\s*['"]?([a-zA-Z]+)['"]?\s*[;,}]?\s*$"""

@@ -28,6 +28,12 @@ def _number(c: Column) -> Column:
     return F.regexp_extract(c, r"^(\d*\.?\d*)", 1).try_cast("double")
 
 
+def named_color(name: Column) -> Column:
+    """The code of a colour's name in lower case; null if it's none."""
+    told = ",".join(f"{k}:{v}" for k, v in dims.NAMED_COLORS.items())
+    return F.element_at(F.expr(f"str_to_map('{told}')"), name)  # one constant, rather than one for each name
+
+
 def normal(value: Column) -> Column:
     return F.lower(F.regexp_replace(value, dims.TRIM, ""))
 
@@ -37,7 +43,7 @@ def color_type(value: Column) -> Column:
     out = F.when(v.startswith("#"), "hex")
     for name in ("rgba", "rgb", "hsla", "hsl", *dims.FUNCTIONS, "color"):
         out = out.when(v.startswith(name + ("(" if name == "color" else "")), "color()" if name == "color" else name)
-    return out.when(v.isin(list(dims.NAMED_COLORS)), "named").otherwise("unknown")
+    return out.when(named_color(v).isNotNull(), "named").otherwise("unknown")
 
 
 def parse_hex(value: Column) -> Column:
@@ -85,8 +91,7 @@ def parse_hsl(value: Column) -> Column:
 
 def parse_color(value: Column) -> Column:
     """Red, green and blue as written, not clamped; null for what can't be parsed."""
-    names = F.create_map(*(F.lit(x) for pair in dims.NAMED_COLORS.items() for x in pair))
-    code = lambda v: F.coalesce(F.element_at(names, v), F.when(v.startswith("#"), v))
+    code = lambda v: F.coalesce(named_color(v), F.when(v.startswith("#"), v))
     each = lambda v: F.when(v.startswith("rgb"), parse_rgb(v)).when(v.startswith("hsl"), parse_hsl(v)).otherwise(let(code(v), lambda c: F.when(c.isNotNull(), parse_hex(c))))
     return let(normal(value), each)
 

@@ -107,23 +107,25 @@ def file_info(lines: DataFrame) -> DataFrame:
 FILE_COLUMNS = ["is_canvas", "is_definition", "is_mapping", "is_builder", "has_usage", "is_style"]
 
 
-def scanned(lines: DataFrame, patterns: dict[str, tuple[str, tuple[str, ...]]]) -> DataFrame:
+def scanned(lines: DataFrame, patterns: dict[str, tuple[str, str]]) -> DataFrame:
     """One row per match of any of the patterns: file, line, text, kind, match, col, in_block and the columns of file_info.
 
-    patterns: kind to (pattern, the strings of which every match has one). One pass over the lines tells matches,
+    patterns: kind to (pattern, gate). One pass over the lines tells matches,
     comment markers and facts of the file; lines that have none of these don't move. The rest meet by chunks of files,
     and the states and facts of a file are told from one row for each of its chunks.
     """
     line, text = F.col("line"), F.col("text")
     none = F.array().cast("array<struct<kind:string,match:string,col:int>>")
-    hits = F.concat(*(F.coalesce(F.transform(extract.found(p, "match", needs), lambda x: F.struct(F.lit(kind).alias("kind"), x["match"].alias("match"), x["col"].alias("col"))), none) for kind, (p, needs) in patterns.items()))
+    hits = F.concat(*(F.coalesce(F.transform(extract.found(p, "match", gate), lambda x: F.struct(F.lit(kind).alias("kind"), x["match"].alias("match"), x["col"].alias("col"))), none) for kind, (p, gate) in patterns.items()))
     facts = _facts(line, text)
     said = F.struct(hits.alias("hits"), comment_mark(text).alias("mark"), *(c.alias(k) for k, c in facts.items()))
     anything = lambda e: (F.size(e["hits"]) > 0) | e["mark"].isNotNull() | reduce(lambda a, b: a | b, (e[k] for k in facts))
     told = lambda e: F.struct(line.alias("line"), F.when(F.size(e["hits"]) > 0, text).alias("text"), e["hits"].alias("hits"), e["mark"].alias("mark"), *(e[k].alias(k) for k in facts))
-    each = lines.select("file", chunk(line).alias("chunk"), F.explode_outer(let(said, lambda e: F.when(anything(e), F.array(told(e))))).alias("e")).where(F.col("e").isNotNull())
-    # both the summary and the rows themselves come of these groups, whose exchange Spark makes once
-    groups = each.groupBy("file", "chunk").agg(F.collect_list("e").alias("rows"))
+    each = lines.select("file", chunk(line).alias("chunk"), F.explode_outer(let(said, lambda e: F.when(anything(e), F.array(told(e))))).alias("e"))
+    # without the nulls that the join below leaves out anyway, so that both its sides are the same up to their exchange
+    each = each.where(F.col("e").isNotNull() & F.col("file").isNotNull() & F.col("chunk").isNotNull())
+    # both the summary and the rows themselves come of this exchange, which Spark makes once
+    groups = each.repartition("file", "chunk").groupBy("file", "chunk").agg(F.collect_list("e").alias("rows"))
     by_line = F.array_sort("rows", lambda a, b: F.when(a["line"] < b["line"], -1).when(a["line"] > b["line"], 1).otherwise(0))
     groups = groups.withColumn("rows", by_line)
     summary = comment_starts(groups.select("file", "chunk", F.col("rows.mark").alias("marks"), *(F.exists("rows", lambda r: r[k]).alias(k) for k in facts)))
@@ -136,25 +138,28 @@ def scanned(lines: DataFrame, patterns: dict[str, tuple[str, tuple[str, ...]]])
 
 def context(text: Column, value: Column) -> Column:
     """The first rule that holds; the columns of file_info must be at hand."""
-    t = trimmed(text)
     c = F.coalesce
     no = F.lit(False)
     canvas, builder, usage, style, definition, mapping = (c(F.col(x), no) for x in ("is_canvas", "is_builder", "has_usage", "is_style", "is_definition", "is_mapping"))
-    return (
-        F.when(t.rlike(dims.DEFINES), "css-definition")
-        .when(canvas | (usage & ~style), "canvas")
-        .when(builder, "theme-definition")
-        .when(definition, F.when(t.contains("var(--"), "actionable").otherwise("theme-definition"))
-        .when(mapping, "mapping")
-        .when(t.rlike(dims.META_VALUE) & t.rlike(dims.META_TAG), "meta")
-        .when(t.rlike(dims.TEMPLATE_OPEN) & t.rlike(dims.TEMPLATE_VALUE), "generated")
-        .when(t.rlike(dims.KEY_CSS) & F.element_at(F.split(t, ":"), -1).rlike(dims.KEY_SUFFIX), "mapping")
-        .when(t.rlike(dims.KEY_HEX) | t.rlike(dims.KEY_STRING), "mapping")
-        .when(t.rlike(dims.BRIDGE) | t.rlike(dims.FALLBACK), "canvas")
-        .when(_any(F.lower(value), dims.EFFECTS), "effect")
-        .when(value.rlike(dims.EFFECT_HEX) & t.rlike(dims.EFFECT_LINE), "effect")
-        .otherwise("actionable")
-    )
+
+    def rules(t: Column) -> Column:
+        return (
+            F.when(t.rlike(dims.DEFINES), "css-definition")
+            .when(canvas | (usage & ~style), "canvas")
+            .when(builder, "theme-definition")
+            .when(definition, F.when(t.contains("var(--"), "actionable").otherwise("theme-definition"))
+            .when(mapping, "mapping")
+            .when(t.rlike(dims.META_VALUE) & t.rlike(dims.META_TAG), "meta")
+            .when(t.rlike(dims.TEMPLATE_OPEN) & t.rlike(dims.TEMPLATE_VALUE), "generated")
+            .when(t.rlike(dims.KEY_CSS) & F.element_at(F.split(t, ":"), -1).rlike(dims.KEY_SUFFIX), "mapping")
+            .when(t.rlike(dims.KEY_HEX) | t.rlike(dims.KEY_STRING), "mapping")
+            .when(t.rlike(dims.BRIDGE) | t.rlike(dims.FALLBACK), "canvas")
+            .when(_any(F.lower(value), dims.EFFECTS), "effect")
+            .when(value.rlike(dims.EFFECT_HEX) & t.rlike(dims.EFFECT_LINE), "effect")
+            .otherwise("actionable")
+        )
+
+    return let(trimmed(text), rules)
 
 
 def with_context(hits: DataFrame, lines: DataFrame, value: str = "value") -> DataFrame:

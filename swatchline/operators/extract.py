@@ -8,49 +8,51 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from swatchline import dims
-from swatchline.functions.color import let
+from swatchline.functions import color
 
 
 #: In a round of running sums an element gets so many sums added, less one; rounds that reach 2^32 elements.
 RADIX, ROUNDS = 40, 6
 
 
-def running(sizes: Column) -> Column:
-    """The sums of an array of numbers up to each of its elements, as an array.
+def sql_string(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def running(sizes: str) -> str:
+    """SQL of the sums of an array of numbers up to each of its elements, as an array.
 
     Before round k an element holds the sum of RADIX^k elements, itself the last; it gets those of the RADIX - 1
     stretches before it added. So n elements take log(n) rounds, and rounds that an array is too short for are left out.
     """
+    for k in range(ROUNDS):
+        x, step = f"x{k}", RADIX**k
+        wider = f"transform({x}, (v, i) -> aggregate(sequence(1, {RADIX - 1}), v, (a, j) -> a + coalesce(get({x}, i - j * {step}), 0L)))"
+        sizes = f"element_at(transform(array({sizes}), {x} -> CASE WHEN size({x}) > {step} THEN {wider} ELSE {x} END), 1)"
+    return sizes
 
-    def widened(step: int):
-        added = lambda x, i: lambda a, j: a + F.coalesce(F.get(x, i - j * step), F.lit(0))
-        earlier = F.array(*map(F.lit, range(1, RADIX)))
-        return lambda x: F.when(F.size(x) > step, F.transform(x, lambda v, i: F.aggregate(earlier, v, added(x, i)))).otherwise(x)
-
-    return reduce(lambda x, k: let(x, widened(RADIX**k)), range(ROUNDS), sizes)
 
-
-def found(pattern: str, name: str = "value", needs: tuple[str, ...] = ()) -> Column:
+def found(pattern: str, name: str = "value", gate: str | None = None) -> Column:
     """The matches of a pattern in `text`, as an array of (name, col); null if there are none. col is 1-based, in bytes.
 
     The work grows with a line's length, and but for a logarithm with its matches. Lines without a match are searched
-    once, others twice: for the matches, and for what stands between them. needs: strings of which every match holds one.
+    once, others twice: for the matches, and for what stands between them. gate: a simple pattern that a line with a match fits.
+    One SQL text, since a column that is built of so many parts takes longer to build than to run.
     """
-
-    def hits(got: Column) -> Column:
-        pieces = F.slice(F.split("text", pattern), 1, F.size(got))
-        sizes = F.zip_with(got, pieces, lambda m, p: (F.octet_length(m) + F.octet_length(p)).cast("long"))
-        ends = F.when(F.size(got) > 1, running(sizes)).otherwise(sizes)  # nearly all lines have one match
-        return F.zip_with(got, ends, lambda m, end: F.struct(m.alias(name), (end - F.octet_length(m) + 1).cast("int").alias("col")))
-
-    got = let(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), lambda x: F.when(F.size(x) > 0, hits(x)))
-    return F.when(reduce(lambda a, b: a | b, (F.col("text").contains(x) for x in needs)), got) if needs else got
+    p = sql_string(pattern)
+    # split() compiles a long pattern anew for each line, so the matches are replaced by a character that the line lacks
+    pieces = f"CASE WHEN contains(text, '\\0') THEN split(text, {p}) ELSE split(regexp_replace(text, {p}, '\\0'), '\\0') END"
+    sizes = f"zip_with(m, slice({pieces}, 1, size(m)), (x, gap) -> CAST(octet_length(x) + octet_length(gap) AS BIGINT))"
+    ends = f"CASE WHEN size(m) > 1 THEN {running(sizes)} ELSE {sizes} END"  # nearly all lines have one match
+    hits = f"zip_with(m, {ends}, (x, e) -> named_struct('{name}', x, 'col', CAST(e - octet_length(x) + 1 AS INT)))"
+    got = f"element_at(transform(array(regexp_extract_all(text, {p}, 0)), m -> CASE WHEN size(m) > 0 THEN {hits} END), 1)"
+    return F.expr(f"CASE WHEN text RLIKE {sql_string(gate)} THEN {got} END" if gate else got)
 
 
-def matches(lines: DataFrame, pattern: str, name: str = "value", needs: tuple[str, ...] = ()) -> DataFrame:
+def matches(lines: DataFrame, pattern: str, name: str = "value", gate: str | None = None) -> DataFrame:
     """One row per match: the columns of lines, `name`, and col."""
     # the outer form, since Spark evaluates an inner one's array twice: to filter the lines, and to tell its elements
-    return lines.select("*", F.inline_outer(found(pattern, name, needs))).where(F.col("col").isNotNull())
+    return lines.select("*", F.inline_outer(found(pattern, name, gate))).where(F.col("col").isNotNull())
 
 
 def trimmed(text: Column) -> Column:
@@ -58,18 +60,18 @@ def trimmed(text: Column) -> Column:
 
 
 def color_literals(lines: DataFrame) -> DataFrame:
-    return matches(lines, dims.COLOR, needs=dims.COLOR_MARKS)
+    return matches(lines, dims.COLOR, gate=dims.COLOR_GATE)
 
 
 def named(match: Column) -> Column:
     """The colour's name in a match of a property with one, in lower case; null if it's none."""
     word = F.lower(F.regexp_extract(match, dims.NAMED_WORD, 1))
-    return let(word, lambda w: F.when(w.isin(list(dims.NAMED_COLORS)), w))
+    return color.let(word, lambda w: F.when(color.named_color(w).isNotNull(), w))
 
 
 def named_colors(lines: DataFrame, pattern: str) -> DataFrame:
     """Properties with a named colour: value is the word in lower case, match the whole match."""
-    return matches(lines, pattern, "match", (":",)).withColumn("value", named(F.col("match"))).where(F.col("value").isNotNull())
+    return matches(lines, pattern, "match", r":\s*['\"]?[a-zA-Z]").withColumn("value", named(F.col("match"))).where(F.col("value").isNotNull())
 
 
 def tailwind_classes(lines: DataFrame) -> DataFrame:

@@ -20,8 +20,8 @@ def option_number(x, default: float) -> float:
     return (float(found[0]) if found else 0.0) or default
 
 
-LITERALS = {"literal": (dims.COLOR, dims.COLOR_MARKS)}
-NAMED = {"css": (dims.NAMED_CSS, (":",)), "js": (dims.NAMED_JS, (":",))}
+LITERALS = {"literal": (dims.COLOR, dims.COLOR_GATE)}
+NAMED = {"css": (dims.NAMED_CSS, dims.NAMED_CSS_GATE), "js": (dims.NAMED_JS, dims.NAMED_JS_GATE)}
 
 
 def _hits(lines: DataFrame, patterns: dict) -> DataFrame:
