@@ -153,7 +153,8 @@ class Scanner:
         self.marks = re.compile(r"-----(BEGIN|END) ((?:[A-Z0-9]+ )*PRIVATE KEY)-----")
         self.escaped = re.compile(r"\\r\\n|\\[nr]")
         self.body = re.compile(r"[A-Za-z0-9+/\s]*={0,2}\s*")
-        self.token = re.compile(r"[A-Za-z0-9_-]{14,}\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+        # begun at the first character of a run alone, and without giving any back: a run is read once
+        self.token = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{14,}+\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]*+")
         self.opening = re.compile(r"(?=e[w-z0-9_-]|[ICD])")  # how a brace, or a blank before it, begins in base64
         self.brace = re.compile(r'[ \t\r\n]{0,8}\{(?=\s*"[^"\\]*"\s*:)')
         self.run = re.compile(r"[A-Za-z0-9+/_-]{%d,}" % RUN)

@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -26,13 +27,14 @@ from pyspark.sql import functions as F
 from swatchline.llm.bpe import worker_memory
 from swatchline.llm.common import cut, small_batches, table
 from swatchline.llm.packing import encoder
+from swatchline.llm.token_counts import ModelPieces
 
 #: Pairs whose counts may be broadcast; pairs that a task holds before it hands them on; links expanded at once.
 FREQUENT, HELD, LINKS = 1 << 17, 1 << 21, 1 << 20
 #: How a distinct pair of a document is packed: ids of A and B, and how often.
 PAIR = [("a", "<u4"), ("b", "<u4"), ("n", "<u4")]
-#: Spans of at most so many bytes whose counts a worker remembers.
-SHORT_SPAN = 32
+#: Spans of at most so many bytes, and pieces of so many characters, that a worker remembers, and how many pieces.
+SHORT_SPAN, PIECES = 32, 400_000
 
 
 class ByteLevelTokens:
@@ -51,18 +53,29 @@ class ByteLevelTokens:
 
 
 class PieceTokens:
-    """Ids of a sentencepiece model, and bytes of each id."""
+    """Ids of a sentencepiece model, and bytes of each id. Ids of short pieces of text that it cuts apart are remembered."""
 
     def __init__(self, data: bytes):
-        import sentencepiece
-
-        own = sentencepiece.SentencePieceProcessor(model_proto=data)
+        self.pieces, self.known = ModelPieces(data), {}
+        own = self.pieces.own
         byte = re.compile(r"<0x([0-9A-F]{2})>")
         self.bytes_of = {}
         for i, p in enumerate(map(own.id_to_piece, range(own.get_piece_size()))):
             told = byte.fullmatch(p)
             self.bytes_of[i] = bytes.fromhex(told[1]) if told else p.replace("▁", " ").encode("utf-8")
-        self.encode = lambda text: np.array(own.encode(text), np.uint32)
+
+    def _ids(self, piece: str) -> bytes:
+        ids = self.pieces.ids(piece)
+        out = struct.pack(f"<{len(ids)}I", *ids)
+        if len(piece) <= SHORT_SPAN:
+            if len(self.known) >= PIECES:
+                self.known.clear()
+            self.known[piece] = out
+        return out
+
+    def encode(self, text: str) -> np.ndarray:
+        known = self.known
+        return np.frombuffer(b"".join([known.get(p) or self._ids(p) for p in self.pieces.split(text)[1]]), "<u4")
 
 
 class SpanCounts(dict):

@@ -126,11 +126,14 @@ class ModelPieces:
             return 0, ["=" + text]
         return 0, self.pattern.findall(plain)
 
-    def count(self, piece: str) -> int:
+    def ids(self, piece: str) -> list[int]:
         if not piece.strip(self.BLANK):  # behind something, since an empty text gets no blank
-            return len(self.own.encode("a" + " " * len(piece))) - len(self.own.encode("a"))
+            return self.own.encode("a" + " " * len(piece))[len(self.own.encode("a")) :]
         # encode() adds the first blank itself
-        return len(self.own.encode(piece[1:] if piece[0] == "=" else piece[1:].replace(self.BLANK, " ")))
+        return self.own.encode(piece[1:] if piece[0] == "=" else piece[1:].replace(self.BLANK, " "))
+
+    def count(self, piece: str) -> int:
+        return len(self.ids(piece))
 
 
 def pieces_of(data: bytes, kind: str):

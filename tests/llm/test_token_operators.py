@@ -170,3 +170,24 @@ def test_filter_audit_by_hand(spark):
     got = {(r.filter_order, r.step): tuple(r)[3:] for r in filter_audit.audit_filters(d, labels).collect()}
     assert len(got) == 600
     assert got["ABCDE", 4] == (2, 1, 0, 1, 0, 1, 120) and got["ABCDE", 5] == (1, 1, 0, 1, 1, 0, 120) and got["ABCDE", 1] == (3, 0, 0, 0, 0, 0, 0)
+
+
+def test_secrets_in_a_million_characters():
+    """Runs without end, and much that only begins like a secret, take a time in proportion; the spans stay."""
+    import re
+    import time
+
+    from swatchline.llm.secret_scan import Scanner
+
+    scanner = Scanner()
+    for text in ("x" * 1_000_000 + " a.", "A0" * 500_000 + ".", ("a" * 20 + ".") * 50_000, "eyJhbGciOiJ" * 90_000 + ".", "30" * 500_000, "-----BEGIN " * 90_000):
+        began = time.time()
+        scanner.spans(text)
+        assert time.time() - began < 10
+    plain = re.compile(r"[A-Za-z0-9_-]{14,}\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+    random.seed(3)
+    for _ in range(3000):
+        text = "".join(random.choice(["a" * random.randint(1, 16), ".", "..", " ", "-b_"]) for _ in range(random.randint(1, 14)))
+        assert [m.span() for m in plain.finditer(text)] == [m.span() for m in scanner.token.finditer(text)]
+    token = base64.urlsafe_b64encode(b'{"alg":"HS256"}').decode() + ".e30.c2ln"
+    assert ("signed_token", 1_000_001, 1_000_001 + len(token)) in scanner.spans("x" * 1_000_000 + " " + token)
