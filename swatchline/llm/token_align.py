@@ -16,7 +16,6 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import struct
 import zlib
 
 import numpy as np
@@ -27,14 +26,13 @@ from pyspark.sql import functions as F
 from swatchline.llm.bpe import worker_memory
 from swatchline.llm.common import cut, small_batches, table
 from swatchline.llm.packing import encoder
-from swatchline.llm.token_counts import ModelPieces
 
 #: Pairs whose counts may be broadcast; pairs that a task holds before it hands them on; links expanded at once.
 FREQUENT, HELD, LINKS = 1 << 17, 1 << 21, 1 << 20
 #: How a distinct pair of a document is packed: ids of A and B, and how often.
 PAIR = [("a", "<u4"), ("b", "<u4"), ("n", "<u4")]
-#: Spans of at most so many bytes, and pieces of so many characters, that a worker remembers, and how many pieces.
-SHORT_SPAN, PIECES = 32, 400_000
+#: Spans whose counts a worker remembers between texts.
+SPANS = 20_000
 
 
 class ByteLevelTokens:
@@ -47,46 +45,49 @@ class ByteLevelTokens:
         byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
         vocab = {t: i for t, i in spec["model"]["vocab"].items() if t not in special}
         self.bytes_of = {i: bytes(map(byte_of.__getitem__, t)) for t, i in vocab.items()}
+        # with a token for each byte, and no normaliser, no text can come out changed
+        self.lossless = {bytes([x]) for x in range(256)} <= set(self.bytes_of.values()) and not spec.get("normalizer")
         # without their names the file has no special tokens at all
         spec["model"]["vocab"], spec["added_tokens"] = vocab, []
         self.encode = encoder(json.dumps(spec).encode())
 
 
 class PieceTokens:
-    """Ids of a sentencepiece model, and bytes of each id. Ids of short pieces of text that it cuts apart are remembered."""
+    """Ids of a sentencepiece model, and bytes of each id."""
+
+    lossless = False
 
     def __init__(self, data: bytes):
-        self.pieces, self.known = ModelPieces(data), {}
-        own = self.pieces.own
+        import sentencepiece
+
+        own = sentencepiece.SentencePieceProcessor(model_proto=data)
         byte = re.compile(r"<0x([0-9A-F]{2})>")
         self.bytes_of = {}
         for i, p in enumerate(map(own.id_to_piece, range(own.get_piece_size()))):
             told = byte.fullmatch(p)
             self.bytes_of[i] = bytes.fromhex(told[1]) if told else p.replace("▁", " ").encode("utf-8")
-
-    def _ids(self, piece: str) -> bytes:
-        ids = self.pieces.ids(piece)
-        out = struct.pack(f"<{len(ids)}I", *ids)
-        if len(piece) <= SHORT_SPAN:
-            if len(self.known) >= PIECES:
-                self.known.clear()
-            self.known[piece] = out
-        return out
-
-    def encode(self, text: str) -> np.ndarray:
-        known = self.known
-        return np.frombuffer(b"".join([known.get(p) or self._ids(p) for p in self.pieces.split(text)[1]]), "<u4")
+        self.encode = lambda text: np.array(own.encode(text), np.uint32)
 
 
 class SpanCounts(dict):
-    """(tokens of A, tokens of B) that a span of labels holds, its last being of both."""
+    """Spans of labels, whose last is of both, by number; a and b have how many tokens of A and of B each number holds."""
+
+    def __init__(self):
+        self.a, self.b = [], []
 
-    def __missing__(self, span: bytes) -> tuple[int, int]:
+    def __missing__(self, span: bytes) -> int:
         both = span.count(b"3")
-        out = span.count(b"1") + both, span.count(b"2") + both
-        if len(span) <= SHORT_SPAN:
-            self[span] = out
-        return out
+        self.a.append(span.count(b"1") + both)
+        self.b.append(span.count(b"2") + both)
+        self[span] = len(self.a) - 1
+        return len(self.a) - 1
+
+    def counts(self, spans: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        if len(self) > SPANS:
+            self.clear()
+            self.a, self.b = [], []
+        which = np.fromiter(map(self.__getitem__, spans), np.int64, len(spans))
+        return np.array(self.a, np.int64)[which], np.array(self.b, np.int64)[which]
 
 
 class Aligner:
@@ -96,7 +97,7 @@ class Aligner:
         sized = lambda t: np.array([len(t.bytes_of.get(i, b"")) for i in range(max(t.bytes_of) + 1)], np.int64)
         self.sizes = sized(a), sized(b)
         # an id's decimal digits and what follows it in a told group
-        self.told = [f"{i}{end}" for t, ends in ((self.sizes[0], ",|"), (self.sizes[1], ",;")) for end in ends for i in range(len(t))]
+        self.told = [f"{i}{end}".encode() for t, ends in ((self.sizes[0], ",|"), (self.sizes[1], ",;")) for end in ends for i in range(len(t))]
         self.at = np.cumsum([0, len(self.sizes[0]), len(self.sizes[0]), len(self.sizes[1])])
 
     def tokens(self, text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
@@ -107,7 +108,7 @@ class Aligner:
         out = []
         for t, given in ((self.a, " " + text), (self.b, text)):
             ids = t.encode(given)
-            if b"".join(map(t.bytes_of.__getitem__, ids.tolist())) != want:
+            if not t.lossless and b"".join(map(t.bytes_of.__getitem__, ids.tolist())) != want:
                 return None
             out.append(ids.astype(np.int64))
         return out[0], out[1]
@@ -118,8 +119,7 @@ class Aligner:
         labels = np.full(int(ends[0][-1]) + 1, ord("0"), np.uint8)
         labels[ends[0]] += 1
         labels[ends[1]] += 2
-        counts = np.array([self.spans[s] for s in self.scan.findall(labels.tobytes())], np.int64)
-        return counts[:, 0], counts[:, 1]
+        return self.spans.counts(self.scan.findall(labels.tobytes()))
 
     def digest(self, ids_a, ids_b, n_a, n_b) -> str:
         order = np.argsort(np.concatenate((2 * np.repeat(np.arange(len(n_a)), n_a), 2 * np.repeat(np.arange(len(n_b)), n_b) + 1)), kind="stable")
@@ -128,7 +128,7 @@ class Aligner:
         last[np.cumsum(sizes) - 1] = 1
         is_b = (order >= len(ids_a)).astype(np.int64)
         which = np.concatenate((ids_a, ids_b))[order] + self.at[2 * is_b + last]
-        return hashlib.sha256("".join(map(self.told.__getitem__, which.tolist()))[:-1].encode()).hexdigest()
+        return hashlib.sha256(b"".join(map(self.told.__getitem__, which.tolist()))[:-1]).hexdigest()
 
     def pairs(self, ids_a, ids_b, n_a, n_b) -> np.ndarray:
         """The distinct pairs of a document, by ids, with how many links each has."""
