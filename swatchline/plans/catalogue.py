@@ -50,8 +50,10 @@ def _near(spark, d, semantic: bool):
 
 
 def _delta(spark, d):
-    rows, other = _parsed(spark, d).where("rgb is not null"), match.palette_lab(_palette(spark, d)).select("name", F.col("lab").alias("q"))
-    return rows.join(F.broadcast(other)).select("value", "name", color.round2(color.distance(F.col("lab"), F.col("q"))).alias("distance"))
+    # the palette as one row, whose size is checked
+    rows = _parsed(spark, d).where("rgb is not null").join(F.broadcast(match.palette_array(_palette(spark, d))))
+    rows = rows.select("value", F.col("lab").alias("p"), F.inline("entries"))
+    return rows.select("value", "name", color.round2(color.distance(F.col("p"), F.col("lab"))).alias("distance"))
 
 
 def _half(spark, d):
@@ -137,7 +139,7 @@ def queries() -> dict:
         "patterns_locations": lambda s, d: commands.pattern_locations(_lists(s, d)),
         "colors_json": lambda s, d: report.colors_document(commands.colors(_lines(s, d))),
         "compare_json": lambda s, d: report.compare_document(_compare(s, d), _palette(s, d), 10),
-        "tailwind_json": lambda s, d: report.tailwind_document(commands.tailwind(_lines(s, d), _palette(s, d)), commands.tailwind_v4(_lines(s, d), oracle.ROOTS)),
+        "tailwind_json": lambda s, d: report.tailwind_document(commands.tailwind(_lines(s, d), _palette(s, d)), commands.tailwind_v4_facts(_lines(s, d), oracle.ROOTS)),
         "patterns_json": lambda s, d: report.patterns_document(_lists(s, d)),
         "patterns_summary": lambda s, d: report.patterns_summary(commands.patterns(_lists(s, d))),
     }

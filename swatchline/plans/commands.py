@@ -6,12 +6,19 @@ import re
 import warnings
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from swatchline import dims
 from swatchline.functions import color
 from swatchline.operators import context, extract, match
+from swatchline.sources.exact_files import write_exact
+
+
+def option_integer(x, default: int) -> int:
+    """A whole option: the digits that its text begins with, what follows them aside; none, and 0, give the default."""
+    found = re.match(r"\s*[-+]?\d+", str(x))
+    return (int(found[0]) if found else 0) or default
 
 
 def option_number(x, default: float) -> float:
@@ -60,10 +67,21 @@ def compare(lines: DataFrame, palette: DataFrame, threshold: float = 10) -> Data
     return rows.select("file", "line", "col", "value", "type", "hex", "text", "context", "actionable", "prop", "status", "near_name", "near_hex", "near_distance", "suggestion", "name_suggestion")
 
 
-def diff(rows: DataFrame, baseline: DataFrame) -> DataFrame:
-    """Rows whose file, value and hex aren't in the baseline; a null hex equals a null hex."""
+def _against(rows: DataFrame, baseline: DataFrame, how: str) -> DataFrame:
+    """rows joined to the baseline by file, value and hex; a null hex equals a null hex."""
     old = baseline.select(F.col("file").alias("_f"), F.col("value").alias("_v"), F.col("hex").alias("_h")).distinct()
-    return rows.join(old, (F.col("file") == F.col("_f")) & (F.col("value") == F.col("_v")) & F.col("hex").eqNullSafe(F.col("_h")), "left_anti")
+    return rows.join(old, (F.col("file") == F.col("_f")) & (F.col("value") == F.col("_v")) & F.col("hex").eqNullSafe(F.col("_h")), how)
+
+
+def diff(rows: DataFrame, baseline: DataFrame) -> DataFrame:
+    """Rows whose file, value and hex aren't in the baseline."""
+    return _against(rows, baseline, "left_anti")
+
+
+def diff_counts(rows: DataFrame, baseline: DataFrame) -> tuple[int, int]:
+    """How many rows are new, and how many the baseline has already."""
+    got = _against(rows, baseline, "left").agg(F.count("*").alias("all"), F.count("_f").alias("known")).first()
+    return got["all"] - got["known"], got["known"]
 
 
 def baseline(rows: DataFrame) -> DataFrame:
@@ -75,33 +93,55 @@ def save_baseline(rows: DataFrame, path: str) -> None:
     baseline(rows).write.mode("overwrite").json(path)
 
 
-def since_baseline(rows: DataFrame, path: str) -> DataFrame:
-    """Rows that a saved baseline lacks. Where there is none, or not all of it can be parsed: a warning, and all rows."""
+def read_baseline(spark, path: str) -> DataFrame | None:
+    """A saved baseline. Where there is none, or not all of it can be parsed: a warning, and None."""
     fields = "file string, line int, col int, value string, hex string, status string, context string, _bad string"
     try:
-        old = rows.sparkSession.read.schema(fields).option("columnNameOfCorruptRecord", "_bad").json(path)
+        old = spark.read.schema(fields).option("columnNameOfCorruptRecord", "_bad").json(path)
     except AnalysisException:
         warnings.warn(f"no baseline at {path}: all rows are new", stacklevel=2)
-        return rows
+        return None
     if old.where("_bad is not null or file is null").head(1):
         warnings.warn(f"the baseline at {path} can't be parsed: all rows count as new", stacklevel=2)
-        return rows
-    return diff(rows, old)
+        return None
+    return old
+
+
+def since_baseline(rows: DataFrame, path: str) -> DataFrame:
+    """Rows that a saved baseline lacks; all rows where it can't be read."""
+    old = read_baseline(rows.sparkSession, path)
+    return rows if old is None else diff(rows, old)
+
+
+def _raw(lines: DataFrame) -> DataFrame:
+    """lines with raw and ending; a table of texts alone has its texts, each with a line feed."""
+    return lines if "raw" in lines.columns else lines.withColumns({"raw": F.col("text"), "ending": F.lit("\n")})
+
+
+def fixed_tree(lines: DataFrame, rows: DataFrame) -> DataFrame:
+    """Every line of every changed file: file, line, data (its bytes with its end), n_fixed. Only replaced values differ."""
+    raw = _raw(lines).select("file", "line", "raw", "ending")
+    changed = fixed_lines(raw.withColumnRenamed("raw", "text"), rows).select("file", "line", F.col("text").alias("_new"), "n_fixed")
+    files = changed.select("file").distinct()
+    out = raw.join(files, "file", "left_semi").join(changed, ["file", "line"], "left")
+    return out.select("file", "line", F.concat(F.coalesce("_new", "raw"), "ending").cast("binary").alias("data"), F.coalesce("n_fixed", F.lit(0)).alias("n_fixed"))
 
 
 def fixed_files(lines: DataFrame, rows: DataFrame) -> DataFrame:
-    """Every changed file as a whole: file, content, n_fixed. Lines are joined within a file, in order."""
-    changed = fixed_lines(lines, rows).select("file", "line", F.col("text").alias("new"), "n_fixed")
-    touched = lines.join(changed.select("file").distinct(), "file", "left_semi").join(changed, ["file", "line"], "left")
-    whole = touched.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("line", F.coalesce("new", "text").alias("text")))).alias("all"), F.sum("n_fixed").alias("n_fixed"))
-    return whole.select("file", F.array_join(F.col("all.text"), "\n").alias("content"), "n_fixed")
+    """Every changed file as a whole: file, content, n_fixed. For files that fit into a row; write_fixed() streams any."""
+    text = F.col("data").cast("string")
+    whole = fixed_tree(lines, rows).groupBy("file").agg(F.array_sort(F.collect_list(F.struct("line", text.alias("text")))).alias("all"), F.sum("n_fixed").alias("n_fixed"))
+    return whole.select("file", F.array_join(F.col("all.text"), "").alias("content"), "n_fixed")
 
 
 def write_fixed(lines: DataFrame, rows: DataFrame, folder: str) -> int:
-    """Writes the changed files below a new folder, each as text in a folder file=<its escaped name>; the count of fixes."""
-    files = fixed_files(lines, rows)
-    files.select("file", F.col("content").alias("value")).write.partitionBy("file").text(folder)
-    return files.agg(F.coalesce(F.sum("n_fixed"), F.lit(0))).first()[0]
+    """Writes the changed files below a new folder, each at its own name and byte for byte; the count of fixes.
+
+    The count is told while they are written, by one run of the plan.
+    """
+    told = Observation()
+    write_exact(fixed_tree(lines, rows).observe(told, F.coalesce(F.sum("n_fixed"), F.lit(0)).alias("n")), folder)
+    return int(told.get["n"])
 
 
 def fixed_lines(lines: DataFrame, rows: DataFrame) -> DataFrame:
@@ -134,13 +174,18 @@ def tailwind(lines: DataFrame, palette: DataFrame | None = None, threshold: floa
     return rows.select("file", "line", "col", "value", "prefix", "color", "shade", "opacity", "arbitrary", extract.trimmed(F.col("text")).alias("context"), "near_name", "near_hex", "near_distance", "arbitrary_status", "suggestion")
 
 
-def tailwind_v4(lines: DataFrame, roots: list[str]) -> DataFrame:
-    """One row: version, theme_vars, utilities, files with a theme."""
+def tailwind_v4_facts(lines: DataFrame, roots: list[str]) -> DataFrame:
+    """One row: version, theme_vars, utilities, and files with a theme as an array."""
     entry = extract.entry_files(lines, roots)
-    counts = entry.agg(F.coalesce(F.bool_or(F.col("text").rlike(dims.THEME_OPEN)), F.lit(False)).alias("v4"), F.coalesce(F.sum(F.regexp_count("text", F.lit(dims.UTILITY))), F.lit(0)).cast("long").alias("utilities"))
+    opens = F.col("text").rlike(dims.THEME_OPEN)
+    counts = entry.agg(F.coalesce(F.bool_or(opens), F.lit(False)).alias("v4"), F.coalesce(F.sum(F.regexp_count("text", F.lit(dims.UTILITY))), F.lit(0)).cast("long").alias("utilities"), F.array_sort(F.collect_set(F.when(opens, F.col("file")))).alias("files"))
     names = extract.theme_variables(lines, roots).agg(F.count("*").alias("theme_vars"))
-    files = entry.where(F.col("text").rlike(dims.THEME_OPEN)).agg(F.array_join(F.array_sort(F.collect_set("file")), ",").alias("files"))
-    return counts.join(names).join(files).select(F.when(F.col("v4"), 4).otherwise(3).alias("version"), "theme_vars", "utilities", "files")
+    return counts.join(names).select(F.when(F.col("v4"), 4).otherwise(3).alias("version"), "theme_vars", "utilities", "files")
+
+
+def tailwind_v4(lines: DataFrame, roots: list[str]) -> DataFrame:
+    """One row: version, theme_vars, utilities, files with a theme, joined by commas."""
+    return tailwind_v4_facts(lines, roots).withColumn("files", F.array_join("files", ","))
 
 
 def class_lists(lines: DataFrame, min_classes: int = 2) -> DataFrame:

@@ -312,7 +312,8 @@ def oracle_sql() -> dict[str, str]:
         rows("actionable", kind, "status", "cmp WHERE actionable"), rows("skipped", kind, "context", "cmp WHERE NOT actionable"),
     ])
     sql["tailwind_json"] = " UNION ALL ".join([
-        head("tailwind", ("command", "'tailwind'"), ("tailwindVersion", f"(SELECT CASE WHEN bool_or({_has('text', dims.THEME_OPEN)}) THEN 4 ELSE 3 END FROM entry)"), ("totalClasses", "count(*)"), ("totalFiles", "count(DISTINCT file)"), ("arbitraryValues", "count(arbitrary)"), ("arbitraryWithThemeMatch", "count(arbitrary_status)")),
+        head("tailwind", ("command", "'tailwind'"), ("tailwindVersion", f"(SELECT CASE WHEN bool_or({_has('text', dims.THEME_OPEN)}) THEN 4 ELSE 3 END FROM entry)"), ("totalClasses", "count(*)"), ("totalFiles", "count(DISTINCT file)"), ("arbitraryValues", "count(arbitrary)"), ("arbitraryWithThemeMatch", "count(*) FILTER (arbitrary IS NOT NULL AND near_name IS NOT NULL)")),
+        "SELECT 'v4' section, NULL part, '{\"themeVars\":' || (SELECT count(*) FROM tv) || ',\"utilities\":' || coalesce(sum(len(regexp_extract_all(text, " + _q(dims.UTILITY) + "))), 0) || ',\"files\":[' || string_agg(DISTINCT '\"' || file || '\"', ',' ORDER BY '\"' || file || '\"') FILTER (" + _has('text', dims.THEME_OPEN) + ") || ']}' AS value FROM entry HAVING bool_or(" + _has('text', dims.THEME_OPEN) + ")",
         tally("byPrefix", "prefix", "tailwind"), tally("byColor", "color", "tailwind", "arbitrary"), rows("results", tail, "file", "tailwind"),
     ])
     sql["patterns_json"] = " UNION ALL ".join([

@@ -1,4 +1,4 @@
-"""Summaries, documents and text reports of the plans; only counts and a few examples reach the driver.
+"""Summaries and documents of the plans.
 
 A document is a table (section, part, value): a summary, counts, and the rows of the report in their sections, each value
 as JSON. So a document of any size is written in parallel, and read back by its sections.
@@ -25,9 +25,14 @@ STATUSES = ("exact", "close", "unmatched")
 ORDER = {"colors": ("file", "line", "col"), "tailwind": ("file", "line", "col"), "compare": ("file", "line", "col")}
 
 
+def by_name(column: str = "file") -> list[Column]:
+    """The order of names for people: by the root collation of Unicode, in which case and accents part only equal names."""
+    return [F.collate(column, "UNICODE"), F.col(column)]
+
+
 def ordered(command: str, rows: DataFrame) -> DataFrame:
     """Rows in the order in which a report tells them; ties by what is left."""
-    return rows.orderBy(F.desc("impact"), "pattern") if command == "patterns" else rows.orderBy(*ORDER[command], "value")
+    return rows.orderBy(F.desc("impact"), "pattern") if command == "patterns" else rows.orderBy(*by_name(), *ORDER[command][1:], "value")
 
 
 def counts(rows: DataFrame, key: str, fallback: str = "unknown") -> DataFrame:
@@ -106,10 +111,11 @@ def compare_document(rows: DataFrame, palette: DataFrame, threshold: float) -> D
 
 
 def tailwind_document(rows: DataFrame, v4: DataFrame) -> DataFrame:
-    """v4: the row of commands.tailwind_v4, whose version the summary names."""
-    facts = rows.agg(F.count("*").alias("totalClasses"), F.count_distinct("file").alias("totalFiles"), F.count("arbitrary").alias("arbitraryValues"), F.count("arbitrary_status").alias("arbitraryWithThemeMatch"))
+    """v4: the row of commands.tailwind_v4_facts, whose version the summary names; version 4 has a section of its own."""
+    facts = rows.agg(F.count("*").alias("totalClasses"), F.count_distinct("file").alias("totalFiles"), F.count("arbitrary").alias("arbitraryValues"), F.count_if(F.col("arbitrary").isNotNull() & F.col("near_name").isNotNull()).alias("arbitraryWithThemeMatch"))
     facts = v4.select(F.col("version").alias("tailwindVersion")).join(facts)  # one row and one row
-    return _document(_summary(facts, "tailwind", F.col("*")), _tally("byPrefix", rows, "prefix"), _tally("byColor", rows, "color", "arbitrary"), _rows("results", "file", rows))
+    found = _part("v4", F.lit(None), _json(F.col("theme_vars").alias("themeVars"), "utilities", "files"), v4.where("version = 4"))
+    return _document(_summary(facts, "tailwind", F.col("*")), _tally("byPrefix", rows, "prefix"), _tally("byColor", rows, "color", "arbitrary"), _rows("results", "file", rows), found)
 
 
 def patterns_document(lists: DataFrame, min_count: int = 2, min_classes: int = 2) -> DataFrame:
@@ -121,13 +127,3 @@ def patterns_document(lists: DataFrame, min_count: int = 2, min_classes: int = 2
         _summary(facts, "patterns", F.col("*")), _rows("patterns", "pattern", found, *told), _rows("locations", "pattern", commands.pattern_locations(lists, min_count)),
         _rows("subsetRelations", "subset", subsets), _rows("frequentSubsets", "pair", commands.class_pairs(lists, min_count)),
     )
-
-
-def text_report(title: str, summary: DataFrame, *tables: DataFrame, most: int = 1000) -> str:
-    """A short report for people: the summary's figures, then tables of at most `most` rows, and whether there are more."""
-    out = [title, "=" * len(title)]
-    out += [f"{k}: {v}" for k, v in summary.first().asDict().items()]
-    for t in tables:
-        rows = t.limit(most + 1).collect()
-        out += ["", " | ".join(t.columns), *(" | ".join(map(str, r)) for r in rows[:most]), *([f"... and more than these {most}"] if len(rows) > most else [])]
-    return "\n".join(out)

@@ -40,12 +40,44 @@ def selected(lines: DataFrame, include: str | None = None, exclude: list[str] |
     return lines.where(fits & ~name.rlike(dims.EXCLUDED))
 
 
+#: Splits of files whose counts are broadcast; beyond that they are joined by file and split.
+MOST_SPLITS = 200_000
+
+
+def read_raw(spark: SparkSession, paths: list[str], include: str | None = None, exclude: list[str] | str | None = None) -> DataFrame:
+    """file, line, raw, ending: every line of the files below the paths that are selected, byte for byte.
+
+    raw is the line as it stands, with its carriage return and blanks, and a byte order mark in front of the first;
+    ending is the line feed, or nothing behind a last line that has none. A missing path raises, as Spark's reader does.
+
+    Files are read in splits, so a file of any size is many rows on many tasks. A line's number is its place in its split
+    and the lines of the file's splits before, which one more scan counts: a row for each split. Splits are told by the
+    reader's own bounds, and a line's place by an id that rises within a split. That id also keeps later filters from
+    being pushed into one of the two scans, so both have the same splits.
+    """
+    meta = "_metadata.file_path", "_metadata.file_size", "_metadata.file_block_start"
+    texts = spark.read.option("recursiveFileLookup", True).option("lineSep", "\n").text(paths).select("value", *(F.col(m).alias(a) for m, a in zip(meta, ("_path", "_size", "_at"), strict=True)))
+    # paths are told as URLs; a plus sign in them is no blank
+    name = F.url_decode(F.replace("_path", F.lit("+"), F.lit("%2B")))
+    texts = selected(texts.withColumn("file", F.regexp_replace(name, "^file:(//)?", "")), include, exclude)
+    rows = texts.select("file", "_size", "_at", "value", F.monotonically_increasing_id().alias("_id"))
+    splits = rows.groupBy("file", "_at").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"), F.sum(F.octet_length("value") + 1).alias("_bytes"), F.any_value("_size").alias("_size"))
+    before, whole = Window.partitionBy("file").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("file")
+    # what the lines and their ends leave of the file's bytes: a mark at its start is not told, a last end may be missing
+    left = F.col("_size") - F.sum("_bytes").over(whole)
+    splits = splits.select("file", "_at", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(whole).alias("_lines"), left.isin(2, 3).alias("_mark"), left.isin(-1, 2).alias("_open"))
+    bounded = len(texts.inputFiles()) + texts.rdd.getNumPartitions() <= MOST_SPLITS
+    rows = rows.drop("_size").join(F.broadcast(splits) if bounded else splits, ["file", "_at"])
+    line = (F.col("_id") - F.col("_first") + F.col("_before") + 1).cast("int")
+    rows = rows.select("file", line.alias("line"), "value", "_lines", "_mark", "_open")
+    raw = F.when(F.col("_mark") & (F.col("line") == 1), F.concat(F.lit("\ufeff"), "value")).otherwise(F.col("value"))
+    return rows.select("file", "line", raw.alias("raw"), F.when(F.col("_open") & (F.col("line") == F.col("_lines")), "").otherwise("\n").alias("ending"))
+
+
 def read_tree(spark: SparkSession, paths: list[str], include: str | None = None, exclude: list[str] | str | None = None) -> DataFrame:
-    """Every line of the files below the paths that are selected. A missing path raises, as Spark's reader does."""
-    texts = spark.read.option("recursiveFileLookup", True).text(paths, wholetext=True)
-    files = texts.select(F.regexp_replace(F.col("_metadata.file_path"), "^file:(//)?", "").alias("file"), "value")
-    lines = selected(files, include, exclude).select("file", F.posexplode(F.split("value", "\n")).alias("line", "text"))
-    return lines.select("file", (F.col("line") + 1).alias("line"), F.regexp_replace("text", r"\s+$", "").alias("text"))
+    """file, line, text and the columns of read_raw: text is the line without white space at its end."""
+    rows = read_raw(spark, paths, include, exclude)
+    return rows.select("file", "line", F.regexp_replace("raw", f"{dims.SPACE}+$", "").alias("text"), "raw", "ending")
 
 
 #: Lines of the projected tree; {H} is a hex from the keys, {P} a palette colour, {N} one near it.

@@ -4,8 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from swatchline.functions import color
-from swatchline.operators import context, match
-from swatchline.plans import commands, report
+from swatchline.operators import context, extract, match
+from swatchline.plans import commands, report, text
 from swatchline.sources import options, palette
 from swatchline.sources.lines import glob_regex
 
@@ -97,7 +97,7 @@ def test_diff_and_fix(spark):
     assert commands.diff(rows, commands.baseline(rows)).count() == 0
     assert commands.fixed_lines(src, rows).first().text == "color: var(--r); fill: var(--r)"
     assert report.compare_summary(rows).first().exact == 2
-    assert "exact: 2" in report.text_report("Compare", report.compare_summary(rows), report.counts(rows, "context"))
+    assert "Actionable: 2 exact | 0 close | 1 unmatched" in list(text.told(text.compare(rows, p, 10, "t.css")))
 
 
 def test_palettes(spark, tmp_path):
@@ -243,16 +243,138 @@ def test_command_line(spark, tmp_path, capsys):
 
     (tmp_path / "a.css").write_text("a {\n  color: #ff0000;\n  fill: rgb(1, 2, 3);\n}\n")
     (tmp_path / "v.css").write_text(":root { --r: #ff0000; }")
-    cli.main(["compare", str(tmp_path / "a.css"), "--vars", str(tmp_path / "v.css"), "--fix", str(tmp_path / "out"), "--baseline", str(tmp_path / "base")], spark)
-    assert "exact: 1" in (told := capsys.readouterr().out) and "1 replaced" in told
-    cli.main(["compare", str(tmp_path / "a.css"), "--vars", str(tmp_path / "v.css"), "--diff", str(tmp_path / "base"), "--json", "--out", str(tmp_path / "doc")], spark)
+    css, pal_ = str(tmp_path / "a.css"), str(tmp_path / "v.css")
+    cli.main(["compare", css, "--vars", pal_, "--fix", str(tmp_path / "out"), "--baseline", str(tmp_path / "base")], spark)
+    assert capsys.readouterr().out == "Fixed 1 exact matches with var() replacements.\n"  # and no report
+    cli.main(["compare", css, "--vars", pal_, "--diff", str(tmp_path / "base"), "--json", "--out", str(tmp_path / "doc")], spark)
+    assert capsys.readouterr().out == "Diff: 0 new issues (2 already in baseline)\n\n"
     assert spark.read.json(str(tmp_path / "doc")).where("section = 'actionable'").count() == 0
-    cli.main(["patterns", str(tmp_path / "a.css")], spark)
-    assert "patterns: 0" in capsys.readouterr().out
+    cli.main(["compare", css, "--vars", pal_, "--threshold", "5"], spark)
+    assert capsys.readouterr().out.splitlines()[1:8] == [
+        "=== Color Variable Comparison ===", "Palette: 1 variables from v.css", "Threshold: delta-E <= 5 for close matches", "Total found: 2 | Actionable: 2 | Skipped: 0", "Actionable: 1 exact | 0 close | 1 unmatched", "", "--- ACTIONABLE UNMATCHED (1) ---",
+    ]
+    cli.main(["patterns", css, "--min-count", "10px"], spark)
+    assert "(min 10 occurrences, min 2 classes)" in capsys.readouterr().out
     cli.main(["colors", "--output-schema"], spark)
     assert "actionable boolean" in capsys.readouterr().out
 
 
+def test_texts_by_file(spark):
+    src = lines(spark, "color: #fff; fill: #000", "box-shadow: 0 0 rgba(0, 0, 0, 0.1)", file="é.css").unionAll(lines(spark, "color: #abc", file="Z.css")).unionAll(lines(spark, "color: #abd", file="a.css"))
+    got = list(text.told(text.colors(commands.colors(src))))
+    assert got == [
+        "", "=== Hardcoded Colors ===", "Found 5 hardcoded color values in 3 files", "Actionable: 4 | Skipped: 1", "Types: hex(4), rgba(1)", "",
+        "FILE: a.css", "  L1:8  #abd  (hex -> #aabbdd)", "    color: #abd", "",
+        "FILE: é.css", "  L1:8  #fff  (hex -> #ffffff)", "    color: #fff; fill: #000", "  L1:20  #000  (hex -> #000000)", "    color: #fff; fill: #000", "",
+        "FILE: Z.css", "  L1:8  #abc  (hex -> #aabbcc)", "    color: #abc", "",
+        "--- Skipped 1 non-actionable colors ---", "  [EFFECT (black/white alpha)] 1 colors in 1 files", "",
+    ]
+    names = spark.createDataFrame([(n, 1, 1, "v") for n in ("b", "B", "a", "é", "e", "f", "A", "_a")], "file string, line int, col int, value string")
+    assert [r.file for r in report.ordered("colors", names).collect()] == ["_a", "a", "A", "b", "B", "e", "é", "f"]
+
+
+def test_tailwind_texts_and_document(spark):
+    """Two arbitrary values, one of them far from the palette: both count as matched, as the summary says."""
+    src = lines(spark, "bg-[#ff0000] text-[#00ff00] bg-red-500", file="a.tsx").unionAll(lines(spark, "@theme {", "--a: b;", "--c: d;", "}", "@utility x", file="src/app.css"))
+    rows, v4 = commands.tailwind(src, pal(spark, ("--r", "#ff0000"))), commands.tailwind_v4_facts(src, ["src"])
+    parts = {r.section: r.value for r in report.tailwind_document(rows, v4).collect()}
+    assert '"tailwindVersion":4' in parts["summary"] and '"arbitraryValues":2,"arbitraryWithThemeMatch":2' in parts["summary"]
+    assert parts["v4"] == '{"themeVars":2,"utilities":1,"files":["src/app.css"]}'
+    got = list(text.told(text.tailwind(rows, v4)))
+    assert got == [
+        "", "=== Tailwind Color Classes ===", "Found 3 Tailwind color classes in 1 files", "Tailwind v4 detected", "Arbitrary values: 2 (2 match theme vars)", "",
+        "--- ARBITRARY VALUES MATCHING THEME (2) ---", "  a.tsx:1:1  bg-[#ff0000] -> EXACT: --r (#ff0000)", "    Use var(--r) or a Tailwind theme color instead of #ff0000",
+        "  a.tsx:1:14  text-[#00ff00] -> CLOSE (dE=170.58): --r (#ff0000)", "", "--- Tailwind v4 ---", "  @theme variables: 2", "  @utility definitions: 1", "",
+        "FILE: a.tsx", "  L1:1  bg-[#ff0000]  (bg, arbitrary: #ff0000)", "    bg-[#ff0000] text-[#00ff00] bg-red-500", "  L1:14  text-[#00ff00]  (text, arbitrary: #00ff00)", "    bg-[#ff0000] text-[#00ff00] bg-red-500",
+        "  L1:29  bg-red-500  (bg, red-500)", "    bg-[#ff0000] text-[#00ff00] bg-red-500", "",
+    ]
+
+
+def test_pattern_texts(spark):
+    lists = commands.class_lists(lines(spark, '<p className="p-2 m-1">', "cn('m-1 p-2')", '<i className="a-1 b-2 c-3"><i className="a-1 b-2 c-3">'))
+    got = list(text.told(text.patterns(lists)))
+    assert got[:15] == [
+        "", "=== Repeated Class Patterns ===", "Found 2 repeated patterns across 5 locations", "Criteria: >=2 occurrences, >=2 classes", "",
+        '"m-1 p-2"', "   Classes: 2 | Occurrences: 3 | Impact score: 6", "   Sources: className, cn/clsx", "   Consider: CVA variant, @apply directive, or component extraction", "   Locations:",
+        "     src/a.tsx:1:4", '       original: "p-2 m-1"', "     src/a.tsx:2:1 [cn/clsx]", "     src/a.tsx:2:1 [cn/clsx]", "",
+    ] or got[5] == '"a-1 b-2 c-3"'
+    assert got[-4].startswith("TIP: Use class-variance") and '"a-1 b-2 c-3"' in got
+
+
+FILES = {
+    "a.css": b"a {  \r\n  color: #ff0000;\t\r\n}\r\n", "x y+z/b.css": b"\xef\xbb\xbf:root {\n color: #ff0000; /* \xc3\xa9 */  \nlast", "c.css": b"", "d.css": b"\n", "f.css": b"\xef\xbb\xbfx\n",
+    "e.css": b"\n".join(b"line %d %s \xc3\xa9%s" % (i, b"#ff0000" if i % 7 == 0 else b"", b" x" * (i % 11)) for i in range(400)), "g.css": b"\xff\xfe x \n\n\n",
+}
+
+
+def test_lossless_lines_and_fixes(spark, tmp_path):
+    """Files of many splits: lines are numbered over splits, and all bytes but the replaced values stay."""
+    from swatchline.sources.lines import read_raw, read_tree
+
+    for name, data in FILES.items():
+        (tmp_path / "in" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / name).write_bytes(data)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    spark.conf.set("spark.sql.files.openCostInBytes", "10")
+    try:
+        raw = read_raw(spark, [str(tmp_path / "in")])
+        assert raw.rdd.getNumPartitions() > 20
+        rows = raw.select("file", "line", F.col("raw").cast("binary").alias("raw"), "ending").orderBy("file", "line").collect()
+        for name, data in FILES.items():
+            mine = [r for r in rows if r.file == str(tmp_path / "in" / name)]
+            assert [r.line for r in mine] == list(range(1, len(mine) + 1))
+            assert b"".join(bytes(r.raw) + r.ending.encode() for r in mine) == data
+        assert [r.line for r in raw.where("file like '%e.css' and raw like 'line 321 %'").collect()] == [322]  # filters don't change numbers
+        tree = read_tree(spark, [str(tmp_path / "in")])
+        hits = commands.compare(tree, pal(spark, ("--r", "#ff0000")))
+        assert commands.write_fixed(tree, hits, str(tmp_path / "out")) == sum(d.count(b"#ff0000") for d in FILES.values())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    for name, data in FILES.items():
+        out = tmp_path / "out" / str(tmp_path / "in").lstrip("/") / name
+        assert out.read_bytes() == data.replace(b"#ff0000", b"var(--r)") if b"#ff0000" in data else not out.exists()
+
+
+def test_many_matches_in_one_line(spark):
+    """16000 colours in one line, with characters of several bytes between them; a line with a zero byte, too."""
+    import time
+
+    src = lines(spark, "é #fff; " * 16_000, "a\0 #abc \0 #abd", "#abc#abd")
+    began = time.time()
+    got = [(r.line, r.value, r.col) for r in extract.color_literals(src).select("line", "value", "col").orderBy("line", "col").collect()]
+    assert time.time() - began < 20
+    assert got[:16_000] == [(1, "#fff", 9 * i + 4) for i in range(16_000)]
+    assert got[16_000:] == [(2, "#abc", 4), (2, "#abd", 11), (3, "#abc", 1), (3, "#abd", 5)]
+
+
+def test_comments_over_chunks(spark, monkeypatch):
+    """Chunks of 7 lines give what one state machine gives, for the scan and for the lines; hits of both kinds of state."""
+    import random
+
+    monkeypatch.setattr(context, "CHUNK", 7)
+    random.seed(4)
+    texts = ["".join(random.choice(["/*", "*/", " x ", "#fff", " "]) for _ in range(random.choice((0, 0, 1, 3)))) for _ in range(300)]
+    inside, want = False, []
+    for t in texts:
+        before = inside
+        opens, closes = "/*" in t and "*/" not in t[t.find("/*") + 2 :], "*/" in t
+        inside = (not inside) if opens and closes else True if opens else False if closes else inside
+        want.append(before or inside)
+    src = lines(spark, *texts)
+    assert [r.in_block for r in context.block_comments(src).orderBy("line").collect()] == want
+    got = {(r.line, r.in_block) for r in context.scanned(src, commands.LITERALS).collect()}
+    assert got == {(i, w) for i, (t, w) in enumerate(zip(texts, want, strict=True), 1) if "#fff" in t}
+
+
+def test_one_scan_for_colours(spark):
+    src = spark.read.schema("file string, line int, text string").json(spark.sparkContext.parallelize(['{"file":"a.css","line":1,"text":"color: #fff"}']))
+    rows = commands.colors(src)
+    rows.collect()
+    plan = rows._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("ReusedExchange") >= 1
+
+
 def test_rows_by_file(spark):
     rows = commands.colors(lines(spark, "color: #fff; fill: #000", "fill: #123456").unionAll(lines(spark, "color: #abc", file="b.css")))
     assert [(r.file, [(h.line, h.value) for h in r.hits]) for r in report.by_file(rows).orderBy("file").collect()] == [("b.css", [(1, "#abc")]), ("src/a.tsx", [(1, "#fff"), (1, "#000"), (2, "#123456")])]
