@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
+import operator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,11 +14,13 @@ from swatchline.llm.common import cut, discard, small_batches, table
 
 #: Rows of an index block, vectors of a row that moves, and impact levels of a dimension's postings.
 ROWS, PIECE, LEVELS = 8192, 128, 8
+#: Components of this, divided by the root of their number, may make sums that leave 64 bits.
+MOST = 2.0**30
 #: Shares of the postings after which a search tries its proof.
 CHECKS = (0.25, 0.5, 0.7, 0.8, 0.86, 0.9, 0.94, 0.97)
 
 
-def _packed(per_block: int):
+def _packed(per_block: int, kind: type = np.int64):
     """Pieces of up to PIECE vectors of one length, ids and values row by row; per_block pieces have one block's name."""
 
     def run(batches):
@@ -32,7 +37,7 @@ def _packed(per_block: int):
                 block, filled, name = name, 0, name + 1
             blocks[dim] = (block, filled + 1)
             ids, values = zip(*held.pop(dim), strict=True)
-            return {"dim": dim, "block": block, "ids": np.array(ids, np.int64).tobytes(), "v": np.stack(values).astype(np.int64).tobytes()}
+            return {"dim": dim, "block": block, "ids": np.array(ids, np.int64).tobytes(), "v": np.stack(values).astype(kind).tobytes()}
 
         for pdf in batches:
             out = []
@@ -127,27 +132,81 @@ def _search(k: int):
     return run
 
 
+def _order(score: int) -> str:
+    """Tells scores apart that 64 bits can't: greater ones have greater strings. Scores within 64 bits have none."""
+    if -(2**63) < score < 2**63:
+        return ""
+    digits = str(abs(score))
+    if score > 0:
+        return f"1{len(digits):04d}{digits}"
+    return "~" if score == -(2**63) else f"0{9999 - len(digits):04d}" + "".join(chr(105 - ord(c)) for c in digits)
+
+
+def _search_exactly(k: int, scale: int):
+    """As _search, in Python's integers: for blocks or queries with components that are too large for 64-bit sums."""
+
+    def vectors(r):
+        values = np.frombuffer(r.v, np.float64 if r.real else np.int64).reshape(-1, r.dim).tolist()
+        if r.real:
+            whole = lambda x: (lambda n, d: n * scale // d)(*x.as_integer_ratio())
+            values = [[whole(x) for x in row] for row in values]
+        return zip(np.frombuffer(r.ids, np.int64).tolist(), values, strict=True)
+
+    def run(batches):
+        now, held = None, []
+        for pdf in batches:
+            found = []
+            for r in pdf.itertuples(index=False):
+                if r.block != now:
+                    now, held = r.block, []
+                if not r.asks:
+                    held += vectors(r)
+                    continue
+                for q, w in vectors(r):
+                    best = heapq.nsmallest(k, ((-sum(map(operator.mul, v, w)), i) for i, v in held if i != q))
+                    found += [(q, i, max(-(2**63), min(2**63 - 1, -s)), _order(-s)) for s, i in best]
+            yield pd.DataFrame(found, columns=["query_id", "vec_id", "score", "beyond"])
+
+    return run
+
+
 def top_k(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, every: int = 100, scale: int = 1024) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose id is divisible by `every` the k best other rows.
 
-    Components become floor(scale * x); the score is their integer inner product (64-bit), ties go to the smaller
-    id. Vectors that are null, empty or hold null or non-finite components, rows with a null id, and vectors of
-    another length than the query's take no part. Rows of one id are candidates each, but never of a query of that
-    id; repeated query rows count once. Rows are packed into index blocks that stay where they are dealt; the queries,
-    one row in `every`, go to each block in small pieces, and the k best of each block are merged by query.
+    Components become floor(scale * x); the score is their integer inner product, ties go to the smaller id. Vectors
+    that are null, empty or hold null or non-finite components, rows with a null id, and vectors of another length than
+    the query's take no part. Rows of one id are candidates each, but never of a query of that id; repeated query rows
+    count once. Rows are packed into index blocks that stay where they are dealt; the queries, one row in `every`, go to
+    each block in small pieces, and the k best of each block are merged by query.
+
+    Vectors whose sums might leave 64 bits go another way, by integers of any size: each of them, and each query that
+    meets them, is scored in full. Ranks follow the whole scores; a score beyond 64 bits is told as the nearest number
+    that 64 bits hold.
     """
     small_batches(df.sparkSession)
     x = F.col("x")
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("x")).where(F.col("id").isNotNull() & x.isNotNull() & (F.size(x) > 0) & ~F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))))
-    rows = rows.select("id", F.transform("x", lambda v: F.floor(v * scale).cast("long")).alias("v"))
+    # so that no sum of products, nor of their differences, reaches 2^62
+    large = F.exists("x", lambda v: F.abs(v) * scale >= MOST / F.sqrt(F.size("x")))
+    whole = rows.where(~large).select("id", F.transform("x", lambda v: F.floor(v * scale).cast("long")).alias("v"))
+    asks = lambda t: t.where(F.pmod("id", F.lit(every)) == 0).groupBy("id").agg(F.max("v").alias("v"))
     kind = "dim int, block long, ids binary, v binary"
-    index = cut(rows.mapInPandas(_packed(ROWS // PIECE), kind))
-    queries = cut(rows.where(F.pmod("id", F.lit(every)) == 0).groupBy("id").agg(F.max("v").alias("v")).mapInPandas(_packed(1), kind))
-    asked = queries.drop("block").join(index.select("dim", "block").distinct(), "dim").select("dim", "block", "ids", "v", F.lit(True).alias("asks"))
-    meet = index.withColumn("asks", F.lit(False)).unionByName(asked).repartition("block").sortWithinPartitions("block", "asks")
-    found = cut(meet.mapInPandas(_search(k), "query_id long, vec_id long, score long"))
+    index = cut(whole.mapInPandas(_packed(ROWS // PIECE), kind))
+    queries = cut(asks(whole).mapInPandas(_packed(1), kind))
+    names = lambda blocks: blocks.select("dim", "block").distinct()
+    met = lambda queries, blocks: queries.drop("block").join(names(blocks), "dim").withColumn("asks", F.lit(True))
+    meet = index.withColumn("asks", F.lit(False)).unionByName(met(queries, index).select("dim", "block", "ids", "v", "asks")).repartition("block").sortWithinPartitions("block", "asks")
+    found = cut(meet.mapInPandas(_search(k), "query_id long, vec_id long, score long")).withColumn("beyond", F.lit(""))
+    wide = rows.where(large).select("id", F.col("x").alias("v"))
+    if wide.head(1):
+        real = lambda t, is_real=True: t.withColumn("real", F.lit(is_real))
+        blocks = real(cut(wide.mapInPandas(_packed(1, np.float64), kind).withColumn("block", -1 - F.col("block"))))
+        all_blocks = blocks.unionByName(real(index, False))
+        asked = met(real(cut(asks(wide).mapInPandas(_packed(1, np.float64), kind))), all_blocks).unionByName(met(real(queries, False), blocks))
+        meet = all_blocks.withColumn("asks", F.lit(False)).unionByName(asked).repartition("block").sortWithinPartitions("block", "asks")
+        found = found.unionByName(cut(meet.mapInPandas(_search_exactly(k, scale), "query_id long, vec_id long, score long, beyond string")))
     discard(index, queries)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("beyond"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -191,3 +191,25 @@ def test_secrets_in_a_million_characters():
         assert [m.span() for m in plain.finditer(text)] == [m.span() for m in scanner.token.finditer(text)]
     token = base64.urlsafe_b64encode(b'{"alg":"HS256"}').decode() + ".e30.c2ln"
     assert ("signed_token", 1_000_001, 1_000_001 + len(token)) in scanner.spans("x" * 1_000_000 + " " + token)
+
+
+def test_top_k_of_large_values(spark):
+    """Components of any finite size, beside Python's integers; columns of clashing names are not read."""
+    from math import floor
+
+    from swatchline.llm import impact_topk
+
+    random.seed(8)
+    sizes = (1.0, 1.0, 1.0, 1e6, 3e15, 1e18, 1e300)
+    rows = [(i, [random.uniform(-1, 1) * random.choice(sizes) for _ in range(4)] if i % 3 == 0 else [random.uniform(-1, 1) for _ in range(4)]) for i in range(400)]
+    rows += [(401, [1e308] * 4), (500, [-1e308, 1e308, 0.0, 5e-324]), (402, [float("inf")] * 4), (403, None), (404, [None, 1.0, 1.0, 1.0]), (None, [1.0] * 4), (600, [0.0] * 4)]
+    df = spark.createDataFrame([(i, x, 1, "b", 2, 3) for i, x in rows], "vec_id long, embedding array<double>, id int, block string, v int, x int")
+    whole = lambda x: (lambda n, d: n * 1024 // d)(*x.as_integer_ratio())
+    known = [(i, [whole(c) for c in x]) for i, x in rows if i is not None and x and all(c is not None and abs(c) != float("inf") for c in x)]
+    assert all(floor(1024 * c) == whole(c) for _, x in rows[:9] for c in x)
+    want = set()
+    for q, w in known:
+        if q % 100 == 0:
+            best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, v in known if i != q)[:10]
+            want |= {(q, r, i, max(-(2**63), min(2**63 - 1, -s))) for r, (s, i) in enumerate(best, 1)}
+    assert {tuple(r) for r in impact_topk.top_k(df).collect()} == want
