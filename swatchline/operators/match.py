@@ -12,6 +12,8 @@ from swatchline.functions import color
 
 #: A palette is folded as one array per colour; more entries than this are refused rather than collected.
 MOST_ENTRIES = 100_000
+#: Side of a grid's cell in LAB, and the outermost cells; there are 17^3 cells at most.
+SIDE, MOST_CELL = 16.0, 8
 
 
 def palette_lab(palette: DataFrame) -> DataFrame:
@@ -42,11 +44,35 @@ def _meant(name: Column, cat: Column) -> Column:
     return out.otherwise(0)
 
 
+def _cell(lab: Column) -> Column:
+    """The cube of LAB in which a colour lies; those far outside of what screens show share the outermost ones."""
+    at = lambda c: F.least(F.lit(MOST_CELL), F.greatest(F.lit(-MOST_CELL), F.floor(lab[c] / SIDE))).cast("int")
+    return F.struct(*(at(c).alias(c) for c in ("l", "a", "b")))
+
+
 def nearest(colors: DataFrame, palette: DataFrame) -> DataFrame:
-    """colors (with lab) and `near`: the first of the closest entries by unrounded distance. Per distinct lab."""
+    """colors (with lab) and `near`: the first of the closest entries by unrounded distance. Per distinct lab.
+
+    The palette is a grid: of each filled cell the box of its entries is known, one row of a bounded number of boxes. No
+    entry of a box is nearer than the box, and each is nearer than its farthest corner. So the closest entry is in a box
+    that is no farther than the nearest of all farthest corners; a colour meets the entries of those boxes alone, by cell.
+    """
     keys = colors.select("lab").where(F.col("lab").isNotNull()).distinct()
-    step = lambda acc, x: color.let(color.distance(F.col("lab"), x["lab"]), lambda d: F.when(d < acc["d"], F.struct(d.alias("d"), x["name"].alias("name"), x["hex"].alias("hex"))).otherwise(acc))
-    return _folded(colors, keys, palette, F.struct(F.lit(float("inf")).alias("d"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("hex")), step, ["lab"])
+    entries = palette_lab(palette).withColumn("cell", _cell(F.col("lab")))
+    edges = [f(f"lab.{c}").alias(f"{n}{c}") for c in ("l", "a", "b") for n, f in (("low_", F.min), ("high_", F.max))]
+    boxes = entries.groupBy("cell").agg(*edges).agg(F.collect_list(F.struct("*")).alias("boxes"))
+    away = lambda b, c: F.greatest(b[f"low_{c}"] - F.col(f"lab.{c}"), F.col(f"lab.{c}") - b[f"high_{c}"], F.lit(0.0))
+    across = lambda b, c: F.greatest(F.abs(b[f"low_{c}"] - F.col(f"lab.{c}")), F.abs(b[f"high_{c}"] - F.col(f"lab.{c}")))
+    far = lambda b, f: F.sqrt(sum((F.pow(f(b, c), F.lit(2)) for c in ("l", "a", "b")), F.lit(0.0)))
+    bounds = F.transform("boxes", lambda b: F.struct(b["cell"].alias("cell"), far(b, away).alias("least"), far(b, across).alias("most")))
+    # the bounds are of other sums than distances, so they get a little room
+    seen = keys.join(F.broadcast(boxes)).select("lab", bounds.alias("boxes"))
+    seen = seen.withColumn("reach", F.array_min(F.col("boxes.most")) + 1e-6)
+    seen = seen.select("lab", F.explode(F.filter("boxes", lambda b: b["least"] <= F.col("reach"))).alias("b")).select("lab", F.col("b.cell").alias("cell"))
+    d = color.distance(F.col("lab"), F.col("q"))
+    met = seen.join(entries.select("cell", "ord", "name", "hex", F.col("lab").alias("q")), "cell").select("lab", d.alias("d"), "ord", "name", "hex")
+    found = met.groupBy("lab").agg(F.min_by(F.struct("d", "name", "hex"), F.struct("d", "ord")).alias("near"))
+    return _with_near(colors, found, ["lab"])
 
 
 def nearest_semantic(colors: DataFrame, palette: DataFrame) -> DataFrame:
@@ -70,6 +96,10 @@ def nearest_semantic(colors: DataFrame, palette: DataFrame) -> DataFrame:
 def _folded(colors: DataFrame, keys: DataFrame, palette: DataFrame, start: Column, step, by: list[str]) -> DataFrame:
     # one row of at most MOST_ENTRIES entries
     found = keys.join(F.broadcast(palette_array(palette))).withColumn("near", F.aggregate("entries", start, step)).select(*by, "near")
+    return _with_near(colors, found, by)
+
+
+def _with_near(colors: DataFrame, found: DataFrame, by: list[str]) -> DataFrame:
     found = found.select(*(F.col(c).alias(f"_{c}") for c in by), "near")
     on = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by))
     out = colors.join(found, on, "left").drop(*(f"_{c}" for c in by))

@@ -378,3 +378,21 @@ def test_one_scan_for_colours(spark):
 def test_rows_by_file(spark):
     rows = commands.colors(lines(spark, "color: #fff; fill: #000", "fill: #123456").unionAll(lines(spark, "color: #abc", file="b.css")))
     assert [(r.file, [(h.line, h.value) for h in r.hits]) for r in report.by_file(rows).orderBy("file").collect()] == [("b.css", [(1, "#abc")]), ("src/a.tsx", [(1, "#fff"), (1, "#000"), (2, "#123456")])]
+
+
+def test_grid_gives_what_the_fold_gives(spark):
+    """Random palettes, ties by order and colours outside of the gamut; the plain fold takes the first of the closest."""
+    import random
+
+    random.seed(2)
+    code = lambda: f"#{random.randrange(1 << 24):06x}"
+    palette_ = pal(spark, *((f"--{i}", code()) for i in range(600)), *((f"--d{i}", "#ff0000") for i in range(3)), ("--none", "oklch(1 1 1)"))
+    cols = spark.createDataFrame([(code(),) for _ in range(150)] + [("#ff0000",), ("rgb(999,0,0)",), ("x",)], "v string").withColumn("lab", color.to_lab(color.parse_color(F.col("v"))))
+    start = F.struct(F.lit(float("inf")).alias("d"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("hex"))
+    step = lambda acc, x: color.let(color.distance(F.col("lab"), x["lab"]), lambda d: F.when(d < acc["d"], F.struct(d.alias("d"), x["name"].alias("name"), x["hex"].alias("hex"))).otherwise(acc))
+    keys = cols.select("lab").where("lab is not null").distinct()
+    told = lambda rows: {r.v: (r.near_name, r.near_hex, r.near_distance) for r in rows.collect()}
+    got = told(match.nearest(cols, palette_))
+    assert got == told(match._folded(cols, keys, palette_, start, step, ["lab"]))
+    assert got["#ff0000"] == ("--d0", "#ff0000", 0.0) and got["x"] == (None, None, None)
+    assert told(match.nearest(cols, palette_.where("false")))["#ff0000"] == (None, None, None)
