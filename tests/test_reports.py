@@ -284,7 +284,7 @@ def test_tailwind_texts_and_document(spark):
     assert got == [
         "", "=== Tailwind Color Classes ===", "Found 3 Tailwind color classes in 1 files", "Tailwind v4 detected", "Arbitrary values: 2 (2 match theme vars)", "",
         "--- ARBITRARY VALUES MATCHING THEME (2) ---", "  a.tsx:1:1  bg-[#ff0000] -> EXACT: --r (#ff0000)", "    Use var(--r) or a Tailwind theme color instead of #ff0000",
-        "  a.tsx:1:14  text-[#00ff00] -> CLOSE (dE=170.58): --r (#ff0000)", "", "--- Tailwind v4 ---", "  @theme variables: 2", "  @utility definitions: 1", "",
+        "  a.tsx:1:14  text-[#00ff00] -> CLOSE (dE=170.57): --r (#ff0000)", "", "--- Tailwind v4 ---", "  @theme variables: 2", "  @utility definitions: 1", "",
         "FILE: a.tsx", "  L1:1  bg-[#ff0000]  (bg, arbitrary: #ff0000)", "    bg-[#ff0000] text-[#00ff00] bg-red-500", "  L1:14  text-[#00ff00]  (text, arbitrary: #00ff00)", "    bg-[#ff0000] text-[#00ff00] bg-red-500",
         "  L1:29  bg-red-500  (bg, red-500)", "    bg-[#ff0000] text-[#00ff00] bg-red-500", "",
     ]
