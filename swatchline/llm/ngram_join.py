@@ -17,7 +17,7 @@ m * m / 2 of them, and the work here stays in proportion to m but for the compar
 5. Groups that still hold several components compare the signatures of the members outside of their head's
    component with those of all members, in numpy, by blocks of members. Each such member first tries the nearest
    other; then all pairs of different components that the filters leave are verified. A pair within one component can't
-   change it, so no link between components is lost.
+   change it, so no link between components is lost. No pair is verified twice, in one step or in several.
 
 Length filter: 4 * n_small >= 3 * n_large. Positional filter: a shingle shared at positions i and j bounds the
 overlap by min(i, j) + min(n_a - i, n_b - j). Suffix filter: sets are divided at fixed values into PARITIES parts;
@@ -142,6 +142,15 @@ def _verify(k: int):
     return run
 
 
+def _once(pairs: DataFrame, tried: list[DataFrame]) -> DataFrame:
+    """Pairs (id, head) that stand in no frame of tried, each pair once, whichever of its two is the head."""
+    ends = (F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b"))
+    pairs = pairs.groupBy(*ends).agg(F.min("head").alias("head"))
+    for before in tried:
+        pairs = pairs.join(before.select(*ends), ["a", "b"], "left_anti")
+    return pairs.select(F.when(F.col("head") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("id"), "head")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     """Those of a written frame of distinct pairs (id, head) of classes that link; texts has each class's document."""
     parts = pairs.groupBy("head").agg(F.ceil(F.count("*") / STAR).cast("int").alias("parts"))
@@ -152,7 +161,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, texts: DataFrame, k: int) -> Da
     # the comparison, always true, tells Spark that it pays to filter all texts by the keys of these few
     rows = docs.join(want.where("part >= 0"), "doc").repartition("head", "part").sortWithinPartitions("head", "part", F.col("id") != F.col("head"))
     links = cut(rows.select("head", "part", "id", "text").mapInPandas(_verify(k), "id long, head long").distinct())
-    discard(pairs, want)
+    discard(want)
     return links
 
 
@@ -229,8 +238,8 @@ def _labelled(ids: DataFrame, links: DataFrame) -> DataFrame:
     return cut(ids.join(labels.withColumnRenamed("node", "id"), "id", "left").select("id", "n", "odd", F.coalesce("component", "id").alias("label")))
 
 
-def _rest(members: DataFrame, state: DataFrame, nearest: bool) -> DataFrame:
-    """Distinct pairs (id, head) of different labels that share a group and pass the filters."""
+def _rest(members: DataFrame, state: DataFrame, nearest: bool, tried: list[DataFrame]) -> DataFrame:
+    """Pairs (id, head) of different labels that share a group, pass the filters and weren't tried, each of them once."""
     named = members.join(state.select("id", "label"), "id")
     groups = named.groupBy("token").agg(F.min_by("label", F.struct("i", "id")).alias("main"), F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("c"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("who"))
     # of groups with the same members one is enough: any shared shingle may bound their overlap
@@ -242,7 +251,7 @@ def _rest(members: DataFrame, state: DataFrame, nearest: bool) -> DataFrame:
     found = cells.mapInPandas(_compare(nearest), "id long, head long, share double")
     if nearest:
         found = found.groupBy("id").agg(F.min_by("head", F.struct("share", "head")).alias("head"))
-    pairs = cut(found.select("id", "head").distinct(), batch=10_000)
+    pairs = cut(_once(found.select("id", "head"), tried), batch=10_000)
     discard(rows)
     return pairs
 
@@ -280,7 +289,8 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     for end in ("id", "head"):
         pairs = pairs.join(state.select(F.col("id").alias(end), F.col("n").alias(f"{end}_n"), F.col("odd").alias(f"{end}_odd")), end)
     pairs = pairs.where(7 * _apart(F.col("id_odd"), F.col("head_odd")) <= F.col("id_n") + F.col("head_n")).select("id", "head")
-    links = _verified(cut(pairs), docs, texts, k)
+    tried = [cut(_once(pairs, []))]
+    links = _verified(tried[0], docs, texts, k)
 
     # rows of one id with different texts tie their classes together
     again = filled.groupBy("doc").agg(F.count("*").alias("c")).where("c > 1").select("doc")
@@ -289,12 +299,13 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     links = cut(links.unionByName(tied))
     now = _labelled(state, links)
     for nearest in (True, False):
-        more = _verified(_rest(members, now, nearest), docs, texts, k)
+        tried.append(_rest(members, now, nearest, tried))
+        more = _verified(tried[-1], docs, texts, k)
         if more.head(1):
             links = links.unionByName(more)
             discard(now)
             now = _labelled(state, links)
-    discard(members)
+    discard(members, *tried)
     labels = now.join(texts, "id").select("id", "doc", "label")
     labels = labels.join(labels.groupBy("label").agg(F.min("doc").alias("component")), "label").select("id", "component")
     found = filled.join(classes.select("n", "k1", "k2", "id"), ["n", "k1", "k2"]).join(labels, "id").groupBy("doc").agg(F.min("component").alias("component"))

@@ -117,8 +117,25 @@ def test_ngram_join_paths(spark, monkeypatch, hot):
     monkeypatch.setattr(ngram_join, "BLOCK", 8)
     monkeypatch.setattr(ngram_join, "STAR", 5)
     monkeypatch.setattr(ngram_join, "HOT_LOAD", 0)
+    tried, verified = [], ngram_join._verified
+    monkeypatch.setattr(ngram_join, "_verified", lambda pairs, *rest: (tried.extend(frozenset(p) for p in pairs.collect()), verified(pairs, *rest))[1])
     got = sorted(map(tuple, ngram_join.link_documents(rows, hot=hot).collect()), key=repr)
     assert got == sql(ngram_join.ORACLE_SQL, documents=rows)
+    assert len(tried) == len(set(tried)) and all(len(p) == 2 for p in tried)
+
+
+def test_pairs_that_fail_are_verified_once(spark, monkeypatch):
+    """Texts that differ from one by 12 words of 400: signatures can't tell them apart, their sets can (0.739)."""
+    random.seed(14)
+    base = [f"w{random.randrange(10**6)}" for _ in range(400)]
+    texts = [" ".join(f"v{n}" if i % 33 == 16 + n else w for i, w in enumerate(base)) for n in range(-1, 3)]
+    texts[0] = " ".join(base)
+    tried, verified = [], ngram_join._verified
+    monkeypatch.setattr(ngram_join, "_verified", lambda pairs, *rest: (tried.extend(frozenset(p) for p in pairs.collect()), verified(pairs, *rest))[1])
+    rows = docs(spark, *texts)
+    got = sorted(map(tuple, ngram_join.link_documents(rows).collect()), key=repr)
+    assert got == sql(ngram_join.ORACLE_SQL, documents=rows) and [c for _, _, c in got] == [0, 1, 2, 3]
+    assert len(tried) == len(set(tried)) >= 3
 
 
 def sql(query, **tables):
@@ -209,6 +226,40 @@ def test_hot_cell_in_blocks(spark, monkeypatch):
     assert {(r.n_links, r.component_id) for r in got} == {(79, 0)}
 
 
+def test_links_of_a_group_are_not_written(spark, monkeypatch):
+    """600 near vectors have 179700 links; what is written is at most two rows for each of them in each of its 20 cells."""
+    written, cut = [], lattice.cut
+    monkeypatch.setattr(lattice, "cut", lambda df, *a, **k: (out := cut(df, *a, **k), written.append(out.count() if "far" in df.columns else 0))[0])
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=64)
+    rows = [(i, [float(x) for x in base + rng.normal(size=64) * 0.02], 1) for i in range(600)]
+    got = lattice.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert {(r.n_links, r.component_id) for r in got} == {(599, 0)}
+    assert 600 <= max(written) <= 2 * 20 * 600
+
+
+def test_roots():
+    random.seed(3)
+    for n in (1, 2, 40, 300):
+        links = [(random.randrange(n), random.randrange(n)) for _ in range(n // 2)]
+        parent = list(range(n))
+        for _ in range(n):
+            for a, b in links:
+                parent[a] = parent[b] = min(parent[a], parent[b])
+        i, j = np.array(links, np.int64).reshape(-1, 2).T
+        assert lattice.roots(n, i, j).tolist() == parent
+
+
+def test_vector_columns_of_clashing_names(spark):
+    rng = np.random.default_rng(10)
+    rows = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=8)], i % 2) for i in range(40)] + [(200 + i, [1.0 * i, 2.0 * i], 0) for i in range(3)], "vec_id long, embedding array<double>, label int")
+    more = rows
+    for name in ("id", "class", "size", "shared", "far", "other", "own", "key", "keys", "x", "rep", "component_id", "n_links", "query_id", "rank", "score", "block", "token"):
+        more = more.withColumn(name, F.lit("z"))
+    for run in (lattice.near_vectors, impact_topk.top_k):
+        assert sorted(map(tuple, run(more).collect()), key=repr) == sorted(map(tuple, run(rows).collect()), key=repr)
+
+
 def test_license(spark):
     r = license_scan.scan_licenses(docs(spark, "Released Under the MIT License. X under the mit license", "CC BY-NC", "no license")).orderBy("doc_id").collect()
     assert [(x.n_base, x.first_word, x.last_word, x.base_labels) for x in r] == [(2, 1, 6, "mit"), (1, 0, 0, "cc-by-nc"), (0, None, None, "")]
