@@ -82,7 +82,8 @@ def encoder(data: bytes):
     """Text to ids as the tokenizers library gives them for a byte-level BPE file, by the fastest library that can.
 
     The rank of a token is its id where each merge makes the next id; tiktoken then gives the same ids. Texts with
-    the name of a special token, and files with any other setting, go to the tokenizers library itself.
+    the name of a special token, texts that its pattern can't divide (a million blanks leave it no stack), and files
+    with any other setting go to the tokenizers library itself.
     """
     from tokenizers import Tokenizer
 
@@ -108,7 +109,10 @@ def encoder(data: bytes):
     def encode(text: str) -> np.ndarray:
         if any(s in text for s in special):
             return plain(text)
-        return np.asarray(fast.encode_to_numpy(text, disallowed_special=()), np.uint32)
+        try:
+            return np.asarray(fast.encode_to_numpy(text, disallowed_special=()), np.uint32)
+        except ValueError:  # the pattern's stack
+            return plain(text)
 
     return encode
 

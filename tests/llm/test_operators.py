@@ -597,3 +597,32 @@ def test_pipeline_edges(spark):
             assert out.columns == rows.columns, name
             assert {(r["row"], r["_stats"], r["n_dropped"], r["a.b"]) for r in out.collect()} <= {("r", 1, 2, 3)}
         assert corpus_pipeline.STAGES[-1][1](spark, rows, D).count() >= rows.count()
+
+
+def test_texts_of_a_million_characters(spark):
+    """Runs of one character, blanks alone, one line of 150000 words and its near copy, and much that matches."""
+    random.seed(2)
+    long = " ".join(f"w{random.randrange(10**5)}" for _ in range(150_000))
+    texts = ["x" * 1_000_000, long, long + " end", "\n" * 1_000_000, " " * 1_000_000 + "a", "mit license " * 80_000, "a-b_c." * 160_000, "1" * 1_000_000]
+    rows = docs(spark, *texts).repartition(8)
+    by = lambda df: {r.doc_id: r for r in df.collect()}
+    scored = by(quality.score(rows, quality.fit(rows, spark.createDataFrame([(i, i % 2) for i in range(4)], "doc_id long, quality int"))))
+    assert len(scored) == 8 and all(0 <= r.score <= 1 for r in scored.values())
+    licensed = by(license_scan.scan_licenses(rows))
+    assert (licensed[1].n_words, licensed[5].n_words, licensed[3].n_words) == (150_000, 160_000, 0)
+    lines = by(line_dedup.dedup_lines(rows))
+    assert lines[3].n_lines == 1_000_001 and all(lines[i].text == t for i, t in enumerate(texts))
+    linked = by(ngram_join.link_documents(rows))
+    assert {i: r.component_id for i, r in linked.items()} == {0: 0, 1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 6, 7: 7}
+    secrets = by(secret_scan.scan_secrets(rows))
+    assert (secrets[7].n_hex, secrets[0].n_hex, secrets[3].spans) == (1, 0, "")
+    langs = by(language.predict(rows, language.fit(rows)))
+    assert [langs[i].lang_pred for i in (0, 1, 3, 7)] == ["en", "en", "und", "und"]
+    coded = by(bpe.bpe_round_trip(rows, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN))
+    assert all(bytes(coded[i].decoded) == t.encode() for i, t in enumerate(texts))
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(path)
+    pieces = packing.pack_documents(rows, path).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    assert {r.doc_id: r.n for r in pieces} == {i: len(own.encode(t, add_special_tokens=False).ids) + 1 for i, t in enumerate(texts)}
