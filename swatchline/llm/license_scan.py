@@ -67,9 +67,11 @@ def license_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     rows = docs.select(F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("w")).withColumn("row", F.monotonically_increasing_id())
     starts = F.when(F.size("w") >= GRAM, F.sequence(F.lit(0), F.size("w") - GRAM)).otherwise(F.array().cast("array<int>"))
-    hashes = F.transform(starts, lambda i: F.struct(i.alias("at"), F.xxhash64(*(F.get("w", i + j) for j in range(GRAM))).alias("hash")))
-    whole = F.struct(F.lit(-1).alias("at"), F.lit(None).cast("long").alias("hash"))  # stands for the row itself
-    rows = rows.select("row", "doc_id", F.size("w").cast("long").alias("n_words"), F.inline(F.array_append(hashes, whole)))
+    # the number of words is told with each gram: a row of Spark's generator would else carry the array that it is taken of
+    n_words = F.size("w").cast("long").alias("n_words")
+    hashes = F.transform(starts, lambda i: F.struct(n_words, i.alias("at"), F.xxhash64(*(F.get("w", i + j) for j in range(GRAM))).alias("hash")))
+    whole = F.struct(n_words, F.lit(-1).alias("at"), F.lit(None).cast("long").alias("hash"))  # stands for the row itself
+    rows = rows.select("row", "doc_id", F.inline(F.array_append(hashes, whole)))
     # the templates are constants of this module: a few hundred rows
     voted = rows.join(F.broadcast(known), "hash", "left").where("template is not null or at < 0")
     facts = ("doc_id", "n_words", "label", "base", "length")
