@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,17 +89,34 @@ def tailwind_classes(lines: DataFrame) -> DataFrame:
     )
 
 
+#: Where class lists stand, by what reports call it: patterns, and a simple pattern that a line with one fits.
+CLASS_SOURCES = {"className": (dims.CLASS_ATTRIBUTES, "class"), "cn/clsx": (dims.CLASS_FUNCTIONS, r"(?:cn|clsx|twMerge|cva)\(")}
+
+
+def class_lists(lines: DataFrame, *sources: str) -> DataFrame:
+    """The columns of lines, col, classes, source: every class list of the sources, trimmed, comment lines left out.
+
+    All patterns are sought in one pass: the lines may be sorted, and a union of passes would sort them for each.
+    """
+    none = F.array().cast("array<struct<source:string,match:string,col:int>>")
+    told = lambda source, p, gate: F.coalesce(F.transform(found(p, "match", gate), lambda x: F.struct(F.lit(source).alias("source"), x["match"].alias("match"), x["col"].alias("col"))), none)
+    hits = F.concat(*(told(s, p, gate) for s in sources for patterns, gate in [CLASS_SOURCES[s]] for p in patterns))
+    rows = lines.where(~F.col("text").rlike(dims.COMMENT_LINE_JSX)).select("*", F.inline_outer(hits)).where(F.col("col").isNotNull())
+    value = F.filter(F.array(trimmed(F.regexp_extract("match", dims.CLASS_VALUE, 1))), lambda c: c != "")
+    arguments = F.transform(F.regexp_extract_all("match", F.lit(dims.CLASS_ARGUMENT), F.lit(1)), trimmed)
+    arguments = F.filter(arguments, lambda c: ~c.contains("${") & (c.contains("-") | c.contains(" ")))
+    classes = F.explode_outer(F.when(F.col("source") == "className", value).otherwise(arguments))
+    return rows.select(*lines.columns, "col", classes.alias("classes"), "source").where("classes is not null")
+
+
 def class_attributes(lines: DataFrame) -> DataFrame:
     """Class attributes' values, trimmed; blank ones and comment lines are left out."""
-    rows = reduce(DataFrame.unionAll, (matches(lines.where(~F.col("text").rlike(dims.COMMENT_LINE_JSX)), p, "match") for p in dims.CLASS_ATTRIBUTES))
-    return rows.withColumn("classes", trimmed(F.regexp_extract("match", dims.CLASS_VALUE, 1))).where("classes <> ''").drop("match")
+    return class_lists(lines, "className").drop("source")
 
 
 def class_functions(lines: DataFrame) -> DataFrame:
     """Class-like quoted arguments of class functions; the two patterns overlap, and both count."""
-    rows = reduce(DataFrame.unionAll, (matches(lines.where(~F.col("text").rlike(dims.COMMENT_LINE_JSX)), p, "match") for p in dims.CLASS_FUNCTIONS))
-    rows = rows.withColumn("classes", F.explode(F.regexp_extract_all("match", F.lit(dims.CLASS_ARGUMENT), F.lit(1)))).withColumn("classes", trimmed(F.col("classes")))
-    return rows.where("NOT contains(classes, '${') AND (contains(classes, '-') OR contains(classes, ' '))").drop("match")
+    return class_lists(lines, "cn/clsx").drop("source")
 
 
 def class_tokens(classes: Column) -> Column:

@@ -190,7 +190,7 @@ def tailwind_v4(lines: DataFrame, roots: list[str]) -> DataFrame:
 
 def class_lists(lines: DataFrame, min_classes: int = 2) -> DataFrame:
     """Every class list: file, line, col, classes, source, tokens. Nothing is deduplicated."""
-    rows = extract.class_attributes(lines).withColumn("source", F.lit("className")).unionAll(extract.class_functions(lines).withColumn("source", F.lit("cn/clsx")))
+    rows = extract.class_lists(lines, *extract.CLASS_SOURCES)
     return rows.withColumn("tokens", extract.class_tokens(F.col("classes"))).where(F.size("tokens") >= min_classes)
 
 

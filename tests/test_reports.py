@@ -219,6 +219,18 @@ def test_locations_and_order(spark):
     assert '"totalPatterns":2' in parts["summary", None] and '"impactScore":6' in parts["patterns", "a-1 b-2 c-3"]
 
 
+def plan_of(rows) -> str:
+    rows.collect()
+    return rows._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def test_class_lists_in_one_pass(spark):
+    src = lines(spark, "<p className='a b' class=\"c  d\">", 'cn("e-f g-h", x ? "" : "i")')
+    lists = commands.class_lists(src)
+    assert sorted((r.line, r.col, r.classes, r.source) for r in lists.collect()) == [(1, 4, "a b", "className"), (1, 20, "c  d", "className"), (2, 1, "e-f g-h", "cn/clsx"), (2, 1, "e-f g-h", "cn/clsx")]
+    assert "Union" not in plan_of(lists)
+
+
 def test_class_pairs_need_frequent_classes(spark):
     lists = commands.class_lists(lines(spark, '<p className="a a a b">', '<p className="a a a b">'))
     assert commands.class_pairs(lists, 3).where("pair = 'a b'").count() == 0
