@@ -6,7 +6,7 @@ import re
 import warnings
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from swatchline import dims
@@ -195,7 +195,14 @@ def class_lists(lines: DataFrame, min_classes: int = 2) -> DataFrame:
 
 
 def all_patterns(lists: DataFrame) -> DataFrame:
-    return lists.groupBy(F.array_join(F.array_sort("tokens"), " ").alias("pattern")).agg(F.count("*").alias("n"), F.first(F.size("tokens")).alias("class_count"))
+    # nothing but pattern and n, from which the rest is told: so a plan that needs it more than once groups the lists once.
+    # For that no use may add a filter of its own below: hence the one for nulls here, and outer forms of explode.
+    return lists.where(F.array_join(F.array_sort("tokens"), " ").isNotNull()).groupBy(F.array_join(F.array_sort("tokens"), " ").alias("pattern")).agg(F.count("*").alias("n")).withColumn("class_count", F.size(_classes("pattern")))
+
+
+def _classes(pattern: Column | str) -> Column:
+    """The classes of a pattern, repeated ones too."""
+    return F.array_remove(F.split(pattern, " "), "")
 
 
 def patterns(lists: DataFrame, min_count: int = 2) -> DataFrame:
@@ -210,7 +217,7 @@ def pattern_locations(lists: DataFrame, min_count: int = 2) -> DataFrame:
 
 
 def class_frequency(lists: DataFrame) -> DataFrame:
-    return lists.select(F.explode("tokens").alias("class")).groupBy("class").agg(F.count("*").alias("n"))
+    return all_patterns(lists).select(F.explode_outer(_classes("pattern")).alias("class"), "n").where("class is not null").groupBy("class").agg(F.sum("n").alias("n"))
 
 
 def class_pairs(lists: DataFrame, min_count: int = 2, top: int = 20) -> DataFrame:
@@ -218,7 +225,7 @@ def class_pairs(lists: DataFrame, min_count: int = 2, top: int = 20) -> DataFram
     # formed within a pattern; frequent pairs are few, and those of a class that is not frequent by itself go
     own = F.split("pattern", " ")
     pairs = F.flatten(F.transform(F.array(own), lambda c: F.flatten(F.transform(c, lambda x, i: F.transform(F.slice(c, i + 2, F.size(c)), lambda y: F.concat_ws(" ", x, y))))))
-    pairs = all_patterns(lists).select("n", F.explode(pairs).alias("pair")).groupBy("pair").agg(F.sum("n").alias("n"))
+    pairs = all_patterns(lists).select("n", F.explode_outer(pairs).alias("pair")).where("pair is not null").groupBy("pair").agg(F.sum("n").alias("n"))
     frequent, pairs = class_frequency(lists).where(F.col("n") >= min_count).select("class"), pairs.where(F.col("n") >= 2 * min_count)
     for i in (0, 1):
         pairs = pairs.join(frequent, F.split("pair", " ")[i] == F.col("class"), "left_semi")
@@ -228,10 +235,10 @@ def class_pairs(lists: DataFrame, min_count: int = 2, top: int = 20) -> DataFram
 def subset_relations(lists: DataFrame, min_count: int = 2, top: int = 10) -> DataFrame:
     """Patterns whose set of classes is a proper subset of another's; joined on the rarest class of the smaller set."""
     rows = patterns(lists, min_count).withColumn("classes", F.array_distinct(F.split("pattern", " ")))
-    each = rows.select("pattern", F.explode("classes").alias("class"))
+    each = rows.select("pattern", F.explode_outer("classes").alias("class")).where("class is not null")
     rare = each.join(each.groupBy("class").agg(F.count("*").alias("c")), "class").groupBy("pattern").agg(F.min_by("class", F.struct("c", "class")).alias("class"))
     small = rows.join(rare, "pattern").select(F.col("pattern").alias("subset"), F.col("impact").alias("i"), F.col("n").alias("subset_count"), F.col("classes").alias("a"), "class")
-    large = rows.select(F.col("pattern").alias("superset"), F.col("impact").alias("j"), F.col("n").alias("superset_count"), F.col("classes").alias("b"), F.explode("classes").alias("class"))
+    large = rows.select(F.col("pattern").alias("superset"), F.col("impact").alias("j"), F.col("n").alias("superset_count"), F.col("classes").alias("b"), F.explode_outer("classes").alias("class"))
     found = small.join(large, "class").where("size(a) < size(b) and size(array_except(a, b)) = 0")
     found = found.orderBy(F.desc("i"), "subset", F.desc("j"), "superset").limit(top)
     joined = lambda c: F.array_join(F.array_sort(c), " ")

@@ -231,6 +231,12 @@ def test_class_lists_in_one_pass(spark):
     assert "Union" not in plan_of(lists)
 
 
+def test_patterns_document_groups_lists_once(spark):
+    rows = report.patterns_document(commands.class_lists(lines(spark, "<p class='a b'>", "<p class='b a c'>", "<p class='a b'>", "<p class='c b a'>")))
+    assert {r.section for r in rows.collect()} == {"summary", "patterns", "locations", "subsetRelations", "frequentSubsets"}
+    assert plan_of(rows).count("Generate inline") == 2  # for the patterns, and for the places
+
+
 def test_class_pairs_need_frequent_classes(spark):
     lists = commands.class_lists(lines(spark, '<p className="a a a b">', '<p className="a a a b">'))
     assert commands.class_pairs(lists, 3).where("pair = 'a b'").count() == 0
