@@ -75,34 +75,64 @@ def nearest(colors: DataFrame, palette: DataFrame) -> DataFrame:
     return _with_near(colors, found, ["lab"])
 
 
-def nearest_semantic(colors: DataFrame, palette: DataFrame) -> DataFrame:
-    """As nearest, but an ordered fold: an entry replaces the best so far if it is closer by over 0.5, or within 0.5 and
-    its name fits the property's category better. colors needs lab and cat; evaluated per distinct pair of these."""
-    keys = colors.select("lab", "cat").where(F.col("lab").isNotNull()).distinct()
+#: Palettes of so many entries are gone through for every row; for larger ones each distinct colour is worked on once.
+FEW_ENTRIES = 256
+#: Steps between distances, from the least one upwards, that may let an entry's order or name decide: 0.5, with some room.
+STEP = 0.5 + 1e-6
 
-    def step(acc: Column, x: Column) -> Column:
-        def chosen(new: Column) -> Column:
-            d, s = new["d"], new["s"]
-            better = (d < acc["d"] - 0.5) | ((F.abs(d - acc["d"]) <= 0.5) & (s > acc["s"]))
-            return F.when(better, new).otherwise(acc)
 
+def with_close(colors: DataFrame, palette: DataFrame) -> DataFrame:
+    """colors (with lab) and `close`: the entries (d, name, hex), in order, of which chosen() picks; null without lab.
+
+    The entries are sorted by distance, and those up to the first step of over 0.5 are taken. Any of these replaces any
+    farther one in the fold, and none of the farther ones replaces any of these, so the fold over these has the same end.
+    Mostly there is but one.
+    """
+    few = len(palette.select("ord").head(FEW_ENTRIES + 1)) <= FEW_ENTRIES
+    rows = colors if few else colors.select("lab").where(F.col("lab").isNotNull()).distinct()
+
+    def upto(far: Column) -> Column:
+        # distances rise, so behind a step that is too long none is short enough
+        last = F.aggregate(F.sort_array(far["d"]), F.array_min(far["d"]), lambda acc, d: F.when(d - acc <= STEP, d).otherwise(acc))
+        return color.let(last, lambda t: F.filter(far, lambda x: (x["d"] <= t) & (x["d"] < float("inf"))))
+
+    every = F.transform("entries", lambda x: F.struct(color.distance(F.col("lab"), x["lab"]).alias("d"), x["name"].alias("name"), x["hex"].alias("hex")))
+    # one row of at most MOST_ENTRIES entries
+    rows = rows.join(F.broadcast(palette_array(palette))).withColumn("close", F.when(F.col("lab").isNotNull(), color.let(every, upto))).drop("entries")
+    if few:
+        return rows
+    found = rows.select(F.col("lab").alias("_lab"), "close")
+    return colors.join(found, F.col("lab") == F.col("_lab"), "left").drop("_lab")
+
+
+def chosen(rows: DataFrame) -> DataFrame:
+    """rows (with close and cat) with near_name, near_hex, near_distance, by an ordered fold: an entry replaces the best so
+    far if it is closer by over 0.5, or within 0.5 and its name fits the property's category better."""
+
+    def step(acc: Column, x: Column) -> Column:
         s = _meant(x["name"], F.coalesce(F.col("cat"), F.lit("")))
-        return color.let(F.struct(color.distance(F.col("lab"), x["lab"]).alias("d"), s.alias("s"), x["name"].alias("name"), x["hex"].alias("hex")), chosen)
+        better = (x["d"] < acc["d"] - 0.5) | ((F.abs(x["d"] - acc["d"]) <= 0.5) & (s > acc["s"]))
+        return F.when(better, F.struct(x["d"].alias("d"), s.alias("s"), x["name"].alias("name"), x["hex"].alias("hex"))).otherwise(acc)
 
     start = F.struct(F.lit(float("inf")).alias("d"), F.lit(0).alias("s"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("hex"))
-    return _folded(colors, keys, palette, start, step, ["lab", "cat"])
+    plain = lambda x: F.struct(x["d"].alias("d"), x["name"].alias("name"), x["hex"].alias("hex"))
+    best = F.when(F.size("close") == 1, F.get("close", F.lit(0))).otherwise(F.aggregate("close", start, step, plain))
+    # a generator, since Spark writes what a projection told into every filter on it, and so would tell it several times
+    return _told(rows.select("*", F.explode_outer(F.array(best)).alias("near")).drop("close"))
 
 
-def _folded(colors: DataFrame, keys: DataFrame, palette: DataFrame, start: Column, step, by: list[str]) -> DataFrame:
-    # one row of at most MOST_ENTRIES entries
-    found = keys.join(F.broadcast(palette_array(palette))).withColumn("near", F.aggregate("entries", start, step)).select(*by, "near")
-    return _with_near(colors, found, by)
+def nearest_semantic(colors: DataFrame, palette: DataFrame) -> DataFrame:
+    """As nearest, but by the fold of chosen(). colors needs lab and cat."""
+    return chosen(with_close(colors, palette))
 
 
 def _with_near(colors: DataFrame, found: DataFrame, by: list[str]) -> DataFrame:
     found = found.select(*(F.col(c).alias(f"_{c}") for c in by), "near")
     on = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by))
-    out = colors.join(found, on, "left").drop(*(f"_{c}" for c in by))
+    return _told(colors.join(found, on, "left").drop(*(f"_{c}" for c in by)))
+
+
+def _told(out: DataFrame) -> DataFrame:
     has = F.col("near.name").isNotNull()
     return out.withColumn("near_name", F.col("near.name")).withColumn("near_hex", F.col("near.hex")).withColumn("near_distance", F.when(has, color.round2(F.col("near.d")))).drop("near")
 

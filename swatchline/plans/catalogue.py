@@ -44,8 +44,9 @@ def _compare(spark, d):
 def _near(spark, d, semantic: bool):
     rows = _parsed(spark, d)
     if semantic:
-        rows = rows.join(spark.createDataFrame([(x,) for x in oracle.PROPERTIES], "prop string")).withColumn("cat", match.category(F.col("prop")))
-        return match.nearest_semantic(rows, _palette(spark, d)).select("value", "prop", "near_name", "near_distance")
+        # the properties come behind what the colours alone tell
+        rows = match.with_close(rows, _palette(spark, d)).join(F.broadcast(spark.createDataFrame([(x,) for x in oracle.PROPERTIES], "prop string")))
+        return match.chosen(rows.withColumn("cat", match.category(F.col("prop")))).select("value", "prop", "near_name", "near_distance")
     return match.nearest(rows, _palette(spark, d)).select("value", "near_name", "near_distance")
 
 

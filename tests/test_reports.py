@@ -237,6 +237,37 @@ def test_patterns_document_groups_lists_once(spark):
     assert plan_of(rows).count("Generate inline") == 2  # for the patterns, and for the places
 
 
+def test_semantic_match_is_the_ordered_fold(spark, monkeypatch):
+    import itertools
+    import random
+
+    rng = random.Random(5)
+    # entries whose distances follow each other in short steps, so that order and names decide
+    shades = ["#%02x%02x%02x" % tuple(rng.randint(100, 103) for _ in "rgb") for _ in range(40)] + ["#000000", "#ffffff"]
+    p = pal(spark, *((f"--{rng.choice(['bg', 'text', 'x'])}-{i}", h) for i, h in enumerate(shades)))
+    tried = spark.createDataFrame([(h, c) for h, c in itertools.product(shades[:8] + ["#656565", "#808080", "none"], ["background", "text", None])], "hex string, cat string")
+    tried = tried.withColumn("lab", color.to_lab(color.parse_color(F.col("hex"))))
+    entries = [r for r in match.palette_lab(p).orderBy("ord").collect()]
+
+    def fold(lab, cat):
+        best = (math.inf, 0, None)
+        for e in entries:
+            d = math.sqrt(sum((x - y) ** 2 for x, y in zip(lab, e.lab, strict=True)))
+            s = int(f"--{ {'background': 'bg'}.get(cat, cat) }-" in e.name)
+            if d < best[0] - 0.5 or abs(d - best[0]) <= 0.5 and s > best[1]:
+                best = (d, s, e.name)
+        return best[2]
+
+    want = {(r.hex, r.cat): fold(r.lab, r.cat) if r.lab else None for r in tried.collect()}
+    assert len(set(want.values())) > 5
+    for few in (256, 3):  # by row, and by distinct colour
+        monkeypatch.setattr(match, "FEW_ENTRIES", few)
+        assert {(r.hex, r.cat): r.near_name for r in match.nearest_semantic(tried, p).collect()} == want
+    monkeypatch.undo()
+    # a filter on what the match told doesn't match anew
+    assert plan_of(match.nearest_semantic(tried, p).where("near_distance > 1")).count("sort_array") == 1
+
+
 def test_class_pairs_need_frequent_classes(spark):
     lists = commands.class_lists(lines(spark, '<p className="a a a b">', '<p className="a a a b">'))
     assert commands.class_pairs(lists, 3).where("pair = 'a b'").count() == 0
