@@ -108,7 +108,7 @@ FILE_COLUMNS = ["is_canvas", "is_definition", "is_mapping", "is_builder", "has_u
 
 
 def scanned(lines: DataFrame, patterns: dict[str, tuple[str, str]]) -> DataFrame:
-    """One row per match of any of the patterns: file, line, text, kind, match, col, in_block and the columns of file_info.
+    """One row per match of any of the patterns: file, chunk, line, text, kind, match, col, in_block and the columns of file_info.
 
     patterns: kind to (pattern, gate). One pass over the lines tells matches,
     comment markers and facts of the file; lines that have none of these don't move. The rest meet by chunks of files,
@@ -132,8 +132,8 @@ def scanned(lines: DataFrame, patterns: dict[str, tuple[str, str]]) -> DataFrame
     of_file = Window.partitionBy("file")
     summary = summary.select("file", "chunk", "start", *(F.max(k).over(of_file).alias(k) for k in facts))
     rows = groups.join(summary, ["file", "chunk"]).withColumn("inside", in_blocks(F.col("start"), F.col("rows.mark")))
-    rows = rows.select("file", *_file_columns(), F.inline(F.zip_with("rows", "inside", lambda r, i: F.struct(r["line"].alias("line"), r["text"].alias("text"), r["hits"].alias("hits"), i.alias("in_block")))))
-    return rows.select("file", "line", "text", "in_block", *FILE_COLUMNS, F.inline("hits"))
+    rows = rows.select("file", "chunk", *_file_columns(), F.inline(F.zip_with("rows", "inside", lambda r, i: F.struct(r["line"].alias("line"), r["text"].alias("text"), r["hits"].alias("hits"), i.alias("in_block")))))
+    return rows.select("file", "chunk", "line", "text", "in_block", *FILE_COLUMNS, F.inline("hits"))
 
 
 def context(text: Column, value: Column) -> Column:

@@ -43,7 +43,8 @@ def _hits(lines: DataFrame, patterns: dict) -> DataFrame:
 def _first_of_place(rows: DataFrame) -> DataFrame:
     """Of several at one place a literal goes first, then a CSS property's, then a JS one's."""
     rank = F.when(F.col("kind") == "literal", 0).when(F.col("kind") == "css", 1).otherwise(2)
-    by = Window.partitionBy("file", "line", "col").orderBy(rank, "value")
+    # a line has one chunk; named too, since the rows lie by file and chunk already and needn't move then
+    by = Window.partitionBy("file", "chunk", "line", "col").orderBy(rank, "value")
     return rows.withColumn("_n", F.row_number().over(by)).where("_n = 1").drop("_n")
 
 

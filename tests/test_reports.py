@@ -268,6 +268,13 @@ def test_semantic_match_is_the_ordered_fold(spark, monkeypatch):
     assert plan_of(match.nearest_semantic(tried, p).where("near_distance > 1")).count("sort_array") == 1
 
 
+def test_compare_moves_hits_once(spark):
+    rows = commands.compare(lines(spark, "color: #ff0000; fill: #ff0001"), pal(spark, ("--r", "#ff0000")))
+    assert [(r.col, r.status) for r in rows.orderBy("col").collect()] == [(8, "exact"), (23, "close")]
+    plan = plan_of(rows)
+    assert "hashpartitioning(file" in plan and "hashpartitioning(file, line" not in plan.replace("#", "").replace("L,", ",") and "lab" not in "".join(x for x in plan.splitlines() if "hashpartitioning" in x)
+
+
 def test_class_pairs_need_frequent_classes(spark):
     lists = commands.class_lists(lines(spark, '<p className="a a a b">', '<p className="a a a b">'))
     assert commands.class_pairs(lists, 3).where("pair = 'a b'").count() == 0
