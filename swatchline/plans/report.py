@@ -104,10 +104,16 @@ def colors_document(rows: DataFrame) -> DataFrame:
 
 
 def compare_document(rows: DataFrame, palette: DataFrame, threshold: float) -> DataFrame:
-    n = lambda which: F.struct(*(F.count_if((F.col("status") == s) & which).alias(s) for s in STATUSES))
-    yes, no = rows.where("actionable"), rows.where("not actionable")
-    facts = rows.agg(F.lit(float(threshold)).alias("threshold"), F.count("*").alias("total"), F.count_if("actionable").alias("actionable"), F.count_if(~F.col("actionable")).alias("skipped"), n(F.lit(True)).alias("byStatus"), n(F.col("actionable")).alias("actionableByStatus"))
-    return _document(_summary(facts, "compare", F.col("*")), _rows("palette", "name", palette, "name", "hex"), _tally("skippedByContext", no, "context"), _rows("actionable", "status", yes), _rows("skipped", "context", no))
+    # the report is worked out twice, not for each of its parts: for a few counts, and for its rows
+    groups = rows.groupBy("actionable", "status", "context").agg(F.count("*").alias("n"))
+    many = lambda which: F.coalesce(F.sum(F.when(which, F.col("n"))), F.lit(0))
+    yes = F.col("actionable")
+    n = lambda which: F.struct(*(many((F.col("status") == s) & which).alias(s) for s in STATUSES))
+    facts = groups.agg(F.lit(float(threshold)).alias("threshold"), many(F.lit(True)).alias("total"), many(yes).alias("actionable"), many(~yes).alias("skipped"), n(F.lit(True)).alias("byStatus"), n(yes).alias("actionableByStatus"))
+    key = F.coalesce(F.nullif(F.col("context"), F.lit("")), F.lit("unknown"))
+    skipped = _part("skippedByContext", F.col("key"), F.col("n"), groups.where(~yes).groupBy(key.alias("key")).agg(F.sum("n").alias("n")))
+    told = rows.where(yes.isNotNull()).select(F.when(yes, "actionable").otherwise("skipped").alias("section"), F.when(yes, F.col("status")).otherwise(F.col("context")).alias("part"), _json("*").alias("value"))
+    return _document(_summary(facts, "compare", F.col("*")), _rows("palette", "name", palette, "name", "hex"), skipped, told)
 
 
 def tailwind_document(rows: DataFrame, v4: DataFrame) -> DataFrame:

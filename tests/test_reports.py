@@ -275,6 +275,16 @@ def test_compare_moves_hits_once(spark):
     assert "hashpartitioning(file" in plan and "hashpartitioning(file, line" not in plan.replace("#", "").replace("L,", ",") and "lab" not in "".join(x for x in plan.splitlines() if "hashpartitioning" in x)
 
 
+def test_compare_document_works_the_report_out_twice(spark):
+    rows = commands.compare(lines(spark, "color: #ff0000;", "// x", "color: rgba(1,2,3,.5);", "box-shadow: 0 0 rgba(0, 0, 0, 0.1);"), pal(spark, ("--r", "#ff0000")))
+    document = report.compare_document(rows, pal(spark, ("--r", "#ff0000")), 10)
+    parts = {(r.section, r.part): r.value for r in document.collect()}
+    assert '"total":3,"actionable":2,"skipped":1' in parts["summary", None] and ("actionable", "exact") in parts and parts["skippedByContext", "effect"] == "1"
+    assert plan_of(document).count("Window [row_number()") == 2
+    empty = report.compare_document(rows.where("false"), pal(spark, ("--r", "#ff0000")), 10).where("section = 'summary'").first().value
+    assert '"total":0' in empty and '"exact":0' in empty
+
+
 def test_class_pairs_need_frequent_classes(spark):
     lists = commands.class_lists(lines(spark, '<p className="a a a b">', '<p className="a a a b">'))
     assert commands.class_pairs(lists, 3).where("pair = 'a b'").count() == 0
