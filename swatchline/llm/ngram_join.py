@@ -22,6 +22,8 @@ m * m / 2 of them, and the work here stays in proportion to m but for the compar
 Length filter: 4 * n_small >= 3 * n_large. Positional filter: a shingle shared at positions i and j bounds the
 overlap by min(i, j) + min(n_a - i, n_b - j). Suffix filter: sets are divided at fixed values into PARITIES parts;
 each part whose sizes differ in parity holds a shingle of one set alone, which bounds the distance of the whole sets.
+Sets that are unlike in more than a few hundred shingles differ in half of these parts at most, so each set has finer
+parts too (`more`), at least FINER for each shingle up to MOST_PARITIES. They are folded to the coarser of a pair's.
 """
 
 from __future__ import annotations
@@ -40,6 +42,7 @@ SLOT_LOAD, LEAST_SLOTS, MOST_SLOTS, CHUNK = 64, 1 << 16, 1 << 24, 1 << 12
 #: A counter of at least so many, and of HOT_LOAD times the mean, may stand for a hot shingle; its group is split.
 HOT, HOT_LOAD, SALTS = 20_000, 8, 64
 PARITIES = 512
+FINER, MOST_PARITIES = 4, 8192
 #: Members of a group that are compared in one place, and members that meet one copy of their head's text.
 BLOCK, STAR = 2048, 2000
 #: Digests that a task remembers in order to tell a set once.
@@ -57,6 +60,26 @@ def _digests(value: np.ndarray, n: np.ndarray, seed: int) -> np.ndarray:
     return (total[ends] - total[ends - n]).view(np.int64)
 
 
+def _finer_parities(value: np.ndarray) -> bytes:
+    """Parities of a set's sizes in its finer parts; part p of coarser ones holds the parts that leave p modulo their number."""
+    parts = min(MOST_PARITIES, max(PARITIES, 1 << (FINER * len(value) - 1).bit_length()))
+    odd = np.bincount((value & np.uint64(parts - 1)).astype(np.int64), minlength=parts) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def _finer_apart(more, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many of the parts of the coarser one the sets a and b of each pair differ in parity."""
+    size = np.array([len(x) for x in more])
+    least, out = np.minimum(size[a], size[b]), np.zeros(len(a), np.int64)
+    for s in np.unique(least):
+        pairs = np.flatnonzero(least == s)
+        for at in np.array_split(pairs, -(-len(pairs) // 20_000)):
+            used, where = np.unique(np.concatenate((a[at], b[at])), return_inverse=True)
+            bits = np.stack([np.bitwise_xor.reduce(np.frombuffer(more[u], np.uint64).reshape(-1, s // 8), axis=0) for u in used])
+            out[at] = np.bitwise_count(bits[where[: len(at)]] ^ bits[where[len(at) :]]).sum(axis=1, dtype=np.int64)
+    return out
+
+
 def _summaries(k: int, slots: int):
     def run(batches):
         counts = np.zeros(slots, np.uint32)
@@ -70,10 +93,10 @@ def _summaries(k: int, slots: int):
                 part = number * PARITIES + (value & np.uint64(PARITIES - 1)).astype(np.int64)
                 odd = np.bincount(part, minlength=PARITIES * (b - a)).reshape(b - a, PARITIES) & 1
                 words = np.packbits(odd.astype(np.uint8), axis=1).view(np.int64)
-                yield pd.DataFrame({"id": ids[a:b], "n": n, "k1": _digests(value, n, 3), "k2": _digests(value, n, 4), "odd": list(words), "chunk": -1, "counts": None})
+                yield pd.DataFrame({"id": ids[a:b], "n": n, "k1": _digests(value, n, 3), "k2": _digests(value, n, 4), "odd": list(words), "more": [_finer_parities(x) for x in np.split(value, np.cumsum(n)[:-1])], "chunk": -1, "counts": None})
         parts = [(c, counts[c * CHUNK : (c + 1) * CHUNK]) for c in range(slots // CHUNK)]
         parts = [(c, zlib.compress(x.tobytes(), 1)) for c, x in parts if x.any()]
-        yield pd.DataFrame({"id": None, "n": 0, "k1": 0, "k2": 0, "odd": None, "chunk": [c for c, _ in parts], "counts": [x for _, x in parts]})
+        yield pd.DataFrame({"id": None, "n": 0, "k1": 0, "k2": 0, "odd": None, "more": None, "chunk": [c for c, _ in parts], "counts": [x for _, x in parts]})
 
     return run
 
@@ -182,7 +205,7 @@ def _compare(nearest: bool):
     """
     names = ["token", "block", "id", "n", "i", "label", "out"]
 
-    def pairs(cols, odd):
+    def pairs(cols, odd, more):
         key = cols["token"] * 31 + cols["block"]
         starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         run = np.cumsum(np.concatenate(([True], key[1:] != key[:-1]))) - 1
@@ -203,6 +226,9 @@ def _compare(nearest: bool):
             a, b, both = a[ok], b[ok], (n_a + n_b)[ok]
             apart = np.bitwise_count(odd[a] ^ odd[b]).sum(axis=1, dtype=np.int64)
             ok = 7 * apart <= both
+            a, b, both = a[ok], b[ok], both[ok]
+            apart = _finer_apart(more, a, b)
+            ok = 7 * apart <= both
             a, b, share = a[ok], b[ok], apart[ok] / both[ok]
             if nearest and len(a):
                 order = np.lexsort((cols["id"][b], share, a))
@@ -227,15 +253,15 @@ def _compare(nearest: bool):
             yield from _told(pd.concat(held, ignore_index=True))
 
     def _told(rows):
-        yield from pairs({c: rows[c].to_numpy() for c in names}, np.stack(rows["odd"].to_numpy()).view(np.uint64))
+        yield from pairs({c: rows[c].to_numpy() for c in names}, np.stack(rows["odd"].to_numpy()).view(np.uint64), rows["more"].tolist())
 
     return run
 
 
 def _labelled(ids: DataFrame, links: DataFrame) -> DataFrame:
-    """(id, n, odd, label): the label is the component by the links so far, or the id itself."""
+    """(id, n, odd, more, label): the label is the component by the links so far, or the id itself."""
     labels = components(links.select(F.col("id").alias("src"), F.col("head").alias("dst")))
-    return cut(ids.join(labels.withColumnRenamed("node", "id"), "id", "left").select("id", "n", "odd", F.coalesce("component", "id").alias("label")))
+    return cut(ids.join(labels.withColumnRenamed("node", "id"), "id", "left").select("id", "n", "odd", "more", F.coalesce("component", "id").alias("label")))
 
 
 def _rest(members: DataFrame, state: DataFrame, nearest: bool, tried: list[DataFrame]) -> DataFrame:
@@ -244,9 +270,9 @@ def _rest(members: DataFrame, state: DataFrame, nearest: bool, tried: list[DataF
     groups = named.groupBy("token").agg(F.min_by("label", F.struct("i", "id")).alias("main"), F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("c"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("who"))
     # of groups with the same members one is enough: any shared shingle may bound their overlap
     groups = groups.where("low <> high").groupBy("c", "who").agg(F.min_by(F.struct("token", "main", "c"), "token").alias("g")).select("g.*")
-    rows = cut(members.join(groups, "token").join(state.select("id", "odd", "label"), "id").select("token", "id", "n", "i", "label", "odd", (F.col("label") != F.col("main")).alias("out"), F.ceil(F.col("c") / BLOCK).cast("int").alias("s")))
-    one = rows.select("token", F.pmod(F.xxhash64("id"), F.col("s")).cast("int").alias("block"), "id", "n", "i", "label", "odd", F.lit(False).alias("out"))
-    other = rows.where("out").select("token", F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("block"), "id", "n", "i", "label", "odd", "out")
+    rows = cut(members.join(groups, "token").join(state.select("id", "odd", "more", "label"), "id").select("token", "id", "n", "i", "label", "odd", "more", (F.col("label") != F.col("main")).alias("out"), F.ceil(F.col("c") / BLOCK).cast("int").alias("s")))
+    one = rows.select("token", F.pmod(F.xxhash64("id"), F.col("s")).cast("int").alias("block"), "id", "n", "i", "label", "odd", "more", F.lit(False).alias("out"))
+    other = rows.where("out").select("token", F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("block"), "id", "n", "i", "label", "odd", "more", "out")
     cells = one.unionByName(other).repartition("token", "block").sortWithinPartitions("token", "block", "out")
     found = cells.mapInPandas(_compare(nearest), "id long, head long, share double")
     if nearest:
@@ -267,21 +293,21 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slots = min(MOST_SLOTS, max(LEAST_SLOTS, 1 << (size // 6 // SLOT_LOAD).bit_length()))
-    out = cut(docs.select(F.col("doc").cast("string").alias("id"), "text").mapInPandas(_summaries(k, slots), "id string, n long, k1 long, k2 long, odd array<long>, chunk int, counts binary"))
-    rows = out.where("chunk < 0").select(F.col("id").cast("long").alias("doc"), "n", "k1", "k2", "odd")
+    out = cut(docs.select(F.col("doc").cast("string").alias("id"), "text").mapInPandas(_summaries(k, slots), "id string, n long, k1 long, k2 long, odd array<long>, more binary, chunk int, counts binary"))
+    rows = out.where("chunk < 0").select(F.col("id").cast("long").alias("doc"), "n", "k1", "k2", "odd", "more")
     chunks = out.where("chunk >= 0").select("chunk", "counts").repartition("chunk").mapInPandas(_add_chunks, "chunk int, counts binary")
     counts = np.zeros(slots, np.uint32)
     for c, x in chunks.toLocalIterator():  # MOST_SLOTS counters at most
         counts[c * CHUNK : (c + 1) * CHUNK] = np.frombuffer(zlib.decompress(x), np.uint32)
     sketch = spark.sparkContext.broadcast(counts.tobytes())
     filled = rows.where("n > 0 and doc is not null")
-    classes = filled.groupBy("n", "k1", "k2").agg(F.min("doc").alias("doc"), F.any_value("odd").alias("odd"))
+    classes = filled.groupBy("n", "k1", "k2").agg(F.min("doc").alias("doc"), F.any_value("odd").alias("odd"), F.any_value("more").alias("more"))
     classes = cut(classes.withColumn("id", F.monotonically_increasing_id()))
     texts = classes.select("id", "doc")
 
     known = docs.where("doc is not null").select("text").mapInPandas(_prefixes(k, slots, sketch, max(hot, HOT_LOAD * int(counts.mean()))), "token long, n long, k1 long, i int, hot boolean")
     members = cut(_grouped(known).join(classes.select("n", "k1", "id"), ["n", "k1"]).select("token", "id", "n", "i"), batch=10_000)
-    state = classes.select("id", "n", "odd")
+    state = classes.select("id", "n", "odd", "more")
 
     heads = members.groupBy("token").agg(F.min(F.struct("i", "id", "n")).alias("h"))
     pairs = members.join(heads, "token").where((F.col("id") != F.col("h.id")) & _near(F.col("n"), F.col("h.n"), F.col("i"), F.col("h.i")))

@@ -101,6 +101,24 @@ def test_ngram_join_brute_force(spark):
     assert got == {i: (len(sets[i]), root(i)) for i in range(len(texts))}
 
 
+def test_ngram_join_long_texts_that_do_not_link(spark, monkeypatch):
+    # sets of thousands of shingles, of which two in three are shared: 512 parts can't tell that they don't link
+    rng = random.Random(3)
+    words = [f"w{rng.random()}" for _ in range(6000)]
+    texts = []
+    for _ in range(6):
+        own = list(words)
+        for at in rng.sample(range(len(own)), 250):
+            own[at] = f"x{rng.random()}"
+        texts.append(" ".join(own))
+    texts.append(texts[0].replace(words[3000], "y", 1))
+    rows = docs(spark, *texts)
+    tried, verified = [], ngram_join._verified
+    monkeypatch.setattr(ngram_join, "_verified", lambda pairs, *rest: (tried.append(pairs.count()), verified(pairs, *rest))[1])
+    assert [c for _, _, c in sorted(map(tuple, ngram_join.link_documents(rows).collect()))] == [0, 1, 2, 3, 4, 5, 0]
+    assert tried[1:] == [0, 0]  # the first is that with each group's head
+
+
 @pytest.mark.parametrize("hot", [1, 20_000])
 def test_ngram_join_paths(spark, monkeypatch, hot):
     """Near copies of a few bases, exact copies and repeated ids, against the SQL; with hot groups and small blocks too."""
