@@ -129,10 +129,16 @@ def fixed_tree(lines: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def fixed_files(lines: DataFrame, rows: DataFrame) -> DataFrame:
-    """Every changed file as a whole: file, content, n_fixed. For files that fit into a row; write_fixed() streams any."""
+    """Every changed file as a whole: file, content, n_fixed. For files that fit into a row; write_fixed() streams any.
+
+    Texts without their line ends are joined by line feeds, with none behind the last.
+    """
     text = F.col("data").cast("string")
     whole = fixed_tree(lines, rows).groupBy("file").agg(F.array_sort(F.collect_list(F.struct("line", text.alias("text")))).alias("all"), F.sum("n_fixed").alias("n_fixed"))
-    return whole.select("file", F.array_join(F.col("all.text"), "").alias("content"), "n_fixed")
+    content = F.array_join(F.col("all.text"), "")
+    if "raw" not in lines.columns:
+        content = F.left(content, F.length(content) - 1)
+    return whole.select("file", content.alias("content"), "n_fixed")
 
 
 def write_fixed(lines: DataFrame, rows: DataFrame, folder: str) -> int:
