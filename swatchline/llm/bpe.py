@@ -1,7 +1,7 @@
 """Byte-level BPE encoding by backtracking over token matches, and decoding.
 
-Bytes are mapped to Latin-1, so that pyahocorasick finds every token of the vocabulary in a piece of text in one
-pass. From the left the longest token is taken that is compatible with the token before it: that the merges of the
+Bytes are mapped to Latin-1, so that pyahocorasick tells how far the tokens of the vocabulary reach from a place in a
+piece of text. From the left the longest token is taken that is compatible with the token before it: that the merges of the
 two tokens' bytes give just these two. A dead end gives up the last token for the next shorter; an end once given up
 is never tried again, as the tokens that lead to a place are unique. The result is that of the merges.
 """
@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 import sys
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -19,8 +21,10 @@ from pyspark.sql import functions as F
 
 from swatchline.llm.common import small_batches, table
 
-#: Bounds of what a worker remembers: pieces of text, and pairs of tokens.
-PIECES, PAIRS = 200_000, 1_000_000
+#: Bounds of what a worker remembers: pieces of text (in each of two halves), and pairs of tokens.
+PIECES, PAIRS = 300_000, 1_000_000
+#: Tokens that are decoded at once.
+BLOCK = 1 << 16
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -28,6 +32,25 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (line.split() for line in data.splitlines() if line)}
 
 
+class Pieces(dict):
+    """Ids of pieces of text by piece. When it is full, it is kept as the older half; what is met again moves back."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode, self.older = encode, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            tokens = self.encode(piece.encode("utf-8"))
+            ids = struct.pack(f"<{len(tokens)}I", *tokens)
+        if len(self) >= PIECES:
+            self.older = dict(self)
+            self.clear()
+        self[piece] = ids
+        return ids
+
+
 class Bpe:
     def __init__(self, ranks: dict[bytes, int]):
         import ahocorasick
@@ -36,19 +59,29 @@ class Bpe:
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.automaton = ahocorasick.Automaton()
         for b, i in ranks.items():
-            self.automaton.add_word(b.decode("latin-1"), (i, len(b)))
+            self.automaton.add_word(b.decode("latin-1"), i)
         self.automaton.make_automaton()
+        self.most = max(map(len, ranks))
+        self.size = np.zeros(max(self.bytes_of) + 1, np.int64)
+        self.size[list(self.bytes_of)] = [len(b) for b in self.bytes_of.values()]
+        self.start = np.cumsum(self.size) - self.size
+        self.flat = np.frombuffer(b"".join(self.bytes_of[i] for i in sorted(self.bytes_of)), np.uint8)
         self.pairs: dict[int, bool] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.pieces = Pieces(self.encode_piece)
 
     def merged(self, data: bytes) -> list[int]:
         """Tokens by the merges themselves, lowest rank first, leftmost among equals."""
+        rank, none = self.ranks.get, 1 << 40
         parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            best, at = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 40), i) for i in range(len(parts) - 1))
-            if best == 1 << 40:
-                break
+        ranks = [rank(a + b, none) for a, b in pairwise(parts)]
+        while ranks and (best := min(ranks)) < none:
+            at = ranks.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del ranks[at]
+            if at:
+                ranks[at - 1] = rank(parts[at - 1] + parts[at], none)
+            if at < len(ranks):
+                ranks[at] = rank(parts[at] + parts[at + 1], none)
         return [self.ranks[p] for p in parts]
 
     def compatible(self, a: int, b: int) -> bool:
@@ -65,49 +98,44 @@ class Bpe:
         whole = self.ranks.get(data)
         if whole is not None:
             return [whole]
-        n = len(data)
-        matches: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        for end, found in self.automaton.iter(data.decode("latin-1")):
-            matches[end + 1 - found[1]].append(found)  # shorter ones first
+        n, most, chars = len(data), self.most, data.decode("latin-1")
+        prefix, rank, pairs = self.automaton.longest_prefix, self.ranks.get, self.pairs.get
         dead = bytearray(n + 1)
         tokens: list[int] = []
         starts: list[int] = []
-        choice: list[int] = []
-        at, k = 0, len(matches[0]) - 1
+        at, length = 0, prefix(chars[:most])
         while at < n:
-            here = matches[at]
-            while k >= 0:
-                token, length = here[k]
-                if not dead[at + length] and (not tokens or self.compatible(tokens[-1], token)):
-                    break
-                k -= 1
-            if k >= 0:
+            while length:
+                if not dead[at + length] and (token := rank(data[at : at + length])) is not None:
+                    if not tokens:
+                        break
+                    known = pairs(tokens[-1] << 32 | token)
+                    if known or known is None and self.compatible(tokens[-1], token):
+                        break
+                length -= 1
+            if length:
                 tokens.append(token)
                 starts.append(at)
-                choice.append(k)
                 at += length
-                k = len(matches[at]) - 1 if at < n else -1
+                length = prefix(chars[at : at + most])
             else:
                 dead[at] = 1
                 tokens.pop()
-                at, k = starts.pop(), choice.pop() - 1
+                at, length = starts[-1], at - starts.pop() - 1
         return tokens
 
     def encode(self, pieces: list[str]) -> bytes:
         """Ids of the pieces as little-endian unsigned 32-bit integers."""
-        known, out = self.pieces, []
-        for p in pieces:
-            ids = known.get(p)
-            if ids is None:
-                ids = np.array(self.encode_piece(p.encode("utf-8")), "<u4").tobytes()
-                if len(known) >= PIECES:
-                    known.clear()
-                known[p] = ids
-            out.append(ids)
-        return b"".join(out)
+        return b"".join(map(self.pieces.__getitem__, pieces))
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        out = []
+        for at in range(0, len(ids), 4 * BLOCK):
+            token = np.frombuffer(ids[at : at + 4 * BLOCK], "<u4")
+            size = self.size[token]
+            ends = np.cumsum(size)
+            out.append(self.flat[np.arange(ends[-1]) + np.repeat(self.start[token] - (ends - size), size)].tobytes())
+        return b"".join(out)
 
 
 def worker_memory(name: str, make):

@@ -179,6 +179,21 @@ def test_bpe_is_exact():
             assert own.decode(ids) == t.encode()
 
 
+def test_bpe_remembers(monkeypatch):
+    """A piece that is met again isn't encoded again as soon as the memory is full."""
+    monkeypatch.setattr(bpe, "PIECES", 2)
+    calls = []
+
+    class Counted(bpe.Bpe):
+        def encode_piece(self, data):
+            calls.append(data)
+            return super().encode_piece(data)
+
+    own = Counted({bytes([x]): x for x in range(256)} | {b"ab": 256, b"abc": 257})
+    assert np.frombuffer(own.encode(["abcab", "b", "c", "abcab"]), "<u4").tolist() == [257, 256, 98, 99, 257, 256]
+    assert calls == [b"abcab", b"b", b"c"]
+
+
 def test_packing(spark):
     import zlib
     from tokenizers import Tokenizer
