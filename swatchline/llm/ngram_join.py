@@ -35,10 +35,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from swatchline.llm.common import components, cut, discard, small_batches, table
+from swatchline.llm.common import LATE_BROADCAST, components, cut, discard, held, small_batches, table
 from swatchline.llm.shingles import blocks, mix, shingle_sets
 
 SLOT_LOAD, LEAST_SLOTS, MOST_SLOTS, CHUNK = 64, 1 << 16, 1 << 24, 1 << 12
+#: Chunks of the sketch that one job brings to the driver: 8 MB before they are packed.
+BROUGHT = 512
 #: A counter of at least so many, and of HOT_LOAD times the mean, may stand for a hot shingle; its group is split.
 HOT, HOT_LOAD, SALTS = 20_000, 8, 64
 PARITIES = 512
@@ -288,17 +290,24 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Null or blank texts have no shingles and link with nothing. A row with a null id gets a null component. Rows
     with one id count as one document that links if any of its texts does. Other columns are not read.
     """
+    small_batches(docs.sparkSession)
+    with held(docs.sparkSession, {LATE_BROADCAST: "-1"}):
+        return _linked(docs, id_col, text_col, k, hot)
+
+
+def _linked(docs: DataFrame, id_col: str, text_col: str, k: int, hot: int) -> DataFrame:
     spark = docs.sparkSession
-    small_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slots = min(MOST_SLOTS, max(LEAST_SLOTS, 1 << (size // 6 // SLOT_LOAD).bit_length()))
     out = cut(docs.select(F.col("doc").cast("string").alias("id"), "text").mapInPandas(_summaries(k, slots), "id string, n long, k1 long, k2 long, odd array<long>, more binary, chunk int, counts binary"))
     rows = out.where("chunk < 0").select(F.col("id").cast("long").alias("doc"), "n", "k1", "k2", "odd", "more")
-    chunks = out.where("chunk >= 0").select("chunk", "counts").repartition("chunk").mapInPandas(_add_chunks, "chunk int, counts binary")
+    chunks = cut(out.where("chunk >= 0").select("chunk", "counts").repartition("chunk").mapInPandas(_add_chunks, "chunk int, counts binary"))
     counts = np.zeros(slots, np.uint32)
-    for c, x in chunks.toLocalIterator():  # MOST_SLOTS counters at most
-        counts[c * CHUNK : (c + 1) * CHUNK] = np.frombuffer(zlib.decompress(x), np.uint32)
+    for at in range(0, slots // CHUNK, BROUGHT):  # MOST_SLOTS counters at most; by their number, not a job for each partition
+        for c, x in chunks.where(F.col("chunk").between(at, at + BROUGHT - 1)).collect():
+            counts[c * CHUNK : (c + 1) * CHUNK] = np.frombuffer(zlib.decompress(x), np.uint32)
+    discard(chunks)
     sketch = spark.sparkContext.broadcast(counts.tobytes())
     filled = rows.where("n > 0 and doc is not null")
     classes = filled.groupBy("n", "k1", "k2").agg(F.min("doc").alias("doc"), F.any_value("odd").alias("odd"), F.any_value("more").alias("more"))

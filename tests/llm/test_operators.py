@@ -194,6 +194,20 @@ def test_bpe_remembers(monkeypatch):
     assert calls == [b"abcab", b"b", b"c"]
 
 
+def test_ngram_join_jobs(spark):
+    """The sketch comes to the driver by its size, not by a job for each partition."""
+    own = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    rows = spark.createDataFrame([(i, f"one two three four five six {i}") for i in range(200)], "doc_id long, text string")
+    spark.sparkContext.setJobGroup("ngram_jobs", "")
+    try:
+        with common.held(spark, own):
+            assert ngram_join.link_documents(rows).where("doc_id <> component_id").count() == 0
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("ngram_jobs"))
+    assert jobs < 100, jobs
+
+
 def test_packing(spark):
     import zlib
     from tokenizers import Tokenizer
